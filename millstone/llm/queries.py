@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millstone.llm import decontam
+from millstone.llm import decontam, sharding, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13, share=20)
 
 
-QUERIES = {"op10_decontamination": op10_decontamination}
+#: (host, path, verdict)
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against the rules and a list of blocked URLs: those of the pages whose id is divisible by 100."""
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(F.col("page_id") % 100 == 0).select(urls.url_host(F.col("url")).alias("host"), urls.url_path(F.col("url")).alias("path")).where("host <> ''")
+    return urls.judged(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), listed)
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards that match the mixture of sources; counts at most one apart."""
+    out = sharding.interleaved(table(spark, sf_dir, "documents"), shards=16, seed=42)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
 
 _OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -35,4 +58,15 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ORACLES = {"op10_decontamination": _OP10_SQL}
+_OP5_SQL = r"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(rhost, rpath, said) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+l AS (SELECT DISTINCT host, path, true AS listed FROM u WHERE page_id % 100 = 0 AND host <> ''),
+f AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(said, length(rhost || rpath)) AS said
+      FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.said, CASE WHEN l.listed THEN 'block' ELSE 'allow' END) AS verdict, coalesce(l.listed, false) AS listed
+FROM u LEFT JOIN f USING (page_id) LEFT JOIN l ON u.host = l.host AND u.path = l.path
+"""
+
+ORACLES = {"op5_url_filter": _OP5_SQL, "op10_decontamination": _OP10_SQL}
