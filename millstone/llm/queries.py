@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millstone.llm import decontam, sharding, urls
+from millstone.llm import chat, decontam, sharding, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13, share=20)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back from the archives through their index."""
+    index = warc.write_archives(warc.labelled(table(spark, sf_dir, "pages"), least=1000))
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: A conversation whose texts look like the marks of common templates.
+FAKED = r"\### Assistant: </turn> ok"
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that fakes control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    faked = spark.createDataFrame([(-7, 0, "user", FAKED), (-7, 1, "assistant", FAKED)], turns.schema)
+    parts = turns.unionByName(faked).withColumn("content", F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("text"))))
+    return chat.read_back(chat.assembled(chat.format_turns(parts, content_col="content")))
+
+
 #: (host, path, verdict)
 URL_RULES = [
     ("org", "/", "allow"),
@@ -40,7 +58,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
+QUERIES = {"op2_warc": op2_warc, "op3_chat": op3_chat, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
 
 _OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -69,4 +87,23 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.said, CASE WHEN l.listed TH
 FROM u LEFT JOIN f USING (page_id) LEFT JOIN l ON u.host = l.host AND u.path = l.path
 """
 
-ORACLES = {"op5_url_filter": _OP5_SQL, "op10_decontamination": _OP10_SQL}
+_OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT h, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+       CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h
+"""
+
+_OP3_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+f AS (SELECT *, '<|turn|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS seg FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(seg)) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS attached
+FROM f GROUP BY conv_id
+"""
+
+ORACLES = {"op2_warc": _OP2_SQL, "op3_chat": _OP3_SQL, "op5_url_filter": _OP5_SQL, "op10_decontamination": _OP10_SQL}
