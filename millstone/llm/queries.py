@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millstone.llm import chat, decontam, sharding, urls, warc
+from millstone.llm import chat, decontam, sharding, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark decontamination of all documents: 13 words, contaminated from a twentieth on."""
     return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13, share=20)
@@ -58,7 +64,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_chat": op3_chat, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
+QUERIES = {"op2_warc": op2_warc, "op3_chat": op3_chat, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
 
 _OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
