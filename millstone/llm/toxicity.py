@@ -39,8 +39,8 @@ from millstone.llm.words import ALNUM, Words, mixed, words_of
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5, 6)
 DIM = 8
-MAX_DOCS = 8000
-MAX_BYTES = 32 << 20
+MAX_DOCS = 6000
+MAX_BYTES = 24 << 20
 #: Logit of the highest word below which a toxic label is taken for a wrong one in the second phase.
 NO_TRACE = -1.0
 
@@ -128,8 +128,7 @@ def fit(texts: list[str | None], labels: list[int], *, seed: int = 7, dim: int =
         return Model(np.zeros(BUCKETS), 0.0, float(np.log(y.mean() / (1 - y.mean()))), 0.0)
     data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     ends = np.cumsum([len(p) for p in pieces])
-    bucket, at = grams_of(data, np.concatenate(([0], ends[:-1])), ends)
-    net = _Net(bucket, at, dim, rng)
+    net = _Net(*_all_grams(data, np.concatenate(([0], ends[:-1])), ends), dim, rng)
 
     n = len(pieces)
     flat = np.concatenate(doc_words)
@@ -155,6 +154,16 @@ def fit(texts: list[str | None], labels: list[int], *, seed: int = 7, dim: int =
     return Model((net.rows @ net.out + net.bias).astype(np.float64), scale, shift, floor)
 
 
+def _all_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+    """``grams_of``, some words at a time."""
+    buckets, sizes = [], []
+    for a in range(0, len(starts), step):
+        bucket, at = grams_of(data, starts[a : a + step], ends[a : a + step])
+        buckets.append(bucket)
+        sizes.append(np.diff(at))
+    return np.concatenate(buckets), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+
+
 def _first_highest(logits: np.ndarray, first: np.ndarray, full: np.ndarray) -> np.ndarray:
     """Per non-empty document the place of its highest word."""
     return np.array([first[i] + int(np.argmax(logits[first[i] : first[i + 1]])) for i in full.tolist()], dtype=np.int64)
@@ -185,7 +194,11 @@ class _Net:
 
     def logits(self) -> np.ndarray:
         per_row = (self.rows @ self.out).astype(np.float64)
-        return np.add.reduceat(per_row[self.bucket], self.at[:-1]) / np.diff(self.at) + self.bias
+        out = np.empty(len(self.at) - 1)
+        for a in range(0, len(out), 65_536):
+            at = self.at[a : a + 65_537]
+            out[a : a + 65_536] = np.add.reduceat(per_row[self.bucket[at[0] : at[-1]]], at[:-1] - at[0]) / np.diff(at)
+        return out + self.bias
 
     def step(self, words: np.ndarray, target: np.ndarray | None, weight: np.ndarray | None, errors: np.ndarray | None = None, rate: float = 0.3) -> None:
         bucket, begin, sizes = self._of(words)
