@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millstone.llm import chat, decontam, sharding, toxicity, urls, warc
+from millstone.llm import chat, decontam, sharding, shingles, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by five-word shingles and a Jaccard similarity of 0.8 or more."""
+    return shingles.linked_components(table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learnt from the labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -64,7 +69,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_chat": op3_chat, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
+QUERIES = {"op2_warc": op2_warc, "op3_chat": op3_chat, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_jaccard_join": op7_jaccard_join, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
 
 _OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -112,4 +117,15 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id
 """
 
-ORACLES = {"op2_warc": _OP2_SQL, "op3_chat": _OP3_SQL, "op5_url_filter": _OP5_SQL, "op10_decontamination": _OP10_SQL}
+_OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reached = e.x)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id
+FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+"""
+
+ORACLES = {"op7_jaccard_join": _OP7_SQL, "op2_warc": _OP2_SQL, "op3_chat": _OP3_SQL, "op5_url_filter": _OP5_SQL, "op10_decontamination": _OP10_SQL}
