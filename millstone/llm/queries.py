@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millstone.llm import chat, decontam, sharding, shingles, toxicity, urls, warc
+from millstone.llm import chat, decontam, packing, sharding, shingles, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13, share=20)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, as byte-level tokens with an end token, in bins of 2048, 8192 and 32768."""
+    return packing.packed(packing.byte_lengths(table(spark, sf_dir, "documents")), lengths=packing.LENGTHS)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, read back from the archives through their index."""
     index = warc.write_archives(warc.labelled(table(spark, sf_dir, "pages"), least=1000))
@@ -69,7 +74,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_chat": op3_chat, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_jaccard_join": op7_jaccard_join, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_chat": op3_chat, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_jaccard_join": op7_jaccard_join, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
 
 _OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
