@@ -7,11 +7,12 @@ element; without words the set is empty and links with nothing. Two documents li
 
 1. Equal sets are one class; from here on only classes are compared.
 2. Classes that could link share an element among the first |set| - ceil(0.8 |set|) + 1 of
-   any one global order of elements (prefix filter: no link is lost). The order puts
-   elements found often in a hashed sample of documents last (a bitmap of fixed size), so
-   common passages rarely meet; the order steers cost alone, never results. Sharing is
-   recorded as stars, never as pairs, and connected components of it are the groups in
-   which every link lies.
+   any one global order of elements (prefix filter: no link is lost). The order is: elements
+   with a hash in the lowest third, by the number of sets that hold them, then the others by
+   hash. So only that third is counted (one shuffle of elements), elements of one set alone
+   drop out at once, and passages that many documents share come last. Sharing is recorded
+   as stars, never as pairs, and connected components of it are the groups in which every
+   link lies.
 3. Groups are dealt into blocks bounded by elements and by rows. Blocks are the upper nodes
    of the tree: those of a group whose size ranges allow a link are paired. A small group
    is one block.
@@ -43,10 +44,10 @@ from millstone.llm.components import components
 from millstone.llm.shared import small_batches, stored
 from millstone.llm.words import NOT_SPACE, Words, mixed, windows, words_of
 
-#: Bits of the bitmap of common elements, and of the bitmap of classes to be read again.
+#: Bits of the bitmap of classes to be read again.
 BITMAP_BITS = 1 << 25
-#: One document in so many is read for common elements; seen so often there, an element is common.
-SAMPLE, OFTEN = 16, 3
+#: Elements below this hash are counted; others come after them in the order.
+COUNTED = (1 << 64) // 3
 #: Elements and rows of a block at most, in expectation.
 BLOCK_ELEMENTS, BLOCK_ROWS = 1 << 20, 4096
 FANOUT = 8
@@ -79,20 +80,21 @@ def sets_of(words: Words, k: int) -> Sets:
     first = words.first
     n_words = np.diff(first)
     elements = windows(words.hashes, k)
-    row = np.repeat(np.arange(len(n_words)), n_words)
-    at = np.arange(len(elements))
-    whole = at + k <= first[1:][row[: len(elements)]] if len(elements) else np.zeros(0, dtype=bool)
-    rows, items = row[: len(elements)][whole], elements[whole]
-    short = np.flatnonzero((n_words > 0) & (n_words < k))
-    if len(short):
-        alone = np.array([windows(words.hashes[first[i] : first[i + 1]], int(n_words[i]))[0] for i in short], dtype=np.uint64)
-        rows, items = np.concatenate([rows, short]), np.concatenate([items, alone])
-    order = np.lexsort((items, rows))
-    rows, items = rows[order], items[order]
+    n_rows = len(n_words)
+    sizes = np.where(n_words >= k, n_words - k + 1, np.minimum(n_words, 1))
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    items = np.empty(at[-1], dtype=np.uint64)
+    for a, n, to in zip(first[:-1].tolist(), n_words.tolist(), at[:-1].tolist(), strict=True):
+        if n >= k:
+            own = items[to : to + n - k + 1]
+            own[:] = elements[a : a + n - k + 1]
+            own.sort()
+        elif n:
+            items[to] = windows(words.hashes[a : a + n], n)[0]
+    rows = np.repeat(np.arange(n_rows), sizes)
     new = np.ones(len(items), dtype=bool)
     new[1:] = (items[1:] != items[:-1]) | (rows[1:] != rows[:-1])
-    rows, items = rows[new], items[new]
-    return Sets(items, np.searchsorted(rows, np.arange(len(n_words) + 1)))
+    return Sets(items[new], np.concatenate(([0], np.cumsum(np.bincount(rows[new], minlength=n_rows)))))
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -100,15 +102,20 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-def prefixes(sets: Sets, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's first elements in the global order (rare before common, then by hash), and where each row's begin."""
+def entries(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is counted of each set: (row, element, need) of its counted elements, and of as many more as its prefix has beyond them.
+
+    ``need`` is the prefix's length less the number of counted elements; with ``q`` of these held by
+    other sets as well, the prefix has the ``need + q`` least frequent of them (if that is positive).
+    """
     n = sets.sizes
     row = np.repeat(np.arange(len(n)), n)
-    often = in_bitmap(common, sets.items)
-    order = np.lexsort((sets.items, often, row))
-    place = np.arange(len(order)) - np.repeat(sets.first[:-1], n)
-    most = np.where(n > 0, prefix_length(n, percent), 0)
-    return sets.items[order][place < np.repeat(most, n)], np.concatenate(([0], np.cumsum(most)))
+    counted = np.bincount(row[sets.items < np.uint64(COUNTED)], minlength=len(n))
+    need = np.where(n > 0, prefix_length(n, percent), 0) - counted
+    place = np.arange(len(row)) - np.repeat(sets.first[:-1], n)
+    # Items are sorted, so the counted ones and the first beyond them are a run from the start.
+    taken = place < np.repeat(counted + np.maximum(need, 0), n)
+    return row[taken], sets.items[taken], need[row[taken]]
 
 
 def in_bitmap(words: np.ndarray, items: np.ndarray) -> np.ndarray:
@@ -278,43 +285,64 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _common(given: DataFrame, k: int) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words in words_of(batch.column(1), NOT_SPACE):
-                yield pa.RecordBatch.from_arrays([pa.array(sets_of(words, k).items.view(np.int64))], ["item"])
-
-    some = given.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SAMPLE)) == 0)
-    often = some.mapInArrow(run, "item long").groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
-    return bitmap_of(often)
-
-
-def _classes(given: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, node, n (set size), prefix of every row."""
-    common = given.sparkSession.sparkContext.broadcast(_common(given, k))
+def _classes(given: DataFrame, k: int) -> DataFrame:
+    """doc_id, node, n (set size) of every row."""
     kind = given.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in words_of(batch.column(1), NOT_SPACE):
                 sets = sets_of(words, k)
-                items, first = prefixes(sets, common.value, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(words.rows.start, len(words.rows)),
-                        pa.array(sets.nodes().view(np.int64)),
-                        pa.array(sets.sizes, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(items.view(np.int64))),
-                    ],
-                    ["doc_id", "node", "n", "prefix"],
+                    [batch.column(0).slice(words.rows.start, len(words.rows)), pa.array(sets.nodes().view(np.int64)), pa.array(sets.sizes, pa.int64())], ["doc_id", "node", "n"]
                 )
 
-    return given.mapInArrow(run, f"doc_id {kind}, node long, n long, prefix array<long>")
+    return given.mapInArrow(run, f"doc_id {kind}, node long, n long")
+
+
+def _fresh(nodes: np.ndarray, done: set[int], wanted: np.ndarray) -> list[int]:
+    """Rows among ``wanted`` whose set this task has not met yet. What it remembers is bounded."""
+    out = []
+    for i in wanted.tolist():
+        if (node := int(nodes[i])) not in done:
+            done.add(node)
+            out.append(i)
+    if len(done) > 1_000_000:
+        done.clear()
+    return out
+
+
+def _some(sets: Sets, rows: list[int]) -> Sets:
+    n = sets.sizes[rows]
+    stop = np.cumsum(n)
+    total = int(stop[-1]) if len(stop) else 0
+    return Sets(sets.items[np.arange(total) + np.repeat(sets.first[rows] - (stop - n), n)], np.concatenate(([0], stop)))
 
 
-def _groups(classes: DataFrame) -> DataFrame:
+def _groups(given: DataFrame, k: int, percent: int) -> DataFrame:
     """node, root: groups of classes that share prefix elements, wherever a group has two."""
-    keys = classes.where("n > 0").select("node", F.explode("prefix").alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            for words in words_of(batch.column(1), NOT_SPACE):
+                sets = sets_of(words, k)
+                nodes = sets.nodes()
+                rows = _fresh(nodes, done, np.flatnonzero(nodes))
+                row, items, need = entries(_some(sets, rows), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(items.view(np.int64)), pa.array(nodes[rows][row].view(np.int64)), pa.array(need, pa.int32())], ["key", "node", "need"])
+
+    found = given.mapInArrow(run, "key long, node long, need int")
+    # Keys of one row are of no use to anyone; the number of rows orders the rest.
+    often = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    shared = found.withColumn("often", often).where("often > 1").distinct()
+    # Unsigned order: whether the key is among the counted.
+    counted = F.when(F.col("key") >= 0, F.col("key") < COUNTED).otherwise(F.lit(False))
+    shared = shared.withColumn("counted", counted)
+    of_node = Window.partitionBy("node")
+    place = F.row_number().over(of_node.orderBy(F.col("counted").desc(), "often", "key"))
+    q = F.sum(F.col("counted").cast("int")).over(of_node)
+    keys = shared.withColumn("place", place).withColumn("q", q).where(~F.col("counted") | (F.col("place") <= F.col("need") + F.col("q"))).select("key", "node")
     least = F.min("node").over(Window.partitionBy("key"))
     return components(keys.withColumn("least", least).where("node <> least").select("node", "least"), "shingle-groups")
 
@@ -329,15 +357,7 @@ def _block_sets(given: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
             for words in words_of(batch.column(1), NOT_SPACE):
                 sets = sets_of(words, k)
                 nodes = sets.nodes()
-                seek = np.flatnonzero((nodes != 0) & in_bitmap(mask.value, nodes))
-                fresh = []
-                for i in seek.tolist():
-                    if (node := int(nodes[i])) not in done:
-                        done.add(node)
-                        fresh.append(i)
-                if len(done) > 1_000_000:
-                    done.clear()
-                if fresh:
+                if fresh := _fresh(nodes, done, np.flatnonzero((nodes != 0) & in_bitmap(mask.value, nodes))):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(nodes[fresh].view(np.int64)), pa.array([sets.items[sets.first[i] : sets.first[i + 1]].tobytes() for i in fresh], pa.binary())], ["node", "items"]
                     )
@@ -377,11 +397,10 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     small_batches(spark)
     given = _texts(docs, id_col, text_col)
-    classes = stored(_classes(given, k, percent), "shingle-classes")
-    rows = classes.select("doc_id", "node", "n")
-    groups = _groups(classes)
+    rows = stored(_classes(given, k), "shingle-classes")
+    groups = _groups(given, k, percent)
     roots_too = groups.select("node", "root").unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    members = stored(classes.where("n > 0").groupBy("node").agg(F.min("n").alias("n")).join(roots_too, "node"), "shingle-members")
+    members = stored(rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n")).join(roots_too, "node"), "shingle-members")
     # Blocks: sizes within a quarter of each other lie in one level or in neighbouring ones.
     level = F.floor(F.log(1.25, F.col("n"))).cast("int")
     members = members.withColumn("level", level)
