@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millstone.llm import chat, decontam, packing, sharding, shingles, toxicity, urls, warc
+from millstone.llm import chat, decontam, packing, sharding, shingles, tokens, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,18 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.assembled(chat.format_turns(parts, content_col="content")))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file of the public tokenizers; the same on every machine of a cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids in Re-Pair shards, read back from the files."""
+    return tokens.read_shards(tokens.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 #: (host, path, verdict)
 URL_RULES = [
     ("org", "/", "allow"),
@@ -74,7 +86,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_chat": op3_chat, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_jaccard_join": op7_jaccard_join, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_chat": op3_chat, "op4_token_shards": op4_token_shards, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_jaccard_join": op7_jaccard_join, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
 
 _OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
