@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millstone.llm import chat, decontam, packing, sharding, shingles, tokens, toxicity, urls, warc
+from millstone.llm import chat, decontam, embeddings, packing, sharding, shingles, tokens, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of equal label with a cosine of 0.98 or more."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark decontamination of all documents: 13 words, contaminated from a twentieth on."""
     return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13, share=20)
@@ -86,7 +91,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_chat": op3_chat, "op4_token_shards": op4_token_shards, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_jaccard_join": op7_jaccard_join, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_chat": op3_chat, "op4_token_shards": op4_token_shards, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_jaccard_join": op7_jaccard_join, "op8_toxicity": op8_toxicity, "op9_embedding_dedup": op9_embedding_dedup, "op10_decontamination": op10_decontamination}
 
 _OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -145,4 +150,13 @@ SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(
 FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
 """
 
-ORACLES = {"op7_jaccard_join": _OP7_SQL, "op2_warc": _OP2_SQL, "op3_chat": _OP3_SQL, "op5_url_filter": _OP5_SQL, "op10_decontamination": _OP10_SQL}
+_OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(vec_id, reached) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, e.y FROM r JOIN e ON r.reached = e.x),
+n AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+SELECT vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(reached) AS component_id, vec_id = min(reached) AS kept
+FROM r LEFT JOIN n ON n.x = vec_id GROUP BY vec_id
+"""
+
+ORACLES = {"op9_embedding_dedup": _OP9_SQL, "op7_jaccard_join": _OP7_SQL, "op2_warc": _OP2_SQL, "op3_chat": _OP3_SQL, "op5_url_filter": _OP5_SQL, "op10_decontamination": _OP10_SQL}
