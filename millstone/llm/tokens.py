@@ -42,14 +42,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millstone.llm.shared import filesystem, scratch, small_batches, stored
+from millstone.llm.shared import filesystem, scratch, slices, small_batches, stored
 
 MAGIC, VERSION, STEP = b"RPTK", 1, 256
 END = 0
 SHARD_TOKENS = 1 << 21
 SHARD_BYTES = 12 << 20
+#: Bytes of text encoded at once.
+ENCODED_BYTES = 4 << 20
+#: Rules of a shard at most, and rounds in which they are found.
+RULES, ROUNDS = 8192, 3
 #: Pieces that a task remembers; beyond, it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: White space, as the splitting rule and its neighbours see it.
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: A blank or line feed next to white space, a blank at either end, or the mark used for cutting.
@@ -70,23 +74,46 @@ class Encoder:
         before = said.get("pre_tokenizer") or {}
         added = "".join(x["content"] for x in said.get("added_tokens") or ())
         self.by_piece = not set(added) & set(" \n.,!;:?%&$#*\x00") and said.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        # A token that no piece's encoding can hold parts the pieces of one call.
+        self.between = next((x["content"] for x in said.get("added_tokens") or () if x.get("special") and not (x.get("lstrip") or x.get("rstrip") or x.get("single_word"))), None)
+        self.between_id = self.tokenizer.token_to_id(self.between) if self.between else None
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            # Pieces are remembered here; the model need not remember them too.
+            self.tokenizer.model._resize_cache(0)
         self._forget()
 
     def _forget(self) -> None:
         # Piece 0 is the end id.
         self.known: dict[str, int] = {}
-        self.flat, self.sizes = np.array([END], dtype=np.int32), np.ones(1, dtype=np.int64)
+        self.flat, self.begin = np.zeros(1 << 20, dtype=np.int32), np.zeros(1 << 18, dtype=np.int64)
+        self.flat[0], self.begin[1], self.count = END, 1, 1
+
+    def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after another, and how many each has."""
+        if self.by_piece and self.between and not any(self.between in p for p in pieces):
+            raw = np.array(self.tokenizer.encode_batch_fast([self.between.join(pieces)], add_special_tokens=False)[0].ids, dtype=np.int32)
+            cuts = np.flatnonzero(raw == self.between_id)
+            if len(cuts) == len(pieces) - 1:
+                return np.delete(raw, cuts), np.diff(np.concatenate(([-1], cuts, [len(raw)]))) - 1
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum())), sizes
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
         """Numbers of distinct pieces; new ones are encoded and remembered."""
         known = self.known
         new = [p for p in pieces if p not in known]
         if new:
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))])
+            ids, sizes = self._ids_of(new)
+            n, at = self.count, int(self.begin[self.count])
+            known.update(zip(new, range(n, n + len(new)), strict=True))
+            while n + len(new) + 1 > len(self.begin):
+                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+            while at + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.begin[n + 1 : n + len(new) + 1] = at + np.cumsum(sizes)
+            self.flat[at : at + len(ids)] = ids
+            self.count += len(new)
         return np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,10 +143,10 @@ class Encoder:
         inner = np.ones(len(pieces), dtype=bool)
         inner[ends] = False
         pieces[inner] = number
-        begin = np.concatenate(([0], np.cumsum(self.sizes)))
-        sizes = self.sizes[pieces]
+        begin = self.begin[pieces]
+        sizes = self.begin[pieces + 1] - begin
         stop = np.cumsum(sizes)
-        ids = self.flat[np.arange(int(stop[-1])) + np.repeat(begin[pieces] - (stop - sizes), sizes)]
+        ids = self.flat[np.arange(int(stop[-1])) + np.repeat(begin - (stop - sizes), sizes)]
         return ids, np.diff(np.concatenate(([0], stop[ends])))
 
 
@@ -136,22 +163,23 @@ def encoder_of(path: str) -> Encoder:
 # --- Re-Pair ---------------------------------------------------------------------------
 
 
-def _frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (as keys) that occur ``least`` times or more, and how often, most frequent first."""
+def _frequent(seq: np.ndarray, least: int, most: int) -> np.ndarray:
+    """Pairs (as keys) that occur ``least`` times or more, the most frequent ones first; about ``4 * most`` at least, if there are."""
     a, b = seq[:-1], seq[1:]
-    free = (a != END) & (b != END)
-    keys = (a[free].astype(np.int64) << 32) | b[free]
+    cell = (a.view(np.uint32) * np.uint32(0x9E3779B1) + b.view(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+    full = np.bincount(cell, minlength=1 << 20)
+    # A pair occurs no more often than its hash cell; only pairs of the fullest cells are sorted and counted.
+    above = np.cumsum(np.bincount(np.minimum(full, 1 << 16), minlength=2)[::-1])[::-1]
+    least = max(least, int(np.count_nonzero(above >= 4 * most)) - 1)
+    at = np.flatnonzero((full >= least)[cell] & (a != END) & (b != END))
+    keys = (a[at].astype(np.int64) << 32) | b[at]
     if not len(keys):
-        return keys, keys
-    # Only pairs whose hash cell is full enough are sorted and counted.
-    cell = ((keys * np.int64(-7046029254386353131)) >> 44) & 0xFFFFF
-    keys = keys[np.bincount(cell, minlength=1 << 20)[cell] >= least]
+        return keys
     keys.sort()
-    begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
-    n = np.diff(np.concatenate((begin, [len(keys)])))
+    begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    n = np.diff(np.append(begin, len(keys)))
     enough = n >= least
-    order = np.argsort(-n[enough], kind="stable")
-    return keys[begin][enough][order], n[enough][order]
+    return keys[begin][enough][np.argsort(-n[enough], kind="stable")]
 
 
 def _apart(keys: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -173,11 +201,13 @@ def _apart(keys: np.ndarray, most: int) -> list[tuple[int, int]]:
 def _replaced(seq: np.ndarray, pairs: list[tuple[int, int]], first: int) -> np.ndarray:
     """The sequence with every occurrence of ``pairs[i]`` (from the left) replaced by ``first + i``."""
     top = int(max(seq.max(), max(max(p) for p in pairs))) + 1
-    is_left, is_right = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
+    side = np.zeros(top, dtype=np.uint8)
     chosen = np.array([(a << 32) | b for a, b in pairs], dtype=np.int64)
-    is_left[chosen >> 32] = True
-    is_right[chosen & 0xFFFFFFFF] = True
-    at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
+    side[chosen >> 32] |= 1
+    side[chosen & 0xFFFFFFFF] |= 2
+    is_left, is_right = side & 1, side >> 1
+    sides = side[seq]
+    at = np.flatnonzero((sides[:-1] & 1) & (sides[1:] >> 1))
     row, column = np.cumsum(is_left) - 1, np.cumsum(is_right) - 1
     table = np.full((int(is_left.sum()), int(is_right.sum())), -1, dtype=np.int32)
     table[row[chosen >> 32], column[chosen & 0xFFFFFFFF]] = np.arange(len(chosen))
@@ -196,7 +226,7 @@ def _replaced(seq: np.ndarray, pairs: list[tuple[int, int]], first: int) -> np.n
     return seq[keep]
 
 
-def repair(ids: np.ndarray, first: int, *, rules: int, rounds: int = 4, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, first: int, *, rules: int, rounds: int = ROUNDS, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): the ids with frequent pairs replaced; rule i makes ``first + i`` of its two sides.
 
     Rounds stop when no pair occurs ``least`` times, or ``rules`` or ``rounds`` are used up.
@@ -207,8 +237,8 @@ def repair(ids: np.ndarray, first: int, *, rules: int, rounds: int = 4, least: i
         left = rules - len(made)
         if left <= 0 or len(seq) < 2:
             break
-        keys, _ = _frequent(seq, least)
-        pairs = _apart(keys, -(-left // (rounds - done)) if done < rounds - 1 else left)
+        most = -(-left // (rounds - done))
+        pairs = _apart(_frequent(seq, least, most), most)
         if not pairs:
             break
         seq = _replaced(seq, pairs, first + len(made))
@@ -222,7 +252,7 @@ def repair(ids: np.ndarray, first: int, *, rules: int, rounds: int = 4, least: i
 def packed_shard(ids: np.ndarray, sizes: np.ndarray, doc_ids: list[int | None], vocabulary: int) -> bytes:
     """A shard file's bytes."""
     room = 65536 - vocabulary
-    symbols, rules = repair(ids, vocabulary, rules=room if room > 256 else 1 << 16)
+    symbols, rules = repair(ids, vocabulary, rules=min(RULES, room) if room > 256 else RULES)
     length = np.ones(vocabulary + len(rules), dtype=np.int64)
     for i, (a, b) in enumerate(rules.tolist()):
         length[vocabulary + i] = length[a] + length[b]
@@ -348,8 +378,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, *,
             return pa.RecordBatch.from_pylist([row], schema=pa.schema(kinds))
 
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                some = batch.slice(a, 256)
+            for a, b in slices(batch.column(1).fill_null(""), ENCODED_BYTES):
+                some = batch.slice(a, b - a)
                 ids, n = encoder.encode(some.column(1))
                 held.append(ids)
                 sizes.append(n)
@@ -383,5 +413,6 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 starts, sizes = start + at[:-1], np.diff(at)
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], schema=kinds)
 
-    # A shard a row: rows are spread so that each task decodes a few.
-    return manifest.select("file", "start").repartition("file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A row is a shard, so the rows are spread by number: each task decodes a few, however small the table is.
+    tasks = min(manifest.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism + manifest.count() // 64)
+    return manifest.select("file", "start").repartition(max(tasks, 1), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
