@@ -14,6 +14,7 @@ from dataclasses import replace
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millstone import kernel, wire
@@ -52,5 +53,8 @@ def windowed_points(stream: DataFrame, ts: str, duration: str, keys: Sequence[st
     ``digest_by(batch, ["window", *keys], "value", "n")`` in ``foreachBatch`` makes the digests.
     Events later than ``delay`` are dropped, as everywhere in Structured Streaming.
     """
+    if isinstance(stream.schema[ts].dataType, T.TimestampNTZType):
+        # Event time must be a point in time: one without a zone is read as UTC, in any session.
+        stream = stream.withColumn(ts, F.from_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone()))
     window = F.window(ts, duration, slide) if slide else F.window(ts, duration)
     return stream.withWatermark(ts, delay).groupBy(window.alias("window"), *keys, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
