@@ -17,9 +17,10 @@ Each task writes files under names that no other attempt uses and reports them i
 manifest; only committed rows are ever read. ``start`` of a shard is the sum of ids before
 it: summed within a task's partition, then along the partitions (one row each).
 
-Byte-level BPE with its usual splitting rule never joins across a blank between two
-non-blank characters, so such texts are encoded piece by piece and equal pieces once;
-any other text or tokenizer is encoded in one piece. Both give the library's own ids.
+Byte-level BPE with its usual splitting rule ends a token before a blank and at other places
+that depend on their neighbours alone, so most texts are encoded piece by piece and equal
+pieces once; any other text or tokenizer is encoded in one piece. Both give the library's
+own ids.
 
 A null text is empty and has the end id alone. Null document ids come first. Repeated rows
 follow each other. An empty table gives no shard.
@@ -37,29 +38,71 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millstone.llm.shared import filesystem, scratch, slices, small_batches, stored
+from millstone.llm.shared import filesystem, offsets_of, scratch, slices, small_batches, stored
 
 MAGIC, VERSION, STEP = b"RPTK", 1, 256
 END = 0
 SHARD_TOKENS = 1 << 21
-SHARD_BYTES = 12 << 20
+#: Rows of a sorted partition, in expectation; a task cuts it into shards by ids.
+PART_ROWS = 4000
 #: Bytes of text encoded at once.
 ENCODED_BYTES = 4 << 20
 #: Rules of a shard at most, and rounds in which they are found.
 RULES, ROUNDS = 8192, 3
 #: Pieces that a task remembers; beyond, it starts afresh.
 REMEMBERED = 1_000_000
-#: White space, as the splitting rule and its neighbours see it.
-_WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-#: A blank or line feed next to white space, a blank at either end, or the mark used for cutting.
-_ODD = rf"(^ )|( $)|({_WS}[ \n])|([ \n]{_WS})|\x00"
-#: A letter or digit before punctuation that begins no contraction.
-_BEFORE_PUNCTUATION = r"([\p{L}\p{N}])([.,!;:?%&$#*])"
+# Bytes of ASCII white space; of punctuation that begins no contraction; of letters and digits.
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_PUNCTUATION = np.zeros(256, dtype=bool)
+_PUNCTUATION[np.frombuffer(b".,!;:?%&$#*", dtype=np.uint8)] = True
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: First bytes of white space beyond ASCII, and what follows them (second byte, lowest and highest third byte).
+_WIDE = {0xC2: [(0x85, None, None), (0xA0, None, None)], 0xE1: [(0x9A, 0x80, 0x80)], 0xE2: [(0x80, 0x80, 0x8A), (0x80, 0xA8, 0xA9), (0x80, 0xAF, 0xAF), (0x81, 0x9F, 0x9F)], 0xE3: [(0x80, 0x80, 0x80)]}
+
+
+def cut(texts: pa.Array, apart: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """Pieces that are encoded alone, one after another, and how many each text has.
+
+    Cuts lie before a blank, around a line feed, and between an ASCII letter or digit and
+    punctuation: at each of them the splitting rule ends a token, whatever comes before or after.
+    A text in which a blank or line feed meets other white space is one piece, as is every text if
+    ``apart`` is false; an empty text has none.
+    """
+    at = offsets_of(texts)
+    values = texts.buffers()[2]
+    data = np.frombuffer(values, dtype=np.uint8)[at[0] : at[-1]] if values is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    n = len(data)
+    begins = np.zeros(n, dtype=bool)
+    whole = np.ones(len(texts), dtype=bool)
+    if apart and n:
+        blank, feed, white = data == 32, data == 10, _WHITE[data]
+        begins |= blank | feed
+        begins[1:] |= feed[:-1] | (_PUNCTUATION[data[1:]] & _ALNUM[data[:-1]])
+        either = blank | feed
+        odd = [np.flatnonzero((either[1:] & white[:-1]) | (white[1:] & either[:-1]))]
+        odd = [x[~np.isin(x + 1, at)] for x in odd]
+        for first, rest in _WIDE.items():
+            p = np.flatnonzero(data == first)
+            for second, low, high in rest:
+                q = p[(p + (1 if low is None else 2)) < n]
+                q = q[data[q + 1] == second]
+                odd.append(q if low is None else q[(data[q + 2] >= low) & (data[q + 2] <= high)])
+        whole[:] = False
+        whole[np.searchsorted(at, np.concatenate(odd), side="right") - 1] = True
+        for i in np.flatnonzero(whole).tolist():
+            begins[at[i] : at[i + 1]] = False
+    begins[at[:-1][np.diff(at) > 0]] = True
+    starts = np.flatnonzero(begins)
+    counts = np.diff(np.searchsorted(starts, at))
+    offsets = np.append(starts, n).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)), counts
 
 
 class Encoder:
@@ -73,7 +116,7 @@ class Encoder:
         said = json.loads(self.tokenizer.to_str())
         before = said.get("pre_tokenizer") or {}
         added = "".join(x["content"] for x in said.get("added_tokens") or ())
-        self.by_piece = not set(added) & set(" \n.,!;:?%&$#*\x00") and said.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.by_piece = not set(added) & set(" \n.,!;:?%&$#*") and said.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         # A token that no piece's encoding can hold parts the pieces of one call.
         self.between = next((x["content"] for x in said.get("added_tokens") or () if x.get("special") and not (x.get("lstrip") or x.get("rstrip") or x.get("single_word"))), None)
         self.between_id = self.tokenizer.token_to_id(self.between) if self.between else None
@@ -122,23 +165,10 @@ class Encoder:
             return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
         if len(self.known) > REMEMBERED:
             self._forget()
-        texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.by_piece else np.ones(len(texts), dtype=bool)
-        marked = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
-        marked = pc.replace_substring(pc.replace_substring(marked, " ", "\x00 "), "\n", "\x00\n\x00")
-        split = pc.split_pattern(pc.replace_substring_regex(marked, _BEFORE_PUNCTUATION, "\\1\x00\\2"), "\x00")
-        at = np.asarray(split.offsets, dtype=np.int64)
-        coded = split.values.dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()][at[0] : at[-1]]
-        at = at - at[0]
-        if odd.any():
-            # Such a text is one piece, in the place of its first.
-            which = np.flatnonzero(odd)
-            whole = [texts[i].as_py() for i in which.tolist()]
-            names = list(dict.fromkeys(whole))
-            found = dict(zip(names, self._numbers(names).tolist(), strict=True))
-            number[at[:-1][which]] = [found[w] for w in whole]
-        ends = at[1:] + np.arange(len(texts))
+        found, counts = cut(texts.fill_null(""), self.by_piece)
+        coded = found.dictionary_encode()
+        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        ends = np.cumsum(counts) + np.arange(len(texts))
         pieces = np.zeros(len(number) + len(texts), dtype=np.int64)
         inner = np.ones(len(pieces), dtype=bool)
         inner[ends] = False
@@ -207,7 +237,7 @@ def _replaced(seq: np.ndarray, pairs: list[tuple[int, int]], first: int) -> np.n
     side[chosen & 0xFFFFFFFF] |= 2
     is_left, is_right = side & 1, side >> 1
     sides = side[seq]
-    at = np.flatnonzero((sides[:-1] & 1) & (sides[1:] >> 1))
+    at = np.flatnonzero(((sides[:-1] & 1) & (sides[1:] >> 1)).view(bool))
     row, column = np.cumsum(is_left) - 1, np.cumsum(is_right) - 1
     table = np.full((int(is_left.sum()), int(is_right.sum())), -1, dtype=np.int32)
     table[row[chosen >> 32], column[chosen & 0xFFFFFFFF]] = np.arange(len(chosen))
@@ -219,11 +249,11 @@ def _replaced(seq: np.ndarray, pairs: list[tuple[int, int]], first: int) -> np.n
     begin = at[np.searchsorted(run, run)] if len(at) else at
     taken = (at - begin) % 2 == 0
     at, rule = at[taken], rule[taken]
-    seq = seq.copy()
-    seq[at] = first + rule
     keep = np.ones(len(seq), dtype=bool)
     keep[at + 1] = False
-    return seq[keep]
+    out = seq[keep]
+    out[at - np.arange(len(at))] = first + rule
+    return out
 
 
 def repair(ids: np.ndarray, first: int, *, rules: int, rounds: int = ROUNDS, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -310,19 +340,29 @@ class Shard:
 
     def __post_init__(self) -> None:
         """Expansions of all symbols that occur in rules, each right after the other."""
-        parts: list[np.ndarray] = []
         self.size = np.concatenate([np.ones(self.vocabulary, dtype=np.int64), self.lengths.astype(np.int64)])
-        for a, b in self.rules.tolist():
-            parts.append(np.concatenate([np.array([x], np.int32) if x < self.vocabulary else parts[x - self.vocabulary] for x in (a, b)]))
-        self.flat = np.concatenate([np.arange(self.vocabulary, dtype=np.int32), *parts])
-        self.begin = np.concatenate(([0], np.cumsum(self.size)))[:-1]
+        ends = np.cumsum(self.size)
+        self.begin = ends - self.size
+        self.flat = np.empty(int(ends[-1]), dtype=np.int32)
+        self.flat[: self.vocabulary] = np.arange(self.vocabulary)
+        sides = self.rules.astype(np.int64)
+        newest = np.maximum.accumulate(sides.max(axis=1)) if len(sides) else np.zeros(0, dtype=np.int64)
+        done = 0
+        while done < len(sides):
+            # The next rules whose sides are all there.
+            stop = int(np.searchsorted(newest, self.vocabulary + done))
+            parts = sides[done:stop].ravel()
+            self.flat[self.begin[self.vocabulary + done] : ends[self.vocabulary + stop - 1]] = self._gathered(parts)
+            done = stop
+
+    def _gathered(self, symbols: np.ndarray) -> np.ndarray:
+        n = self.size[symbols]
+        stop = np.cumsum(n)
+        return self.flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.begin[symbols] - (stop - n), n)]
 
     def expanded(self, a: int, b: int) -> np.ndarray:
         """Ids of symbols a to b."""
-        some = self.symbols[a:b]
-        n = self.size[some]
-        stop = np.cumsum(n)
-        return self.flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.begin[some] - (stop - n), n)]
+        return self._gathered(self.symbols[a:b])
 
     def doc(self, i: int) -> np.ndarray:
         """Ids of the i-th document, its end id included."""
@@ -345,14 +385,13 @@ class Shard:
 MANIFEST = "part int, seq int, file string, docs long, tokens long, bytes long"
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, part_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, part_rows: int = PART_ROWS) -> DataFrame:
     """Encode and write all rows; returns the stored manifest with ``start``, the ids of all shards before each."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or scratch(spark, "tokens")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, int(total // part_bytes) + 1)
+    parts = max(spark.sparkContext.defaultParallelism, given.count() // part_rows + 1)
     dealt = given.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
