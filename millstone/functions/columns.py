@@ -286,31 +286,39 @@ def from_centroids(means: Column | str, weights: Column | str, max_size: int | N
 # --- built-in only ---------------------------------------------------------------------
 
 
-def scale_weights(digest: Column | str, f: float) -> Column:
+def scale_weights(digest: Column | str, f: float, *, precision: str = "f64") -> Column:
     """Weights, count and sum times a finite positive factor."""
     d, by = _col(digest), F.lit(factor(f))
-    return _rebuilt(d, weight=lambda c: c["weight"] * by, sum=d["sum"] * by, count=d["count"] * by)
+    return _rebuilt(d, precision, weight=lambda c: c["weight"] * by, sum=d["sum"] * by, count=d["count"] * by)
 
 
-def scale_values(digest: Column | str, f: float) -> Column:
+def scale_values(digest: Column | str, f: float, *, precision: str = "f64") -> Column:
     """Means, sum, minimum and maximum times a finite positive factor."""
     d, by = _col(digest), F.lit(factor(f))
-    return _rebuilt(d, mean=lambda c: c["mean"] * by, sum=d["sum"] * by, min=d["min"] * by, max=d["max"] * by)
+    return _rebuilt(d, precision, mean=lambda c: c["mean"] * by, sum=d["sum"] * by, min=d["min"] * by, max=d["max"] * by)
 
 
-def _rebuilt(d: Column, *, mean: Callable | None = None, weight: Callable | None = None, **fields: Column) -> Column:
+def _rebuilt(d: Column, precision: str, *, mean: Callable | None = None, weight: Callable | None = None, **fields: Column) -> Column:
     def centroid(c: Column) -> Column:
         return F.struct((mean(c) if mean else c["mean"]).alias("mean"), (weight(c) if weight else c["weight"]).alias("weight"), c["atomic"].alias("atomic"))
 
     columns = {n: d[n] for n in schema.FIELDS} | {"centroids": F.transform(d["centroids"], centroid)} | fields
-    return F.when(d.isNotNull(), F.struct(*[columns[n].alias(n) for n in schema.FIELDS]))
+    return F.when(d.isNotNull(), F.struct(*[columns[n].alias(n) for n in schema.FIELDS])).cast(schema.ddl(precision))
+
+
+#: The largest number that f32 holds.
+F32_MAX = float(np.finfo(np.float32).max)
 
 
 def cast_precision(digest: Column | str, precision: str) -> Column:
-    """The digest in f32 or f64, by a cast of the struct."""
+    """The digest in f32 or f64, by a cast of the struct; means beyond f32 are an error."""
     if precision not in ("f32", "f64"):
         raise ValueError(f"a digest is cast to f32 or f64; got {precision!r}")
-    return _col(digest).cast(schema.ddl(precision))
+    d = _col(digest)
+    made = d.cast(schema.ddl(precision))
+    if precision == "f64":
+        return made
+    return F.when(F.exists(d["centroids"], lambda c: F.abs(c["mean"]) > F32_MAX), F.raise_error(F.lit("a value does not fit f32")).cast(schema.ddl(precision))).otherwise(made)
 
 
 def digest_mean(digest: Column | str) -> Column:
@@ -416,6 +424,11 @@ def register(spark: SparkSession, max_size: int | None = None, **settings: objec
         "tdigest_from_bytes": _decode_udf(p),
         "tdigest_wire_precision": _precision_udf(),
         "tdigest_summary": _summary_udf(),
+        "tdigest_from_centroids": _from_centroids_udf(cfg),
+        "tdigest_scale_weights": _scaled_udf(p, "weights"),
+        "tdigest_scale_values": _scaled_udf(p, "values"),
+        "tdigest_to_f32": _cast_udf("f32"),
+        "tdigest_to_f64": _cast_udf("f64"),
     }
     for name, f in made.items():
         spark.udf.register(name, f)
@@ -430,3 +443,23 @@ def _trimmed_at_udf() -> Callable:
         return pa.array([kernel.trimmed_mean(d, *e) if len(d) else None for d, e in zip(schema.read(digests), ends, strict=True)], pa.float64())
 
     return of
+
+
+@lru_cache(maxsize=8)
+def _scaled_udf(precision: str, what: str) -> Callable:
+    change = kernel.scale_weights if what == "weights" else kernel.scale_values
+
+    @arrow_udf(schema.ddl(precision))
+    def of(digests: pa.Array, f: pa.Array) -> pa.Array:
+        return schema.write([change(d, x) for d, x in zip(schema.read(digests), f.to_pylist(), strict=True)], precision)
+
+    return of
+
+
+@lru_cache(maxsize=2)
+def _cast_udf(precision: str) -> Callable:
+    @arrow_udf(schema.ddl(precision))
+    def of(digests: pa.Array) -> pa.Array:
+        return schema.write([kernel.cast(d, precision) for d in schema.read(digests)], precision)
+
+    return of

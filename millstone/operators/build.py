@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millstone import functions as M
+from millstone import kernel
 from millstone.config import DigestConfig, config
 from millstone.functions.columns import _build_udf, _merge_udf
 from millstone.schema import precision_of
@@ -42,6 +43,14 @@ def _weighed(weight: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("weights must be finite and positive"))).otherwise(w)
 
 
+def _one_row(made: DataFrame, alias: str, cfg: DigestConfig) -> DataFrame:
+    """One row, also where there was no input: Spark gives no row for a Python aggregate of nothing."""
+    schema = made.select(alias).schema
+    none = kernel.empty(cfg)
+    row = ([], none.sum, none.min, none.max, 0.0, cfg.max_size, cfg.scale, cfg.policy, cfg.pin_per_side, cfg.delta)
+    return made.unionAll(made.sparkSession.createDataFrame([(row,)], schema)).agg(_merge_udf(cfg.precision, True)(F.col(alias)).alias(alias))
+
+
 def shards_of(df: DataFrame, shard_rows: int) -> int:
     """Shards for a number of rows."""
     return df.count() // shard_rows + 1
@@ -52,6 +61,9 @@ def digest_by(
 ) -> DataFrame:
     """One row per group: the keys and the digest of ``value``. Without keys one row, also for an empty input."""
     cfg = config(max_size, **settings)
+    if not keys:
+        one = digest_by(df.withColumn("__all", F.lit(0)), ["__all"], value, weight, alias=alias, shards=shards, shard_rows=shard_rows, max_size=max_size, **settings)
+        return _one_row(one.select(alias), alias, cfg)
     shards = shards_of(df, shard_rows) if shards is None else shards
     x = _checked(F.col(value) if isinstance(value, str) else value, cfg)
     w = F.lit(1.0) if weight is None else _weighed(F.col(weight) if isinstance(weight, str) else weight)
@@ -76,7 +88,8 @@ def merge_by(df: DataFrame, keys: Sequence[str], digest: str = "digest", *, alia
     precision = precision_of(df.schema[digest].dataType)
     if precision is None:
         raise ValueError(f"{digest} is no digest column")
-    return df.groupBy(*keys).agg(M.merge_tdigests(digest, precision=precision, strict=strict).alias(alias))
+    made = df.groupBy(*keys).agg(M.merge_tdigests(digest, precision=precision, strict=strict).alias(alias))
+    return made if keys else _one_row(made, alias, DigestConfig(precision=precision))
 
 
 def rollup_by(df: DataFrame, keys: Sequence[str], value: Column | str, *, cube: bool = False, alias: str = "digest", **settings: object) -> DataFrame:
