@@ -27,38 +27,52 @@ from millstone.llm.shared import small_batches
 from millstone.llm.words import ALNUM, Words, windows, words_of
 
 #: Bytes of benchmark text in one broadcast set.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 class WindowSet:
-    """Windows of benchmark items: sorted hashes per window length, with the items and the words of each."""
+    """Windows of benchmark items. Per window length: the sorted distinct hashes, where each one's words are, and its items.
+
+    Some 40 bytes a window: words are kept once, as the items' joined text.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], n: int) -> None:
-        column = pa.array([text for _, text in items], pa.string())
-        found: dict[int, dict[int, dict[bytes, set[int]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
         self.ids = [str(item) for item, _ in items]
-        for words in words_of(column, ALNUM):
+        texts: list[bytes] = []
+        at = 0
+        found: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+        for words in words_of(pa.array([text for _, text in items], pa.string()), ALNUM):
             for i, row in enumerate(words.rows):
                 a, b = int(words.first[i]), int(words.first[i + 1])
                 if a == b:
                     continue
                 k = min(n, b - a)
-                for j, h in enumerate(windows(words.hashes[a:b], k).tolist()):
-                    found[k][h][words.joined(a + j, a + j + k)].add(row)
+                hashes = windows(words.hashes[a:b], k)
+                lens = words.ends[a:b] - words.starts[a:b]
+                stop = np.cumsum(lens + 1) - 1
+                begin = stop - lens
+                many = len(hashes)
+                found[k].append((hashes, at + begin[:many], at + stop[k - 1 :], np.full(many, row)))
+                texts.append(words.joined(a, b))
+                at += len(texts[-1])
+        self.text = b"".join(texts)
         self.by_length = {}
-        for k, hashes in sorted(found.items()):
-            keys = np.array(sorted(hashes), dtype=np.uint64)
-            first = np.zeros(1 << 20, dtype=bool)
-            first[keys >> np.uint64(44)] = True
-            self.by_length[k] = (keys, first, [{w: sorted(rows) for w, rows in hashes[h].items()} for h in keys.tolist()])
+        for k, parts in sorted(found.items()):
+            hashes, begin, stop, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((row, hashes))
+            hashes, begin, stop, row = hashes[order], begin[order], stop[order], row[order]
+            keys, first = np.unique(hashes, return_index=True)
+            some = np.zeros(1 << 20, dtype=bool)
+            some[keys >> np.uint64(44)] = True
+            self.by_length[k] = (keys, np.append(first, len(hashes)), begin, stop, row, some)
 
     def scan(self, words: Words, hit: np.ndarray, items: list[set[str]]) -> None:
         """Mark the words inside occurrences, and add each row's occurring items."""
-        for k, (keys, first, known) in self.by_length.items():
+        for k, (keys, first, begin, stop, owner, some) in self.by_length.items():
             seen = windows(words.hashes, k)
-            at = np.flatnonzero(first[seen >> np.uint64(44)])
+            at = np.flatnonzero(some[seen >> np.uint64(44)])
             if not len(at):
                 continue
             place = np.minimum(np.searchsorted(keys, seen[at]), len(keys) - 1)
@@ -66,10 +80,14 @@ class WindowSet:
             at, place = at[same], place[same]
             row = np.searchsorted(words.first, at, side="right") - 1
             whole = at + k <= words.first[row + 1]
+            known: dict[tuple[int, bytes], set[str]] = {}
             for j, p, r in zip(at[whole].tolist(), place[whole].tolist(), row[whole].tolist(), strict=True):
-                if rows := known[p].get(words.joined(j, j + k)):
+                own = words.joined(j, j + k)
+                if (p, own) not in known:
+                    known[p, own] = {self.ids[owner[e]] for e in range(int(first[p]), int(first[p + 1])) if self.text[begin[e] : stop[e]] == own}
+                if known[p, own]:
                     hit[j : j + k] = True
-                    items[r].update(self.ids[i] for i in rows)
+                    items[r] |= known[p, own]
 
 
 def window_sets(benchmark: DataFrame, id_col: str, text_col: str, n: int, slice_bytes: int) -> list:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millstone.llm.shared import small_batches
+from millstone.llm.shared import small_batches, stored
 from millstone.llm.words import ALNUM, Words, mixed, words_of
 
 BUCKETS = 1 << 18
@@ -247,7 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     some = known.where(spread < int(share * (1 << 20)) + (share == 1.0))
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # The sample's ids are bounded by max_docs, so they go to the documents.
-    chosen = given.join(F.broadcast(some), "doc_id")
+    # Repeated rows of an id count once, by their largest text.
+    chosen = stored(given.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")), "toxicity-sample")
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > max_bytes:
         chosen = chosen.where(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 20)) < int(max_bytes / size * (1 << 20)))
