@@ -8,7 +8,7 @@ and read again as the next one's ``docs``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millstone.llm import decontam, packing, shingles, toxicity
@@ -22,10 +22,18 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates (five words, 0.8): the one with the smallest id."""
+    """One document of each component of near duplicates (five words, 0.8): the one with the smallest id.
+
+    Rows that repeat both id and text are one document. Texts without words link with nothing; rows
+    without an id stay, once for each text.
+    """
     found = shingles.linked_components(docs, k=5, percent=80)
     others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    # Ids are unique but for repeated rows, and the join has dealt rows by id already.
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
+    copy = "copy" + "_" * max(map(len, docs.columns))
+    return kept.withColumn(copy, F.row_number().over(same)).where(F.col(copy) == 1).select(*docs.columns)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -34,6 +37,42 @@ def test_run_equals_its_stages(spark):
     assert out.count() > 0 and {"doc_id", "pack", "bin", "bin_length"} <= set(out.columns)
 
 
+def test_decisions_equal_brute_force(spark):
+    """Each stage on its own input: scores by the model one by one, components and hits by plain loops."""
+    from test_small_tables import plain_components, plain_hits, plain_sets
+
+    from millstone.llm import toxicity
+    from millstone.llm.words import ALNUM, words_of
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    clean = corpus_pipeline.toxic_out(spark, docs, SMALL).collect()
+    score = {r.doc_id: float(model.scores(next(words_of(pa.array([r.text or ""]), ALNUM)))[0]) for r in docs.collect()}
+    assert sorted(clean) == sorted(r for r in docs.collect() if score[r.doc_id] < 0.3)
+
+    rest = spark.createDataFrame(clean, docs.schema)
+    ids = [r.doc_id for r in clean]
+    component = plain_components(ids, plain_sets([r.text for r in clean]))
+    single = corpus_pipeline.one_of_each(spark, rest, SMALL).collect()
+    assert sorted(r.doc_id for r in single) == sorted({min(c, i) for i, c in zip(ids, component, strict=True) if c == i})
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    hits = {r.doc_id: plain_hits(r.text, items) for r in single}
+    kept = {r.doc_id: r for r in corpus_pipeline.benchmark_out(spark, spark.createDataFrame(single, docs.schema), SMALL).collect()}
+    assert set(kept) == {i for i, h in hits.items() if not h[-1]}
+    for i, r in kept.items():
+        n_words, n_hit = hits[i][:2]
+        assert len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r.text or "")) == n_words - n_hit
+
+
+def test_repeated_rows_are_one_document(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = spark.createDataFrame([(None, "a text without an id", "en", "s", 20)] * 2 + [(9999, None, None, None, None)] * 2, docs.schema)
+    once = corpus_pipeline.one_of_each(spark, docs, SMALL)
+    twice = corpus_pipeline.one_of_each(spark, docs.unionAll(docs).unionAll(odd), SMALL)
+    assert sorted(map(repr, twice.collect())) == sorted(map(repr, once.unionAll(odd.distinct()).collect()))
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
