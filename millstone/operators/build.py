@@ -1,24 +1,32 @@
-"""Digests per group, planned as a histogram that Spark aggregates and one kernel call per group.
+"""Digests per group.
 
-Equal values are summed before anything is lost, so ``groupBy(keys, value).count()``, with
-its map-side combine, spilling and generated code, gives the kernel exactly what sorting all
-rows would. The digest is the same for any partitioning of the input.
+``histogram``: equal values are summed before anything is lost, so ``groupBy(keys,
+value).count()``, with its map-side combine, spilling and generated code, gives the kernel
+exactly what sorting all rows would, one call per group. The digest is the same for any
+partitioning of the input. A group's distinct values must fit one task.
 
-A group's distinct values must fit one task. Where the input is larger than
-``shard_rows``, values are dealt to shards by a hash, each shard becomes a digest, and shard
-digests are merged ``FAN`` at a time, so no task ever holds more than a shard or a fan of
-digests. The number of shards depends on the number of rows alone.
+``partial``: every task digests its own rows, group by group, and only digests are shuffled:
+no row ever is. Digests merge ``FAN`` at a time, so no task holds more than a fan of them.
+Where values are few or the digest holds them all, the result is the histogram's; else it
+depends, within a digest's accuracy, on how the input is partitioned.
+
+``hashed``: values are dealt to shards by a hash, each shard is a histogram, and shard
+digests are merged. Rows are shuffled twice; the result does not depend on partitioning.
+
+``auto`` takes the histogram up to ``SHARD_ROWS`` rows and partial digests beyond.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millstone import functions as M
-from millstone import kernel
+from millstone import kernel, schema
 from millstone.config import DigestConfig, config
 from millstone.functions.columns import _build_udf, _merge_udf
 from millstone.schema import precision_of
@@ -56,31 +64,123 @@ def shards_of(df: DataFrame, shard_rows: int) -> int:
     return df.count() // shard_rows + 1
 
 
+MODES = ("auto", "histogram", "partial", "hashed")
+
+
 def digest_by(
-    df: DataFrame, keys: Sequence[str], value: Column | str, weight: Column | str | None = None, *, alias: str = "digest", shards: int | None = None, shard_rows: int = SHARD_ROWS, max_size: int | None = None, **settings: object
+    df: DataFrame,
+    keys: Sequence[str],
+    value: Column | str,
+    weight: Column | str | None = None,
+    *,
+    alias: str = "digest",
+    mode: str = "auto",
+    shards: int | None = None,
+    shard_rows: int = SHARD_ROWS,
+    max_size: int | None = None,
+    **settings: object,
 ) -> DataFrame:
-    """One row per group: the keys and the digest of ``value``. Without keys one row, also for an empty input."""
+    """One row per group: the keys and the digest of ``value``. Without keys one row, also for an empty input.
+
+    ``shards`` is the number of digests that are merged to one at most; by default it follows the
+    number of rows, which is counted.
+    """
     cfg = config(max_size, **settings)
+    if mode not in MODES:
+        raise ValueError(f"a mode is one of {', '.join(MODES)}; got {mode!r}")
     if not keys:
-        one = digest_by(df.withColumn("__all", F.lit(0)), ["__all"], value, weight, alias=alias, shards=shards, shard_rows=shard_rows, max_size=max_size, **settings)
+        one = digest_by(df.withColumn("__all", F.lit(0)), ["__all"], value, weight, alias=alias, mode=mode, shards=shards, shard_rows=shard_rows, max_size=max_size, **settings)
         return _one_row(one.select(alias), alias, cfg)
-    shards = shards_of(df, shard_rows) if shards is None else shards
+    if mode != "histogram":
+        shards = shards_of(df, shard_rows) if shards is None else shards
+        mode = ("partial" if shards > 1 else "histogram") if mode == "auto" else mode
     x = _checked(F.col(value) if isinstance(value, str) else value, cfg)
     w = F.lit(1.0) if weight is None else _weighed(F.col(weight) if isinstance(weight, str) else weight)
     keys = list(keys)
-    points = df.select(*keys, x.alias("__value"), w.alias("__weight")).groupBy(*keys, "__value").agg(F.sum("__weight").alias("__weight"))
+    rows = df.select(*keys, x.alias("__value"), w.alias("__weight"))
+    if mode == "partial":
+        made = _partial(rows, keys, cfg).withColumn("__shard", F.pmod(F.spark_partition_id(), F.lit(shards)))
+        return _merged(made, keys, shards, cfg, alias)
     build = _build_udf(cfg)
-    if shards == 1:
+    points = rows.groupBy(*keys, "__value").agg(F.sum("__weight").alias("__weight"))
+    if mode == "histogram":
         return points.groupBy(*keys).agg(build(F.col("__value"), F.col("__weight")).alias(alias))
     points = points.withColumn("__shard", F.pmod(F.xxhash64("__value"), F.lit(shards)))
     made = points.groupBy(*keys, "__shard").agg(build(F.col("__value"), F.col("__weight")).alias("__digest"))
+    return _merged(made, keys, shards, cfg, alias)
+
+
+def _merged(made: DataFrame, keys: list[str], shards: int, cfg: DigestConfig, alias: str) -> DataFrame:
+    """Merge ``__digest`` over ``__shard`` 0 to ``shards`` - 1, ``FAN`` shards at a time."""
     merge = _merge_udf(cfg.precision, True)
-    while shards > 1:
+    while shards > FAN:
         shards = -(-shards // FAN)
-        if shards == 1:
-            return made.groupBy(*keys).agg(merge(F.col("__digest")).alias(alias))
         made = made.withColumn("__shard", F.floor(F.col("__shard") / FAN)).groupBy(*keys, "__shard").agg(merge(F.col("__digest")).alias("__digest"))
-    return made
+    return made.groupBy(*keys).agg(merge(F.col("__digest")).alias(alias))
+
+
+#: Values of a group that wait for the next compression; centroids that a task keeps before it hands its digests on.
+PENDING, HELD = 1 << 16, 1 << 21
+
+
+def _partial(rows: DataFrame, keys: list[str], cfg: DigestConfig) -> DataFrame:
+    """keys, __digest: digests of each task's own rows; a group may have several."""
+    n_keys = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[list, kernel.Parts]] = {}
+        waiting: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
+        types: list[pa.DataType] = []
+
+        def settle(key: tuple) -> None:
+            if parts := waiting.pop(key, None):
+                names, digest = held[key]
+                held[key] = (names, kernel.add(digest, np.concatenate([v for v, _ in parts]), np.concatenate([w for _, w in parts])))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for key in list(waiting):
+                settle(key)
+            done = list(held.values())
+            for a in range(0, len(done), 512):
+                some = done[a : a + 512]
+                columns = [pa.array([names[i] for names, _ in some], t) for i, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*columns, schema.write([d for _, d in some], cfg.precision)], [*keys, "__digest"])
+            held.clear()
+
+        size = 0
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(n_keys)]
+            values, weights = np.asarray(batch.column(n_keys)), np.asarray(batch.column(n_keys + 1))
+            code = np.zeros(len(batch), dtype=np.int64)
+            for i in range(n_keys):
+                column = batch.column(i)
+                if pa.types.is_nested(column.type):
+                    column = pa.array(list(map(repr, column.to_pylist())))
+                codes = column.dictionary_encode(null_encoding="encode")
+                _, code = np.unique(code * (len(codes.dictionary) + 1) + codes.indices.to_numpy(), return_inverse=True)
+            order = np.argsort(code, kind="stable")
+            for rows_of in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else ():
+                names = [batch.column(i)[int(rows_of[0])].as_py() for i in range(n_keys)]
+                key = tuple(map(repr, names))
+                if key not in held:
+                    held[key] = (names, kernel.empty(cfg))
+                parts = waiting.setdefault(key, [])
+                parts.append((values[rows_of], weights[rows_of]))
+                size += len(rows_of)
+                if sum(len(v) for v, _ in parts) >= PENDING:
+                    settle(key)
+            if size >= HELD:
+                for key in list(waiting):
+                    settle(key)
+                size = sum(len(d) for _, d in held.values())
+                if size >= HELD // 2:
+                    yield from out()
+                    size = 0
+        if held:
+            yield from out()
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInArrow(run, f"{kinds}, __digest {schema.ddl(cfg.precision)}")
 
 
 def merge_by(df: DataFrame, keys: Sequence[str], digest: str = "digest", *, alias: str = "digest", strict: bool = True) -> DataFrame:

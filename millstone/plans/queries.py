@@ -152,7 +152,8 @@ _settings_query("quantiles_policy_off", singleton_policy="off")
 _settings_query("quantiles_policy_edges", singleton_policy="edges", pin_per_side=5)
 _settings_query("quantiles_max_size_100", max_size=100)
 _settings_query("quantiles_f32", precision="f32")
-_settings_query("quantiles_sharded", shards=300)
+_settings_query("quantiles_hashed", mode="hashed", shards=300)
+_settings_query("quantiles_partial", mode="partial", shards=300)
 
 
 @query(sql.k1_clusters("lineitem", "l_returnflag", "l_extendedprice", 1000))
@@ -188,7 +189,8 @@ _rank_query("rank_error_k2", 0.002)
 _rank_query("rank_error_k3", 0.002, scale="k3")
 _rank_query("rank_error_quad", 0.002, scale="quad")
 _rank_query("rank_error_delta", 0.005, delta=300.0)
-_rank_query("rank_error_sharded", 0.004, shards=300)
+_rank_query("rank_error_hashed", 0.004, mode="hashed", shards=300)
+_rank_query("rank_error_partial", 0.004, mode="partial")
 _rank_query("rank_error_off", 0.002, singleton_policy="off")
 
 
