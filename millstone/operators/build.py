@@ -19,10 +19,11 @@ digests are merged. Rows are shuffled twice; the result does not depend on parti
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millstone import functions as M
@@ -110,9 +111,9 @@ def digest_by(
     return _merged(made, keys, shards, cfg, alias)
 
 
-def _merged(made: DataFrame, keys: list[str], shards: int, cfg: DigestConfig, alias: str) -> DataFrame:
+def _merged(made: DataFrame, keys: list[str], shards: int, cfg: DigestConfig, alias: str, strict: bool = True) -> DataFrame:
     """Merge ``__digest`` over ``__shard`` 0 to ``shards`` - 1, ``FAN`` shards at a time."""
-    merge = _merge_udf(cfg.precision, True)
+    merge = _merge_udf(cfg.precision, strict)
     while shards > FAN:
         shards = -(-shards // FAN)
         made = made.withColumn("__shard", F.floor(F.col("__shard") / FAN)).groupBy(*keys, "__shard").agg(merge(F.col("__digest")).alias("__digest"))
@@ -184,17 +185,53 @@ def _partial(rows: DataFrame, keys: list[str], cfg: DigestConfig) -> DataFrame:
 
 
 def merge_by(df: DataFrame, keys: Sequence[str], digest: str = "digest", *, alias: str = "digest", strict: bool = True) -> DataFrame:
-    """One row per group: its digests merged. Null digests count as empty."""
+    """One row per group: its digests merged, ``FAN`` at a time. Null digests count as empty."""
     precision = precision_of(df.schema[digest].dataType)
     if precision is None:
         raise ValueError(f"{digest} is no digest column")
-    made = df.groupBy(*keys).agg(M.merge_tdigests(digest, precision=precision, strict=strict).alias(alias))
-    return made if keys else _one_row(made, alias, DigestConfig(precision=precision))
+    cfg = DigestConfig(precision=precision)
+    if not keys:
+        one = merge_by(df.withColumn("__all", F.lit(0)), ["__all"], digest, alias=alias, strict=strict)
+        return _one_row(one.select(alias), alias, cfg)
+    bounded_batches(df.sparkSession)
+    shards = df.count() // FAN + 1
+    keys = list(keys)
+    spread = F.xxhash64(*[F.col(digest)[x] for x in ("sum", "count", "min", "max")])
+    made = df.select(*keys, F.col(digest).alias("__digest"), F.pmod(spread, F.lit(shards)).alias("__shard"))
+    if shards > 1:
+        made = made.groupBy(*keys, "__shard").agg(M.merge_tdigests("__digest", precision=precision, strict=strict).alias("__digest"))
+    return _merged(made, keys, shards, cfg, alias, strict)
 
 
 def rollup_by(df: DataFrame, keys: Sequence[str], value: Column | str, *, cube: bool = False, alias: str = "digest", **settings: object) -> DataFrame:
-    """Digests of all grouping sets of a rollup (or cube): built once at the finest grain, then merged. ``level`` is the grouping id."""
-    finest = digest_by(df, keys, value, alias="__finest", **settings)
-    precision = precision_of(finest.schema["__finest"].dataType) or "f64"
-    sets = finest.cube(*keys) if cube else finest.rollup(*keys)
-    return sets.agg(F.grouping_id().cast("int").alias("level"), M.merge_tdigests("__finest", precision=precision).alias(alias))
+    """Digests of all grouping sets of a rollup (or cube): built once at the finest grain, then merged ``FAN`` at a time.
+
+    ``level`` is the grouping id.
+    """
+    keys = list(keys)
+    bounded_batches(df.sparkSession)
+    finest = digest_by(df, keys, value, alias="__digest", **settings)
+    precision = precision_of(finest.schema["__digest"].dataType) or "f64"
+    shards = df.select(*keys).distinct().count() // FAN + 1
+    finest = finest.withColumn("__shard", F.pmod(F.xxhash64(*keys), F.lit(shards)))
+    sets = [list(c) for n in range(len(keys), -1, -1) for c in combinations(keys, n)] if cube else [keys[:n] for n in range(len(keys), -1, -1)]
+    grouped = finest.groupingSets([[F.col(k) for k in (*some, "__shard")] for some in sets], *keys, "__shard")
+    # The shard is in every set, so it is the last bit of the grouping id and always 0.
+    made = grouped.agg(F.shiftright(F.grouping_id(), 1).cast("int").alias("level"), M.merge_tdigests("__digest", precision=precision).alias("__digest"))
+    return _merged(made, [*keys, "level"], shards, DigestConfig(precision=precision), alias)
+
+
+def with_digest(df: DataFrame, keys: Sequence[str], value: Column | str, *, alias: str = "digest", **settings: object) -> DataFrame:
+    """Every row with its group's digest, as an aggregate over a window would give it, but by a join: no group meets in one task."""
+    keys = list(keys)
+    made = digest_by(df, keys, value, alias="__digest", **settings)
+    other = made.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__digest").alias(alias))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(other[f"__key{i}"])
+    return df.join(other, same, "left").drop(*[f"__key{i}" for i in range(len(keys))])
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound an Arrow batch by bytes: a digest may take 25 kB, and a batch ten thousand rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))

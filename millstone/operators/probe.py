@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from millstone import functions as M
 from millstone.config import probability
+from millstone.operators.build import bounded_batches
 
 
 def quantiles_by(digests: DataFrame, probes: Sequence[float], digest: str = "digest") -> DataFrame:
     """A row per group and probe: all other columns, ``q`` and ``value``; the digest is read once per group."""
     qs = [probability(q) for q in probes]
+    bounded_batches(digests.sparkSession)
     pairs = F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("q"), M.quantile(digest, qs).alias("value"))
     others = [c for c in digests.columns if c != digest]
     return digests.select(*others, F.explode(pairs).alias("__p")).select(*others, F.col("__p.q").alias("q"), F.col("__p.value").alias("value"))
@@ -21,6 +23,7 @@ def quantiles_by(digests: DataFrame, probes: Sequence[float], digest: str = "dig
 
 def cdf_by(digests: DataFrame, probes: Sequence[float], digest: str = "digest") -> DataFrame:
     """A row per group and probe: all other columns, ``x`` and ``share``."""
+    bounded_batches(digests.sparkSession)
     xs = F.array(*[F.lit(float(x)) for x in probes])
     pairs = F.arrays_zip(xs.alias("x"), M.cdf(digest, list(probes)).alias("share"))
     others = [c for c in digests.columns if c != digest]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millstone import functions as M
-from millstone.operators import cdf_by, digest_by, merge_by, quantiles_by, rollup_by
+from millstone.operators import cdf_by, digest_by, merge_by, quantiles_by, rollup_by, with_digest
 from millstone.plans import sql
 from millstone.sources import read_digest_files, read_values, write_digest_files
 from millstone.streaming import running_digests, windowed_points
@@ -280,9 +280,18 @@ def empty_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("n_name", F.col("digest.count").alias("n"), M.quantile("digest", 0.0).alias("low"), F.isnan(share).alias("nothing"))
 
 
-@query(
+_OVER = (
     "SELECT p_partkey, round(w.c, 6) AS share FROM part JOIN (SELECT a.p_brand AS b, avg(CASE WHEN a.p_size < 20 THEN 1.0 WHEN a.p_size = 20 THEN 0.5 ELSE 0 END) AS c FROM part a GROUP BY a.p_brand) w ON p_brand = w.b"
 )
+
+
+@query(_OVER)
+def joined_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its brand's digest, by a join."""
+    return _rounded(with_digest(table(spark, sf_dir, "part"), ["p_brand"], "p_size").select("p_partkey", M.cdf("digest", 20.0).alias("share")), "share")
+
+
+@query(_OVER)
 def over_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The aggregate over a window: every row has its brand's digest."""
     d = table(spark, sf_dir, "part").select("p_partkey", M.tdigest("p_size").over(Window.partitionBy("p_brand")).alias("digest"))

@@ -161,6 +161,30 @@ def test_strict_merge(spark):
         merge_by(rows, [], "x")
 
 
+def test_many_digests_merge_in_fans(spark, monkeypatch):
+    from millstone.operators import build, rollup_by
+
+    monkeypatch.setattr(build, "FAN", 3)
+    rows = spark.createDataFrame([(i % 2, i % 40, float(i % 13)) for i in range(2000)], "g int, h int, x double")
+    parts = digest_by(rows, ["g", "h"], "x")
+    want = {r.g: r.digest for r in digest_by(rows, ["g"], "x").collect()}
+    assert {r.g: r.digest for r in merge_by(parts, ["g"]).collect()} == want
+    whole = merge_by(parts, []).first().digest
+    assert whole == digest_by(rows, [], "x").first().digest
+    for cube, n in ((False, 40 + 2 + 1), (True, 40 + 2 + 40 + 1)):
+        made = rollup_by(rows, ["g", "h"], "x", cube=cube).collect()
+        assert len(made) == n and [r.digest for r in made if r.level == 3] == [whole]
+        assert {r.g: r.digest for r in made if r.level == 1} == want
+
+
+def test_rows_with_their_digest(spark):
+    from millstone.operators import with_digest
+
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0)], "g string, x double")
+    got = with_digest(rows, ["g"], "x").select("g", "x", F.col("digest.max").alias("m")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a", 1.0, 3.0), ("a", 3.0, 3.0), (None, 5.0, 5.0)], key=str)
+
+
 def test_f32_columns(spark):
     d = digest_by(numbers(spark, [0.1, 0.2, 0.2]), [], "x", precision="f32")
     assert d.schema["digest"].dataType["min"].dataType.simpleString() == "float"
