@@ -43,7 +43,7 @@ class Cost:
     """What a sequence of a length costs."""
 
     overhead: float = 64.0
-    quadratic: float = 0.0
+    quadratic: float = 1e-6
 
     def of(self, length: int) -> float:
         return length + self.overhead + self.quadratic * length * length
