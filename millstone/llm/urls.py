@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 WORDS, BITS, KEYS = 8, 8, 32
 #: Blocks of a filter at most: 16 MiB.
 MAX_BLOCKS = 1 << 18
+#: Rules that are broadcast at most.
+BROADCAST_RULES = 50_000
 
 
 def url_host(url: Column) -> Column:
@@ -97,10 +99,10 @@ def judged(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None,
     """
     spark = pages.sparkSession
     lengths = [r[0] for r in rules.select(F.length("path").alias("n")).distinct().orderBy("n").collect()]
-    entries = rules.select(_key("rule", F.col("host"), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), F.col("verdict").alias("said")).dropDuplicates(["key"])
-    if listed is not None:
-        own = listed.select(_key("page", F.col("host"), F.col("path")).alias("key")).distinct()
-        entries = entries.unionByName(own.select("key", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("said")))
+    ruled = rules.select(_key("rule", F.col("host"), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), F.col("verdict").alias("said")).dropDuplicates(["key"])
+    none = F.lit(None).cast("string")
+    paged = ruled.limit(0) if listed is None else listed.select(_key("page", F.col("host"), F.col("path")).alias("key")).distinct().select("key", none.alias("rule"), F.lit("block").alias("said"))
+    entries = ruled.unionByName(paged)
     bloom = spark.sparkContext.broadcast(bloom_of(entries.select("key"), max_blocks))
 
     @F.pandas_udf("array<string>")
@@ -114,14 +116,18 @@ def judged(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None,
     given = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     labels = F.split("host", r"\.", -1)
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    none = F.array().cast("array<string>")
-    stems = F.array_compact(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])) if lengths else none
+    nothing = F.array().cast("array<string>")
+    stems = F.array_compact(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])) if lengths else nothing
     looked = F.flatten(F.transform(hosts, lambda h: F.transform(stems, lambda p: _key("rule", h, p))))
-    keys = F.when(F.col("host") == "", none).otherwise(F.concat(looked, F.array(_key("page", F.col("host"), F.col("path")))))
+    keys = F.when(F.col("host") == "", nothing).otherwise(F.concat(looked, F.array(_key("page", F.col("host"), F.col("path")))))
     hits = given.withColumn("keys", keys).withColumn("key", F.explode(possible("keys", F.transform("keys", lambda k: F.xxhash64(k))))).drop("keys")
-    # Only possible hits meet the list, which holds each key once; a page's row comes again below, with or without a hit.
-    found = hits.join(entries, "key").select("page_id", "host", "path", "rule", "said", F.lit(0).alias("n"))
-    rows = given.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("said"), F.lit(1).alias("n"))
+    # Only possible hits meet the entries, which hold each key once. Many URLs meet few rules: those are
+    # broadcast if their number is within bounds; listed URLs are joined by key.
+    by_rule, by_page = hits.where(F.col("key").startswith("rule")), hits.where(F.col("key").startswith("page"))
+    few = ruled.count() <= BROADCAST_RULES
+    found = by_rule.join(F.broadcast(ruled) if few else ruled, "key").unionByName(by_page.join(paged, "key")).select("page_id", "host", "path", "rule", "said", F.lit(0).alias("n"))
+    # A page's row comes again, with or without a hit.
+    rows = given.select("page_id", "host", "path", none.alias("rule"), none.alias("said"), F.lit(1).alias("n"))
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule"), F.col("rule").alias("rule"), F.col("said").alias("said"))))
     on_list = F.max((F.col("rule").isNull() & F.col("said").isNotNull()).cast("int")) == 1
     per = rows.unionByName(found).groupBy("page_id", "host", "path").agg(best.alias("best"), on_list.alias("listed"), F.sum("n").alias("n"))
