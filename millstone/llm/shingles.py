@@ -49,7 +49,7 @@ BITMAP_BITS = 1 << 25
 #: Elements below this hash are counted; others come after them in the order.
 COUNTED = (1 << 64) // 3
 #: Elements and rows of a block at most, in expectation.
-BLOCK_ELEMENTS, BLOCK_ROWS = 1 << 20, 4096
+BLOCK_ELEMENTS, BLOCK_ROWS = 1 << 18, 1024
 FANOUT = 8
 
 
