@@ -125,10 +125,11 @@ def _capped(points: tuple[np.ndarray, np.ndarray, np.ndarray], most: int, family
     return _clustered(*points, starts) if len(starts) <= most else _equal_weight(points[0], weights, most)
 
 
-def _coalesced(means: np.ndarray, weights: np.ndarray, atomic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _coalesced(means: np.ndarray, weights: np.ndarray, atomic: np.ndarray, *, ordered: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted by mean, equal means summed; a run is atomic if all of it is."""
-    order = np.argsort(means, kind="stable")
-    means, weights, atomic = means[order], weights[order], atomic[order]
+    if not ordered:
+        order = np.argsort(means)
+        means, weights, atomic = means[order], weights[order], atomic[order]
     first = np.flatnonzero(np.concatenate(([True], means[1:] != means[:-1])))
     if len(first) == len(means):
         return means, weights, atomic
@@ -151,11 +152,11 @@ def _edges(atomic: np.ndarray, cfg: DigestConfig) -> tuple[int, int, int]:
     return 0, 0, cfg.max_size
 
 
-def compress(means: np.ndarray, weights: np.ndarray, atomic: np.ndarray, cfg: DigestConfig, *, low: float, high: float) -> Parts:
+def compress(means: np.ndarray, weights: np.ndarray, atomic: np.ndarray, cfg: DigestConfig, *, low: float, high: float, ordered: bool = False) -> Parts:
     """A digest of weighted points in any order; ``low`` and ``high`` are the values' true range."""
     if not len(means):
         return empty(cfg)
-    means, weights, atomic = _coalesced(means, weights, atomic)
+    means, weights, atomic = _coalesced(means, weights, atomic, ordered=ordered)
     total = float((means * weights).sum())
     if cfg.delta is not None:
         out = _clustered(means, weights, atomic, cluster_starts(weights, cfg.scale, cfg.delta, 0.0))
@@ -208,10 +209,13 @@ def _points(values: np.ndarray, weights: np.ndarray | None, cfg: DigestConfig) -
 
 def build(values: np.ndarray, weights: np.ndarray | None = None, cfg: DigestConfig = DigestConfig()) -> Parts:
     """A digest of values, each with a weight (1 by default)."""
+    alike = weights is None
     values, weights = _points(values, weights, cfg)
     if not len(values):
         return empty(cfg)
-    return compress(values, weights, np.ones(len(values), dtype=bool), cfg, low=float(values.min()), high=float(values.max()))
+    if alike:
+        values = np.sort(values)
+    return compress(values, weights, np.ones(len(values), dtype=bool), cfg, low=float(values.min()), high=float(values.max()), ordered=alike)
 
 
 def from_centroids(means: np.ndarray, weights: np.ndarray, cfg: DigestConfig, *, atomic: np.ndarray | None = None, low: float | None = None, high: float | None = None) -> Parts:
