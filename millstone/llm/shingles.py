@@ -44,8 +44,8 @@ from millstone.llm.components import components
 from millstone.llm.shared import small_batches, stored
 from millstone.llm.words import NOT_SPACE, Words, mixed, windows, words_of
 
-#: Bits of the bitmap of classes to be read again.
-BITMAP_BITS = 1 << 25
+#: Bits of the bitmap of classes to be read again, at most (16 MiB); fewer classes have a smaller one.
+BITMAP_BITS = 1 << 27
 #: Elements below this hash are counted; others come after them in the order.
 COUNTED = (1 << 64) // 3
 #: Elements and rows of a block at most, in expectation.
@@ -124,8 +124,9 @@ def in_bitmap(words: np.ndarray, items: np.ndarray) -> np.ndarray:
     return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bitmap_of(items: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """The bitmap of a column of longs (named item), merged natively; of fixed size whatever the input."""
+def bitmap_of(items: DataFrame, most: int = BITMAP_BITS) -> np.ndarray:
+    """The bitmap of a column of longs (named item), merged natively: 16 bits an item or so, ``most`` at most."""
+    bits = min(most, max(1 << 16, 1 << (16 * items.count()).bit_length()))
     low = F.pmod(F.col("item"), F.lit(bits))
     words = items.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, int(pmod(item, {bits}) & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     got = words.toArrow()
