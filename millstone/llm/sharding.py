@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from millstone.llm.shared import stored
 
 #: Rows of a bucket that is ranked by one task.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4000
+#: Sources whose counts are broadcast at most.
+BROADCAST_SOURCES = 50_000
 
 
 def _running(counts: DataFrame, by: list[str], order: str, n: str) -> DataFrame:
@@ -50,17 +52,20 @@ def interleaved(docs: DataFrame, *, shards: int = 16, seed: int = 42, id_col: st
     # A null source would not join with itself, so strata are told apart by a struct.
     rows = rows.withColumn("stratum", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "size", "text_crc32", F.lit(seed)))
+    # Buckets of about bucket_rows rows in every source: as many in all as the rows ask for, however many sources there are.
+    totals = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("of_source"))
     total = docs.count()
-    buckets = total // bucket_rows + 1
-    rows = rows.withColumn("bucket", F.floor(_unit(F.col("key")) * buckets))
+    few = totals.count() <= BROADCAST_SOURCES
+    rows = rows.join(F.broadcast(totals) if few else totals, "stratum").withColumn("bucket", F.floor(_unit(F.col("key")) * F.floor(F.col("of_source") / bucket_rows + 1)))
 
     counts = rows.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("stratum").agg(F.sum("n").alias("of_source"))
     strata = _running(counts, ["stratum"], "bucket", "n").drop("n")
-    strata = strata.join(totals, "stratum")
-    within = Window.partitionBy("stratum", "bucket").orderBy("key", "doc_id", "size", "text_crc32")
-    ranked = rows.join(strata, ["stratum", "bucket"]).withColumn("r", F.row_number().over(within) + F.col("before"))
+    # Keys are unsigned, as their buckets are.
+    within = Window.partitionBy("stratum", "bucket").orderBy(F.col("key") < 0, "key", "doc_id", "size", "text_crc32")
+    # Dealt by both columns, else a join by source alone would keep a source together.
+    ranked = rows.repartition("stratum", "bucket").join(strata, ["stratum", "bucket"]).withColumn("r", F.row_number().over(within) + F.col("before"))
     ranked = ranked.withColumn("fraction", (F.col("r") - 0.5) / F.col("of_source"))
+    buckets = total // bucket_rows + 1
     ranked = stored(ranked.select("doc_id", "source", "size", "text_crc32", "key", "r", "fraction", F.floor(F.col("fraction") * buckets).alias("bucket")), "interleaved")
 
     cuts = _running(ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), [], "bucket", "n").select("bucket", "before")
