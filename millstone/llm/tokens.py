@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millstone.llm.shared import filesystem, offsets_of, scratch, slices, small_batches, stored
+from millstone.llm.words import mixed, powers
 
 MAGIC, VERSION, STEP = b"RPTK", 1, 256
 END = 0
@@ -54,7 +55,7 @@ ENCODED_BYTES = 4 << 20
 #: Rules of a shard at most, and rounds in which they are found.
 RULES, ROUNDS = 8192, 3
 #: Pieces that a task remembers; beyond, it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 # Bytes of ASCII white space; of punctuation that begins no contraction; of letters and digits.
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
@@ -105,6 +106,66 @@ def cut(texts: pa.Array, apart: bool = True) -> tuple[pa.Array, np.ndarray]:
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)), counts
 
 
+class Pieces:
+    """Numbers of known pieces: a hash table in arrays. A hit counts only if the bytes are equal."""
+
+    SLOTS = 1 << 22
+
+    def __init__(self) -> None:
+        self.table = np.full(self.SLOTS, -1, dtype=np.int32)
+        self.keys, self.begin, self.sizes = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.bytes, self.used = np.zeros(1 << 21, np.uint8), 0
+
+    def find(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each piece's number, or -1; the pieces' hashes, bytes and offsets."""
+        at = offsets_of(pieces)
+        data = np.frombuffer(pieces.buffers()[2], dtype=np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        sizes = np.diff(at)
+        inner = np.arange(len(data)) - np.repeat(at[:-1], sizes)
+        keys = mixed(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers(int(sizes.max()))[inner], at[:-1]) + sizes.astype(np.uint64))
+        out = np.full(len(pieces), -1, dtype=np.int64)
+        todo, slot = np.arange(len(pieces)), (keys >> np.uint64(42)).astype(np.int64)
+        while len(todo):
+            got = self.table[slot[todo]]
+            todo, got = todo[got >= 0], got[got >= 0]
+            same = self.keys[got] == keys[todo]
+            out[todo[same]] = got[same]
+            todo = todo[~same]
+            slot[todo] = (slot[todo] + 1) % self.SLOTS
+        hit = np.flatnonzero(out >= 0)
+        if len(hit):
+            equal = self.sizes[out[hit]] == sizes[hit]
+            out[hit[~equal]] = -1
+            hit = hit[equal]
+            n = sizes[hit]
+            stop = np.cumsum(n)
+            own = np.arange(int(stop[-1]) if len(stop) else 0)
+            differ = self.bytes[own + np.repeat(self.begin[out[hit]] - (stop - n), n)] != data[own + np.repeat(at[hit] - (stop - n), n)]
+            if differ.any():
+                out[hit[np.unique(np.searchsorted(stop, np.flatnonzero(differ), side="right"))]] = -1
+        return out, keys, data, at
+
+    def add(self, which: np.ndarray, numbers: np.ndarray, keys: np.ndarray, data: np.ndarray, at: np.ndarray) -> None:
+        """Remember some of the pieces of ``find`` by new numbers. One whose hash is taken by another piece is not found later."""
+        sizes = np.diff(at)[which]
+        stop = np.cumsum(sizes)
+        total = int(stop[-1])
+        while self.used + total > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        while int(numbers[-1]) >= len(self.keys):
+            self.keys, self.begin, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.begin, self.sizes))
+        self.bytes[self.used : self.used + total] = data[np.arange(total) + np.repeat(at[which] - (stop - sizes), sizes)]
+        self.keys[numbers], self.begin[numbers], self.sizes[numbers] = keys[which], self.used + stop - sizes, sizes
+        self.used += total
+        todo, slot = np.arange(len(which)), (keys[which] >> np.uint64(42)).astype(np.int64)
+        while len(todo):
+            free = todo[self.table[slot[todo]] < 0]
+            self.table[slot[free]] = numbers[free]
+            todo = todo[self.table[slot[todo]] != numbers[todo]]
+            slot[todo] = (slot[todo] + 1) % self.SLOTS
+
+
 class Encoder:
     """Whole texts to ids with the tokenizers library."""
 
@@ -127,7 +188,7 @@ class Encoder:
 
     def _forget(self) -> None:
         # Piece 0 is the end id.
-        self.known: dict[str, int] = {}
+        self.known = Pieces()
         self.flat, self.begin = np.zeros(1 << 20, dtype=np.int32), np.zeros(1 << 18, dtype=np.int64)
         self.flat[0], self.begin[1], self.count = END, 1, 1
 
@@ -142,32 +203,35 @@ class Encoder:
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum())), sizes
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
+    def _numbers(self, pieces: pa.StringArray) -> np.ndarray:
         """Numbers of distinct pieces; new ones are encoded and remembered."""
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if new:
-            ids, sizes = self._ids_of(new)
-            n, at = self.count, int(self.begin[self.count])
-            known.update(zip(new, range(n, n + len(new)), strict=True))
+        if not len(pieces):
+            return np.zeros(0, dtype=np.int64)
+        out, keys, data, at = self.known.find(pieces)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            ids, sizes = self._ids_of(pieces.take(pa.array(new)).to_pylist())
+            n, end = self.count, int(self.begin[self.count])
             while n + len(new) + 1 > len(self.begin):
                 self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            while at + len(ids) > len(self.flat):
+            while end + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.begin[n + 1 : n + len(new) + 1] = at + np.cumsum(sizes)
-            self.flat[at : at + len(ids)] = ids
+            self.begin[n + 1 : n + len(new) + 1] = end + np.cumsum(sizes)
+            self.flat[end : end + len(ids)] = ids
             self.count += len(new)
-        return np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+            out[new] = np.arange(n, n + len(new))
+            self.known.add(new, out[new], keys, data, at)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its end id, and the number of each text's ids."""
         if not len(texts):
             return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-        if len(self.known) > REMEMBERED:
+        if self.count > REMEMBERED:
             self._forget()
         found, counts = cut(texts.fill_null(""), self.by_piece)
         coded = found.dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        number = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
         ends = np.cumsum(counts) + np.arange(len(texts))
         pieces = np.zeros(len(number) + len(texts), dtype=np.int64)
         inner = np.ones(len(pieces), dtype=bool)
@@ -176,7 +240,9 @@ class Encoder:
         begin = self.begin[pieces]
         sizes = self.begin[pieces + 1] - begin
         stop = np.cumsum(sizes)
-        ids = self.flat[np.arange(int(stop[-1])) + np.repeat(begin - (stop - sizes), sizes)]
+        places = np.repeat(begin - (stop - sizes), sizes)
+        places += np.arange(len(places))
+        ids = self.flat[places]
         return ids, np.diff(np.concatenate(([0], stop[ends])))
 
 
@@ -193,11 +259,18 @@ def encoder_of(path: str) -> Encoder:
 # --- Re-Pair ---------------------------------------------------------------------------
 
 
-def _frequent(seq: np.ndarray, least: int, most: int) -> np.ndarray:
+CELLS = 1 << 20
+
+
+def _cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash cell of each pair of symbols."""
+    return (a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+
+
+def _frequent(seq: np.ndarray, cell: np.ndarray, least: int, most: int) -> np.ndarray:
     """Pairs (as keys) that occur ``least`` times or more, the most frequent ones first; about ``4 * most`` at least, if there are."""
     a, b = seq[:-1], seq[1:]
-    cell = (a.view(np.uint32) * np.uint32(0x9E3779B1) + b.view(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(12)
-    full = np.bincount(cell, minlength=1 << 20)
+    full = np.bincount(cell, minlength=CELLS)
     # A pair occurs no more often than its hash cell; only pairs of the fullest cells are sorted and counted.
     above = np.cumsum(np.bincount(np.minimum(full, 1 << 16), minlength=2)[::-1])[::-1]
     least = max(least, int(np.count_nonzero(above >= 4 * most)) - 1)
@@ -213,42 +286,39 @@ def _frequent(seq: np.ndarray, least: int, most: int) -> np.ndarray:
 
 
 def _apart(keys: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """The first pairs of which none touches another."""
+    """The first pairs of which none touches another, each in a cell of its own."""
+    left, right = keys >> 32, keys & 0xFFFFFFFF
     lefts: set[int] = set()
     rights: set[int] = set()
+    cells: set[int] = set()
     out = []
-    for a, b in zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist(), strict=True):
-        if a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
+    for a, b, cell in zip(left.tolist(), right.tolist(), _cells(left, right).tolist(), strict=True):
+        if a in rights or b in lefts or cell in cells or (a == b and (a in lefts or b in rights)):
             continue
         lefts.add(a)
         rights.add(b)
+        cells.add(cell)
         out.append((a, b))
         if len(out) == most:
             break
     return out
 
 
-def _replaced(seq: np.ndarray, pairs: list[tuple[int, int]], first: int) -> np.ndarray:
+def _replaced(seq: np.ndarray, cell: np.ndarray, pairs: list[tuple[int, int]], first: int) -> np.ndarray:
     """The sequence with every occurrence of ``pairs[i]`` (from the left) replaced by ``first + i``."""
-    top = int(max(seq.max(), max(max(p) for p in pairs))) + 1
-    side = np.zeros(top, dtype=np.uint8)
-    chosen = np.array([(a << 32) | b for a, b in pairs], dtype=np.int64)
-    side[chosen >> 32] |= 1
-    side[chosen & 0xFFFFFFFF] |= 2
-    is_left, is_right = side & 1, side >> 1
-    sides = side[seq]
-    at = np.flatnonzero(((sides[:-1] & 1) & (sides[1:] >> 1)).view(bool))
-    row, column = np.cumsum(is_left) - 1, np.cumsum(is_right) - 1
-    table = np.full((int(is_left.sum()), int(is_right.sum())), -1, dtype=np.int32)
-    table[row[chosen >> 32], column[chosen & 0xFFFFFFFF]] = np.arange(len(chosen))
-    rule = table[row[seq[at]], column[seq[at + 1]]]
-    same = rule >= 0
+    left, right = (np.array(x, dtype=np.int32) for x in zip(*pairs, strict=True))
+    rule_of = np.full(CELLS, -1, dtype=np.int32)
+    rule_of[_cells(left, right)] = np.arange(len(pairs))
+    rule = rule_of[cell]
+    at = np.flatnonzero(rule >= 0)
+    rule = rule[at]
+    same = (seq[at] == left[rule]) & (seq[at + 1] == right[rule])
     at, rule = at[same], rule[same]
     # Only a pair of equal symbols can overlap itself: every other place of a run is taken.
-    run = np.concatenate(([0], np.cumsum(np.diff(at) != 1))) if len(at) else at
-    begin = at[np.searchsorted(run, run)] if len(at) else at
-    taken = (at - begin) % 2 == 0
-    at, rule = at[taken], rule[taken]
+    if len(at) and (left == right).any():
+        run = np.concatenate(([0], np.cumsum(np.diff(at) != 1)))
+        taken = (at - at[np.searchsorted(run, run)]) % 2 == 0
+        at, rule = at[taken], rule[taken]
     keep = np.ones(len(seq), dtype=bool)
     keep[at + 1] = False
     out = seq[keep]
@@ -268,10 +338,11 @@ def repair(ids: np.ndarray, first: int, *, rules: int, rounds: int = ROUNDS, lea
         if left <= 0 or len(seq) < 2:
             break
         most = -(-left // (rounds - done))
-        pairs = _apart(_frequent(seq, least, most), most)
+        cell = _cells(seq[:-1], seq[1:])
+        pairs = _apart(_frequent(seq, cell, least, most), most)
         if not pairs:
             break
-        seq = _replaced(seq, pairs, first + len(made))
+        seq = _replaced(seq, cell, pairs, first + len(made))
         made += pairs
     return seq, np.array(made, dtype=np.uint32).reshape(-1, 2)
 
