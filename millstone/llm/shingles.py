@@ -440,6 +440,7 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows, links = jaccard_links(docs, id_col=id_col, text_col=text_col, k=k, percent=percent)
     found = components(links, "shingle-components")
     full = rows.where("n > 0").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join below has a shuffle on either side and a large component's rows can be split.
+    least = stored(full.groupBy("root").agg(F.min("doc_id").alias("component_id")), "shingle-least")
     out = full.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
