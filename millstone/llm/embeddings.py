@@ -293,7 +293,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     reached = components(found.select("node", "root"), "vector-components")
     full = rows.where("node is not null").join(weights, "node").join(linked, "node", "left").join(reached, "node", "left")
     full = full.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    ids = full.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    # Written, so that the join below has a shuffle on either side and a large component's rows can be split.
+    ids = stored(full.groupBy("root").agg(F.min("vec_id").alias("component_id")), "vector-least")
     out = full.join(ids, "root").select("vec_id", "n_links", "component_id")
     alone = rows.where("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
