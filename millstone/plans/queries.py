@@ -174,7 +174,7 @@ def _rank_errors(spark: SparkSession, sf_dir: str, tolerance: float, **settings:
     return ranks.select("l_returnflag", F.inline(checked))
 
 
-_CLOSE = f"SELECT l_returnflag, q, true AS close FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES {', '.join(f'({q})' for q in PROBES)}) t(q)"
+_CLOSE = f"SELECT l_returnflag, q, true AS close FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES {', '.join(f'(CAST({q} AS DOUBLE))' for q in PROBES)}) t(q)"
 
 
 def _rank_query(name: str, tolerance: float, **settings: object) -> None:

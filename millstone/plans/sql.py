@@ -32,7 +32,7 @@ QUANTILE = """CASE WHEN g.k = 1 THEN g.lo WHEN i < 1 THEN g.lo WHEN i > g.n - 1
 def quantiles(table: str, keys: Sequence[str], value: str, probes: Sequence[float], *, weight: str = "1.0", with_: str = "", times: float = 1) -> str:
     """keys, q, value: a row per group and probe."""
     names = "".join(f"g.{k}, " for k in keys)
-    listed = ", ".join(f"({q})" for q in probes)
+    listed = ", ".join(f"(CAST({q} AS DOUBLE))" for q in probes)
     return f"""WITH {with_}{points(table, keys, value, weight)},
 f AS (SELECT g.*, q, q * n AS i FROM g, (VALUES {listed}) t(q))
 SELECT {names}q, round({times} * ({QUANTILE}), 6) AS value
