@@ -13,8 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents by five-word shingles and a Jaccard similarity of 0.8 or more."""
-    return shingles.linked_components(table(spark, sf_dir, "documents"), k=5, percent=80)
+    """All documents by five-word shingles and a Jaccard similarity of 0.8 or more, with each one's number of links."""
+    return shingles.linked_components(table(spark, sf_dir, "documents"), k=5, percent=80, count=True)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,9 +145,10 @@ s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELE
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
-r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reached = e.x)
-SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id
-FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reached = e.x),
+l AS (SELECT x, count(*) AS l FROM e GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id, CAST(coalesce(any_value(l.l), 0) AS BIGINT) AS n_links
+FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN l ON l.x = d.doc_id GROUP BY d.doc_id
 """
 
 _OP9_SQL = """

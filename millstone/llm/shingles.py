@@ -20,9 +20,9 @@ element; without words the set is empty and links with nothing. Two documents li
    elements, an inner node holds the OR of its children's bitmaps, the range of set sizes
    and the largest excess of elements over bits. A dual traversal of both trees drops node
    pairs whose largest possible overlap, popcount(AND) + the smaller excess, is below what
-   the smallest sizes need. Pairs of leaves are verified on the elements themselves unless
-   earlier links connect them already. A block's result is stars, so copies and clusters
-   stay linear in rows.
+   the smallest sizes need. Pairs of leaves are verified on the elements themselves; where
+   links need not be counted, not if earlier links connect them already. A block's result
+   is stars and a count per row, so copies and clusters stay linear in rows.
 5. Components of the links; a row's component is the smallest id of its component's rows.
 
 Nulls: a null text has an empty set; rows with a null id take part and are never a
@@ -201,10 +201,15 @@ def possible(x: Tree, i: np.ndarray, y: Tree, j: np.ndarray, level: int, percent
 
 
 class Links:
-    """Connected rows of a pair of blocks; verified links merge labels."""
+    """Connected rows of a pair of blocks; verified links merge labels.
 
-    def __init__(self, sets: Sets, percent: int) -> None:
-        self.sets, self.percent = sets, percent
+    With weights every link is counted, weighted by the row at its other end; without, pairs that
+    earlier links connect are not compared.
+    """
+
+    def __init__(self, sets: Sets, percent: int, weight: np.ndarray | None = None) -> None:
+        self.sets, self.percent, self.weight = sets, percent, weight
+        self.links = np.zeros(len(sets.first) - 1, dtype=np.int64)
         self.label = np.arange(len(sets.first) - 1)
         names, self.local = np.unique(sets.items, return_inverse=True)
         self.mark = np.zeros(len(names), dtype=bool)
@@ -217,14 +222,16 @@ class Links:
         first, size = self.sets.first, self.sets.sizes
         for s, e in zip(at[:-1], at[1:], strict=True):
             row, others = int(a[s]), b[s:e]
-            others = others[self.label[others] != self.label[row]]
+            if self.weight is None:
+                others = others[self.label[others] != self.label[row]]
             if not len(others):
                 continue
             own = self.local[first[row] : first[row + 1]]
             self.mark[own] = True
             for c in range(0, len(others), 1024):
                 some = others[c : c + 1024]
-                some = some[self.label[some] != self.label[row]]
+                if self.weight is None:
+                    some = some[self.label[some] != self.label[row]]
                 if not len(some):
                     continue
                 n = size[some]
@@ -232,18 +239,25 @@ class Links:
                 flat = self.local[np.arange(ends[-1]) + np.repeat(first[some] - (ends - n), n)]
                 both = np.add.reduceat(self.mark[flat].astype(np.int64), ends - n)
                 linked = some[100 * both >= self.percent * (size[row] + n - both)]
+                if len(linked) and self.weight is not None:
+                    self.links[row] += self.weight[linked].sum()
+                    self.links[linked] += self.weight[row]
+                linked = linked[self.label[linked] != self.label[row]]
                 if len(linked):
                     found = np.unique(np.append(self.label[linked], self.label[row]))
                     self.label[np.isin(self.label, found)] = found[0]
             self.mark[own] = False
 
 
-def tree_join(sets: Sets, left: np.ndarray, right: np.ndarray | None, percent: int) -> np.ndarray:
-    """Labels of all rows: equal for rows that links connect. ``right`` None: the left rows with each other."""
-    links = Links(sets, percent)
+def tree_join(sets: Sets, left: np.ndarray, right: np.ndarray | None, percent: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, links) of all rows: labels are equal for rows that links connect; links are counted if there are weights.
+
+    ``right`` None: the left rows with each other.
+    """
+    links = Links(sets, percent, weight)
     rows = left if right is None else np.concatenate([left, right])
     if not len(left) or len(rows) < 2 or (right is not None and not len(right)):
-        return links.label
+        return links.label, links.links
     bits = 1 << int(np.clip(8 * int(sets.sizes[rows].max()), 256, 1 << 16) - 1).bit_length()
     bits = min(bits, 1 << 16)
     x = tree_of(sets, left, bits)
@@ -258,7 +272,7 @@ def tree_join(sets: Sets, left: np.ndarray, right: np.ndarray | None, percent: i
         if len(i) > 2048:
             todo += [(level, i[a : a + 2048], j[a : a + 2048]) for a in range(0, len(i), 2048)][::-1]
             continue
-        if level == 0:
+        if level == 0 and weight is None:
             a, b = x.order[i], y.order[j]
             apart = links.label[a] != links.label[b]
             i, j = i[apart], j[apart]
@@ -276,7 +290,7 @@ def tree_join(sets: Sets, left: np.ndarray, right: np.ndarray | None, percent: i
         if right is None:
             real &= ci < cj if level == 1 else ci <= cj
         todo.append((level - 1, ci[real], cj[real]))
-    return links.label
+    return links.label, links.links
 
 
 # --- the distributed join --------------------------------------------------------------
@@ -366,42 +380,47 @@ def _block_sets(given: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
     return given.mapInArrow(run, "node long, items binary")
 
 
-def _joined(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links of each pair of blocks (task, root together), streamed from rows sorted by them."""
-    held: list[tuple[int, bool, bytes]] = []
+def _joined(batches: Iterator[pa.RecordBatch], percent: int, count: bool) -> Iterator[pa.RecordBatch]:
+    """Links of each pair of blocks (task, root together), streamed from rows sorted by them: u, its star's middle v, links."""
+    held: list[tuple[int, bool, bytes, int]] = []
     now = None
 
-    def links() -> Iterator[pa.RecordBatch]:
+    def found() -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return
         arrays = [np.frombuffer(x[2], dtype=np.uint64) for x in held]
         sets = Sets(np.concatenate(arrays), np.concatenate(([0], np.cumsum([len(x) for x in arrays]))))
         right = np.array([x[1] for x in held])
         rows = np.arange(len(held))
-        label = tree_join(sets, rows[~right], rows[right] if right.any() else None, percent)
-        other = np.flatnonzero(label != rows)
+        weight = np.array([x[3] for x in held], dtype=np.int64) if count else None
+        label, links = tree_join(sets, rows[~right], rows[right] if right.any() else None, percent, weight)
+        other = np.flatnonzero((label != rows) | (links > 0))
         if len(other):
             names = np.array([x[0] for x in held], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(names[label[other]])], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(names[label[other]]), pa.array(links[other])], ["u", "v", "links"])
 
     for batch in batches:
-        for task, root, right, node, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for task, root, right, node, weight, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (task, root) != now:
-                yield from links()
+                yield from found()
                 held, now = [], (task, root)
-            held.append((node, right, items))
-    yield from links()
+            held.append((node, right, items, weight))
+    yield from found()
+
 
+def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, count: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): doc_id, node, n of every row; and u, v, links of linked nodes: v is the middle of u's star in a task.
 
-def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): doc_id, node, n of every row; and star edges u, v between linked nodes."""
+    ``count``: links hold how many rows of other sets u's sets link with in a task (every pair meets in
+    one task). Counting compares all pairs that the trees leave, where components alone need a few.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     given = _texts(docs, id_col, text_col)
     rows = stored(_classes(given, k), "shingle-classes")
     groups = _groups(given, k, percent)
     roots_too = groups.select("node", "root").unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    members = stored(rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n")).join(roots_too, "node"), "shingle-members")
+    members = stored(rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("weight")).join(roots_too, "node"), "shingle-members")
     # Blocks: sizes within a quarter of each other lie in one level or in neighbouring ones.
     level = F.floor(F.log(1.25, F.col("n"))).cast("int")
     members = members.withColumn("level", level)
@@ -409,7 +428,7 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     small = (F.col("elements") <= BLOCK_ELEMENTS) & (F.col("rows") <= BLOCK_ROWS)
     total = of_group.agg(F.sum("elements")).first()[0] or 0
     bins = int(total // BLOCK_ELEMENTS) + spark.sparkContext.defaultParallelism
-    placed = members.join(of_group.where(small).select("root"), "root").select("node", "root", F.pmod(F.xxhash64("root"), F.lit(bins)).alias("task"), F.lit(False).alias("right"))
+    placed = members.join(of_group.where(small).select("root"), "root").select("node", "weight", "root", F.pmod(F.xxhash64("root"), F.lit(bins)).alias("task"), F.lit(False).alias("right"))
 
     big = of_group.where(~small).select("root")
     cells = members.join(big, "root").groupBy("root", "level").agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("rows"))
@@ -426,21 +445,27 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     pairs = pairs.withColumn("task", F.xxhash64("root", "xl", "xs", "yl", "ys"))
     lefts = pairs.select("root", F.col("xl").alias("level"), F.col("xs").alias("salt"), "task", F.lit(False).alias("right"))
     rights = pairs.where("xl <> yl or xs <> ys").select("root", F.col("yl").alias("level"), F.col("ys").alias("salt"), "task", F.lit(True).alias("right"))
-    dealt = blocks.join(lefts.unionByName(rights), ["root", "level", "salt"]).select("node", "root", "task", "right")
+    dealt = blocks.join(lefts.unionByName(rights), ["root", "level", "salt"]).select("node", "weight", "root", "task", "right")
 
     wanted = bitmap_of(members.select(F.col("node").alias("item")))
     sets = _block_sets(given, k, wanted).groupBy("node").agg(F.first("items").alias("items"))
-    work = placed.unionByName(dealt).join(sets, "node").select("task", "root", "right", "node", "items")
-    found = work.repartition("task").sortWithinPartitions("task", "root").mapInArrow(lambda b: _joined(b, percent), "u long, v long")
-    return rows, stored(found.distinct(), "shingle-links")
+    work = placed.unionByName(dealt).join(sets, "node").select("task", "root", "right", "node", "weight", "items")
+    found = work.repartition("task").sortWithinPartitions("task", "root").mapInArrow(lambda b: _joined(b, percent, count), "u long, v long, links long")
+    return rows, stored(found, "shingle-links")
 
 
-def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    rows, links = jaccard_links(docs, id_col=id_col, text_col=text_col, k=k, percent=percent)
-    found = components(links, "shingle-components")
+def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, count: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; with ``count`` also n_links, the other rows that it links with."""
+    rows, links = jaccard_links(docs, id_col=id_col, text_col=text_col, k=k, percent=percent, count=count)
+    found = components(links.select("u", "v"), "shingle-components")
     full = rows.where("n > 0").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Written, so that the join below has a shuffle on either side and a large component's rows can be split.
     least = stored(full.groupBy("root").agg(F.min("doc_id").alias("component_id")), "shingle-least")
-    out = full.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = full.join(least, "root").select("node", "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    if not count:
+        return out.drop("node").unionByName(empty)
+    copies = rows.where("n > 0").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("copies"))
+    to_others = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    per_node = stored(copies.join(to_others, "node", "left").select("node", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links")), "shingle-counts")
+    return out.join(per_node, "node").drop("node").unionByName(empty.withColumn("n_links", F.lit(0).cast("long")))

@@ -342,11 +342,12 @@ def plain_components(ids, sets):
 
 def jaccard_of(spark, texts, ids=None):
     ids = list(range(len(texts))) if ids is None else ids
-    got = rows_of(shingles.linked_components(docs_of(spark, [(i, t, "s") for i, t in zip(ids, texts, strict=True)])))
+    docs = docs_of(spark, [(i, t, "s") for i, t in zip(ids, texts, strict=True)])
     sets = plain_sets(texts)
-    want = sorted([(d, len(s), c) for d, s, c in zip(ids, sets, plain_components(ids, sets), strict=True)], key=repr)
-    assert got == want
-    return got
+    links = [sum(bool(a and b) and i != j and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    want = [(d, len(s), c, n) for d, s, c, n in zip(ids, sets, plain_components(ids, sets), links, strict=True)]
+    assert rows_of(shingles.linked_components(docs, count=True).select("doc_id", "n_shingles", "component_id", "n_links")) == sorted(want, key=repr)
+    assert rows_of(shingles.linked_components(docs)) == sorted([w[:3] for w in want], key=repr)
 
 
 def near_copies(rng, n_base, copies, words):
@@ -391,10 +392,12 @@ def test_tree_join_at_the_threshold():
         return shingles.Sets(np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows]))))
 
     four, five = of(range(4), range(5)), of(range(9), [*range(8), 50])
-    assert len(set(shingles.tree_join(four, np.arange(2), None, 80).tolist())) == 1
-    assert len(set(shingles.tree_join(five, np.arange(2), None, 80).tolist())) == 1
     under = of(range(8), [*range(7), 50])
-    assert len(set(shingles.tree_join(under, np.arange(2), None, 80).tolist())) == 2
+    for sets, n in ((four, 1), (five, 1), (under, 2)):
+        labels, _ = shingles.tree_join(sets, np.arange(2), None, 80)
+        assert len(set(labels.tolist())) == n
+        again, links = shingles.tree_join(sets, np.arange(2), None, 80, np.array([1, 5]))
+        assert again.tolist() == labels.tolist() and links.tolist() == ([5, 1] if n == 1 else [0, 0])
 
 
 # --- toxicity --------------------------------------------------------------------------
