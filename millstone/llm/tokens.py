@@ -4,8 +4,9 @@ Texts in ascending id order are encoded whole, an end id is appended to each, an
 documents of about ``shard_tokens`` ids become shard files. A shard's id sequence is
 compressed by Re-Pair: in rounds, the most frequent adjacent pairs are replaced by new
 nonterminals, as many at once as can be without touching each other (no symbol is the
-right side of one and the left side of another, so all counts of a round hold). The end id
-takes part in no pair, so documents begin and end between symbols.
+right side of one and the left side of another, so all counts of a round hold), until no
+pair is frequent or the symbols' width has no nonterminal left. The end id takes part in
+no pair, so documents begin and end between symbols.
 
 File (little endian): magic ``RPTK``, then a header of eight unsigned 64-bit numbers
 (version, first nonterminal, rules, symbols, documents, ids, bytes of a symbol, sampling
@@ -52,8 +53,8 @@ SHARD_TOKENS = 1 << 21
 PART_ROWS = 4000
 #: Bytes of text encoded at once.
 ENCODED_BYTES = 4 << 20
-#: Rules of a shard at most, and rounds in which they are found.
-RULES, ROUNDS = 8192, 3
+#: A round makes a third of the rules that are left, within these bounds.
+ROUND_RULES = 1000, 8192
 #: Pieces that a task remembers; beyond, it starts afresh.
 REMEMBERED = 1_500_000
 # Bytes of ASCII white space; of punctuation that begins no contraction; of letters and digits.
@@ -273,8 +274,15 @@ def _frequent(seq: np.ndarray, cell: np.ndarray, least: int, most: int) -> np.nd
     full = np.bincount(cell, minlength=CELLS)
     # A pair occurs no more often than its hash cell; only pairs of the fullest cells are sorted and counted.
     above = np.cumsum(np.bincount(np.minimum(full, 1 << 16), minlength=2)[::-1])[::-1]
-    least = max(least, int(np.count_nonzero(above >= 4 * most)) - 1)
-    at = np.flatnonzero((full >= least)[cell] & (a != END) & (b != END))
+    full_enough = max(least, int(np.count_nonzero(above >= 4 * most)) - 1)
+    found = _counted(a, b, full >= full_enough, cell, full_enough)
+    # Cells may be that full of rarer pairs alone.
+    return found if len(found) or full_enough == least else _counted(a, b, full >= least, cell, least)
+
+
+def _counted(a: np.ndarray, b: np.ndarray, wanted: np.ndarray, cell: np.ndarray, least: int) -> np.ndarray:
+    """Pairs of the wanted cells that occur ``least`` times or more, the most frequent ones first."""
+    at = np.flatnonzero(wanted[cell] & (a != END) & (b != END))
     keys = (a[at].astype(np.int64) << 32) | b[at]
     if not len(keys):
         return keys
@@ -326,18 +334,16 @@ def _replaced(seq: np.ndarray, cell: np.ndarray, pairs: list[tuple[int, int]], f
     return out
 
 
-def repair(ids: np.ndarray, first: int, *, rules: int, rounds: int = ROUNDS, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, first: int, *, rules: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): the ids with frequent pairs replaced; rule i makes ``first + i`` of its two sides.
 
-    Rounds stop when no pair occurs ``least`` times, or ``rules`` or ``rounds`` are used up.
+    Rounds stop when no pair occurs ``least`` times or ``rules`` are used up.
     """
     seq = ids.astype(np.int32)
     made: list[tuple[int, int]] = []
-    for done in range(rounds):
+    while len(made) < rules and len(seq) > 1:
         left = rules - len(made)
-        if left <= 0 or len(seq) < 2:
-            break
-        most = -(-left // (rounds - done))
+        most = min(left, max(ROUND_RULES[0], min(ROUND_RULES[1], -(-left // 3))))
         cell = _cells(seq[:-1], seq[1:])
         pairs = _apart(_frequent(seq, cell, least, most), most)
         if not pairs:
@@ -353,7 +359,7 @@ def repair(ids: np.ndarray, first: int, *, rules: int, rounds: int = ROUNDS, lea
 def packed_shard(ids: np.ndarray, sizes: np.ndarray, doc_ids: list[int | None], vocabulary: int) -> bytes:
     """A shard file's bytes."""
     room = 65536 - vocabulary
-    symbols, rules = repair(ids, vocabulary, rules=min(RULES, room) if room > 256 else RULES)
+    symbols, rules = repair(ids, vocabulary, rules=room if room > 256 else (1 << 31) - vocabulary)
     length = np.ones(vocabulary + len(rules), dtype=np.int64)
     for i, (a, b) in enumerate(rules.tolist()):
         length[vocabulary + i] = length[a] + length[b]

@@ -226,6 +226,20 @@ def test_repair_is_lossless_with_random_access():
     assert len(tokens.repair(np.ones(4096, dtype=np.int32), 10, rules=50)[0]) < 600
 
 
+def test_repair_runs_until_no_pair_is_frequent():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(1, 1000, 500)
+    ids = np.concatenate([[*rng.integers(1, 1000, 7), *passage, 0] for _ in range(2000)])
+    seq, rules = tokens.repair(ids, 1000, rules=64_536)
+    inner = (seq[:-1] != 0) & (seq[1:] != 0)
+    assert np.unique(seq[:-1][inner].astype(np.int64) << 32 | seq[1:][inner], return_counts=True)[1].max() < 8
+    assert len(rules) < 64_536 and len(seq) < 25 * 2000
+    # Nonterminals that are fewer than the frequent pairs are all used.
+    assert len(tokens.repair(ids, 1000, rules=400)[1]) == 400
+    shard = tokens.Shard.parse(tokens.packed_shard(ids, np.full(2000, 508), list(range(2000)), 1000))
+    assert shard.lengths.max() > 8 and (shard.expanded(0, len(shard.symbols)) == ids).all()
+
+
 # --- URLs ------------------------------------------------------------------------------
 
 
