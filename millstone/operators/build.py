@@ -13,7 +13,8 @@ depends, within a digest's accuracy, on how the input is partitioned.
 ``hashed``: values are dealt to shards by a hash, each shard is a histogram, and shard
 digests are merged. Rows are shuffled twice; the result does not depend on partitioning.
 
-``auto`` takes the histogram up to ``SHARD_ROWS`` rows and partial digests beyond.
+``auto`` takes the histogram, however many rows there are; only ``shards`` above 1, given by
+the caller, make it partial digests.
 """
 
 from __future__ import annotations
@@ -83,8 +84,8 @@ def digest_by(
 ) -> DataFrame:
     """One row per group: the keys and the digest of ``value``. Without keys one row, also for an empty input.
 
-    ``shards`` is the number of digests that are merged to one at most; by default it follows the
-    number of rows, which is counted.
+    ``shards`` is the number of digests that are merged to one at most; by default the modes partial and
+    hashed take it from the number of rows, which is counted.
     """
     cfg = config(max_size, **settings)
     if mode not in MODES:
@@ -92,9 +93,10 @@ def digest_by(
     if not keys:
         one = digest_by(df.withColumn("__all", F.lit(0)), ["__all"], value, weight, alias=alias, mode=mode, shards=shards, shard_rows=shard_rows, max_size=max_size, **settings)
         return _one_row(one.select(alias), alias, cfg)
-    if mode != "histogram":
-        shards = shards_of(df, shard_rows) if shards is None else shards
-        mode = ("partial" if shards > 1 else "histogram") if mode == "auto" else mode
+    if mode == "auto":
+        mode = "partial" if shards is not None and shards > 1 else "histogram"
+    if mode != "histogram" and shards is None:
+        shards = shards_of(df, shard_rows)
     x = _checked(F.col(value) if isinstance(value, str) else value, cfg)
     w = F.lit(1.0) if weight is None else _weighed(F.col(weight) if isinstance(weight, str) else weight)
     keys = list(keys)

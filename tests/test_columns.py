@@ -82,6 +82,13 @@ def test_partial_digests_of_odd_keys(spark, monkeypatch):
         digest_by(rows, ["g"], "x", mode="none")
 
 
+def test_number_of_rows_does_not_change_digest(spark):
+    values = np.random.default_rng(8).random(6000).tolist()
+    want = digest_by(numbers(spark, values), [], "x", scale="k1", max_size=100, mode="histogram").first()
+    for n in (1, 5):
+        assert digest_by(numbers(spark, values).repartition(n), [], "x", scale="k1", max_size=100, shard_rows=1000).first() == want
+
+
 def test_zeros_of_either_sign_are_one_value(spark):
     assert Digest.from_row(digest_by(numbers(spark, [0.0, -0.0, 1.0]), [], "x").first().digest).weights == [2, 1]
 
