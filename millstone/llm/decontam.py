@@ -8,8 +8,9 @@ the words themselves before it counts.
 
 What is broadcast is bounded: items are dealt into slices of at most ``slice_bytes`` of
 text, and the documents pass each slice in turn within one stage (no shuffle). Nulls: a
-null text or item has no words. An empty benchmark hits nothing. Repeated rows are judged
-one by one. Columns of the input other than the text are passed on, never read.
+null text has no words. Items with a null id hit like others; all of them together count
+as one item and add nothing to the listed ids. An empty benchmark hits nothing. Repeated
+rows are judged one by one. Columns of the input other than the text are passed on, never read.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class WindowSet:
     """
 
     def __init__(self, items: list[tuple[object, str | None]], n: int) -> None:
-        self.ids = [str(item) for item, _ in items]
+        self.ids = [None if item is None else str(item) for item, _ in items]
         texts: list[bytes] = []
         at = 0
         found: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
@@ -68,7 +69,7 @@ class WindowSet:
             some[keys >> np.uint64(44)] = True
             self.by_length[k] = (keys, np.append(first, len(hashes)), begin, stop, row, some)
 
-    def scan(self, words: Words, hit: np.ndarray, items: list[set[str]]) -> None:
+    def scan(self, words: Words, hit: np.ndarray, items: list[set[str | None]]) -> None:
         """Mark the words inside occurrences, and add each row's occurring items."""
         for k, (keys, first, begin, stop, owner, some) in self.by_length.items():
             seen = windows(words.hashes, k)
@@ -80,7 +81,7 @@ class WindowSet:
             at, place = at[same], place[same]
             row = np.searchsorted(words.first, at, side="right") - 1
             whole = at + k <= words.first[row + 1]
-            known: dict[tuple[int, bytes], set[str]] = {}
+            known: dict[tuple[int, bytes], set[str | None]] = {}
             for j, p, r in zip(at[whole].tolist(), place[whole].tolist(), row[whole].tolist(), strict=True):
                 own = words.joined(j, j + k)
                 if (p, own) not in known:
@@ -93,7 +94,7 @@ class WindowSet:
 def window_sets(benchmark: DataFrame, id_col: str, text_col: str, n: int, slice_bytes: int) -> list:
     """One broadcast per slice of the benchmark, each of bounded size."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(total // slice_bytes) + 1
     sets = []
@@ -103,10 +104,10 @@ def window_sets(benchmark: DataFrame, id_col: str, text_col: str, n: int, slice_
     return sets
 
 
-def _scanned(column: pa.Array, sets: list) -> Iterator[tuple[Words, np.ndarray, list[set[str]]]]:
+def _scanned(column: pa.Array, sets: list) -> Iterator[tuple[Words, np.ndarray, list[set[str | None]]]]:
     for words in words_of(column, ALNUM):
         hit = np.zeros(len(words.starts), dtype=bool)
-        items: list[set[str]] = [set() for _ in words.rows]
+        items: list[set[str | None]] = [set() for _ in words.rows]
         for s in sets:
             s.value.scan(words, hit, items)
         yield words, hit, items
@@ -130,7 +131,7 @@ def judge(
         for batch in batches:
             for words, hit, items in _scanned(batch.column(1), sets):
                 n_words, n_hit = _counts(words, hit)
-                listed = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+                listed = [hashlib.sha256(",".join(sorted(x - {None})).encode()).hexdigest() for x in items]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(words.rows.start, len(words.rows)),

@@ -553,3 +553,23 @@ def test_decontamination_equals_brute_force(spark, odd, none):
     assert kept[7].text is None and kept[8].text == ""
     spans = decontam.clean(docs_of(spark, [(1, "a " * 600 + item + ". b", "s")]), bench).first()
     assert spans.text == "a " * 600 + ". b" and spans.n_chars == len(spans.text)
+
+
+def test_benchmark_items_without_an_id(spark):
+    import duckdb
+
+    from millstone.llm.queries import ORACLES
+
+    known, other, third = (" ".join(f"{c}{i}" for i in range(20)) for c in "abc")
+    docs = docs_of(spark, [(1, known, "s"), (2, other, "s"), (3, f"{known} {other} {third}", "s"), (4, "x " * 900 + other, "s"), (5, "clean", "s")])
+    bench = spark.createDataFrame([(1, known), (None, other), (None, third), (2, None)], "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.register("benchmark", bench.toArrow())
+    want = con.execute(ORACLES["op10_decontamination"])
+    columns = [c[0] for c in want.description]
+    want = sorted(want.fetchall())
+    for slice_bytes in (8 << 20, 40):
+        assert sorted(map(tuple, decontam.judge(docs, bench, slice_bytes=slice_bytes).select(*columns).collect())) == want
+    assert [dict(zip(columns, r, strict=True))["n_items"] for r in want] == [1, 1, 2, 1, 0]
+    assert {r.doc_id: r.text.split() for r in decontam.clean(docs, bench).collect()} == {4: ["x"] * 900, 5: ["clean"]}
