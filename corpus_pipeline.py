@@ -24,15 +24,20 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates (five words, 0.8): the one with the smallest id.
 
-    Rows that repeat both id and text are one document. Texts without words link with nothing; rows
-    without an id stay, once for each text.
+    A document is what repeats both id and text, so texts that share an id are judged one by one; of
+    those in a component the one with the smallest hash stays. Rows without an id come after all
+    others. Texts without words link with nothing.
     """
-    found = shingles.linked_components(docs, k=5, percent=80)
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    # Ids are unique but for repeated rows, and the join has dealt rows by id already.
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
-    copy = "copy" + "_" * max(map(len, docs.columns))
+    key, copy = ("key" + "_" * max(map(len, docs.columns)), "copy" + "_" * max(map(len, docs.columns)))
+    fields = {"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "text": F.xxhash64("text")}
+    dealt = [f"{key}{name}" for name in fields]
+    given = docs.select("*", *[x.alias(name) for x, name in zip(fields.values(), dealt, strict=True)])
+    keyed = given.select(F.struct(*[F.col(name).alias(field) for name, field in zip(dealt, fields, strict=True)]).alias("doc_id"), "text")
+    found = shingles.linked_components(keyed, k=5, percent=80)
+    others = found.where("doc_id <> component_id").select(*[F.col(f"doc_id.{field}").alias(name) for name, field in zip(dealt, fields, strict=True)]).distinct()
+    # The join has dealt rows by key already.
+    same = Window.partitionBy(*dealt).orderBy("text")
+    kept = given.join(others, dealt, "left_anti")
     return kept.withColumn(copy, F.row_number().over(same)).where(F.col(copy) == 1).select(*docs.columns)
 
 

@@ -73,6 +73,16 @@ def test_repeated_rows_are_one_document(spark):
     assert sorted(map(repr, twice.collect())) == sorted(map(repr, once.unionAll(odd.distinct()).collect()))
 
 
+def test_texts_that_share_an_id_are_judged_one_by_one(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(200)) for x in "abcd")
+    rows = [(5, a), (5, b), (3, a), (7, c), (7, c + " more"), (None, d), (None, d + " more"), (None, b + " more"), (8, None), (8, ""), (None, None), (None, "")]
+    given = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, given.repartition(3), SMALL).collect()]
+    assert {(3, a), (5, b), (8, None), (8, ""), (None, None), (None, "")} < set(kept)
+    assert sorted((str(i), (t or "")[:1]) for i, t in kept) == sorted([("3", "a"), ("5", "b"), ("7", "c"), ("None", "d"), ("8", ""), ("8", ""), ("None", ""), ("None", "")])
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
