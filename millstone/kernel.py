@@ -14,9 +14,10 @@ import numpy as np
 
 from millstone.config import DigestConfig, DigestError, IncompatibleMerge, InvalidTrainingData, factor
 
-#: Slack of the unit step, and the search for a tighter scale: lower end, halvings, last shrinkings.
+#: Slack of the unit step.
 STEP_SLACK = 1e-12
-SEARCH_LOW, HALVINGS, SHRINKINGS = 1e-6, 28, 12
+#: How near to the largest fitting size the search for a tighter scale comes, as a part of the given size.
+SIZE_TOLERANCE = 1e-9
 Q_EDGE = 1e-15
 
 
@@ -93,36 +94,38 @@ def _clustered(means: np.ndarray, weights: np.ndarray, atomic: np.ndarray, start
 
 
 def _equal_weight(means: np.ndarray, weights: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At most ``buckets`` runs, each closed once it holds its part of the weight; the last one takes the rest."""
-    target = weights.sum() / buckets
-    starts, held = [0], 0.0
-    for i, w in enumerate(weights.tolist()):
-        held += w
-        if held >= target and len(starts) < buckets and i + 1 < len(weights):
-            starts.append(i + 1)
-            held = 0.0
-    return _clustered(means, weights, np.zeros(len(means), dtype=bool), np.array(starts))
+    """At most ``buckets`` runs; each ends where the running weight first reaches its part, the last one at the end."""
+    upto = np.cumsum(weights)
+    part = upto[-1] / buckets
+    cuts = np.zeros(1, dtype=np.int64)
+    while len(cuts) < buckets:
+        before = upto[cuts[-1] - 1] if cuts[-1] else 0.0
+        next_cut = np.searchsorted(upto, before + part) + 1
+        if next_cut >= len(weights):
+            break
+        cuts = np.append(cuts, next_cut)
+    return _clustered(means, weights, np.zeros(len(means), dtype=bool), cuts)
 
 
 def _capped(points: tuple[np.ndarray, np.ndarray, np.ndarray], most: int, family: str, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At most ``most`` clusters, by the largest size of the scale that gives so few."""
-    if len(points[0]) <= most:
-        return points
+    """At most ``most`` clusters, by the largest size of the scale that gives so few.
+
+    The size is kept in a bracket whose lower end fits and whose upper end does not. A size of nearly
+    0 gives one cluster, so a lower end is always known, and its clusters are the result.
+    """
     weights = points[1]
-    low, high, best = SEARCH_LOW, max(d, SEARCH_LOW), SEARCH_LOW
-    for _ in range(HALVINGS):
-        middle = (low + high) / 2
-        if len(cluster_starts(weights, family, middle)) <= most:
-            low = best = middle
-        else:
-            high = middle
-    starts = cluster_starts(weights, family, best)
-    for _ in range(SHRINKINGS):
-        if len(starts) <= most:
-            break
-        best *= 0.95
-        starts = cluster_starts(weights, family, best)
-    return _clustered(*points, starts) if len(starts) <= most else _equal_weight(points[0], weights, most)
+    if len(weights) <= most:
+        return points
+    starts = cluster_starts(weights, family, d)
+    if len(starts) > most:
+        starts, fits, over = np.zeros(1, dtype=np.int64), 0.0, d
+        while over - fits > SIZE_TOLERANCE * d:
+            tried = cluster_starts(weights, family, (fits + over) / 2)
+            if len(tried) > most:
+                over = (fits + over) / 2
+            else:
+                starts, fits = tried, (fits + over) / 2
+    return _clustered(*points, starts)
 
 
 def _coalesced(means: np.ndarray, weights: np.ndarray, atomic: np.ndarray, *, ordered: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,9 +238,13 @@ def from_centroids(means: np.ndarray, weights: np.ndarray, cfg: DigestConfig, *,
 def merge(digests: list[Parts], *, strict: bool = True) -> Parts:
     """One digest of all, in one pass, so their order does not matter.
 
-    Empty digests only lend their settings where all are empty. Strict: different settings are an
-    error; else the first non-empty digest's hold.
+    Empty digests only lend their settings where all are empty. Digests of different precisions
+    never merge, empty ones included. Strict: other settings that differ are an error as well; else
+    the first non-empty digest's hold.
     """
+    kinds = {d.config.precision for d in digests}
+    if len(kinds) > 1 and strict:
+        raise IncompatibleMerge("digests differ in precision: f32 and f64; cast_precision makes precisions equal")
     full = [d for d in digests if len(d)]
     if not full:
         return empty(digests[0].config) if digests else empty()
