@@ -2,16 +2,20 @@
 
 A word (lower-cased ASCII letters, digits, non-ASCII characters, between boundary marks) is
 the bag of its 3- to 6-grams of bytes. Every n-gram is hashed to a row of an embedding
-table; a word's vector is the mean of its rows, and a softmax over two classes (its logit:
-one weight vector, as two classes need no more) reads it. Embeddings and softmax are
-trained together, so a misspelling or an inflection never seen shares most of its n-gram
-vectors with the word that was. A text scores by its most toxic word, because one insult
-in ten thousand words would vanish in an average over the text.
+table; a word's vector is the mean of its rows. A text's vector is the average of its words'
+vectors, and a softmax over two classes (its logit: one weight vector, as two classes need no
+more) reads it. Embeddings and softmax are trained together, so a misspelling or an inflection
+never seen shares most of its n-gram vectors with the word that was.
+
+The average over a text weighs word w by exp(``SHARP`` * logit of w alone): one insult in ten
+thousand words would vanish in a plain average, and does: by plain averages, trained the same
+way, held-out documents of sf0.1 are told apart with an AUC of 0.78 to 0.88 and 0.46 to 0.59 of the
+toxic ones are found.
 
 Training has two phases over a bounded sample of labelled documents: words against the
 share of toxic documents among those that hold them; then whole documents through their
-highest word, which pushes down the highest words of clean documents. Last, the document
-logit is calibrated on the same sample.
+averages. Last, the document logit is calibrated on the same sample. It runs in one task of
+an executor, as its input is bounded; only the model comes to the driver.
 
 The sample: labelled rows by a hash of their id, ``max_docs`` documents and ``max_bytes``
 of text in expectation at most; their ids alone are broadcast. Labels of rows that
@@ -19,8 +23,10 @@ of text in expectation at most; their ids alone are broadcast. Labels of rows th
 the model is one number per n-gram row (2**18 numbers, whatever the input).
 
 Null and empty texts and texts without words get the score of no evidence. Without a label
-of either class every score is 0. Repeated labels of an id count once (toxic wins); null
-labels do not count. Other columns are never inputs.
+of either class every score is 0, or 1 where all labels are toxic. Repeated labels of an id
+count once (toxic wins); null labels do not count. Repeated rows are scored one by one. Other
+columns are never inputs, whatever their names. A long text is scored whole by one task; numpy
+arrays of about 60 bytes per byte of the longest text, or of 2 MiB of shorter ones, are its memory.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millstone.llm.shared import small_batches, stored
+from millstone.llm.shared import stored
 from millstone.llm.words import ALNUM, Words, mixed, words_of
 
 BUCKETS = 1 << 18
@@ -41,8 +47,10 @@ GRAMS = (3, 4, 5, 6)
 DIM = 8
 MAX_DOCS = 6000
 MAX_BYTES = 24 << 20
-#: Logit of the highest word below which a toxic label is taken for a wrong one in the second phase.
-NO_TRACE = -1.0
+#: How much more a word of a higher logit weighs in its text's average: exp(SHARP * logit).
+SHARP = 2.0
+#: Words of a smaller part of their text's average take no part in a training step.
+LEAST_PART = 1e-3
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,30 +101,39 @@ class Model:
         return (total / np.maximum(np.diff(at), 1))[again]
 
     def scores(self, words: Words) -> np.ndarray:
-        best = _highest(self.word_logits(words), words.first, self.floor)
-        return 1 / (1 + np.exp(-(self.scale * best + self.shift)))
-
+        logits, _ = _averaged(self.word_logits(words), words.first, self.floor)
+        return 1 / (1 + np.exp(-(self.scale * logits + self.shift)))
 
-def _highest(logits: np.ndarray, first: np.ndarray, floor: float) -> np.ndarray:
-    out = np.full(len(first) - 1, floor)
-    full = np.flatnonzero(np.diff(first))
-    if len(full):
-        out[full] = np.maximum.reduceat(logits, first[:-1][full])
-    return out
 
+def _averaged(logits: np.ndarray, first: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """(logit of each text's average, each word's part of it); a text without words has the logit ``floor``.
 
-def fit(texts: list[str | None], labels: list[int], *, seed: int = 7, dim: int = DIM, word_epochs: int = 10, doc_rounds: int = 30) -> Model:
+    A logit is linear in a vector, so the average's logit is the average of the logits.
+    """
+    out = np.full(len(first) - 1, floor)
+    size = np.diff(first)
+    full = np.flatnonzero(size)
+    if not len(full):
+        return out, np.zeros(0)
+    at, n = first[:-1][full], size[full]
+    part = np.exp(SHARP * (logits - np.repeat(np.maximum.reduceat(logits, at), n)))
+    part /= np.repeat(np.add.reduceat(part, at), n)
+    out[full] = np.add.reduceat(part * logits, at)
+    return out, part
+
+
+def fit(texts: list[str | None] | pa.Array, labels: list[int], *, seed: int = 7, dim: int = DIM, word_epochs: int = 10, doc_rounds: int = 30) -> Model:
     """A model of the sample; deterministic for the same rows in the same order."""
     y = np.asarray(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS), 0.0, -40.0 if not len(y) or y[0] == 0 else 40.0, 0.0)
+        return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0, -40.0 if not len(y) or y[0] == 0 else 40.0, 0.0)
     rng = np.random.default_rng(seed)
     ids: dict[int, int] = {}
     pieces: list[bytes] = []
     doc_words: list[np.ndarray] = []
-    for words in words_of(pa.array(texts, pa.string()), ALNUM):
+    for words in words_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), ALNUM):
         hashes, first, again = np.unique(words.hashes, return_index=True, return_inverse=True)
-        number = np.empty(len(hashes), dtype=np.int64)
+        number = np.empty(len(hashes), dtype=np.int32)
         for i, (h, f) in enumerate(zip(hashes.tolist(), first.tolist(), strict=True)):
             if h not in ids:
                 ids[h] = len(pieces)
@@ -125,33 +142,40 @@ def fit(texts: list[str | None], labels: list[int], *, seed: int = 7, dim: int =
         whole = number[again]
         doc_words += [np.unique(whole[words.first[i] : words.first[i + 1]]) for i in range(len(words.rows))]
     if not pieces:
-        return Model(np.zeros(BUCKETS), 0.0, float(np.log(y.mean() / (1 - y.mean()))), 0.0)
+        return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0, float(np.log(y.mean() / (1 - y.mean()))), 0.0)
     data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     ends = np.cumsum([len(p) for p in pieces])
     net = _Net(*_all_grams(data, np.concatenate(([0], ends[:-1])), ends), dim, rng)
 
     n = len(pieces)
     flat = np.concatenate(doc_words)
-    owner = np.repeat(np.arange(len(y)), [len(d) for d in doc_words])
+    size = np.array([len(d) for d in doc_words])
+    owner = np.repeat(np.arange(len(y)), size)
     docs_with = np.bincount(flat, minlength=n).astype(np.float64)
     toxic_with = np.bincount(flat, weights=y[owner], minlength=n)
     target, weight = toxic_with / docs_with, np.minimum(np.sqrt(docs_with), 30.0)
     for _ in range(word_epochs):
         order = rng.permutation(n)
         for a in range(0, n, 4096):
-            net.step(order[a : a + 4096], target, weight)
+            net.step(order[a : a + 4096], (1 / (1 + np.exp(-net.logits_of(order[a : a + 4096]))) - target[order[a : a + 4096]]) * weight[order[a : a + 4096]])
 
-    first = np.concatenate(([0], np.cumsum([len(d) for d in doc_words])))
-    full = np.flatnonzero(np.diff(first))
+    first = np.concatenate(([0], np.cumsum(size)))
+    share = y.mean()
+    balance = np.where(y == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)) * (size > 0)
     for _ in range(doc_rounds):
-        logits = net.logits()[flat]
-        top = _first_highest(logits, first, full)
-        net.step(flat[top], None, None, errors=_errors(logits[top], y[full]))
+        found, part = _averaged(net.logits()[flat], first, 0.0)
+        errors = (1 / (1 + np.exp(-found)) - y) * balance
+        # Weights of the average are held, so a word's error is its part of its text's.
+        heavy = part >= LEAST_PART
+        per_word = np.bincount(flat[heavy], weights=part[heavy] * errors[owner[heavy]], minlength=n)
+        some = np.flatnonzero(per_word)
+        if len(some):
+            net.step(some, per_word[some] * (len(some) / len(y)))
     logits = net.logits()
     floor = float(np.median(logits))
-    best = _highest(logits[flat], first, floor)
-    scale, shift = _calibrated(best, y)
-    return Model((net.rows @ net.out + net.bias).astype(np.float64), scale, shift, floor)
+    found, _ = _averaged(logits[flat], first, floor)
+    scale, shift = _calibrated(found, y)
+    return Model(net.rows @ net.out + net.bias, scale, shift, floor)
 
 
 def _all_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
@@ -164,18 +188,6 @@ def _all_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int
     return np.concatenate(buckets), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
 
-def _first_highest(logits: np.ndarray, first: np.ndarray, full: np.ndarray) -> np.ndarray:
-    """Per non-empty document the place of its highest word."""
-    return np.array([first[i] + int(np.argmax(logits[first[i] : first[i + 1]])) for i in full.tolist()], dtype=np.int64)
-
-
-def _errors(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Classes weigh the same; a toxic document none of whose words looks toxic counts as a wrong label."""
-    share = y.mean()
-    errors = (1 / (1 + np.exp(-logits)) - y) * np.where(y == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3))
-    return np.where((y == 1) & (logits < NO_TRACE), 0, errors)
-
-
 class _Net:
     """Embedding rows and the softmax that reads their means, with Adagrad steps for both."""
 
@@ -200,19 +212,24 @@ class _Net:
             out[a : a + 65_536] = np.add.reduceat(per_row[self.bucket[at[0] : at[-1]]], at[:-1] - at[0]) / np.diff(at)
         return out + self.bias
 
-    def step(self, words: np.ndarray, target: np.ndarray | None, weight: np.ndarray | None, errors: np.ndarray | None = None, rate: float = 0.3) -> None:
+    def logits_of(self, words: np.ndarray) -> np.ndarray:
         bucket, begin, sizes = self._of(words)
-        vectors = np.add.reduceat(self.rows[bucket], begin, axis=0) / sizes[:, None]
-        if errors is None:
-            logits = vectors @ self.out + self.bias
-            errors = (1 / (1 + np.exp(-logits)) - target[words]) * weight[words]
+        return np.add.reduceat((self.rows @ self.out)[bucket], begin) / sizes + self.bias
+
+    def step(self, words: np.ndarray, errors: np.ndarray, rate: float = 0.3) -> None:
+        """One step of embeddings and softmax down the errors of some words' logits, in batches of bounded memory."""
         errors = errors / len(words)
-        to_out = vectors.T @ errors
-        per_place = np.repeat(errors / sizes, sizes)
-        touched, place = np.unique(bucket, return_inverse=True)
-        to_rows = np.bincount(place, weights=per_place, minlength=len(touched))[:, None] * self.out
-        self.seen_rows[touched] += (to_rows**2).mean(axis=1)
-        self.rows[touched] -= (rate * to_rows / np.sqrt(self.seen_rows[touched])[:, None]).astype(np.float32)
+        to_out, to_rows = np.zeros(len(self.out)), np.zeros(BUCKETS)
+        for a in range(0, len(words), 16_384):
+            bucket, begin, sizes = self._of(words[a : a + 16_384])
+            own = errors[a : a + 16_384]
+            vectors = np.add.reduceat(self.rows[bucket], begin, axis=0) / sizes[:, None]
+            to_out += vectors.T @ own
+            to_rows += np.bincount(bucket, weights=np.repeat(own / sizes, sizes), minlength=BUCKETS)
+        touched = np.flatnonzero(to_rows)
+        change = to_rows[touched]
+        self.seen_rows[touched] += change**2 * float((self.out**2).mean())
+        self.rows[touched] -= (rate * change / np.sqrt(self.seen_rows[touched])).astype(np.float32)[:, None] * self.out
         self.seen_out += to_out**2
         self.out -= (0.1 * rate * to_out / np.sqrt(self.seen_out)).astype(np.float32)
         self.seen_bias += float(errors.sum()) ** 2
@@ -252,13 +269,22 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > max_bytes:
         chosen = chosen.where(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 20)) < int(max_bytes / size * (1 << 20)))
-    rows = sorted(chosen.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").collect())
-    return fit([r[1] for r in rows], [r[2] for r in rows], seed=seed)
+    rows = chosen.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").repartition(1).sortWithinPartitions("doc_id", "text", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            table = pa.Table.from_batches(held)
+            texts = table.column("text").cast(pa.large_string()).combine_chunks()
+            made = fit(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, table.column("y").to_pylist(), seed=seed)
+            yield pa.RecordBatch.from_arrays([pa.array([made.weight.astype("<f4").tobytes()]), pa.array([made.scale]), pa.array([made.shift]), pa.array([made.floor])], ["weight", "scale", "shift", "floor"])
+
+    found = rows.mapInArrow(run, "weight binary, scale double, shift double, floor double").first()
+    return fit([], []) if found is None else Model(np.frombuffer(found.weight, dtype="<f4"), found.scale, found.shift, found.floor)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -275,7 +301,6 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def clean(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` without the rows that score at least ``threshold``; all columns as they are."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
