@@ -8,15 +8,18 @@ that Spark commits reach the index; what a lost executor left behind is never re
 Of records with equal payloads of at least ``least`` bytes, the one with the largest page
 id is a ``response``; the others ``revisit`` it and hold no block. Smaller ones are all
 ``response``. The group's largest id comes from a grouped aggregate over (digest, id), so
-copies are never gathered, and only digests that occur twice are joined back; Spark splits
-a hot digest's rows in that join.
+copies are never gathered. A bitmap of the digests that occur twice (``BITMAP_BITS`` at most) keeps
+all other rows where they are: payloads are shuffled only for rows that it lets through, to
+be joined with their group's largest id; Spark splits a hot digest's rows in that join.
 
-``read_records`` takes any selection of index rows, deals them by file and range of offsets,
-sorts them, merges neighbouring ranges with gaps up to ``gap`` bytes into reads of ``most``
+``read_records`` takes any selection of index rows, deals them by file and range of offsets to as
+many tasks as the selected bytes ask for, sorts them, merges neighbouring ranges with gaps up to ``gap`` bytes into reads of ``most``
 bytes, and parses and verifies the records.
 
 A null payload is empty; a null URL leaves out the target; null page ids are kept, and
-never chosen over an id. Rows with equal id and payload have the same type.
+never chosen over an id. Rows with equal id and payload have the same type. Columns other than
+the three named ones are not read, whatever their names; an empty table gives an empty index. A
+long payload is one record; its task holds it some four times over (payload, block, member, batch).
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from millstone.llm.shared import filesystem, scratch, small_batches, stored
+from millstone.llm.shared import bitmap_of, filesystem, in_bitmap, scratch, stored
 
 INDEX = "page_id long, url string, digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -44,6 +49,8 @@ LEVEL = 3
 #: Bytes after which a task begins another file; of a deal of index rows to a reading task.
 FILE_BYTES = 1 << 30
 DEAL_BYTES = 32 << 20
+#: Bits of the bitmap of repeated digests, at most (16 MiB).
+BITMAP_BITS = 1 << 27
 
 
 def _uri(url: str) -> str:
@@ -105,14 +112,24 @@ def labelled(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.select("page_id", "url", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
     copies = rows.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "kept")
+    copies = stored(copies, "warc-copies")
+    bits = pages.sparkSession.sparkContext.broadcast(bitmap_of(copies.select(F.xxhash64("digest").alias("item")), BITMAP_BITS))
+
+    @arrow_udf("boolean")
+    def repeated(names: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(bits.value, np.asarray(names)))
+
+    rows = rows.withColumn("maybe", repeated(F.xxhash64("digest")))
     refers = F.when(F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
-    return rows.join(copies, "digest", "left").select("page_id", "url", "digest", "payload_bytes", refers.alias("refers_to"), F.when(refers.isNull(), F.col("payload")).alias("payload"))
+    names = ["page_id", "url", "digest", "payload_bytes"]
+    single = rows.where(~F.col("maybe")).select(*names, F.lit(None).cast("long").alias("refers_to"), "payload")
+    joined = rows.where("maybe").join(copies, "digest", "left").select(*names, refers.alias("refers_to"), F.when(refers.isNull(), F.col("payload")).alias("payload"))
+    return single.unionByName(joined)
 
 
 def write_archives(rows: DataFrame, folder: str | None = None, *, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``labelled`` rows as archives in ``folder`` (a new shared one by default); returns the stored index."""
     spark = rows.sparkSession
-    small_batches(spark)
     folder = folder or scratch(spark, "warc")
     given = rows.select("page_id", "url", "digest", "payload_bytes", "refers_to", "payload")
 
@@ -151,9 +168,9 @@ def write_archives(rows: DataFrame, folder: str | None = None, *, file_bytes: in
 
 def read_records(index: DataFrame, *, gap: int = 64 << 10, most: int = 4 << 20, deal: int = DEAL_BYTES) -> DataFrame:
     """The records of the selected index rows (``RECORD``); a revisit's payload is null."""
-    small_batches(index.sparkSession)
     given = index.select("file", "offset", "length")
-    given = given.repartition("file", F.floor(F.col("offset") / deal)).sortWithinPartitions("file", "offset")
+    tasks = (index.agg(F.sum("length")).first()[0] or 0) // deal + 1
+    given = given.repartition(int(tasks), "file", F.floor(F.col("offset") / deal)).sortWithinPartitions("file", "offset")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
