@@ -12,8 +12,10 @@ bucket, and buckets are cut by the uniform random key so that each holds about
 whose buckets are cut by the fractional rank itself.
 
 Nulls: a null source is a source; a null text has size 1 and checksum 0; null ids take
-part. Repeated rows are ranked one after another (they are interchangeable). An empty
-table gives no rows. Other columns of the input are not read.
+part. Repeated rows are counted first, and each copy has a random key of its own, so that however
+many they are they spread over buckets (they are interchangeable). An empty table gives no rows.
+Other columns of the input are not read, whatever their names. A text is only measured and summed
+where it is read, and never moved, so a long one costs no more than its bytes.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millstone.llm.shared import stored
+from millstone.llm.shared import copies_of, running_sum, stored
 
 #: Rows of a bucket that is ranked by one task.
 BUCKET_ROWS = 4000
@@ -29,12 +31,6 @@ BUCKET_ROWS = 4000
 BROADCAST_SOURCES = 50_000
 
 
-def _running(counts: DataFrame, by: list[str], order: str, n: str) -> DataFrame:
-    """``before``: the counts of all lower buckets."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum(n).over(w), F.lit(0)))
-
-
 def _unit(key: Column) -> Column:
     """A 64-bit key as a number in [0, 1)."""
     return F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))
@@ -49,9 +45,10 @@ def interleaved(docs: DataFrame, *, shards: int = 16, seed: int = 42, id_col: st
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
+    rows = copies_of(rows)
     # A null source would not join with itself, so strata are told apart by a struct.
     rows = rows.withColumn("stratum", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "size", "text_crc32", F.lit(seed)))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "size", "text_crc32", F.lit(seed), "copy"))
     # Buckets of about bucket_rows rows in every source: as many in all as the rows ask for, however many sources there are.
     totals = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("of_source"))
     total = docs.count()
@@ -59,7 +56,7 @@ def interleaved(docs: DataFrame, *, shards: int = 16, seed: int = 42, id_col: st
     rows = rows.join(F.broadcast(totals) if few else totals, "stratum").withColumn("bucket", F.floor(_unit(F.col("key")) * F.floor(F.col("of_source") / bucket_rows + 1)))
 
     counts = rows.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    strata = _running(counts, ["stratum"], "bucket", "n").drop("n")
+    strata = running_sum(counts, ["stratum"], "bucket", "n").drop("n")
     # Keys are unsigned, as their buckets are.
     within = Window.partitionBy("stratum", "bucket").orderBy(F.col("key") < 0, "key", "doc_id", "size", "text_crc32")
     # Dealt by both columns, else a join by source alone would keep a source together.
@@ -68,7 +65,7 @@ def interleaved(docs: DataFrame, *, shards: int = 16, seed: int = 42, id_col: st
     buckets = total // bucket_rows + 1
     ranked = stored(ranked.select("doc_id", "source", "size", "text_crc32", "key", "r", "fraction", F.floor(F.col("fraction") * buckets).alias("bucket")), "interleaved")
 
-    cuts = _running(ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), [], "bucket", "n").select("bucket", "before")
+    cuts = running_sum(ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), [], "bucket", "n").select("bucket", "before")
     order = Window.partitionBy("bucket").orderBy("fraction", "key", "source", "r", "doc_id")
     placed = ranked.join(cuts, "bucket").withColumn("rank", F.row_number().over(order) + F.col("before") - 1)
     shard = F.expr(f"(rank * {shards}L) div {max(total, 1)}L")
