@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millstone.llm.shared import small_batches
 
 OPEN, END = "<|turn|>", "<|end|>\n"
 _ESCAPED, _RAW = re.compile(r"<\\(\\*)\|"), re.compile(r"<(\\*)\|")
@@ -154,7 +153,6 @@ def format_turns(
     (text; ref, width, height; ref, seconds; ref, pages), or, where the column's name ends in
     ``_json``, such a list as JSON, in which documents may hold ``parts``.
     """
-    small_batches(turns.sparkSession)
     content = turns.schema[content_col].dataType
     as_json = content_col.endswith("_json")
     given = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(content_col).alias("content"))

@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millstone.llm.shared import small_batches
 from millstone.llm.words import ALNUM, Words, windows, words_of
 
 #: Bytes of benchmark text in one broadcast set.
@@ -123,7 +122,6 @@ def judge(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, share: int = 20, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
     """One row per document: its id and ``RESULT``. Contaminated: hit words, and ``share`` times them at least all words."""
-    small_batches(docs.sparkSession)
     sets = window_sets(benchmark, item_col, item_text_col, n, slice_bytes)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -157,7 +155,6 @@ def clean(
     where there is such a column, which follows the new text). Rows without a hit, null and
     empty texts included, pass unchanged.
     """
-    small_batches(docs.sparkSession)
     sets = window_sets(benchmark, item_col, item_text_col, n, slice_bytes)
     names = docs.columns
     place = names.index(text_col)

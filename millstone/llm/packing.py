@@ -32,7 +32,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millstone.llm.shared import small_batches
 
 LENGTHS = (2048, 8192, 32768)
 PACK_ROWS = 20_000
@@ -94,7 +93,6 @@ def packed(rows: DataFrame, *, id_col: str = "doc_id", length_col: str = "length
 
     ``length_col`` holds a row's number of tokens; null counts as 0, negative is an error.
     """
-    small_batches(rows.sparkSession)
     longest = max(lengths)
     given = rows.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("length"))
     counted = given.groupBy("doc_id", "length").agg(F.count(F.lit(1)).alias("copies"))

@@ -7,19 +7,19 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
-
-#: Rows and bytes of one Arrow batch handed to a Python worker.
-BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a fresh local one where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a fresh local one where that is unset and the master is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millstone-"))
     return base or posixpath.dirname(spark.sparkContext.getCheckpointDir())
 
@@ -46,16 +46,34 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, whatever the texts' lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """Runs of rows with equal first ``n_keys`` columns (whole numbers or booleans without nulls) of rows in their order."""
+    held: list[pa.RecordBatch] = []
+    now: tuple[int, ...] | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(n_keys)])
+        cut = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [len(batch)]))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            key = tuple(keys[:, a].tolist())
+            if key != now and now is not None:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if now is not None:
+        yield now, pa.Table.from_batches(held)
+
+
+def column_of(table: pa.Table, name: str) -> pa.Array:
+    """A table's column in one piece."""
+    whole = table.column(name).combine_chunks()
+    return whole.chunk(0) if isinstance(whole, pa.ChunkedArray) and whole.num_chunks == 1 else whole
 
 
 def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a string or binary column that hold ``most`` bytes at most, or one row."""
-    import numpy as np
-
     ends = offsets_of(column)
     start, n = 0, len(column)
     while start < n:
@@ -67,8 +85,46 @@ def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 
 def offsets_of(column: pa.Array):
     """Offsets of a string or binary column into its value buffer, one more than rows."""
-    import numpy as np
-
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     raw = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)
     return raw[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+def running_sum(rows: DataFrame, by: list[str], order: str, n: str, *, fan: int = 1000) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``n`` over rows of the same ``by`` columns and a lower ``order`` (whole numbers, one row each).
+
+    Two levels: sums within ``fan`` neighbouring numbers, and along the sums of these, so the longest
+    window of one task has a thousandth of the rows. The rows are few against what they count.
+    """
+    cell = rows.withColumn("__cell", F.floor(F.col(order) / fan))
+    along = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*by, "__cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cell.groupBy(*by, "__cell").agg(F.sum(n).alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(along), F.lit(0))).drop("__n")
+    joined = cell.join(cells, [*by, "__cell"])
+    return joined.withColumn("before", F.col("__base") + F.coalesce(F.sum(n).over(within), F.lit(0))).drop("__cell", "__base")
+
+
+def copies_of(rows: DataFrame, *, run: int = 1_000_000) -> DataFrame:
+    """``rows`` with ``copy``, which numbers equal rows from 0; they are counted, never gathered, and dealt out in runs."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n"))
+    runs_ = counted.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {run}L"))))
+    first = F.col("__run") * F.lit(run)
+    numbered = runs_.withColumn("copy", F.explode(F.sequence(first, F.least(first + F.lit(run), F.col("__n")) - 1)))
+    return numbered.drop("__n", "__run")
+
+
+def bitmap_of(items: DataFrame, most: int) -> np.ndarray:
+    """The bitmap of a column of longs (named item), merged natively: 16 bits an item or so, ``most`` bits at most."""
+    bits = min(most, max(1 << 16, 1 << (16 * items.count()).bit_length()))
+    low = F.pmod(F.col("item"), F.lit(bits))
+    words = items.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, int(pmod(item, {bits}) & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    got = words.toArrow()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(words: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Whether a bit of a bitmap is set for each item."""
+    bit = items.view(np.uint64) % np.uint64(len(words) * 64)
+    return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1

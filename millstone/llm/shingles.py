@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millstone.llm.components import components
-from millstone.llm.shared import small_batches, stored
+from millstone.llm.shared import bitmap_of, column_of, in_bitmap, runs, stored
 from millstone.llm.words import NOT_SPACE, Words, mixed, windows, words_of
 
 #: Bits of the bitmap of classes to be read again, at most (16 MiB); fewer classes have a smaller one.
@@ -118,23 +118,6 @@ def entries(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return row[taken], sets.items[taken], need[row[taken]]
 
 
-def in_bitmap(words: np.ndarray, items: np.ndarray) -> np.ndarray:
-    """Whether a bit of a bitmap is set for each item."""
-    bit = items % np.uint64(len(words) * 64)
-    return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-
-
-def bitmap_of(items: DataFrame, most: int = BITMAP_BITS) -> np.ndarray:
-    """The bitmap of a column of longs (named item), merged natively: 16 bits an item or so, ``most`` at most."""
-    bits = min(most, max(1 << 16, 1 << (16 * items.count()).bit_length()))
-    low = F.pmod(F.col("item"), F.lit(bits))
-    words = items.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, int(pmod(item, {bits}) & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    got = words.toArrow()
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.int64).view(np.uint64)
-    return out
-
-
 # --- signature trees -------------------------------------------------------------------
 
 
@@ -415,7 +398,6 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     one task). Counting compares all pairs that the trees leave, where components alone need a few.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     given = _texts(docs, id_col, text_col)
     rows = stored(_classes(given, k), "shingle-classes")
     groups = _groups(given, k, percent)
@@ -447,7 +429,7 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rights = pairs.where("xl <> yl or xs <> ys").select("root", F.col("yl").alias("level"), F.col("ys").alias("salt"), "task", F.lit(True).alias("right"))
     dealt = blocks.join(lefts.unionByName(rights), ["root", "level", "salt"]).select("node", "weight", "root", "task", "right")
 
-    wanted = bitmap_of(members.select(F.col("node").alias("item")))
+    wanted = bitmap_of(members.select(F.col("node").alias("item")), BITMAP_BITS)
     sets = _block_sets(given, k, wanted).groupBy("node").agg(F.first("items").alias("items"))
     work = placed.unionByName(dealt).join(sets, "node").select("task", "root", "right", "node", "weight", "items")
     found = work.repartition("task").sortWithinPartitions("task", "root").mapInArrow(lambda b: _joined(b, percent, count), "u long, v long, links long")

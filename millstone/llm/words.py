@@ -16,7 +16,7 @@ import pyarrow as pa
 from millstone.llm.shared import offsets_of, slices
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -223,19 +223,19 @@ def test_repair_is_lossless_with_random_access():
         for a in range(0, len(ids), 37):
             assert shard.tokens(a, a + 53).tolist() == ids[a : a + 53].tolist()
     assert len(shard.rules) == 0
-    assert len(tokens.repair(np.ones(4096, dtype=np.int32), 10, rules=50)[0]) < 600
+    assert len(tokens.repair(np.ones(4096, dtype=np.int32), 10, rules=50, least=8)[0]) < 600
 
 
 def test_repair_runs_until_no_pair_is_frequent():
     rng = np.random.default_rng(5)
     passage = rng.integers(1, 1000, 500)
     ids = np.concatenate([[*rng.integers(1, 1000, 7), *passage, 0] for _ in range(2000)])
-    seq, rules = tokens.repair(ids, 1000, rules=64_536)
+    seq, rules = tokens.repair(ids, 1000, rules=64_536, least=tokens.worth(2))
     inner = (seq[:-1] != 0) & (seq[1:] != 0)
-    assert np.unique(seq[:-1][inner].astype(np.int64) << 32 | seq[1:][inner], return_counts=True)[1].max() < 8
+    assert np.unique(seq[:-1][inner].astype(np.int64) << 32 | seq[1:][inner], return_counts=True)[1].max() < tokens.worth(2)
     assert len(rules) < 64_536 and len(seq) < 25 * 2000
     # Nonterminals that are fewer than the frequent pairs are all used.
-    assert len(tokens.repair(ids, 1000, rules=400)[1]) == 400
+    assert len(tokens.repair(ids, 1000, rules=400, least=8)[1]) == 400
     shard = tokens.Shard.parse(tokens.packed_shard(ids, np.full(2000, 508), list(range(2000)), 1000))
     assert shard.lengths.max() > 8 and (shard.expanded(0, len(shard.symbols)) == ids).all()
 
@@ -315,7 +315,7 @@ def test_sharding_ranks_as_a_plain_sort(spark):
     out = sharding.interleaved(docs, shards=5, bucket_rows=30).toPandas()
     from pyspark.sql import functions as F
 
-    keyed = docs.select("doc_id", "source", F.xxhash64("doc_id", (F.octet_length("text") + 1).cast("long"), F.crc32(F.col("text").cast("binary")), F.lit(42)).alias("key")).toPandas()
+    keyed = docs.select("doc_id", "source", F.xxhash64("doc_id", (F.octet_length("text") + 1).cast("long"), F.crc32(F.col("text").cast("binary")), F.lit(42), F.lit(0).cast("long")).alias("key")).toPandas()
     keyed["key"] = keyed["key"].astype("int64").to_numpy().view("uint64")
     keyed["r"] = keyed.sort_values("key").groupby("source").cumcount() + 1
     keyed["f"] = (keyed["r"] - 0.5) / keyed.groupby("source")["r"].transform("max")
@@ -507,8 +507,8 @@ def test_forest_recall():
     side -= (side * a).sum(axis=1, keepdims=True) * a
     side /= np.linalg.norm(side, axis=1, keepdims=True)
     b = 0.981 * a + np.sqrt(1 - 0.981**2) * side
-    forest = embeddings.fit(a, 1 << 18, least=0.98)
-    assert forest.depth >= 8
+    forest = embeddings.fit(a, 1 << 19, least=0.98)
+    assert len(forest.centres[0]) >= 64 and len(forest.lower[0]) >= 1
     leaves = []
     for x in (a, b):
         row, leaf = forest.leaves(x)
