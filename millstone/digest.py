@@ -8,10 +8,11 @@ from collections.abc import Iterable
 from typing import Any
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 from millstone import kernel, wire
 from millstone.config import DigestConfig, InvalidTrainingData, bounds, config, probability
-from millstone.schema import FIELDS
+from millstone.schema import FIELDS, precision_of
 
 
 def _numbers(data: Any) -> np.ndarray:
@@ -38,16 +39,24 @@ class Digest:
         return cls(kernel.from_centroids(_numbers(means), _numbers(weights), config(**settings)))
 
     @classmethod
-    def from_row(cls, row: Any) -> Digest:
-        """From a collected digest column; its precision is that of f64 unless told by ``cast_precision``."""
+    def from_row(cls, row: Any, precision: str) -> Digest:
+        """From a value of a collected digest column, whose type alone tells the precision: see ``collected``."""
         if row is None:
-            return cls()
+            return cls(kernel.empty(DigestConfig(precision=precision)))
         x = row.asDict() if hasattr(row, "asDict") else dict(zip(FIELDS, row, strict=True))
         cents = x["centroids"] or []
-        cfg = DigestConfig(x["max_size"], x["scale"], x["policy"], x["pin_per_side"] or 0, x["delta"])
+        cfg = DigestConfig(x["max_size"], x["scale"], x["policy"], x["pin_per_side"] or 0, x["delta"], precision)
         m, w, a = (np.array([c[i] for c in cents]) for i in range(3))
         return cls(kernel.Parts(m.astype(np.float64), w.astype(np.float64), a.astype(bool), x["sum"], x["min"], x["max"], cfg))
 
+    @classmethod
+    def collected(cls, df: DataFrame, digest: str = "digest") -> list[Digest]:
+        """The digests of a frame's column, in the column's precision; the frame must be small."""
+        precision = precision_of(df.schema[digest].dataType)
+        if precision is None:
+            raise ValueError(f"{digest} is no digest column")
+        return [cls.from_row(r[0], precision) for r in df.select(digest).collect()]
+
     @classmethod
     def merge_all(cls, digests: Iterable[Digest]) -> Digest:
         return cls(kernel.merge([d.parts for d in digests]))

@@ -118,13 +118,19 @@ def _quantile_at_udf() -> Callable:
     return of
 
 
-def quantile(digest: Column | str, q: float | list[float] | Column) -> Column:
-    """The value at a share from 0 to 1; a list gives an array. Null for an empty digest."""
+def _as(value: Column, precision: str, array: bool = False) -> Column:
+    """A digest's value in its precision."""
+    kind = "float" if precision == "f32" else "double"
+    return value.cast(f"array<{kind}>" if array else kind)
+
+
+def quantile(digest: Column | str, q: float | list[float] | Column, *, precision: str = "f64") -> Column:
+    """The value at a share from 0 to 1, a float with the precision f32; a list gives an array. Null for an empty digest."""
     if isinstance(q, Column):
-        return _quantile_at_udf()(_col(digest), q.cast("double"))
+        return _as(_quantile_at_udf()(_col(digest), q.cast("double")), precision)
     if isinstance(q, (list, tuple, np.ndarray)):
-        return _quantiles_udf(tuple(probability(float(x)) for x in q))(_col(digest))
-    return _quantile_udf(probability(q))(_col(digest))
+        return _as(_quantiles_udf(tuple(probability(float(x)) for x in q))(_col(digest)), precision, array=True)
+    return _as(_quantile_udf(probability(q))(_col(digest)), precision)
 
 
 @lru_cache(maxsize=1)
@@ -136,9 +142,9 @@ def _median_udf() -> Callable:
     return of
 
 
-def median(digest: Column | str) -> Column:
-    """The median; null for an empty digest."""
-    return _median_udf()(_col(digest))
+def median(digest: Column | str, *, precision: str = "f64") -> Column:
+    """The median, a float with the precision f32; null for an empty digest."""
+    return _as(_median_udf()(_col(digest)), precision)
 
 
 @lru_cache(maxsize=256)
@@ -150,9 +156,9 @@ def _trimmed_udf(lower: float, upper: float) -> Callable:
     return of
 
 
-def trimmed_mean(digest: Column | str, lower: float, upper: float) -> Column:
-    """Mean of the weight between two shares; null for an empty digest."""
-    return _trimmed_udf(*bounds(lower, upper))(_col(digest))
+def trimmed_mean(digest: Column | str, lower: float, upper: float, *, precision: str = "f64") -> Column:
+    """Mean of the weight between two shares, a float with the precision f32; null for an empty digest."""
+    return _as(_trimmed_udf(*bounds(lower, upper))(_col(digest)), precision)
 
 
 @lru_cache(maxsize=1)
@@ -372,10 +378,17 @@ def _decode_udf(precision: str) -> Callable:
     return of
 
 
-def from_bytes(blob: Column | str, precision: str = "f64") -> Column:
-    """The digest of each row's bytes; its precision is part of the type and is verified."""
+def from_bytes(blob: Column | str, precision: str = "f64", *, of: DataFrame | None = None) -> Column:
+    """The digest of each row's bytes; its precision is part of the type and is verified.
+
+    ``auto`` reads the headers of all blobs of the frame ``of`` first, in any mixture of versions; blobs of
+    both precisions are an error.
+    """
+    if precision == "auto" and of is not None:
+        kinds = of.select(_col(blob).alias("blob"))
+        return _decode_udf(infer_column_precision(kinds, "blob"))(_col(blob))
     if precision not in ("f32", "f64"):
-        raise ValueError("a column of digests is f32 or f64; infer_column_precision tells which")
+        raise ValueError("a column of digests is f32 or f64; auto needs the frame to read, as of=")
     return _decode_udf(precision)(_col(blob))
 
 

@@ -235,30 +235,30 @@ def from_centroids(means: np.ndarray, weights: np.ndarray, cfg: DigestConfig, *,
     return _stored(Parts(means, weights, kind, float((means * weights).sum()), low, high, cfg))
 
 
-def merge(digests: list[Parts], *, strict: bool = True) -> Parts:
-    """One digest of all, in one pass, so their order does not matter.
+def merge(digests: list[Parts], *, strict: bool = True, copies: list[int] | None = None) -> Parts:
+    """One digest of all, in one pass, so their order does not matter. ``copies``: how often each counts.
 
     Empty digests only lend their settings where all are empty. Digests of different precisions
     never merge, empty ones included. Strict: other settings that differ are an error as well; else
     the first non-empty digest's hold.
     """
-    kinds = {d.config.precision for d in digests}
-    if len(kinds) > 1 and strict:
+    if strict and len({d.config.precision for d in digests}) > 1:
         raise IncompatibleMerge("digests differ in precision: f32 and f64; cast_precision makes precisions equal")
-    full = [d for d in digests if len(d)]
+    times = [1] * len(digests) if copies is None else copies
+    full = [(d, n) for d, n in zip(digests, times, strict=True) if len(d)]
     if not full:
         return empty(digests[0].config) if digests else empty()
-    cfg = full[0].config
+    cfg = full[0][0].config
     if strict:
-        for d in full[1:]:
+        for d, _ in full[1:]:
             if found := cfg.differences(d.config):
                 raise IncompatibleMerge("digests differ in " + "; ".join(found) + ("; cast_precision makes precisions equal" if "precision" in found[0] else ""))
-    if len(full) == 1:
-        return full[0]
-    out = compress(
-        np.concatenate([d.means for d in full]), np.concatenate([d.weights for d in full]), np.concatenate([d.atomic for d in full]), cfg, low=min(d.min for d in full), high=max(d.max for d in full)
-    )
-    return replace(out, sum=float(sum(d.sum for d in full)))
+    if len(full) == 1 and full[0][1] == 1:
+        return full[0][0]
+    means, atomic = np.concatenate([d.means for d, _ in full]), np.concatenate([d.atomic for d, _ in full])
+    weights = np.concatenate([d.weights * n for d, n in full])
+    out = compress(means, weights, atomic, cfg, low=min(d.min for d, _ in full), high=max(d.max for d, _ in full))
+    return replace(out, sum=float(sum(d.sum * n for d, n in full)))
 
 
 def add(d: Parts, values: np.ndarray, weights: np.ndarray | None = None) -> Parts:

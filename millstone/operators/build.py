@@ -1,20 +1,24 @@
-"""Digests per group.
+"""Digests per group, and digests merged per group.
 
-``histogram``: equal values are summed before anything is lost, so ``groupBy(keys,
-value).count()``, with its map-side combine, spilling and generated code, gives the kernel
-exactly what sorting all rows would, one call per group. The digest is the same for any
-partitioning of the input. A group's distinct values must fit one task.
+``histogram`` (the default, at every size): equal values are summed before anything is lost, so
+``groupBy(keys, value).count()``, with its map-side combine, spilling and generated code, gives
+the kernel exactly what sorting all rows would. The digest is the same for any partitioning of
+the input. A group's distinct values must fit one task.
+
+``hashed``: values are dealt to a fixed number of shards by a hash, each shard is a histogram,
+and shard digests are merged. Rows are shuffled twice; a task holds a shard of a group; the
+result does not depend on partitioning.
 
 ``partial``: every task digests its own rows, group by group, and only digests are shuffled:
-no row ever is. Digests merge ``FAN`` at a time, so no task holds more than a fan of them.
-Where values are few or the digest holds them all, the result is the histogram's; else it
-depends, within a digest's accuracy, on how the input is partitioned.
+no row ever is. Where values are few or the digest holds them all, the result is the
+histogram's; else it depends, within a digest's accuracy, on how the input is partitioned.
 
-``hashed``: values are dealt to shards by a hash, each shard is a histogram, and shard
-digests are merged. Rows are shuffled twice; the result does not depend on partitioning.
+Merging sorts a group's digests by a hash of their contents, counts equal ones, and merges in one
+pass up to ``FAN`` different ones; of more, ``FAN`` at a time are merged before the rest follow.
+A group's digests are first dealt to ``SALTS`` tasks, which merge only where one of them holds
+more than ``FAN``, so no task holds more than a fan and the result depends on the digests alone.
 
-``auto`` takes the histogram, however many rows there are; only ``shards`` above 1, given by
-the caller, make it partial digests.
+Planning runs no job.
 """
 
 from __future__ import annotations
@@ -24,18 +28,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millstone import functions as M
 from millstone import kernel, schema
 from millstone.config import DigestConfig, config
 from millstone.functions.columns import _build_udf, _merge_udf
 from millstone.schema import precision_of
 
-#: Rows of a shard; shards merged by a task at once.
-SHARD_ROWS = 4_000_000
-FAN = 256
+#: Digests merged at once; tasks that a group's digests are dealt to; hash shards of a group by default.
+FAN, SALTS, HASH_SHARDS = 256, 32, 64
 
 
 def _checked(value: Column, cfg: DigestConfig) -> Column:
@@ -61,11 +63,6 @@ def _one_row(made: DataFrame, alias: str, cfg: DigestConfig) -> DataFrame:
     return made.unionAll(made.sparkSession.createDataFrame([(row,)], schema)).agg(_merge_udf(cfg.precision, True)(F.col(alias)).alias(alias))
 
 
-def shards_of(df: DataFrame, shard_rows: int) -> int:
-    """Shards for a number of rows."""
-    return df.count() // shard_rows + 1
-
-
 MODES = ("auto", "histogram", "partial", "hashed")
 
 
@@ -78,48 +75,125 @@ def digest_by(
     alias: str = "digest",
     mode: str = "auto",
     shards: int | None = None,
-    shard_rows: int = SHARD_ROWS,
     max_size: int | None = None,
     **settings: object,
 ) -> DataFrame:
     """One row per group: the keys and the digest of ``value``. Without keys one row, also for an empty input.
 
-    ``shards`` is the number of digests that are merged to one at most; by default the modes partial and
-    hashed take it from the number of rows, which is counted.
+    ``shards``: of the mode hashed, the hash shards of a group (a fixed number by default). With the mode
+    auto, more than one asks for partial digests.
     """
     cfg = config(max_size, **settings)
     if mode not in MODES:
         raise ValueError(f"a mode is one of {', '.join(MODES)}; got {mode!r}")
     if not keys:
-        one = digest_by(df.withColumn("__all", F.lit(0)), ["__all"], value, weight, alias=alias, mode=mode, shards=shards, shard_rows=shard_rows, max_size=max_size, **settings)
+        one = digest_by(df.withColumn("__all", F.lit(0)), ["__all"], value, weight, alias=alias, mode=mode, shards=shards, max_size=max_size, **settings)
         return _one_row(one.select(alias), alias, cfg)
     if mode == "auto":
         mode = "partial" if shards is not None and shards > 1 else "histogram"
-    if mode != "histogram" and shards is None:
-        shards = shards_of(df, shard_rows)
     x = _checked(F.col(value) if isinstance(value, str) else value, cfg)
     w = F.lit(1.0) if weight is None else _weighed(F.col(weight) if isinstance(weight, str) else weight)
     keys = list(keys)
     rows = df.select(*keys, x.alias("__value"), w.alias("__weight"))
     if mode == "partial":
-        made = _partial(rows, keys, cfg).withColumn("__shard", F.pmod(F.spark_partition_id(), F.lit(shards)))
-        return _merged(made, keys, shards, cfg, alias)
+        return _merged(_partial(rows, keys, cfg), keys, cfg.precision, alias)
     build = _build_udf(cfg)
     points = rows.groupBy(*keys, "__value").agg(F.sum("__weight").alias("__weight"))
     if mode == "histogram":
         return points.groupBy(*keys).agg(build(F.col("__value"), F.col("__weight")).alias(alias))
-    points = points.withColumn("__shard", F.pmod(F.xxhash64("__value"), F.lit(shards)))
+    points = points.withColumn("__shard", F.pmod(F.xxhash64("__value"), F.lit(shards or HASH_SHARDS)))
     made = points.groupBy(*keys, "__shard").agg(build(F.col("__value"), F.col("__weight")).alias("__digest"))
-    return _merged(made, keys, shards, cfg, alias)
+    return _merged(made.drop("__shard"), keys, cfg.precision, alias)
 
 
-def _merged(made: DataFrame, keys: list[str], shards: int, cfg: DigestConfig, alias: str, strict: bool = True) -> DataFrame:
-    """Merge ``__digest`` over ``__shard`` 0 to ``shards`` - 1, ``FAN`` shards at a time."""
-    merge = _merge_udf(cfg.precision, strict)
-    while shards > FAN:
-        shards = -(-shards // FAN)
-        made = made.withColumn("__shard", F.floor(F.col("__shard") / FAN)).groupBy(*keys, "__shard").agg(merge(F.col("__digest")).alias("__digest"))
-    return made.groupBy(*keys).agg(merge(F.col("__digest")).alias(alias))
+def _codes(column: pa.Array) -> np.ndarray:
+    """Numbers that are equal where a key column's values are; null is a value."""
+    if pa.types.is_nested(column.type):
+        column = pa.array(list(map(repr, column.to_pylist())))
+    return column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
+def _fans(batches: Iterator[pa.RecordBatch], keys: list[str], precision: str, strict: bool, last: bool) -> Iterator[pa.RecordBatch]:
+    """keys, __digest, __copies of rows in order of keys and digests: groups of more than ``FAN`` different digests shrink; the last pass leaves one each.
+
+    Null digests are left out; a group of nothing else has one empty digest.
+    """
+    n = len(keys)
+    held: list[kernel.Parts] = []
+    copies: list[int] = []
+    content_of_last: int | None = None
+    now: tuple | None = None
+    names: list[pa.Scalar] = []
+    done: list[tuple[list[pa.Scalar], kernel.Parts, int]] = []
+
+    def close() -> None:
+        rows, times = held or [kernel.empty(DigestConfig(precision=precision))], copies or [1]
+        if last:
+            rows, times = [kernel.merge(rows, strict=strict, copies=times)], [1]
+        done.extend((names, d, k) for d, k in zip(rows, times, strict=True))
+
+    def out() -> pa.RecordBatch:
+        columns = [pa.array([x[0][i].as_py() for x in done], done[0][0][i].type) for i in range(n)]
+        made = pa.RecordBatch.from_arrays([*columns, schema.write([x[1] for x in done], precision), pa.array([x[2] for x in done], pa.int64())], [*keys, "__digest", "__copies"])
+        done.clear()
+        return made
+
+    for batch in batches:
+        changed = np.zeros(len(batch), dtype=bool)
+        changed[:1] = True
+        for i in range(n):
+            code = _codes(batch.column(i))
+            changed[1:] |= code[1:] != code[:-1]
+        valid = batch.column(n).is_valid().to_pylist()
+        times, content = batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist()
+        for i, digest in enumerate(schema.read(batch.column(n))):
+            if changed[i]:
+                key = tuple(repr(batch.column(j)[i].as_py()) for j in range(n))
+                if key != now:
+                    if now is not None:
+                        close()
+                        if len(done) >= 2 * FAN:
+                            yield out()
+                    held, copies, content_of_last, now = [], [], None, key
+                    names = [batch.column(j)[i] for j in range(n)]
+            if not valid[i]:
+                continue
+            if content[i] == content_of_last and _alike(held[-1], digest):
+                copies[-1] += times[i]
+                continue
+            if len(held) >= FAN:
+                held, copies = [kernel.merge(held, strict=strict, copies=copies)], [1]
+            held.append(digest)
+            copies.append(times[i])
+            content_of_last = content[i]
+    if now is not None:
+        close()
+        yield out()
+
+
+def _alike(a: kernel.Parts, b: kernel.Parts) -> bool:
+    """Whether two digests are equal in settings and content."""
+    if a.config != b.config or len(a) != len(b) or (len(a) and (a.sum, a.min, a.max) != (b.sum, b.min, b.max)):
+        return False
+    return all(np.array_equal(getattr(a, x), getattr(b, x)) for x in ("means", "weights", "atomic"))
+
+
+def _merged(made: DataFrame, keys: list[str], precision: str, alias: str, strict: bool = True) -> DataFrame:
+    """One row per group of ``made`` (keys, __digest), its digests merged."""
+    for k in keys:
+        if made.schema[k].dataType.typeName() in ("float", "double"):
+            # -0.0 and 0.0 are one key, as in any aggregate.
+            made = made.withColumn(k, F.col(k) + F.lit(0).cast(made.schema[k].dataType))
+    kinds = ", ".join(f"`{k}` {made.schema[k].dataType.simpleString()}" for k in keys)
+    to = f"{kinds}, __digest {schema.ddl(precision)}, __copies long"
+    content = F.xxhash64("__digest").alias("__content")
+    # Null digests may go anywhere: any number of them is one.
+    salt = F.when(F.col("__digest").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.pmod(F.xxhash64("__digest", F.lit(1)), F.lit(SALTS)))
+    dealt = made.select(*keys, "__digest", F.lit(1).cast("long").alias("__copies"), content, salt.alias("__salt"))
+    order = [*keys, "__content", "__copies"]
+    few = dealt.repartition(*keys, "__salt").sortWithinPartitions(*keys, "__salt", "__content").drop("__salt").mapInArrow(lambda b: _fans(b, keys, precision, strict, False), to)
+    ready = few.withColumn("__content", F.xxhash64("__digest")).repartition(*keys).sortWithinPartitions(*order)
+    return ready.mapInArrow(lambda b: _fans(b, keys, precision, strict, True), to).select(*keys, F.col("__digest").alias(alias))
 
 
 #: Values of a group that wait for the next compression; centroids that a task keeps before it hands its digests on.
@@ -156,11 +230,8 @@ def _partial(rows: DataFrame, keys: list[str], cfg: DigestConfig) -> DataFrame:
             values, weights = np.asarray(batch.column(n_keys)), np.asarray(batch.column(n_keys + 1))
             code = np.zeros(len(batch), dtype=np.int64)
             for i in range(n_keys):
-                column = batch.column(i)
-                if pa.types.is_nested(column.type):
-                    column = pa.array(list(map(repr, column.to_pylist())))
-                codes = column.dictionary_encode(null_encoding="encode")
-                _, code = np.unique(code * (len(codes.dictionary) + 1) + codes.indices.to_numpy(), return_inverse=True)
+                codes = _codes(batch.column(i))
+                _, code = np.unique(code * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)
             order = np.argsort(code, kind="stable")
             for rows_of in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else ():
                 names = [batch.column(i)[int(rows_of[0])].as_py() for i in range(n_keys)]
@@ -187,40 +258,32 @@ def _partial(rows: DataFrame, keys: list[str], cfg: DigestConfig) -> DataFrame:
 
 
 def merge_by(df: DataFrame, keys: Sequence[str], digest: str = "digest", *, alias: str = "digest", strict: bool = True) -> DataFrame:
-    """One row per group: its digests merged, ``FAN`` at a time. Null digests count as empty."""
+    """One row per group: its digests merged. Null digests count as empty."""
     precision = precision_of(df.schema[digest].dataType)
     if precision is None:
         raise ValueError(f"{digest} is no digest column")
-    cfg = DigestConfig(precision=precision)
     if not keys:
         one = merge_by(df.withColumn("__all", F.lit(0)), ["__all"], digest, alias=alias, strict=strict)
-        return _one_row(one.select(alias), alias, cfg)
-    bounded_batches(df.sparkSession)
-    shards = df.count() // FAN + 1
-    keys = list(keys)
-    spread = F.xxhash64(*[F.col(digest)[x] for x in ("sum", "count", "min", "max")])
-    made = df.select(*keys, F.col(digest).alias("__digest"), F.pmod(spread, F.lit(shards)).alias("__shard"))
-    if shards > 1:
-        made = made.groupBy(*keys, "__shard").agg(M.merge_tdigests("__digest", precision=precision, strict=strict).alias("__digest"))
-    return _merged(made, keys, shards, cfg, alias, strict)
+        return _one_row(one.select(alias), alias, DigestConfig(precision=precision))
+    return _merged(df.select(*keys, F.col(digest).alias("__digest")), list(keys), precision, alias, strict)
 
 
 def rollup_by(df: DataFrame, keys: Sequence[str], value: Column | str, *, cube: bool = False, alias: str = "digest", **settings: object) -> DataFrame:
-    """Digests of all grouping sets of a rollup (or cube): built once at the finest grain, then merged ``FAN`` at a time.
+    """Digests of all grouping sets of a rollup (or cube): built once at the finest grain, then merged.
 
     ``level`` is the grouping id.
     """
     keys = list(keys)
-    bounded_batches(df.sparkSession)
     finest = digest_by(df, keys, value, alias="__digest", **settings)
     precision = precision_of(finest.schema["__digest"].dataType) or "f64"
-    shards = df.select(*keys).distinct().count() // FAN + 1
-    finest = finest.withColumn("__shard", F.pmod(F.xxhash64(*keys), F.lit(shards)))
     sets = [list(c) for n in range(len(keys), -1, -1) for c in combinations(keys, n)] if cube else [keys[:n] for n in range(len(keys), -1, -1)]
-    grouped = finest.groupingSets([[F.col(k) for k in (*some, "__shard")] for some in sets], *keys, "__shard")
-    # The shard is in every set, so it is the last bit of the grouping id and always 0.
-    made = grouped.agg(F.shiftright(F.grouping_id(), 1).cast("int").alias("level"), M.merge_tdigests("__digest", precision=precision).alias("__digest"))
-    return _merged(made, [*keys, "level"], shards, DigestConfig(precision=precision), alias)
+    kind = {k: finest.schema[k].dataType for k in keys}
+    rows = []
+    for some in sets:
+        level = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in some)
+        rows.append(F.struct(*[(F.col(k) if k in some else F.lit(None).cast(kind[k])).alias(k) for k in keys], F.lit(level).alias("level")))
+    spread = finest.select(F.explode(F.array(*rows)).alias("__set"), "__digest").select(*[F.col("__set")[k].alias(k) for k in [*keys, "level"]], "__digest")
+    return _merged(spread, [*keys, "level"], precision, alias)
 
 
 def with_digest(df: DataFrame, keys: Sequence[str], value: Column | str, *, alias: str = "digest", **settings: object) -> DataFrame:
@@ -232,8 +295,3 @@ def with_digest(df: DataFrame, keys: Sequence[str], value: Column | str, *, alia
     for i, k in enumerate(keys):
         same = same & df[k].eqNullSafe(other[f"__key{i}"])
     return df.join(other, same, "left").drop(*[f"__key{i}" for i in range(len(keys))])
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound an Arrow batch by bytes: a digest may take 25 kB, and a batch ten thousand rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))

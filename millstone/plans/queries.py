@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millstone import functions as M
-from millstone.operators import cdf_by, digest_by, merge_by, quantiles_by, rollup_by, with_digest
+from millstone.operators import cdf_by, cdf_column, digest_by, merge_by, quantiles_by, rollup_by, with_digest
 from millstone.plans import sql
 from millstone.sources import read_digest_files, read_values, write_digest_files
 from millstone.streaming import running_digests, windowed_points
@@ -44,8 +44,12 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or local where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millstone-")
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or local where that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="millstone-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -136,24 +140,102 @@ def from_centroid_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- settings --------------------------------------------------------------------------
 
 
-def _settings_query(name: str, **settings: object) -> None:
-    """Quantiles of few distinct values are the same for every scale and policy."""
+def _mode_query(mode: str, **settings: object) -> None:
+    """Quantiles of few distinct values, which no way of building changes."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(quantiles_by(_by_flag(spark, sf_dir, **settings), PROBES), "value")
+        return _rounded(quantiles_by(_by_flag(spark, sf_dir, mode=mode, **settings), PROBES), "value")
 
-    run.__name__ = name
+    run.__name__ = f"quantiles_{mode}"
     query(sql.quantiles("lineitem", FLAGS, "l_quantity", PROBES))(run)
 
 
-for _scale in ("quad", "k1", "k3"):
-    _settings_query(f"quantiles_scale_{_scale}", scale=_scale)
-_settings_query("quantiles_policy_off", singleton_policy="off")
-_settings_query("quantiles_policy_edges", singleton_policy="edges", pin_per_side=5)
-_settings_query("quantiles_max_size_100", max_size=100)
-_settings_query("quantiles_f32", precision="f32")
-_settings_query("quantiles_hashed", mode="hashed", shards=300)
-_settings_query("quantiles_partial", mode="partial", shards=300)
+_mode_query("hashed", shards=300)
+_mode_query("partial")
+
+
+@query("SELECT l_returnflag, l_linestatus, q, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 4) AS value FROM (" + sql.quantiles("lineitem", FLAGS, "l_quantity", PROBES) + ")")
+def quantiles_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of f32 digests, whose quantiles are floats."""
+    got = quantiles_by(_by_flag(spark, sf_dir, precision="f32"), PROBES)
+    return got.withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
+# --- blended digests: far more distinct values than centroids ---------------------------
+
+SIZE = 200
+
+
+def _points(value: str = "CAST(l_extendedprice AS DOUBLE)", weight: str = "1", key: str = "l_returnflag") -> str:
+    return f"WITH src AS (SELECT {key} AS k, {value} AS m, CAST(sum({weight}) AS DOUBLE) AS w, true AS a FROM lineitem GROUP BY k, m),\n"
+
+
+def _prices(spark: SparkSession, sf_dir: str, weight: str | None = None, **settings: object) -> DataFrame:
+    sized = settings if "delta" in settings else {"max_size": SIZE} | settings
+    return digest_by(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", weight, **sized)
+
+
+def _clusters(digests: DataFrame) -> DataFrame:
+    """Centroids one by one. Means are moved a little before rounding: many lie halfway between two decimals."""
+    out = digests.select("l_returnflag", F.inline("digest.centroids"))
+    return out.select("l_returnflag", F.round(F.col("mean").cast("double") + 0.000000123, 6).alias("mean"), F.col("weight").cast("double").alias("weight"), "atomic")
+
+
+def _blended_query(name: str, oracle: str, weight: str | None = None, **settings: object) -> None:
+    """All centroids of a digest that has to blend, by scale, policy, delta, weight or precision."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _clusters(_prices(spark, sf_dir, weight, **settings))
+
+    run.__name__ = name
+    query(f"{oracle}\n{sql.clusters('l_returnflag')}")(run)
+
+
+for _scale in sql.SCALES:
+    _blended_query(f"blended_{_scale}", _points() + sql.blended("src", SIZE, _scale), scale=_scale)
+_blended_query("blended_off", _points() + sql.blended("src", SIZE, policy="off"), singleton_policy="off")
+_blended_query("blended_edges", _points() + sql.blended("src", SIZE, policy="edges", pin=5), singleton_policy="edges", pin_per_side=5)
+_blended_query("blended_delta", _points() + sql.delta_clusters("src", 100.0), delta=100.0)
+_blended_query("blended_weighted", _points(weight="l_quantity") + sql.blended("src", SIZE), weight="l_quantity")
+_F32 = "f AS (SELECT k, CAST(CAST(m AS FLOAT) AS DOUBLE) AS m, w, a FROM d)\n" + sql.clusters("l_returnflag", "f")
+
+
+@query(_points("CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE)") + sql.blended("src", SIZE) + ",\n" + _F32)
+def blended_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(_prices(spark, sf_dir, precision="f32"))
+
+
+@query(_points() + sql.blended("src", SIZE) + "\n" + sql.clusters("l_returnflag"))
+def blended_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids of both kinds through bytes and back."""
+    return _clusters(_prices(spark, sf_dir).select("l_returnflag", M.from_bytes(M.to_bytes("digest")).alias("digest")))
+
+
+@query(
+    _points(key="l_returnflag || l_linestatus || month(l_shipdate)")
+    + sql.blended("src", SIZE, name="part")
+    + ",\nboth_ AS (SELECT k[1] AS k, m, sum(w) AS w, bool_and(a) AS a FROM part GROUP BY 1, 2),\n"
+    + sql.blended("both_", SIZE)
+    + "\n"
+    + sql.clusters("l_returnflag")
+)
+def blended_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blended digests by flag, status and month, merged by flag in one pass."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("month", F.month("l_shipdate"))
+    return _clusters(merge_by(digest_by(rows, [*FLAGS, "month"], "l_extendedprice", max_size=SIZE), ["l_returnflag"]))
+
+
+@query(sql.blended_quantiles(_points() + sql.blended("src", SIZE), "l_returnflag", PROBES))
+def blended_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(quantiles_by(_prices(spark, sf_dir), PROBES), "value")
+
+
+PRICES = [0.0, 950.5, 5000.0, 25_000.25, 70_000.0, 104_000.0, 200_000.0]
+
+
+@query(sql.blended_cdfs(_points() + sql.blended("src", SIZE), "l_returnflag", PRICES))
+def blended_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(cdf_by(_prices(spark, sf_dir), PRICES), "share")
 
 
 @query(sql.k1_clusters("lineitem", "l_returnflag", "l_extendedprice", 1000))
@@ -163,35 +245,26 @@ def k1_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("l_returnflag", F.inline("digest.centroids")).select("l_returnflag", F.round(F.col("mean") + 0.0000123, 4).alias("mean"), "weight")
 
 
-def _rank_errors(spark: SparkSession, sf_dir: str, tolerance: float, **settings: object) -> DataFrame:
-    """Per probe: whether the share of rows at or below the estimate is within the tolerance."""
-    rows = table(spark, sf_dir, "lineitem")
-    got = quantiles_by(digest_by(rows, ["l_returnflag"], "l_extendedprice", **settings), PROBES)
-    probes = got.groupBy("l_returnflag").agg(F.collect_list(F.struct("q", "value")).alias("p"))
-    below = [F.avg((F.col("l_extendedprice") <= F.element_at("p", i + 1)["value"]).cast("double")).alias(f"s{i}") for i in range(len(PROBES))]
-    ranks = rows.join(F.broadcast(probes), "l_returnflag").groupBy("l_returnflag").agg(F.first("p").alias("p"), *below)
-    checked = F.array(*[F.struct(F.element_at("p", i + 1)["q"].alias("q"), (F.abs(F.col(f"s{i}") - F.element_at("p", i + 1)["q"]) <= tolerance).alias("close")) for i in range(len(PROBES))])
-    return ranks.select("l_returnflag", F.inline(checked))
-
-
-_CLOSE = f"SELECT l_returnflag, q, true AS close FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES {', '.join(f'(CAST({q} AS DOUBLE))' for q in PROBES)}) t(q)"
+def _rank_query(name: str, oracle: str, **settings: object) -> None:
+    """Per probe the share of rows at or below the estimate, which is what a digest's accuracy is measured by."""
 
-
-def _rank_query(name: str, tolerance: float, **settings: object) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rank_errors(spark, sf_dir, tolerance, **settings)
+        rows = table(spark, sf_dir, "lineitem")
+        got = _rounded(quantiles_by(_prices(spark, sf_dir, **settings), PROBES), "value")
+        probes = got.groupBy("l_returnflag").agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("p"))
+        below = [F.avg((F.col("l_extendedprice").cast("double") <= F.element_at("p", i + 1)["value"]).cast("double")).alias(f"s{i}") for i in range(len(PROBES))]
+        ranks = rows.select("l_returnflag", "l_extendedprice").join(probes, "l_returnflag").groupBy("l_returnflag").agg(*below)
+        listed = F.array(*[F.struct(F.lit(q).alias("q"), F.round(F.col(f"s{i}"), 6).alias("share")) for i, q in enumerate(PROBES)])
+        return ranks.select("l_returnflag", F.inline(listed))
 
     run.__name__ = name
-    query(_CLOSE)(run)
+    estimates = sql.blended_quantiles(_points() + oracle, "l_returnflag", PROBES)
+    query(f"SELECT l_returnflag, q, round(avg(CASE WHEN CAST(l_extendedprice AS DOUBLE) <= value THEN 1.0 ELSE 0 END), 6) AS share FROM lineitem JOIN ({estimates}) USING (l_returnflag) GROUP BY ALL")(run)
 
 
-_rank_query("rank_error_k2", 0.002)
-_rank_query("rank_error_k3", 0.002, scale="k3")
-_rank_query("rank_error_quad", 0.002, scale="quad")
-_rank_query("rank_error_delta", 0.005, delta=300.0)
-_rank_query("rank_error_hashed", 0.004, mode="hashed", shards=300)
-_rank_query("rank_error_partial", 0.004, mode="partial")
-_rank_query("rank_error_off", 0.002, singleton_policy="off")
+for _scale in ("k2", "k3", "quad"):
+    _rank_query(f"rank_error_{_scale}", sql.blended("src", SIZE, _scale), scale=_scale)
+_rank_query("rank_error_delta", sql.delta_clusters("src", 100.0), delta=100.0)
 
 
 @query(f"SELECT l_returnflag, {_STATS.format(v='l_extendedprice')} FROM lineitem GROUP BY ALL")
@@ -287,10 +360,36 @@ _OVER = (
 
 @query(_OVER)
 def joined_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its brand's share, which is worked out once a brand and joined: a number goes with each row, not a digest."""
+    parts = table(spark, sf_dir, "part")
+    shares = digest_by(parts, ["p_brand"], "p_size").select("p_brand", M.cdf("digest", 20.0).alias("share"))
+    return _rounded(parts.select("p_partkey", "p_brand").join(shares, "p_brand").select("p_partkey", "share"), "share")
+
+
+@query(_OVER)
+def with_its_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row with its brand's digest, by a join."""
     return _rounded(with_digest(table(spark, sf_dir, "part"), ["p_brand"], "p_size").select("p_partkey", M.cdf("digest", 20.0).alias("share")), "share")
 
 
+@query(
+    "SELECT p_partkey, round(avg(CASE WHEN s < p_size THEN 1.0 WHEN s = p_size THEN 0.5 ELSE 0 END), 6) AS share FROM"
+    " (SELECT p_partkey, p_size, unnest(list(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS 9 PRECEDING)) AS s FROM part) GROUP BY p_partkey"
+)
+def over_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's size among the last ten of its brand, by a digest of a sliding frame."""
+    last = Window.partitionBy("p_brand").orderBy("p_partkey").rowsBetween(-9, 0)
+    d = table(spark, sf_dir, "part").select("p_partkey", "p_size", M.tdigest("p_size").over(last).alias("digest"))
+    return _rounded(d.select("p_partkey", M.cdf("digest", F.col("p_size")).alias("share")), "share")
+
+
+@query("SELECT p_partkey, round((SELECT avg(CASE WHEN a.p_size < p.p_size THEN 1.0 WHEN a.p_size = p.p_size THEN 0.5 ELSE 0 END) FROM part a WHERE a.p_size > 10), 6) AS share FROM part p")
+def column_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of values against one digest."""
+    parts = table(spark, sf_dir, "part")
+    return _rounded(cdf_column(parts.select("p_partkey", "p_size"), "p_size", digest_by(parts.where("p_size > 10"), [], "p_size"), alias="share").select("p_partkey", "share"), "share")
+
+
 @query(_OVER)
 def over_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The aggregate over a window: every row has its brand's digest."""
@@ -418,7 +517,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def keep(batch: DataFrame, number: int) -> None:
         day = F.to_utc_timestamp("window.start", F.current_timezone()).cast("timestamp_ntz")
-        made = digest_by(batch.withColumn("day", day), ["day", "event_type"], "value", "n", shards=1)
+        made = digest_by(batch.withColumn("day", day), ["day", "event_type"], "value", "n")
         made.write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
 
     points.writeStream.outputMode("append").option("checkpointLocation", mark).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
@@ -429,10 +528,9 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- merged copies ---------------------------------------------------------------------
 
 
-@query("SELECT CAST(round(5 / 3.0, 6) AS DOUBLE) AS value, 16.0::DOUBLE AS n")
+@query(sql.quantiles("region", [], "r_regionkey", [0.1, 0.5, 0.9], weight="4.0"))
 def merged_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four copies of the digest of 3, 3, 1, 0, merged: merging is explicit, a row function acts on its row."""
-    d = digest_by(spark.createDataFrame([(3.0,), (3.0,), (1.0,), (0.0,)], "x double"), [], "x", shards=1)
-    m = merge_by(d.crossJoin(spark.range(4)), [])
-    return _rounded(m.select(M.quantile("digest", 0.5).alias("value"), F.col("digest.count").alias("n")), "value")
-
+    """Four copies of a digest, merged: merging is explicit, a row function acts on its row."""
+    d = digest_by(table(spark, sf_dir, "region"), [], "r_regionkey")
+    copies = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    return _rounded(quantiles_by(merge_by(copies, []), [0.1, 0.5, 0.9]), "value")

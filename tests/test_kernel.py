@@ -142,16 +142,17 @@ def test_clusters_equal_the_greedy_rule():
 
 
 def test_accuracy_of_the_mixture():
-    """Pinned errors of a like sample: 100,000 values, size 1000, quad."""
+    """Pinned errors of a like sample (its draws are not the pinned one's, so the score has a wider tolerance): 100,000 values, size 1000, quad."""
     values = np.sort(mixture(100_000))
     d = Digest.from_array(values, max_size=1000, scale="quad")
     grid = np.linspace(values[0], values[-1], 1001)
     exact = (np.searchsorted(values, grid, "left") + np.searchsorted(values, grid, "right")) / 2 / len(values)
     error = np.abs(np.array(d.cdf(list(grid))) - exact)
-    assert error.max() <= 1.6834e-3 + 5e-4 and error.mean() <= 4.2745e-5 + 5e-5
+    assert error.max() <= 1.6834e-3 + 5e-4 and error.mean() <= 4.2745e-5 + 5e-6
+    assert np.exp(-(1200 * error.mean() + 18 * error.max())) >= 0.92165 - 5e-3
     q = np.arange(1, 1000) / 1000
     off = np.abs(np.array(d.quantile(list(q))) - np.quantile(values, q))
-    assert off.mean() <= 3.6e-5 + 5e-4
+    assert off.max() <= 7.2614e-4 + 5e-4 and off.mean() <= 3.6059e-5 + 5e-6
 
 
 def test_merge():
