@@ -46,9 +46,13 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
-    """Runs of rows with equal first ``n_keys`` columns (whole numbers or booleans without nulls) of rows in their order."""
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int, most: int | None = None) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """Runs of rows with equal first ``n_keys`` columns (whole numbers or booleans without nulls) of rows in their order.
+
+    A run of more than ``most`` bytes comes in parts.
+    """
     held: list[pa.RecordBatch] = []
+    size = 0
     now: tuple[int, ...] | None = None
     for batch in batches:
         if not len(batch):
@@ -57,12 +61,13 @@ def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple
         cut = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [len(batch)]))
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             key = tuple(keys[:, a].tolist())
-            if key != now and now is not None:
+            if held and (key != now or (most is not None and size > most)):
                 yield now, pa.Table.from_batches(held)
-                held = []
+                held, size = [], 0
             now = key
             held.append(batch.slice(a, b - a))
-    if now is not None:
+            size += held[-1].nbytes
+    if held:
         yield now, pa.Table.from_batches(held)
 
 

@@ -5,18 +5,23 @@ lies between ASCII white space, A-Z lower-cased); with fewer words the whole seq
 element; without words the set is empty and links with nothing. Two documents link when
 100 * |intersection| >= percent * |union|. Nothing about a link is estimated.
 
-1. Equal sets are one class; from here on only classes are compared.
+1. One pass over the texts writes, per row, a 128-bit name of its set, and the elements that may
+   have to be counted. Equal sets are one class, named by its place in a written table; from here
+   on only classes are compared.
 2. Classes that could link share an element among the first |set| - ceil(0.8 |set|) + 1 of
    any one global order of elements (prefix filter: no link is lost). The order is: elements
    with a hash in the lowest third, by the number of sets that hold them, then the others by
-   hash. So only that third is counted (one shuffle of elements), elements of one set alone
-   drop out at once, and passages that many documents share come last. Sharing is recorded
-   as stars, never as pairs, and connected components of it are the groups in which every
-   link lies.
-3. Groups are dealt into blocks bounded by elements and by rows. Blocks are the upper nodes
-   of the tree: those of a group whose size ranges allow a link are paired. A small group
-   is one block.
-4. Within a pair of blocks, signature trees: a leaf's signature is the bitmap of its
+   hash. So only that third is counted, with a combination before the shuffle; of what one set alone
+   holds nothing else is shuffled, as a bitmap of shared elements (16 MiB at most) keeps it back; and
+   passages that many documents share come last. Sharing is recorded as stars, never as pairs, and
+   connected components of it are the groups in which every link lies.
+3. A group within the bounds of a block is one task, and several small ones share a task. A larger
+   group is dealt into blocks by size level and by the smallest element, which sets that link mostly
+   share. Blocks are the upper nodes of the trees: each has the OR of its sets' bitmaps and its
+   range of sizes. A block's sets, as leaves, are held against the upper nodes of other blocks of
+   fitting sizes, and go on to a block only if their elements in its bitmap are enough for a link with
+   a set of its sizes; the sets of two blocks never meet otherwise.
+4. Within a block, signature trees: a leaf's signature is the bitmap of its
    elements, an inner node holds the OR of its children's bitmaps, the range of set sizes
    and the largest excess of elements over bits. A dual traversal of both trees drops node
    pairs whose largest possible overlap, popcount(AND) + the smaller excess, is below what
@@ -27,7 +32,8 @@ element; without words the set is empty and links with nothing. Two documents li
 
 Nulls: a null text has an empty set; rows with a null id take part and are never a
 component's name unless all its rows have none. Repeated rows are one class. Empty tables
-give empty results. Other columns are not read.
+give empty results. Other columns are not read, whatever their names. A long text is one set, made
+by one task in some 60 bytes of arrays per byte of it, and held with its block in eight bytes an element.
 """
 
 from __future__ import annotations
@@ -37,11 +43,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from millstone.llm.components import components
-from millstone.llm.shared import bitmap_of, column_of, in_bitmap, runs, stored
+from millstone.llm.shared import bitmap_of, column_of, in_bitmap, offsets_of, runs, stored
 from millstone.llm.words import NOT_SPACE, Words, mixed, windows, words_of
 
 #: Bits of the bitmap of classes to be read again, at most (16 MiB); fewer classes have a smaller one.
@@ -50,6 +57,8 @@ BITMAP_BITS = 1 << 27
 COUNTED = (1 << 64) // 3
 #: Elements and rows of a block at most, in expectation.
 BLOCK_ELEMENTS, BLOCK_ROWS = 1 << 18, 1024
+#: Bits of a block's bitmap: twice its elements, so that less than half of them are set.
+NODE_BITS = 1 << 19
 FANOUT = 8
 
 
@@ -64,15 +73,22 @@ class Sets:
     def sizes(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def nodes(self) -> np.ndarray:
-        """A 64-bit name of each row's set; 0 where it is empty."""
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """A 128-bit name of each row's set, as two longs; 0 where it is empty."""
         n = self.sizes
-        out = np.zeros(len(n), dtype=np.uint64)
         full = np.flatnonzero(n)
+        out = np.zeros((2, len(n)), dtype=np.uint64)
         if len(full):
-            total = np.add.reduceat(mixed(self.items ^ np.uint64(0x5851F42D4C957F2D)), self.first[:-1][full])
-            out[full] = mixed(total + n[full].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-        return out
+            for half, salt in zip(out, (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)), strict=True):
+                total = np.add.reduceat(mixed(self.items ^ salt), self.first[:-1][full])
+                half[full] = mixed(total + n[full].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        return out[0].view(np.int64), out[1].view(np.int64)
+
+    def packed(self, rows: np.ndarray, stop: np.ndarray) -> pa.Array:
+        """The bytes of the first ``stop`` elements of some rows."""
+        raw = self.items.tobytes()
+        begin = 8 * self.first[rows]
+        return pa.array([raw[a : a + 8 * n] for a, n in zip(begin.tolist(), stop.tolist(), strict=True)], pa.binary())
 
 
 def sets_of(words: Words, k: int) -> Sets:
@@ -102,8 +118,8 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-def entries(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What is counted of each set: (row, element, need) of its counted elements, and of as many more as its prefix has beyond them.
+def counted_run(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, need) of each row: how many of its first elements are counted, or may be in its prefix beyond these.
 
     ``need`` is the prefix's length less the number of counted elements; with ``q`` of these held by
     other sets as well, the prefix has the ``need + q`` least frequent of them (if that is positive).
@@ -112,10 +128,8 @@ def entries(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     row = np.repeat(np.arange(len(n)), n)
     counted = np.bincount(row[sets.items < np.uint64(COUNTED)], minlength=len(n))
     need = np.where(n > 0, prefix_length(n, percent), 0) - counted
-    place = np.arange(len(row)) - np.repeat(sets.first[:-1], n)
     # Items are sorted, so the counted ones and the first beyond them are a run from the start.
-    taken = place < np.repeat(counted + np.maximum(need, 0), n)
-    return row[taken], sets.items[taken], need[row[taken]]
+    return np.minimum(counted + np.maximum(need, 0), n), need
 
 
 # --- signature trees -------------------------------------------------------------------
@@ -283,171 +297,257 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _classes(given: DataFrame, k: int) -> DataFrame:
-    """doc_id, node, n (set size) of every row."""
+def _rows(given: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of every row: doc_id, text_name, h1, h2 (its set's name), n, low (the smallest element), need, run (the counted elements, once per set that a task meets)."""
     kind = given.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_name", "h1", "h2", "n", "low", "need", "run"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
         for batch in batches:
             for words in words_of(batch.column(1), NOT_SPACE):
                 sets = sets_of(words, k)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(words.rows.start, len(words.rows)), pa.array(sets.nodes().view(np.int64)), pa.array(sets.sizes, pa.int64())], ["doc_id", "node", "n"]
-                )
-
-    return given.mapInArrow(run, f"doc_id {kind}, node long, n long")
-
-
-def _fresh(nodes: np.ndarray, done: set[int], wanted: np.ndarray) -> list[int]:
+                h1, h2 = sets.names()
+                fresh = _fresh(h1, h2, done, np.flatnonzero(sets.sizes))
+                stop, need = counted_run(sets, percent)
+                low = np.zeros(len(h1), dtype=np.int64)
+                full = np.flatnonzero(sets.sizes)
+                low[full] = sets.items[sets.first[:-1][full]].view(np.int64)
+                where = np.full(len(h1), -1)
+                where[fresh] = np.arange(len(fresh))
+                runs_of = sets.packed(fresh, stop[fresh]).take(pa.array(where, mask=where < 0))
+                own = [batch.column(i).slice(words.rows.start, len(words.rows)) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(h1), pa.array(h2), pa.array(sets.sizes, pa.int64()), pa.array(low), pa.array(need, pa.int32()), runs_of], names)
+
+    named = given.select("doc_id", "text", F.xxhash64("text").alias("text_name"))
+    return named.mapInArrow(run, f"doc_id {kind}, text_name long, h1 long, h2 long, n long, low long, need int, run binary")
+
+
+def _fresh(h1: np.ndarray, h2: np.ndarray, done: set[tuple[int, int]], wanted: np.ndarray) -> np.ndarray:
     """Rows among ``wanted`` whose set this task has not met yet. What it remembers is bounded."""
     out = []
-    for i in wanted.tolist():
-        if (node := int(nodes[i])) not in done:
-            done.add(node)
+    for i, name in zip(wanted.tolist(), zip(h1[wanted].tolist(), h2[wanted].tolist(), strict=True), strict=True):
+        if name not in done:
+            done.add(name)
             out.append(i)
-    if len(done) > 1_000_000:
+    if len(done) > 500_000:
         done.clear()
-    return out
-
-
-def _some(sets: Sets, rows: list[int]) -> Sets:
-    n = sets.sizes[rows]
-    stop = np.cumsum(n)
-    total = int(stop[-1]) if len(stop) else 0
-    return Sets(sets.items[np.arange(total) + np.repeat(sets.first[rows] - (stop - n), n)], np.concatenate(([0], stop)))
+    return np.array(out, dtype=np.int64)
 
 
-def _groups(given: DataFrame, k: int, percent: int) -> DataFrame:
-    """node, root: groups of classes that share prefix elements, wherever a group has two."""
+def _elements(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """key, set (h1), need of the counted elements; only of those in a bitmap, if there is one."""
+    mask = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
         for batch in batches:
-            for words in words_of(batch.column(1), NOT_SPACE):
-                sets = sets_of(words, k)
-                nodes = sets.nodes()
-                rows = _fresh(nodes, done, np.flatnonzero(nodes))
-                row, items, need = entries(_some(sets, rows), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(items.view(np.int64)), pa.array(nodes[rows][row].view(np.int64)), pa.array(need, pa.int32())], ["key", "node", "need"])
-
-    found = given.mapInArrow(run, "key long, node long, need int")
-    # Keys of one row are of no use to anyone; the number of rows orders the rest.
-    often = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    shared = found.withColumn("often", often).where("often > 1").distinct()
-    # Unsigned order: whether the key is among the counted.
-    counted = F.when(F.col("key") >= 0, F.col("key") < COUNTED).otherwise(F.lit(False))
-    shared = shared.withColumn("counted", counted)
-    of_node = Window.partitionBy("node")
-    place = F.row_number().over(of_node.orderBy(F.col("counted").desc(), "often", "key"))
-    q = F.sum(F.col("counted").cast("int")).over(of_node)
-    keys = shared.withColumn("place", place).withColumn("q", q).where(~F.col("counted") | (F.col("place") <= F.col("need") + F.col("q"))).select("key", "node")
-    least = F.min("node").over(Window.partitionBy("key"))
-    return components(keys.withColumn("least", least).where("node <> least").select("node", "least"), "shingle-groups")
+            at = offsets_of(batch.column(2)) // 8
+            keys = np.frombuffer(batch.column(2).buffers()[2], dtype=np.int64)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(len(batch)), np.diff(at))
+            if mask is not None:
+                some = in_bitmap(mask.value, keys)
+                keys, row = keys[some], row[some]
+            for a in range(0, len(keys), 50_000):
+                own = pa.array(row[a : a + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000]), batch.column(0).take(own), batch.column(1).take(own)], ["key", "set", "need"])
+
+    return rows.where("run is not null").select("h1", "need", "run").mapInArrow(run, "key long, set long, need int")
 
 
-def _block_sets(given: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
-    """node, items (packed) of the classes in a bitmap, once per task that meets one."""
+def _groups(rows: DataFrame) -> DataFrame:
+    """node, root: groups of sets (by h1) that share prefix elements, wherever a group has two.
+
+    Sets whose 64-bit names clash only make a group larger: links are told apart by classes.
+    """
+    # Keys of one set are of no use to anyone; the number of rows orders the rest.
+    counts = _elements(rows).groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.min("set").alias("least"), F.max("set").alias("most"))
+    shared = stored(counts.where("least <> most").select("key", "often"), "shingle-shared")
+    found = _elements(rows, bitmap_of(shared.select(F.col("key").alias("item")), BITMAP_BITS))
+    # Unsigned order: whether the key is among the counted.
+    counted = F.when(F.col("key") >= 0, F.col("key") < COUNTED).otherwise(F.lit(False))
+    found = found.join(shared, "key").distinct().withColumn("counted", counted)
+    of_set = Window.partitionBy("set")
+    place = F.row_number().over(of_set.orderBy(F.col("counted").desc(), "often", "key"))
+    q = F.sum(F.col("counted").cast("int")).over(of_set)
+    in_prefix = ~F.col("counted") | (F.col("place") <= F.col("need") + F.col("q"))
+    keys = stored(found.withColumn("place", place).withColumn("q", q).where(in_prefix).select("key", "set"), "shingle-keys")
+    middle = keys.groupBy("key").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least <> most").select("key", "least")
+    return components(keys.join(middle, "key").where("set <> least").select("set", "least"), "shingle-groups")
+
+
+def _member_sets(given: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
+    """h1, h2, items (packed) of the sets of the texts in a bitmap of names, once per task that meets one."""
     mask = given.sparkSession.sparkContext.broadcast(wanted)
 
+    @arrow_udf("boolean")
+    def perhaps(names: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(mask.value, np.asarray(names)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        done: set[tuple[int, int]] = set()
         for batch in batches:
-            for words in words_of(batch.column(1), NOT_SPACE):
+            for words in words_of(batch.column(0), NOT_SPACE):
                 sets = sets_of(words, k)
-                nodes = sets.nodes()
-                if fresh := _fresh(nodes, done, np.flatnonzero((nodes != 0) & in_bitmap(mask.value, nodes))):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(nodes[fresh].view(np.int64)), pa.array([sets.items[sets.first[i] : sets.first[i + 1]].tobytes() for i in fresh], pa.binary())], ["node", "items"]
-                    )
-
-    return given.mapInArrow(run, "node long, items binary")
+                h1, h2 = sets.names()
+                fresh = _fresh(h1, h2, done, np.flatnonzero(sets.sizes))
+                if len(fresh):
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[fresh]), pa.array(h2[fresh]), sets.packed(fresh, sets.sizes[fresh])], ["h1", "h2", "items"])
+
+    some = given.withColumn("name", F.xxhash64("text")).where(perhaps(F.col("name"))).select("text")
+    return some.mapInArrow(run, "h1 long, h2 long, items binary").groupBy("h1", "h2").agg(F.first("items").alias("items"))
+
+
+def _sets_in(column: pa.Array) -> Sets:
+    """Sets from their packed elements."""
+    at = offsets_of(column) // 8
+    raw = column.buffers()[2]
+    items = np.frombuffer(raw, dtype=np.uint64)[at[0] : at[-1]] if raw is not None and at[-1] > at[0] else np.zeros(0, np.uint64)
+    return Sets(items, at - at[0])
+
+
+def _upper_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """task, root, low, high, bitmap of each block: the OR of its sets' bitmaps and their sizes."""
+    for (task, root), table in runs(batches, 2):
+        sets = _sets_in(column_of(table, "items"))
+        bits = np.zeros(NODE_BITS // 8, dtype=np.uint8)
+        at = sets.items & np.uint64(NODE_BITS - 1)
+        np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        low, high = int(sets.sizes.min()), int(sets.sizes.max())
+        yield pa.RecordBatch.from_pylist([{"task": task, "root": root, "low": low, "high": high, "bitmap": bits.tobytes()}], schema=_UPPER)
+
+
+_UPPER = pa.schema([("task", pa.int64()), ("root", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("bitmap", pa.binary())])
+
+
+def _passing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Sets that go on to another block: rows sorted by task hold a block's sets, then the upper nodes of others that they are held against."""
+    own: pa.Table | None = None
+    block = None
+    for (task, root, node_too), table in runs(batches, 3):
+        if not node_too:
+            own, block = table, task
+            sets = _sets_in(column_of(own, "items"))
+            places = sets.items & np.uint64(NODE_BITS - 1)
+            byte, bit = (places >> np.uint64(3)).astype(np.int64), np.uint8(1) << (places & np.uint64(7)).astype(np.uint8)
+            n = sets.sizes
+            continue
+        if task != block:
+            continue
+        for other, low, high, bitmap in zip(*(column_of(table, c).to_pylist() for c in ("other", "low", "high", "items")), strict=True):
+            inside = (np.frombuffer(bitmap, dtype=np.uint8)[byte] & bit) != 0
+            most = np.add.reduceat(inside.astype(np.int64), sets.first[:-1])
+            # The smallest set of the block that could link, and the overlap that it asks for.
+            least = np.maximum(low, -(-n * percent // 100))
+            on = np.flatnonzero((100 * n >= percent * low) & (percent * n <= 100 * high) & ((100 + percent) * most >= percent * (n + least)))
+            if len(on):
+                chosen = own.take(pa.array(on)).combine_chunks()
+                yield from pa.table(
+                    {"task": pa.array(np.full(len(on), other)), "root": pa.array(np.full(len(on), root)), "arrived": pa.array(np.ones(len(on), dtype=bool))} | {c: chosen.column(c) for c in ("node", "weight", "items")}
+                ).to_batches()
 
 
 def _joined(batches: Iterator[pa.RecordBatch], percent: int, count: bool) -> Iterator[pa.RecordBatch]:
-    """Links of each pair of blocks (task, root together), streamed from rows sorted by them: u, its star's middle v, links."""
-    held: list[tuple[int, bool, bytes, int]] = []
-    now = None
+    """Links within each block and with sets that have come to it, from rows sorted by (task, root, arrived): u, its star's middle v, links."""
+    own: pa.Table | None = None
+    block = None
 
-    def found() -> Iterator[pa.RecordBatch]:
-        if len(held) < 2:
+    def links_of(left: pa.Table, right: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        both = left if right is None else pa.concat_tables([left, right])
+        if len(both) < 2:
             return
-        arrays = [np.frombuffer(x[2], dtype=np.uint64) for x in held]
-        sets = Sets(np.concatenate(arrays), np.concatenate(([0], np.cumsum([len(x) for x in arrays]))))
-        right = np.array([x[1] for x in held])
-        rows = np.arange(len(held))
-        weight = np.array([x[3] for x in held], dtype=np.int64) if count else None
-        label, links = tree_join(sets, rows[~right], rows[right] if right.any() else None, percent, weight)
+        rows = np.arange(len(both))
+        weight = column_of(both, "weight").to_numpy()
+        label, links = tree_join(_sets_in(column_of(both, "items")), rows[: len(left)], None if right is None else rows[len(left) :], percent, weight if count else None)
         other = np.flatnonzero((label != rows) | (links > 0))
         if len(other):
-            names = np.array([x[0] for x in held], dtype=np.int64)
+            names = column_of(both, "node").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(names[label[other]]), pa.array(links[other])], ["u", "v", "links"])
 
-    for batch in batches:
-        for task, root, right, node, weight, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (task, root) != now:
-                yield from found()
-                held, now = [], (task, root)
-            held.append((node, right, items, weight))
-    yield from found()
+    for (task, root, arrived), table in runs(batches, 3, 16 * BLOCK_ELEMENTS):
+        here = table.select(["node", "weight", "items"])
+        if arrived:
+            if block == (task, root):
+                yield from links_of(here, own)
+            continue
+        if block == (task, root):
+            # A block over the bound comes in parts: each meets those before it.
+            yield from links_of(here, own)
+            yield from links_of(here, None)
+            own = pa.concat_tables([own, here])
+        else:
+            own, block = here, (task, root)
+            yield from links_of(own, None)
 
 
-def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, count: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): doc_id, node, n of every row; and u, v, links of linked nodes: v is the middle of u's star in a task.
+def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, count: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, links): doc_id, h1, h2, n of every row; node, h1, h2, weight, least (id) of every class; and u, v, links of linked classes: v is the middle of u's star in a task.
 
     ``count``: links hold how many rows of other sets u's sets link with in a task (every pair meets in
     one task). Counting compares all pairs that the trees leave, where components alone need a few.
     """
     spark = docs.sparkSession
     given = _texts(docs, id_col, text_col)
-    rows = stored(_classes(given, k), "shingle-classes")
-    groups = _groups(given, k, percent)
-    roots_too = groups.select("node", "root").unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    members = stored(rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("weight")).join(roots_too, "node"), "shingle-members")
-    # Blocks: sizes within a quarter of each other lie in one level or in neighbouring ones.
-    level = F.floor(F.log(1.25, F.col("n"))).cast("int")
-    members = members.withColumn("level", level)
+    rows = stored(_rows(given, k, percent), "shingle-rows")
+    classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("n").alias("n"), F.min("low").alias("low"), F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"), F.min("text_name").alias("text_name"))
+    # Named in the written table, so every reader sees the same names, and no two classes share one.
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
+    groups = _groups(rows)
+    roots_too = groups.select(F.col("node").alias("h1"), "root").unionByName(groups.select(F.col("root").alias("h1"), "root").distinct())
+    members = stored(classes.join(roots_too, "h1").select("node", "h1", "h2", "n", "low", "weight", "text_name", "root"), "shingle-members")
+    sets = _member_sets(given, k, bitmap_of(members.select(F.col("text_name").alias("item")), BITMAP_BITS))
+
     of_group = members.groupBy("root").agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("rows"))
     small = (F.col("elements") <= BLOCK_ELEMENTS) & (F.col("rows") <= BLOCK_ROWS)
     total = of_group.agg(F.sum("elements")).first()[0] or 0
     bins = int(total // BLOCK_ELEMENTS) + spark.sparkContext.defaultParallelism
-    placed = members.join(of_group.where(small).select("root"), "root").select("node", "weight", "root", F.pmod(F.xxhash64("root"), F.lit(bins)).alias("task"), F.lit(False).alias("right"))
-
-    big = of_group.where(~small).select("root")
-    cells = members.join(big, "root").groupBy("root", "level").agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("rows"))
-    cells = cells.withColumn("salts", F.ceil(F.greatest(F.col("elements") / BLOCK_ELEMENTS, F.col("rows") / BLOCK_ROWS)).cast("int"))
-    blocks = members.join(cells.select("root", "level", "salts"), ["root", "level"]).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.col("salts")).cast("int"))
-    nodes = cells.select("root", "level", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    ranges = blocks.groupBy("root", "level", "salt").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    nodes = nodes.join(ranges, ["root", "level", "salt"])
-    x, y = nodes.alias("x"), nodes.alias("y")
-    fits = (F.col("x.root") == F.col("y.root")) & ((F.col("x.level") < F.col("y.level")) | ((F.col("x.level") == F.col("y.level")) & (F.col("x.salt") <= F.col("y.salt"))))
-    pairs = x.join(y, fits & (100 * F.col("x.high") >= percent * F.col("y.low"))).select(
-        F.col("x.root").alias("root"), F.col("x.level").alias("xl"), F.col("x.salt").alias("xs"), F.col("y.level").alias("yl"), F.col("y.salt").alias("ys")
-    )
-    pairs = pairs.withColumn("task", F.xxhash64("root", "xl", "xs", "yl", "ys"))
-    lefts = pairs.select("root", F.col("xl").alias("level"), F.col("xs").alias("salt"), "task", F.lit(False).alias("right"))
-    rights = pairs.where("xl <> yl or xs <> ys").select("root", F.col("yl").alias("level"), F.col("ys").alias("salt"), "task", F.lit(True).alias("right"))
-    dealt = blocks.join(lefts.unionByName(rights), ["root", "level", "salt"]).select("node", "weight", "root", "task", "right")
-
-    wanted = bitmap_of(members.select(F.col("node").alias("item")), BITMAP_BITS)
-    sets = _block_sets(given, k, wanted).groupBy("node").agg(F.first("items").alias("items"))
-    work = placed.unionByName(dealt).join(sets, "node").select("task", "root", "right", "node", "weight", "items")
-    found = work.repartition("task").sortWithinPartitions("task", "root").mapInArrow(lambda b: _joined(b, percent, count), "u long, v long, links long")
-    return rows, stored(found, "shingle-links")
+    here = ["task", "root", "arrived", "node", "weight", "items"]
+    placed = members.join(of_group.where(small).select("root"), "root").withColumn("task", F.pmod(F.xxhash64("root"), F.lit(bins))).withColumn("arrived", F.lit(False))
+    work = placed.join(sets, ["h1", "h2"]).select(*here)
+
+    large = of_group.where(~small).select("root")
+    if not large.isEmpty():
+        blocks = stored(_blocks(members.join(large, "root")).join(sets, ["h1", "h2"]).select("task", "root", "node", "weight", "items"), "shingle-blocks")
+        upper = blocks.repartition("task").sortWithinPartitions("task", "root").mapInArrow(_upper_nodes, "task long, root long, low long, high long, bitmap binary")
+        upper = stored(upper, "shingle-upper")
+        x, y = upper.drop("bitmap").alias("x"), upper.alias("y")
+        fits = (F.col("x.root") == F.col("y.root")) & (F.col("x.task") < F.col("y.task")) & (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
+        none = F.lit(None).cast("long")
+        against = x.join(y, fits).select("x.task", "x.root", F.lit(True).alias("node_too"), none.alias("node"), none.alias("weight"), F.col("y.bitmap").alias("items"), F.col("y.task").alias("other"), "y.low", "y.high")
+        held = blocks.select("task", "root", F.lit(False).alias("node_too"), "node", "weight", "items", none.alias("other"), none.alias("low"), none.alias("high"))
+        tested = held.unionByName(against).repartition("task").sortWithinPartitions("task", "root", "node_too")
+        arrived = tested.mapInArrow(lambda b: _passing(b, percent), "task long, root long, arrived boolean, node long, weight long, items binary")
+        work = work.unionByName(blocks.withColumn("arrived", F.lit(False)).select(*here)).unionByName(arrived)
+    found = work.repartition("task").sortWithinPartitions("task", "root", "arrived").mapInArrow(lambda b: _joined(b, percent, count), "u long, v long, links long")
+    return rows, classes, stored(found, "shingle-links")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """``members`` with ``task``: blocks of a group by size level (sizes within a quarter) and smallest element, cut again where such a cell is too large."""
+    leveled = members.withColumn("level", F.floor(F.log(1.25, F.col("n"))).cast("int"))
+
+    def cut(rows: DataFrame, by: list[str], name: str, of: Column) -> DataFrame:
+        sizes = rows.groupBy(*by).agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("rows"))
+        many = sizes.select(*by, F.ceil(F.greatest(F.col("elements") / BLOCK_ELEMENTS, F.col("rows") / BLOCK_ROWS)).cast("int").alias("many"))
+        return rows.join(many, by).withColumn(name, F.pmod(of, F.col("many")).cast("int")).drop("many")
+
+    slotted = cut(leveled, ["root", "level"], "slot", F.xxhash64("low"))
+    salted = cut(slotted, ["root", "level", "slot"], "salt", F.xxhash64("node", F.lit(5)))
+    return salted.withColumn("task", F.xxhash64("root", "level", "slot", "salt"))
 
 
 def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, count: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; with ``count`` also n_links, the other rows that it links with."""
-    rows, links = jaccard_links(docs, id_col=id_col, text_col=text_col, k=k, percent=percent, count=count)
+    rows, classes, links = jaccard_links(docs, id_col=id_col, text_col=text_col, k=k, percent=percent, count=count)
     found = components(links.select("u", "v"), "shingle-components")
-    full = rows.where("n > 0").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # Written, so that the join below has a shuffle on either side and a large component's rows can be split.
-    least = stored(full.groupBy("root").agg(F.min("doc_id").alias("component_id")), "shingle-least")
-    out = full.join(least, "root").select("node", "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    full = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = stored(full.groupBy("root").agg(F.min("least").alias("component_id")), "shingle-least")
+    of_class = full.join(least, "root").select("node", "h1", "h2", "component_id", "weight")
+    if count:
+        to_others = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+        of_class = of_class.join(to_others, "node", "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("links", F.lit(0)))
+    names = ["component_id", "n_links"] if count else ["component_id"]
+    # Written, so that the join below has a shuffle on either side and a large class's rows can be split.
+    of_class = stored(of_class.select("h1", "h2", *names), "shingle-counts")
+    out = rows.where("n > 0").join(of_class, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), *names)
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    if not count:
-        return out.drop("node").unionByName(empty)
-    copies = rows.where("n > 0").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("copies"))
-    to_others = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    per_node = stored(copies.join(to_others, "node", "left").select("node", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links")), "shingle-counts")
-    return out.join(per_node, "node").drop("node").unionByName(empty.withColumn("n_links", F.lit(0).cast("long")))
+    return out.unionByName(empty.withColumn("n_links", F.lit(0).cast("long")) if count else empty)
