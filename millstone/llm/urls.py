@@ -13,26 +13,34 @@ the filter lets more false hits through and results stay the same, because every
 hit goes to an exact join on the key, which settles it. Lookups of a URL are its host
 suffixes times the path lengths that rules have, and the whole URL.
 
+Rules up to ``LITERAL_RULES`` are looked up in a map that the plan holds, where the page is read; more of
+them go through the filter and the join as well. Only pages that the filter lets through are
+shuffled, by their key; all others are judged where they are read.
+
 Null URLs and URLs without ``://`` have an empty host and path: no rule fits, and they are
 allowed. Repeated URLs are judged row by row; a hot URL or host only meets the listed side,
-which holds each key once. An empty list allows everything.
+which holds each key once. An empty list allows everything; an empty table of pages gives no
+rows. Other columns are not read, whatever their names. A long URL costs its number of host labels
+times the path lengths of the rules in keys, each at most as long as the URL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 #: 64-bit words of a block; bits set per key; keys per block aimed at (16 bits a key).
 WORDS, BITS, KEYS = 8, 8, 32
 #: Blocks of a filter at most: 16 MiB.
 MAX_BLOCKS = 1 << 18
-#: Rules that are broadcast at most.
-BROADCAST_RULES = 50_000
+#: Rules that are looked up in a literal map, and that are broadcast to a join, at most.
+LITERAL_RULES, BROADCAST_RULES = 200, 50_000
 
 
 def url_host(url: Column) -> Column:
@@ -97,40 +105,55 @@ def judged(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None,
     ``rules``: host, path, verdict (allow or block). ``listed``: host, path of blocked pages.
     The longest fitting rule decides; without one, a listed URL is blocked and any other allowed.
     """
-    spark = pages.sparkSession
     lengths = [r[0] for r in rules.select(F.length("path").alias("n")).distinct().orderBy("n").collect()]
     ruled = rules.select(_key("rule", F.col("host"), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), F.col("verdict").alias("said")).dropDuplicates(["key"])
-    none = F.lit(None).cast("string")
-    paged = ruled.limit(0) if listed is None else listed.select(_key("page", F.col("host"), F.col("path")).alias("key")).distinct().select("key", none.alias("rule"), F.lit("block").alias("said"))
-    entries = ruled.unionByName(paged)
-    bloom = spark.sparkContext.broadcast(bloom_of(entries.select("key"), max_blocks))
-
-    @F.pandas_udf("array<string>")
-    def possible(keys: pd.Series, hashes: pd.Series) -> pd.Series:
-        sizes = np.array([len(x) for x in hashes], dtype=np.int64)
-        flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in hashes]) if len(hashes) else np.zeros(0, np.int64)
-        might = bloom.value.might(flat)
-        ends = np.cumsum(sizes)
-        return pd.Series([[k for k, m in zip(ks, might[e - n : e], strict=True) if m] for ks, n, e in zip(keys, sizes, ends, strict=True)])
-
     given = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     labels = F.split("host", r"\.", -1)
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     nothing = F.array().cast("array<string>")
     stems = F.array_compact(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])) if lengths else nothing
     looked = F.flatten(F.transform(hosts, lambda h: F.transform(stems, lambda p: _key("rule", h, p))))
-    keys = F.when(F.col("host") == "", nothing).otherwise(F.concat(looked, F.array(_key("page", F.col("host"), F.col("path")))))
-    hits = given.withColumn("keys", keys).withColumn("key", F.explode(possible("keys", F.transform("keys", lambda k: F.xxhash64(k))))).drop("keys")
-    # Only possible hits meet the entries, which hold each key once. Many URLs meet few rules: those are
-    # broadcast if their number is within bounds; listed URLs are joined by key.
-    by_rule, by_page = hits.where(F.col("key").startswith("rule")), hits.where(F.col("key").startswith("page"))
-    few = ruled.count() <= BROADCAST_RULES
-    found = by_rule.join(F.broadcast(ruled) if few else ruled, "key").unionByName(by_page.join(paged, "key")).select("page_id", "host", "path", "rule", "said", F.lit(0).alias("n"))
-    # A page's row comes again, with or without a hit.
+    keys = F.when(F.col("host") == "", nothing).otherwise(looked)
+    few = ruled.limit(LITERAL_RULES + 1).collect()
+    if len(few) <= LITERAL_RULES:
+        known = {r.key: (r.rule, r.said) for r in few}
+        at = F.create_map(*[F.lit(x) for k, v in known.items() for x in (k, v[0])]) if known else F.lit(None).cast("map<string,string>")
+        by_rule = F.create_map(*[F.lit(x) for _, v in known.items() for x in v]) if known else F.lit(None).cast("map<string,string>")
+        fitting = F.array_compact(F.transform(keys, lambda k: at[k]))
+        longest = F.array_max(F.transform(fitting, lambda r: F.struct(F.length(r).alias("n"), r.alias("rule"))))["rule"]
+        best = given.withColumn("rule", longest).withColumn("said", by_rule[F.col("rule")])
+    else:
+        best = _ruled_by_join(given.withColumn("keys", keys), ruled, max_blocks)
+    out = ["page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "listed"]
+    if listed is None:
+        return best.withColumn("listed", F.lit(False)).select(*out)
+    paged = listed.select(_key("page", F.col("host"), F.col("path")).alias("key")).distinct().withColumn("on", F.lit(True))
+    might = _filter(paged, max_blocks)
+    marked = best.withColumn("key", _key("page", F.col("host"), F.col("path"))).withColumn("might", (F.col("host") != "") & might(F.xxhash64("key")))
+    there = marked.where("might").join(paged, "key", "left").withColumn("listed", F.coalesce("on", F.lit(False)))
+    return marked.where(~F.col("might")).withColumn("listed", F.lit(False)).select(*out).unionByName(there.select(*out))
+
+
+def _filter(keys: DataFrame, max_blocks: int) -> Callable[[Column], Column]:
+    """Whether a key's hash might be among the listed keys, as a column function."""
+    bloom = keys.sparkSession.sparkContext.broadcast(bloom_of(keys.select("key"), max_blocks))
+
+    @arrow_udf("boolean")
+    def might(hashes: pa.Array) -> pa.Array:
+        return pa.array(bloom.value.might(np.asarray(hashes)))
+
+    return might
+
+
+def _ruled_by_join(given: DataFrame, ruled: DataFrame, max_blocks: int) -> DataFrame:
+    """page_id, host, path, rule, said of every page by many rules: possible hits meet the rules in an exact join."""
+    might = _filter(ruled, max_blocks)
+    none = F.lit(None).cast("string")
     rows = given.select("page_id", "host", "path", none.alias("rule"), none.alias("said"), F.lit(1).alias("n"))
+    hits = given.withColumn("key", F.explode("keys")).drop("keys").where(might(F.xxhash64("key")))
+    found = hits.join(F.broadcast(ruled) if ruled.count() <= BROADCAST_RULES else ruled, "key").select("page_id", "host", "path", "rule", "said", F.lit(0).alias("n"))
+    # A page's row comes again, with or without a hit; equal rows are counted.
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule"), F.col("rule").alias("rule"), F.col("said").alias("said"))))
-    on_list = F.max((F.col("rule").isNull() & F.col("said").isNotNull()).cast("int")) == 1
-    per = rows.unionByName(found).groupBy("page_id", "host", "path").agg(best.alias("best"), on_list.alias("listed"), F.sum("n").alias("n"))
-    verdict = F.coalesce(F.col("best.said"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
-    out = per.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "listed", F.explode(F.expr("array_repeat(0, int(n))")).alias("copy"))
-    return out.drop("copy")
+    per = rows.unionByName(found).groupBy("page_id", "host", "path").agg(best.alias("best"), F.sum("n").alias("n"))
+    again = per.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.said").alias("said"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    return again.drop("copy")
