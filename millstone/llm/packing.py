@@ -2,35 +2,50 @@
 
 Pieces (texts, or parts of texts longer than the largest length) are packed longest first.
 A piece goes to the open bin that it leaves the least room in. Where none holds it, a bin
-is opened: of the permitted lengths that hold the piece, the one with the least cost per
-token that it can be expected to take, which is its length or, near the end, all that is
-left to pack; so the lengths are chosen jointly, not each by itself. In the end each bin is
-downsized to the smallest permitted length that holds its contents, and costs that.
+is opened. For each permitted length that holds the piece, a trial fills such a bin from all that
+is left to pack, longest first, and takes its cost, downsized to what it got, per token. The
+cheapest length is opened, so the lengths are chosen jointly, by what there is to fill them with: a
+long bin is opened only if its saving is not eaten by room that nothing is left for. In the end
+each bin is downsized to the smallest permitted length that holds its contents, and costs that.
 
-The cost of a bin of length c is c + ``overhead`` + ``quadratic`` * c * c: tokens computed,
-a fixed cost a sequence, and attention.
+The cost of a bin of length c is c + ``overhead`` + c * c / (6 * ``width``): a transformer layer of a
+width does 24 * width * width operations a token for its matrices and 4 * width * c for attention over
+c tokens, so the latter is c / (6 * width) of the former; the overhead is a fixed cost a sequence, in
+tokens.
 
 Rows are dealt by a hash of (id, length, copy) into packs of about ``pack_rows`` rows, each
 packed alone by one task in bounded memory; only ids and lengths are shuffled. What a pack
 loses against packing all at once is its last bins, a few of thousands. Bins are named
 (pack, bin).
 
+``write_sequences`` packs texts and writes the packed sequences: a row per bin with its tokens
+(byte-level: UTF-8 bytes and ``END`` after each text), where each piece begins, and which text it is
+of. Texts are grouped by id and a 128-bit hash, so repeated rows are one text with several copies, and
+each text is joined to its pieces; Spark splits a hot text's pieces. ``read_pieces`` reads them back.
+
 Every token of every row lies in exactly one bin: longer texts are cut at the largest
-length, and their pieces keep ``start``. A row of length 0 (a null or empty text) has one
-piece of length 0, in a bin like any other. Null ids and repeated rows take part; equal
-rows are told apart by ``copy``, from 0. Empty tables give no rows.
+length, and their pieces keep ``start``. A row of length 0 has one piece of length 0, in a bin like
+any other (a null or empty text has its end token). Null ids and repeated rows take part; equal
+rows are told apart by ``copy``, from 0. Other columns are not read, whatever their names. Empty
+tables give no rows. A long text is one row of pieces; its tokens are held by the task that cuts it, three
+times over.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millstone.llm.shared import column_of, copies_of, offsets_of, runs, scratch
 
 
 LENGTHS = (2048, 8192, 32768)
@@ -39,13 +54,13 @@ PACK_ROWS = 20_000
 
 @dataclass(frozen=True)
 class Cost:
-    """What a sequence of a length costs."""
+    """What a sequence of a length costs, in tokens' work without attention."""
 
     overhead: float = 64.0
-    quadratic: float = 1e-6
+    width: int = 4096
 
     def of(self, length: int) -> float:
-        return length + self.overhead + self.quadratic * length * length
+        return length + self.overhead + length * length / (6 * self.width)
 
 
 @dataclass
@@ -63,24 +78,21 @@ def best_fit(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, cost: Cost =
     permitted = sorted(set(lengths))
     price = {c: cost.of(c) for c in permitted}
     order = np.lexsort((np.arange(len(sizes)), -sizes))
-    left = int(sizes.sum())
+    falling = sizes[order].tolist()
+    upto = [0, *np.cumsum(sizes[order]).tolist()]
     where, at = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
     room: list[tuple[int, int]] = []
     used: list[int] = []
-    full: list[int] = []
-    for i in order.tolist():
-        size = int(sizes[i])
+    for place, i in enumerate(order.tolist()):
+        size = falling[place]
         k = bisect_left(room, (size, -1))
         if k < len(room):
             free, b = room.pop(k)
         else:
-            c = min((c for c in permitted if c >= size), key=lambda c: (price[c] / max(min(c, left), 1), c))
-            free, b = c, len(used)
+            free, b = _opened(falling, upto, place, permitted, price), len(used)
             used.append(0)
-            full.append(c)
         where[i], at[i] = b, used[b]
         used[b] += size
-        left -= size
         if free > size or size == 0:
             insort(room, (free - size, b))
     held = np.array(used, dtype=np.int64)
@@ -88,6 +100,32 @@ def best_fit(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, cost: Cost =
     return Packed(where, at, held, allowed[np.searchsorted(allowed, held)] if len(held) else held)
 
 
+def _opened(falling: list[int], upto: list[int], place: int, permitted: list[int], price: dict[int, float]) -> int:
+    """The length to open for the piece at ``place`` of the pieces in falling order: the least cost a token of a trial filling."""
+    best, least = permitted[-1], float("inf")
+    for c in permitted:
+        if c < falling[place]:
+            continue
+        got = _filled(falling, upto, place, c)
+        a_token = price[next(x for x in permitted if x >= got)] / max(got, 1)
+        if a_token < least:
+            best, least = c, a_token
+    return best
+
+
+def _filled(falling: list[int], upto: list[int], place: int, room: int) -> int:
+    """What a bin takes of the pieces from ``place`` on, longest first: whole runs of them, found by their sums."""
+    got, j, n = 0, place, len(falling)
+    while j < n and got < room:
+        # The longest run from j on that fits, and then the next piece that is short enough.
+        stop = bisect_right(upto, upto[j] + room - got, j, n + 1) - 1
+        got += upto[stop] - upto[j]
+        if stop >= n or falling[-1] > room - got:
+            break
+        j = bisect_left(falling, got - room, max(stop, j + 1), n, key=neg)
+    return got
+
+
 def packed(rows: DataFrame, *, id_col: str = "doc_id", length_col: str = "length", lengths: tuple[int, ...] = LENGTHS, cost: Cost = Cost(), pack_rows: int = PACK_ROWS, seed: int = 11) -> DataFrame:
     """One row per piece: doc_id, copy, start, n, pack, bin, at (in the bin), bin_used, bin_length.
 
@@ -95,10 +133,8 @@ def packed(rows: DataFrame, *, id_col: str = "doc_id", length_col: str = "length
     """
     longest = max(lengths)
     given = rows.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("length"))
-    counted = given.groupBy("doc_id", "length").agg(F.count(F.lit(1)).alias("copies"))
     packs = given.count() // pack_rows + 1
-    alone = counted.select("doc_id", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
-    dealt = alone.withColumn("pack", F.pmod(F.xxhash64("doc_id", "length", "copy", F.lit(seed)), F.lit(packs)))
+    dealt = copies_of(given).withColumn("pack", F.pmod(F.xxhash64("doc_id", "length", "copy", F.lit(seed)), F.lit(packs)))
     kind = given.schema["doc_id"].dataType.simpleString()
 
     def flush(pack: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,3 +187,76 @@ def packed(rows: DataFrame, *, id_col: str = "doc_id", length_col: str = "length
 def byte_lengths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, length: tokens of a byte-level model, UTF-8 bytes and one end token; null texts have the end token alone."""
     return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1).cast("long").alias("length"))
+
+
+#: The token after each text; the others are the bytes.
+END = 256
+SEQUENCE = "pack long, bin long, bin_length long, bin_used long, tokens array<int>, at array<long>, start array<long>, n array<long>, copy array<long>"
+
+
+def write_sequences(docs: DataFrame, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, cost: Cost = Cost(), pack_rows: int = PACK_ROWS) -> DataFrame:
+    """Pack all texts and write a row per bin as Parquet in ``folder`` (a new shared one by default): ``SEQUENCE``, and the pieces' ids."""
+    spark = docs.sparkSession
+    folder = folder or scratch(spark, "sequences")
+    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    texts = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw")).withColumns({"h1": F.xxhash64("raw"), "h2": F.xxhash64(F.lit(1), "raw")})
+    kind = texts.schema["doc_id"].dataType
+    key = F.struct("doc_id", "h1", "h2", F.octet_length("raw").cast("long").alias("bytes"))
+    keyed = texts.select(key.alias("doc_id"), (F.octet_length("raw") + 1).cast("long").alias("length"))
+    placed = packed(keyed, lengths=lengths, cost=cost, pack_rows=pack_rows).withColumnRenamed("doc_id", "key")
+    # One row per text; a struct of a null id joins as no null would.
+    unique = texts.groupBy(key.alias("key")).agg(F.first("raw").alias("raw"))
+    joined = placed.join(unique.withColumnRenamed("key", "other"), _same(F.col("key"), F.col("other")))
+    # A piece's bytes; the end token is the byte after a text's last, so the last piece may be one longer than its bytes.
+    piece = F.substring(F.col("raw"), (F.col("start") + 1).cast("int"), F.col("n").cast("int"))
+    rows = joined.select("pack", "bin", "at", F.col("key.doc_id").alias("doc_id"), "copy", "start", "n", "bin_used", "bin_length", piece.alias("piece"))
+    ids = T.ArrayType(kind)
+    schema = spark.createDataFrame([], SEQUENCE).schema.add("doc_id", ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (pack, number), table in runs(batches, 2):
+            n = column_of(table, "n").to_numpy()
+            pieces = column_of(table, "piece")
+            size = np.diff(offsets_of(pieces))
+            tokens = np.full(int(n.sum()), END, dtype=np.int32)
+            begin = np.cumsum(n) - n
+            stop = np.cumsum(size)
+            whole = np.frombuffer(pieces.buffers()[2] or b"", dtype=np.uint8)
+            tokens[np.arange(int(size.sum())) + np.repeat(begin - (stop - size), size)] = whole[offsets_of(pieces)[0] :][: int(size.sum())]
+            own = {"pack": pack, "bin": number, "bin_length": column_of(table, "bin_length")[0].as_py(), "bin_used": column_of(table, "bin_used")[0].as_py()}
+            columns = [pa.array([x], pa.int64()) for x in own.values()] + [pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), pa.array(tokens))]
+            columns += [pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), column_of(table, c)) for c in ("at", "start", "n", "copy", "doc_id")]
+            yield pa.RecordBatch.from_arrays(columns, [*own, "tokens", "at", "start", "n", "copy", "doc_id"])
+
+    rows.repartition("pack", "bin").sortWithinPartitions("pack", "bin", "at", "n").mapInArrow(run, schema).write.parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def _same(a: Column, b: Column) -> Column:
+    """Equal keys; the id is compared null-safely, and the other fields deal the rows."""
+    alike = a["doc_id"].eqNullSafe(b["doc_id"])
+    for x in ("h1", "h2", "bytes"):
+        alike = alike & (a[x] == b[x])
+    return alike
+
+
+def read_pieces(sequences: DataFrame) -> DataFrame:
+    """A row per piece of written sequences: doc_id, copy, start, n, pack, bin, at, bin_used, bin_length, tokens_crc32 (of the piece's tokens as little-endian 32-bit numbers)."""
+    kind = sequences.schema["doc_id"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = {c: batch.column(batch.schema.get_field_index(c)) for c in ("at", "start", "n", "copy", "doc_id")}
+            per = np.diff(np.asarray(lists["at"].offsets, dtype=np.int64))
+            row = pa.array(np.repeat(np.arange(len(batch)), per))
+            flat = {c: x.flatten() for c, x in lists.items()}
+            tokens = batch.column(batch.schema.get_field_index("tokens"))
+            first = np.asarray(tokens.offsets, dtype=np.int64)[:-1]
+            values = np.asarray(tokens.values).astype("<i4")
+            begin = np.repeat(first, per) + np.asarray(flat["at"])
+            sums = [zlib.crc32(values[a : a + n]) for a, n in zip(begin.tolist(), np.asarray(flat["n"]).tolist(), strict=True)]
+            own = {c: batch.column(batch.schema.get_field_index(c)).take(row) for c in ("pack", "bin", "bin_used", "bin_length")}
+            names = ["doc_id", "copy", "start", "n", "pack", "bin", "at", "bin_used", "bin_length"]
+            yield pa.RecordBatch.from_arrays([*[{**flat, **own}[c] for c in names], pa.array(sums, pa.int64())], [*names, "tokens_crc32"])
+
+    return sequences.mapInArrow(run, f"doc_id {kind}, copy long, start long, n long, pack long, bin long, at long, bin_used long, bin_length long, tokens_crc32 long")

@@ -34,8 +34,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, as byte-level tokens with an end token, in bins of 2048, 8192 and 32768."""
-    return packing.packed(packing.byte_lengths(table(spark, sf_dir, "documents")), lengths=packing.LENGTHS)
+    """All documents, as byte-level tokens with an end token, in sequences of 2048, 8192 and 32768; the pieces read back from these."""
+    return packing.read_pieces(packing.write_sequences(table(spark, sf_dir, "documents"), lengths=packing.LENGTHS))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
