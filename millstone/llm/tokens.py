@@ -72,6 +72,10 @@ _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[np.frombuffer(b".,!;:?%&$#*", dtype=np.uint8)] = True
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: Bytes of the letters A to Z, a to z and U+00C0 to U+023F; the line feed as byte-level vocabularies spell it.
+_LETTERS = np.zeros(256, dtype=bool)
+_LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = True
+FEED = "\u010a"
 #: First bytes of white space beyond ASCII, and what follows them (second byte, lowest and highest third byte).
 _WIDE = {0xC2: [(0x85, None, None), (0xA0, None, None)], 0xE1: [(0x9A, 0x80, 0x80)], 0xE2: [(0x80, 0x80, 0x8A), (0x80, 0xA8, 0xA9), (0x80, 0xAF, 0xAF), (0x81, 0x9F, 0x9F)], 0xE3: [(0x80, 0x80, 0x80)]}
 
@@ -115,6 +119,17 @@ def cut(texts: pa.Array, apart: bool = True) -> tuple[pa.Array, np.ndarray]:
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)), counts
 
 
+def _of_letters(data: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Which pieces are letters of ``_LETTERS`` after an optional blank: one token to the splitting rule."""
+    bad = ~_LETTERS[data]
+    # Two signs among the letters of U+00C0 to U+00FF: U+00D7 and U+00F7.
+    bad[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    upto = np.concatenate(([0], np.cumsum(bad)))
+    begin, stop = at[which], at[which + 1]
+    begin = begin + ((data[begin] == 32) & (stop - begin > 1))
+    return upto[stop] == upto[begin]
+
+
 class Pieces:
     """Numbers of known pieces: a hash table in arrays. A hit counts only if the bytes are equal."""
 
@@ -179,7 +194,7 @@ class Encoder:
     """Whole texts to ids with the tokenizers library."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -190,6 +205,11 @@ class Encoder:
         # A token that no piece's encoding can hold parts the pieces of one call.
         self.between = next((x["content"] for x in said.get("added_tokens") or () if x.get("special") and not (x.get("lstrip") or x.get("rstrip") or x.get("single_word"))), None)
         self.between_id = self.tokenizer.token_to_id(self.between) if self.between else None
+        # Words of letters are one token to the splitting rule, so they need none: they are parted by line feeds alone.
+        self.words, self.feed = None, None
+        if self.by_piece and self.tokenizer.model.token_to_id(FEED) is not None:
+            self.words, self.feed = Tokenizer(self.tokenizer.model), self.tokenizer.model.token_to_id(FEED)
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         if hasattr(self.tokenizer.model, "_resize_cache"):
             # Pieces are remembered here; the model need not remember them too.
             self.tokenizer.model._resize_cache(0)
@@ -212,6 +232,14 @@ class Encoder:
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum())), sizes
 
+    def _ids_of_words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """``_ids_of`` for pieces of letters, none of which holds a line feed; None where the tokenizer treats these otherwise."""
+        raw = np.array(self.words.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, dtype=np.int32)
+        cuts = np.flatnonzero(raw == self.feed)
+        if len(cuts) != len(pieces) - 1:
+            return None
+        return np.delete(raw, cuts), np.diff(np.concatenate(([-1], cuts, [len(raw)]))) - 1
+
     def _numbers(self, pieces: pa.StringArray) -> np.ndarray:
         """Numbers of distinct pieces; new ones are encoded and remembered."""
         if not len(pieces):
@@ -219,7 +247,15 @@ class Encoder:
         out, keys, data, at = self.known.find(pieces)
         new = np.flatnonzero(out < 0)
         if len(new):
-            ids, sizes = self._ids_of(pieces.take(pa.array(new)).to_pylist())
+            lettered = _of_letters(data, at, new) if self.words else np.zeros(len(new), dtype=bool)
+            found = self._ids_of_words(pieces.take(pa.array(new[lettered])).to_pylist()) if lettered.any() else None
+            if found is None:
+                lettered[:] = False
+            new = np.concatenate([new[lettered], new[~lettered]])
+            parts = [] if found is None else [found]
+            if not lettered.all():
+                parts.append(self._ids_of(pieces.take(pa.array(new[int(lettered.sum()) :])).to_pylist()))
+            ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
             n, end = self.count, int(self.begin[self.count])
             while n + len(new) + 1 > len(self.begin):
                 self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
@@ -273,25 +309,25 @@ CELLS = 1 << 20
 
 def _cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash cell of each pair of symbols."""
-    return (a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+    return ((a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(12)).astype(np.int64)
 
 
 def _frequent(seq: np.ndarray, cell: np.ndarray, least: int, most: int) -> np.ndarray:
     """Pairs (as keys) that occur ``least`` times or more, the most frequent ones first; about ``4 * most`` at least, if there are."""
-    a, b = seq[:-1], seq[1:]
     full = np.bincount(cell, minlength=CELLS)
     # A pair occurs no more often than its hash cell; only pairs of the fullest cells are sorted and counted.
-    above = np.cumsum(np.bincount(np.minimum(full, 1 << 16), minlength=2)[::-1])[::-1]
-    full_enough = max(least, int(np.count_nonzero(above >= 4 * most)) - 1)
-    found = _counted(a, b, full >= full_enough, cell, full_enough)
+    counts = np.sort(full[full >= least])[::-1]
+    full_enough = max(least, int(counts[min(4 * most, len(counts)) - 1])) if len(counts) else least
+    found = _counted(seq, full, cell, full_enough)
     # Cells may be that full of rarer pairs alone.
-    return found if len(found) or full_enough == least else _counted(a, b, full >= least, cell, least)
+    return found if len(found) or full_enough == least else _counted(seq, full, cell, least)
 
 
-def _counted(a: np.ndarray, b: np.ndarray, wanted: np.ndarray, cell: np.ndarray, least: int) -> np.ndarray:
-    """Pairs of the wanted cells that occur ``least`` times or more, the most frequent ones first."""
-    at = np.flatnonzero(wanted[cell] & (a != END) & (b != END))
-    keys = (a[at].astype(np.int64) << 32) | b[at]
+def _counted(seq: np.ndarray, full: np.ndarray, cell: np.ndarray, least: int) -> np.ndarray:
+    """Pairs of the cells that hold ``least`` that occur so often themselves, the most frequent ones first."""
+    at = np.flatnonzero((full >= least).take(cell))
+    a, b = seq.take(at), seq.take(at + 1)
+    keys = ((a.astype(np.int64) << 32) | b)[(a != END) & (b != END)]
     if not len(keys):
         return keys
     keys.sort()
@@ -325,10 +361,10 @@ def _replaced(seq: np.ndarray, cell: np.ndarray, pairs: list[tuple[int, int]], f
     left, right = (np.array(x, dtype=np.int32) for x in zip(*pairs, strict=True))
     rule_of = np.full(CELLS, -1, dtype=np.int32)
     rule_of[_cells(left, right)] = np.arange(len(pairs))
-    rule = rule_of[cell]
+    rule = rule_of.take(cell)
     at = np.flatnonzero(rule >= 0)
-    rule = rule[at]
-    same = (seq[at] == left[rule]) & (seq[at + 1] == right[rule])
+    rule = rule.take(at)
+    same = (seq.take(at) == left.take(rule)) & (seq.take(at + 1) == right.take(rule))
     at, rule = at[same], rule[same]
     # Only a pair of equal symbols can overlap itself: every other place of a run is taken.
     if len(at) and (left == right).any():
