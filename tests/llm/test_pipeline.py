@@ -32,11 +32,6 @@ def test_stages_keep_columns_and_hand_on_rows(spark):
     assert got == want
 
 
-def test_run_equals_its_stages(spark):
-    out = corpus_pipeline.run(spark, SMALL)
-    assert out.count() > 0 and {"doc_id", "pack", "bin", "bin_length"} <= set(out.columns)
-
-
 def test_decisions_equal_brute_force(spark):
     """Each stage on its own input: scores by the model one by one, components and hits by plain loops."""
     from test_small_tables import plain_components, plain_hits, plain_sets

@@ -62,12 +62,88 @@ def test_best_fit_places_every_piece_once_within_its_bin():
 
 
 def test_best_fit_chooses_the_tightest_open_bin_and_downsizes():
-    got = packing.best_fit(np.array([60, 50, 30, 40, 9]), (32, 100), packing.Cost(overhead=0))
-    assert got.bin.tolist() == [0, 1, 1 if 100 - 50 - 40 < 30 else 0, 0, 1] or len(got.used) == 2
+    # 60 opens a bin that 40 fills; 50 the next one, which 30 and 9 go to.
+    got = packing.best_fit(np.array([60, 50, 30, 40, 9]), (32, 100), packing.Cost(overhead=0, width=10**9))
+    assert got.bin.tolist() == [0, 1, 1, 0, 1] and got.used.tolist() == [100, 89] and got.at.tolist() == [0, 0, 50, 60, 80]
     alone = packing.best_fit(np.array([10]), (16, 64))
     assert alone.length.tolist() == [16]
 
 
+def test_the_length_opened_depends_on_what_is_left():
+    # A long bin costs less a token when it is full, and only then.
+    cost = packing.Cost(overhead=10, width=10**9)
+    assert packing.best_fit(np.array([8] * 8), (8, 64), cost).length.tolist() == [64]
+    assert packing.best_fit(np.array([8, 8]), (8, 64), cost).length.tolist() == [8, 8]
+    assert sorted(packing.best_fit(np.array([8] * 10), (8, 64), cost).length.tolist()) == [8, 8, 64]
+
+
+def least_cost(sizes, lengths, cost):
+    """The cost of the best of all packings."""
+    best = [float("inf")]
+
+    def go(i, bins):
+        if i == len(sizes):
+            best[0] = min(best[0], sum(cost.of(min(c for c in lengths if c >= b)) for b in bins))
+            return
+        for b in {b: k for k, b in enumerate(bins)}.values():
+            if bins[b] + sizes[i] <= max(lengths):
+                go(i + 1, [*bins[:b], bins[b] + sizes[i], *bins[b + 1 :]])
+        go(i + 1, [*bins, sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_best_fit_against_all_packings():
+    rng = np.random.default_rng(3)
+    ratios = []
+    for _ in range(120):
+        sizes = rng.integers(1, 33, int(rng.integers(1, 8)))
+        cost = packing.Cost(overhead=float(rng.choice([0, 1, 6])), width=int(rng.choice([2, 5, 100])))
+        got = packing.best_fit(sizes, (8, 16, 32), cost)
+        ratios.append(sum(cost.of(c) for c in got.length.tolist()) / least_cost(sizes.tolist(), (8, 16, 32), cost))
+    assert min(ratios) > 1 - 1e-9 and np.mean(ratios) < 1.01 and np.mean(np.array(ratios) < 1 + 1e-9) > 0.9
+
+
+def test_three_lengths_cost_less_than_two(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    cost = packing.Cost()
+
+    def total(lengths):
+        got = packing.packed(packing.byte_lengths(docs), lengths=lengths).select("pack", "bin", "bin_length").distinct().collect()
+        return sum(cost.of(r.bin_length) for r in got), {r.bin_length for r in got}
+
+    whole, used = total(packing.LENGTHS)
+    assert used == set(packing.LENGTHS)
+    assert all(whole < total(two)[0] for two in ((2048, 8192 * 4), (8192, 32768)))
+
+
+def test_sequences_hold_every_text(spark, odd, none):
+    from pyspark.sql import functions as F
+
+    clashing = odd.withColumns({"length": F.lit(3), "raw": F.lit("r"), "pack": F.lit(1)})
+    written = packing.write_sequences(clashing, lengths=(64, 512), pack_rows=5)
+    want = Counter((r.doc_id, (r.text or "").encode()) for r in odd.collect())
+    found: dict = defaultdict(dict)
+    for r in written.collect():
+        assert len(r.tokens) == r.bin_used <= r.bin_length == (64 if r.bin_used <= 64 else 512)
+        for at, start, n, copy, doc in zip(r.at, r.start, r.n, r.copy, r.doc_id, strict=True):
+            found[doc, copy].setdefault(start, []).append(r.tokens[at : at + n])
+    pieces = Counter()
+    for r in packing.read_pieces(written).collect():
+        pieces[r.doc_id, r.copy, r.start, r.n, r.tokens_crc32] += 1
+    ids = {}
+    for (doc, raw), copies in want.items():
+        tokens_ = np.array([*raw, packing.END], dtype="<i4")
+        for copy in range(copies):
+            for start in range(0, len(tokens_), 512):
+                own = tokens_[start : start + 512]
+                key = (doc, copy, start, len(own), zlib.crc32(own.tobytes()))
+                ids[key] = ids.get(key, 0) + 1
+    assert pieces == ids
+    assert packing.read_pieces(packing.write_sequences(none)).count() == 0
+
+
 def test_packed_keeps_every_token(spark, odd, none):
     lengths = packing.byte_lengths(odd)
     out = packing.packed(lengths, lengths=(64, 512), pack_rows=4).collect()
@@ -267,11 +343,14 @@ def test_urls_match_plain_rules(spark):
     assert {r.verdict for r in urls.judged(pages, rules.limit(0)).collect()} == {"allow"}
 
 
-def test_a_saturated_filter_changes_nothing(spark):
-    pages = spark.createDataFrame([(i, f"http://h{i % 50}.net/{i % 300}") for i in range(600)], "page_id long, url string")
+def test_a_saturated_filter_and_many_rules_change_nothing(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{i % 50}.{('net', 'com', 'org')[i % 3]}/{'de/' if i % 5 else ''}{i % 300}") for i in range(600)], "page_id long, url string")
     listed = spark.createDataFrame([(f"h{i % 50}.net", f"/{i}") for i in range(0, 300, 7)], "host string, path string")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    assert rows_of(urls.judged(pages, rules, listed)) == rows_of(urls.judged(pages, rules, listed, max_blocks=1))
+    want = rows_of(urls.judged(pages, rules, listed))
+    assert want == rows_of(urls.judged(pages, rules, listed, max_blocks=1))
+    monkeypatch.setattr(urls, "LITERAL_RULES", 0)
+    assert want == rows_of(urls.judged(pages.unionAll(pages), rules, listed).distinct()) and urls.judged(pages.unionAll(pages), rules, listed).count() == 1200
 
 
 def test_filter_has_few_false_hits():
@@ -391,6 +470,35 @@ def test_jaccard_with_blocks_split(spark, monkeypatch):
     rng = np.random.default_rng(5)
     texts = near_copies(rng, 1, 60, 50) + near_copies(rng, 1, 20, 58) + near_copies(rng, 5, 3, 40)
     jaccard_of(spark, texts)
+    # Bitmaps that say little let more sets pass, and lose none.
+    monkeypatch.setattr(shingles, "NODE_BITS", 64)
+    jaccard_of(spark, texts[:70])
+
+
+def test_upper_nodes_keep_strangers_apart(monkeypatch):
+    """Of a group that one passage holds together, no set goes on to a block that has nothing else of it."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+
+    def block(task, sets):
+        packed = [np.sort(x).tobytes() for x in sets]
+        n = len(sets)
+        return pa.RecordBatch.from_arrays([pa.array([task] * n), pa.array([1] * n), pa.array(range(100 * task, 100 * task + n)), pa.array([1] * n), pa.array(packed, pa.binary())], ["task", "root", "node", "weight", "items"])
+
+    def items(n):
+        return rng.integers(0, 2**64, n, dtype=np.uint64)
+
+    shared = items(50)
+    x, y = ([np.concatenate([shared, items(100)]) for _ in range(40)] for _ in range(2))
+    y[3] = np.concatenate([x[5][:145], items(5)])
+    (node,) = shingles._upper_nodes(iter([block(2, y)]))
+    own, far = block(1, x), node.to_pylist()[0]
+    none = pa.array([None], pa.int64())
+    held = pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([False] * 40), own.column(2), own.column(3), own.column(4), *[pa.nulls(40, pa.int64())] * 3], ["task", "root", "node_too", "node", "weight", "items", "other", "low", "high"])
+    against = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([True]), none, none, pa.array([far["bitmap"]]), pa.array([2]), pa.array([far["low"]]), pa.array([far["high"]])], held.schema.names)
+    passed = [r for b in shingles._passing(iter([held, against]), 80) for r in b.to_pylist()]
+    assert [(r["task"], r["node"]) for r in passed] == [(2, 105)]
 
 
 def test_jaccard_of_empty_table(spark, none):
@@ -516,6 +624,23 @@ def test_forest_recall():
     assert np.mean([bool(p & q) for p, q in zip(*leaves, strict=True)]) > 0.995
 
 
+def test_embeddings_of_deep_trees(spark):
+    """A made table with thousands of links, in trees deeper than the sample reaches: recall against brute force, and exact counts."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(700, 32))
+    rows = [(base[i % 700] + rng.normal(size=32) * rng.choice([0.0, 0.02, 0.1, 0.15])).astype(np.float32) for i in range(2800)]
+    unit = np.stack(rows).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    links = int(near.sum() - len(rows)) // 2
+    df = spark.createDataFrame([(i, [float(x) for x in r], 1) for i, r in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df, leaf_rows=8).collect()}
+    assert links > 2000 and sum(r.n_links for r in got.values()) / 2 / links > 0.9
+    assert all(r.n_links <= near[i].sum() - 1 for i, r in got.items())
+    exact = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, leaf_rows=256, spill=2.0, block_rows=300).collect()}
+    assert exact == {i: int(near[i].sum()) - 1 for i in range(len(rows))}
+
+
 # --- decontamination -------------------------------------------------------------------
 
 
@@ -548,6 +673,7 @@ def test_decontamination_equals_brute_force(spark, odd, none):
     assert {r.n_hit for r in decontam.judge(docs, bench.limit(0)).collect()} == {0}
     assert decontam.judge(odd, bench).count() == odd.count()
     kept = {r.doc_id: r for r in decontam.clean(docs.where("doc_id > 0"), bench).collect()}
+    assert {r.doc_id: r for r in decontam.clean(docs.where("doc_id > 0"), bench, slice_bytes=40).collect()} == kept
     bad = {w[0] for w in want if w[-1]}
     assert set(kept) == set(range(1, len(texts))) - bad
     assert kept[7].text is None and kept[8].text == ""
