@@ -19,16 +19,16 @@ loses against packing all at once is its last bins, a few of thousands. Bins are
 (pack, bin).
 
 ``write_sequences`` packs texts and writes the packed sequences: a row per bin with its tokens
-(byte-level: UTF-8 bytes and ``END`` after each text), where each piece begins, and which text it is
-of. Texts are grouped by id and a 128-bit hash, so repeated rows are one text with several copies, and
-each text is joined to its pieces; Spark splits a hot text's pieces. ``read_pieces`` reads them back.
+(byte-level: UTF-8 bytes, and ``END``, which is no byte of UTF-8, after each text), where each piece
+begins, and which text it is of. Packs hold about ``PACK_BYTES`` of text there and meet with their texts,
+so every text is shuffled once. Rows that may repeat, by a bitmap of repeated ids and hashes, are
+grouped and counted first, and each copy is dealt on its own. ``read_pieces`` reads the sequences back.
 
 Every token of every row lies in exactly one bin: longer texts are cut at the largest
 length, and their pieces keep ``start``. A row of length 0 has one piece of length 0, in a bin like
 any other (a null or empty text has its end token). Null ids and repeated rows take part; equal
 rows are told apart by ``copy``, from 0. Other columns are not read, whatever their names. Empty
-tables give no rows. A long text is one row of pieces; its tokens are held by the task that cuts it, three
-times over.
+tables give no rows. A long text is held by the task of its pack, some three times over.
 """
 
 from __future__ import annotations
@@ -41,11 +41,12 @@ from operator import neg
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from millstone.llm.shared import column_of, copies_of, offsets_of, runs, scratch
+from millstone.llm.shared import bitmap_of, column_of, copies_of, in_bitmap, numbered, offsets_of, runs, scratch, stored
 
 
 LENGTHS = (2048, 8192, 32768)
@@ -190,58 +191,79 @@ def byte_lengths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 #: The token after each text; the others are the bytes.
-END = 256
-SEQUENCE = "pack long, bin long, bin_length long, bin_used long, tokens array<int>, at array<long>, start array<long>, n array<long>, copy array<long>"
+END = 0xFF
+#: Text of a pack that is written, in expectation; bits of the bitmap of repeated texts at most.
+PACK_BYTES, BITMAP_BITS = 16 << 20, 1 << 27
+SEQUENCE = "pack long, bin long, bin_length long, bin_used long, tokens binary, at array<long>, start array<long>, n array<long>, copy array<long>"
 
 
-def write_sequences(docs: DataFrame, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, cost: Cost = Cost(), pack_rows: int = PACK_ROWS) -> DataFrame:
+def write_sequences(docs: DataFrame, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, cost: Cost = Cost(), pack_bytes: int = PACK_BYTES, seed: int = 11) -> DataFrame:
     """Pack all texts and write a row per bin as Parquet in ``folder`` (a new shared one by default): ``SEQUENCE``, and the pieces' ids."""
     spark = docs.sparkSession
     folder = folder or scratch(spark, "sequences")
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    texts = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw")).withColumns({"h1": F.xxhash64("raw"), "h2": F.xxhash64(F.lit(1), "raw")})
-    kind = texts.schema["doc_id"].dataType
-    key = F.struct("doc_id", "h1", "h2", F.octet_length("raw").cast("long").alias("bytes"))
-    keyed = texts.select(key.alias("doc_id"), (F.octet_length("raw") + 1).cast("long").alias("length"))
-    placed = packed(keyed, lengths=lengths, cost=cost, pack_rows=pack_rows).withColumnRenamed("doc_id", "key")
-    # One row per text; a struct of a null id joins as no null would.
-    unique = texts.groupBy(key.alias("key")).agg(F.first("raw").alias("raw"))
-    joined = placed.join(unique.withColumnRenamed("key", "other"), _same(F.col("key"), F.col("other")))
-    # A piece's bytes; the end token is the byte after a text's last, so the last piece may be one longer than its bytes.
-    piece = F.substring(F.col("raw"), (F.col("start") + 1).cast("int"), F.col("n").cast("int"))
-    rows = joined.select("pack", "bin", "at", F.col("key.doc_id").alias("doc_id"), "copy", "start", "n", "bin_used", "bin_length", piece.alias("piece"))
-    ids = T.ArrayType(kind)
-    schema = spark.createDataFrame([], SEQUENCE).schema.add("doc_id", ids)
+    texts = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw"))
+    texts = texts.withColumns({"h1": F.xxhash64("raw"), "h2": F.xxhash64(F.lit(1), "raw"), "bytes": F.octet_length("raw").cast("long")})
+    key = ["doc_id", "h1", "h2", "bytes"]
+    counted = stored(texts.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "sequence-texts")
+    packs = (counted.agg(F.sum(F.col("n") * (F.col("bytes") + 1))).first()[0] or 0) // pack_bytes + 1
+    bits = spark.sparkContext.broadcast(bitmap_of(counted.where("n > 1").select(F.xxhash64(*key).alias("item")), BITMAP_BITS))
+
+    @arrow_udf("boolean")
+    def repeated(names: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(bits.value, np.asarray(names)))
+
+    marked = texts.withColumn("maybe", repeated(F.xxhash64(*key)))
+    single = marked.where(~F.col("maybe")).select(*key, "raw", F.lit(0).cast("long").alias("copy"))
+    several = marked.where("maybe").groupBy(*key).agg(F.first("raw").alias("raw"), F.count(F.lit(1)).alias("n"))
+    dealt = single.unionByName(numbered(several, "n")).withColumn("pack", F.pmod(F.xxhash64(*key, "copy", F.lit(seed)), F.lit(packs)))
+    schema = spark.createDataFrame([], SEQUENCE).schema.add("doc_id", T.ArrayType(texts.schema["doc_id"].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (pack, number), table in runs(batches, 2):
-            n = column_of(table, "n").to_numpy()
-            pieces = column_of(table, "piece")
-            size = np.diff(offsets_of(pieces))
-            tokens = np.full(int(n.sum()), END, dtype=np.int32)
-            begin = np.cumsum(n) - n
-            stop = np.cumsum(size)
-            whole = np.frombuffer(pieces.buffers()[2] or b"", dtype=np.uint8)
-            tokens[np.arange(int(size.sum())) + np.repeat(begin - (stop - size), size)] = whole[offsets_of(pieces)[0] :][: int(size.sum())]
-            own = {"pack": pack, "bin": number, "bin_length": column_of(table, "bin_length")[0].as_py(), "bin_used": column_of(table, "bin_used")[0].as_py()}
-            columns = [pa.array([x], pa.int64()) for x in own.values()] + [pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), pa.array(tokens))]
-            columns += [pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), column_of(table, c)) for c in ("at", "start", "n", "copy", "doc_id")]
-            yield pa.RecordBatch.from_arrays(columns, [*own, "tokens", "at", "start", "n", "copy", "doc_id"])
-
-    rows.repartition("pack", "bin").sortWithinPartitions("pack", "bin", "at", "n").mapInArrow(run, schema).write.parquet(folder)
+        for (pack,), table in runs(batches, 1):
+            yield from _sequences(pack, table, lengths, cost)
+
+    rows = dealt.select("pack", "raw", "doc_id", "copy", "bytes", "h1", "h2").repartition("pack")
+    rows.sortWithinPartitions("pack", "bytes", "doc_id", "h1", "h2", "copy").mapInArrow(run, schema).write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(schema).parquet(folder)
 
 
-def _same(a: Column, b: Column) -> Column:
-    """Equal keys; the id is compared null-safely, and the other fields deal the rows."""
-    alike = a["doc_id"].eqNullSafe(b["doc_id"])
-    for x in ("h1", "h2", "bytes"):
-        alike = alike & (a[x] == b[x])
-    return alike
+def _sequences(pack: int, table: pa.Table, lengths: tuple[int, ...], cost: Cost) -> Iterator[pa.RecordBatch]:
+    """The packed sequences of a pack's texts, some at a time."""
+    longest = max(lengths)
+    raw = column_of(table, "raw")
+    begin = offsets_of(raw)
+    whole = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)
+    size = np.diff(begin) + 1
+    pieces = -(-size // longest)
+    row = np.repeat(np.arange(len(size)), pieces)
+    start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * longest
+    n = np.minimum(size[row] - start, longest)
+    got = best_fit(n, lengths, cost)
+    order = np.lexsort((got.at, got.bin))
+    row, start, n, at, number = row[order], start[order], n[order], got.at[order], got.bin[order]
+    first = np.searchsorted(number, np.arange(len(got.used) + 1))
+    for a in range(0, len(got.used), 512):
+        bins = np.arange(a, min(a + 512, len(got.used)))
+        own = slice(int(first[a]), int(first[bins[-1] + 1]))
+        base = np.concatenate(([0], np.cumsum(got.used[bins])))
+        tokens = np.full(int(base[-1]), END, dtype=np.uint8)
+        to = base[number[own] - a] + at[own]
+        for i, s, k, t in zip(row[own].tolist(), start[own].tolist(), n[own].tolist(), to.tolist(), strict=True):
+            # The end token is the one after a text's last byte, so a piece may be one longer than its bytes.
+            piece = whole[begin[i] + s : min(begin[i] + s + k, begin[i + 1])]
+            tokens[t : t + len(piece)] = piece
+        split = pa.array((first[a : bins[-1] + 2] - first[a]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(split, pa.array(x[own], pa.int64())) for x in (at, start, n)]
+        of_row = pa.array(row[own])
+        lists += [pa.ListArray.from_arrays(split, column_of(table, c).take(of_row)) for c in ("copy", "doc_id")]
+        packed_tokens = pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(tokens)])
+        columns = [pa.array(np.full(len(bins), pack)), pa.array(bins), pa.array(got.length[bins], pa.int64()), pa.array(got.used[bins], pa.int64()), packed_tokens, *lists]
+        yield pa.RecordBatch.from_arrays(columns, ["pack", "bin", "bin_length", "bin_used", "tokens", "at", "start", "n", "copy", "doc_id"])
 
 
 def read_pieces(sequences: DataFrame) -> DataFrame:
-    """A row per piece of written sequences: doc_id, copy, start, n, pack, bin, at, bin_used, bin_length, tokens_crc32 (of the piece's tokens as little-endian 32-bit numbers)."""
+    """A row per piece of written sequences: doc_id, copy, start, n, pack, bin, at, bin_used, bin_length, tokens_crc32 (unsigned, of the piece's tokens)."""
     kind = sequences.schema["doc_id"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,9 +273,8 @@ def read_pieces(sequences: DataFrame) -> DataFrame:
             row = pa.array(np.repeat(np.arange(len(batch)), per))
             flat = {c: x.flatten() for c, x in lists.items()}
             tokens = batch.column(batch.schema.get_field_index("tokens"))
-            first = np.asarray(tokens.offsets, dtype=np.int64)[:-1]
-            values = np.asarray(tokens.values).astype("<i4")
-            begin = np.repeat(first, per) + np.asarray(flat["at"])
+            values = np.frombuffer(tokens.buffers()[2] or b"", dtype=np.uint8)
+            begin = np.repeat(offsets_of(tokens)[:-1], per) + np.asarray(flat["at"])
             sums = [zlib.crc32(values[a : a + n]) for a, n in zip(begin.tolist(), np.asarray(flat["n"]).tolist(), strict=True)]
             own = {c: batch.column(batch.schema.get_field_index(c)).take(row) for c in ("pack", "bin", "bin_used", "bin_length")}
             names = ["doc_id", "copy", "start", "n", "pack", "bin", "at", "bin_used", "bin_length"]
