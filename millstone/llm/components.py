@@ -4,7 +4,9 @@ Every round is two grouped minima and two joins on node ids, all with map-side c
 a node with very many neighbours is a hot join key that Spark splits, never a group that is
 gathered. Before the rounds each partition contracts its own edges to stars, which leaves
 at most one edge per node and partition. Each round's edges are written to the shared
-folder, so lineage stays short and a lost executor costs one round at most.
+folder, so lineage stays short and a lost executor costs one round at most. Where no more
+than ``ONE_TASK`` edges are left (8 MiB), one task contracts them all and no round is needed;
+the components are the same either way.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ from pyspark.sql import functions as F
 from millstone.llm.shared import stored
 
 
+#: Edges that one task contracts to the end.
+ONE_TASK = 500_000
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For nodes 0 to n-1 and edges (a, b): the smallest node that each can reach."""
     label = np.arange(n)
@@ -73,6 +79,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = stored(now.distinct(), name)
     before = None
     while True:
+        if now.count() <= ONE_TASK:
+            return stored(now.repartition(1).mapInArrow(_contract, "u long, v long").toDF("node", "root"), name)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

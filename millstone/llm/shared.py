@@ -109,24 +109,46 @@ def running_sum(rows: DataFrame, by: list[str], order: str, n: str, *, fan: int
     return joined.withColumn("before", F.col("__base") + F.coalesce(F.sum(n).over(within), F.lit(0))).drop("__cell", "__base")
 
 
-def copies_of(rows: DataFrame, *, run: int = 1_000_000) -> DataFrame:
-    """``rows`` with ``copy``, which numbers equal rows from 0; they are counted, never gathered, and dealt out in runs."""
-    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n"))
-    runs_ = counted.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {run}L"))))
+def copies_of(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``, which numbers equal rows from 0; they are counted, never gathered."""
+    return numbered(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n")), "__n")
+
+
+def numbered(counted: DataFrame, n: str, *, run: int = 10_000) -> DataFrame:
+    """Each row ``n`` times, ``copy`` from 0, without ``n``. Rows of very many copies are dealt to tasks by runs of these first."""
+    few = counted.where(F.col(n) <= run).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    runs_ = counted.where(F.col(n) > run).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{n}` - 1) div {run}L"))))
     first = F.col("__run") * F.lit(run)
-    numbered = runs_.withColumn("copy", F.explode(F.sequence(first, F.least(first + F.lit(run), F.col("__n")) - 1)))
-    return numbered.drop("__n", "__run")
+    many = runs_.repartition("__run").withColumn("copy", F.explode(F.sequence(first, F.least(first + F.lit(run), F.col(n)) - 1)))
+    return few.drop(n).unionByName(many.drop(n, "__run"))
+
+
+#: 64-bit words of a part of a bitmap that a task puts together.
+PART_WORDS = 1 << 12
 
 
 def bitmap_of(items: DataFrame, most: int) -> np.ndarray:
-    """The bitmap of a column of longs (named item), merged natively: 16 bits an item or so, ``most`` bits at most."""
-    bits = min(most, max(1 << 16, 1 << (16 * items.count()).bit_length()))
-    low = F.pmod(F.col("item"), F.lit(bits))
-    words = items.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, int(pmod(item, {bits}) & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    got = words.toArrow()
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.int64).view(np.uint64)
-    return out
+    """The bitmap of a column of longs (named item): 16 bits an item or so, ``most`` bits at most; parts of it are made by tasks."""
+    bits = min(most, max(64 * PART_WORDS, 1 << (16 * items.count()).bit_length()))
+    wide = 64 * PART_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, place = (batch.column(i).to_numpy() for i in (0, 1))
+            for p in np.unique(part).tolist():
+                own = place[part == p]
+                words = made.setdefault(p, np.zeros(PART_WORDS, dtype=np.uint64))
+                np.bitwise_or.at(words, own >> 6, np.uint64(1) << (own & 63).astype(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([w.tobytes() for w in made.values()], pa.binary())], ["part", "words"])
+
+    bit = F.pmod(F.col("item"), F.lit(bits))
+    dealt = items.select(F.floor(bit / wide).alias("part"), F.pmod(bit, F.lit(wide)).cast("long").alias("place")).repartition("part")
+    got = dealt.mapInArrow(run, "part long, words binary").toArrow()
+    out = np.zeros((bits // wide, PART_WORDS), dtype=np.uint64)
+    for part, words in zip(got.column("part").to_pylist(), got.column("words").to_pylist(), strict=True):
+        out[part] |= np.frombuffer(words, dtype=np.uint64)
+    return out.ravel()
 
 
 def in_bitmap(words: np.ndarray, items: np.ndarray) -> np.ndarray:
