@@ -14,7 +14,9 @@ Formatting is row by row; only the offsets within a conversation need its turns
 and that pass streams over sorted rows: a conversation of any length is never held.
 
 Order: by turn (nulls first), then by the formatted text; repeated rows follow each other.
-A null text is empty, a null role is the empty role, a null conv_id is a conversation.
+A null text is empty, a null role is the empty role, a null conv_id is a conversation. An empty
+table gives no rows; columns that are not named are not read, whatever their names. A long text is
+one row, of which its task holds some six copies while it is escaped and read back.
 """
 
 from __future__ import annotations

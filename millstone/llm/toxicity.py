@@ -31,7 +31,7 @@ arrays of about 60 bytes per byte of the longest text, or of 2 MiB of shorter on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -157,7 +157,7 @@ def fit(texts: list[str | None] | pa.Array, labels: list[int], *, seed: int = 7,
     for _ in range(word_epochs):
         order = rng.permutation(n)
         for a in range(0, n, 4096):
-            net.step(order[a : a + 4096], (1 / (1 + np.exp(-net.logits_of(order[a : a + 4096]))) - target[order[a : a + 4096]]) * weight[order[a : a + 4096]])
+            net.step(order[a : a + 4096], lambda logits, words: (1 / (1 + np.exp(-logits)) - target[words]) * weight[words])
 
     first = np.concatenate(([0], np.cumsum(size)))
     share = y.mean()
@@ -212,28 +212,25 @@ class _Net:
             out[a : a + 65_536] = np.add.reduceat(per_row[self.bucket[at[0] : at[-1]]], at[:-1] - at[0]) / np.diff(at)
         return out + self.bias
 
-    def logits_of(self, words: np.ndarray) -> np.ndarray:
-        bucket, begin, sizes = self._of(words)
-        return np.add.reduceat((self.rows @ self.out)[bucket], begin) / sizes + self.bias
-
-    def step(self, words: np.ndarray, errors: np.ndarray, rate: float = 0.3) -> None:
-        """One step of embeddings and softmax down the errors of some words' logits, in batches of bounded memory."""
-        errors = errors / len(words)
-        to_out, to_rows = np.zeros(len(self.out)), np.zeros(BUCKETS)
+    def step(self, words: np.ndarray, errors: np.ndarray | Callable[[np.ndarray, np.ndarray], np.ndarray], rate: float = 0.3) -> None:
+        """One step of embeddings and softmax down the errors of some words' logits (given, or made of the logits and words), in batches of bounded memory."""
+        to_out, to_rows, total = np.zeros(len(self.out)), np.zeros(BUCKETS), 0.0
         for a in range(0, len(words), 16_384):
-            bucket, begin, sizes = self._of(words[a : a + 16_384])
-            own = errors[a : a + 16_384]
+            some = words[a : a + 16_384]
+            bucket, begin, sizes = self._of(some)
             vectors = np.add.reduceat(self.rows[bucket], begin, axis=0) / sizes[:, None]
+            own = (errors(vectors @ self.out + self.bias, some) if callable(errors) else errors[a : a + 16_384]) / len(words)
             to_out += vectors.T @ own
             to_rows += np.bincount(bucket, weights=np.repeat(own / sizes, sizes), minlength=BUCKETS)
+            total += float(own.sum())
         touched = np.flatnonzero(to_rows)
         change = to_rows[touched]
         self.seen_rows[touched] += change**2 * float((self.out**2).mean())
         self.rows[touched] -= (rate * change / np.sqrt(self.seen_rows[touched])).astype(np.float32)[:, None] * self.out
         self.seen_out += to_out**2
         self.out -= (0.1 * rate * to_out / np.sqrt(self.seen_out)).astype(np.float32)
-        self.seen_bias += float(errors.sum()) ** 2
-        self.bias -= np.float32(0.1 * rate * errors.sum() / np.sqrt(self.seen_bias))
+        self.seen_bias += total**2
+        self.bias -= np.float32(0.1 * rate * total / np.sqrt(self.seen_bias))
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
