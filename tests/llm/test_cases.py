@@ -88,9 +88,9 @@ def test_op1_query_holds_every_text(spark, docs):
     got = Counter((r.doc_id, r.start, r.n, r.tokens_crc32) for r in QUERIES["op1_packing"](spark, SMALL).collect())
     want = Counter()
     for r in docs.collect():
-        own = np.array([*(r.text or "").encode(), packing.END], dtype="<i4")
+        own = bytes([*(r.text or "").encode(), packing.END])
         for start in range(0, len(own), 32768):
-            want[r.doc_id, start, len(own[start : start + 32768]), zlib.crc32(own[start : start + 32768].tobytes())] += 1
+            want[r.doc_id, start, len(own[start : start + 32768]), zlib.crc32(own[start : start + 32768])] += 1
     assert got == want
 
 

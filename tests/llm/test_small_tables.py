@@ -122,7 +122,7 @@ def test_sequences_hold_every_text(spark, odd, none):
     from pyspark.sql import functions as F
 
     clashing = odd.withColumns({"length": F.lit(3), "raw": F.lit("r"), "pack": F.lit(1)})
-    written = packing.write_sequences(clashing, lengths=(64, 512), pack_rows=5)
+    written = packing.write_sequences(clashing, lengths=(64, 512), pack_bytes=5000)
     want = Counter((r.doc_id, (r.text or "").encode()) for r in odd.collect())
     found: dict = defaultdict(dict)
     for r in written.collect():
@@ -134,11 +134,11 @@ def test_sequences_hold_every_text(spark, odd, none):
         pieces[r.doc_id, r.copy, r.start, r.n, r.tokens_crc32] += 1
     ids = {}
     for (doc, raw), copies in want.items():
-        tokens_ = np.array([*raw, packing.END], dtype="<i4")
+        tokens_ = bytes([*raw, packing.END])
         for copy in range(copies):
             for start in range(0, len(tokens_), 512):
                 own = tokens_[start : start + 512]
-                key = (doc, copy, start, len(own), zlib.crc32(own.tobytes()))
+                key = (doc, copy, start, len(own), zlib.crc32(own))
                 ids[key] = ids.get(key, 0) + 1
     assert pieces == ids
     assert packing.read_pieces(packing.write_sequences(none)).count() == 0
@@ -624,6 +624,26 @@ def test_forest_recall():
     assert np.mean([bool(p & q) for p, q in zip(*leaves, strict=True)]) > 0.995
 
 
+def test_copies_are_numbered(spark):
+    from millstone.llm import shared
+
+    counted = spark.createDataFrame([("a", 1), ("b", 7), (None, 25)], "x string, n long")
+    got = Counter(map(tuple, shared.numbered(counted, "n", run=10).collect()))
+    assert got == Counter([("a", 0), *(("b", i) for i in range(7)), *((None, i) for i in range(25))])
+
+
+@pytest.mark.parametrize("one_task", [10**6, 0])
+def test_components_of_chains_stars_and_cycles(spark, monkeypatch, one_task):
+    from millstone.llm import components as c
+
+    monkeypatch.setattr(c, "ONE_TASK", one_task)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(300, 301), (301, 302), (302, 300), (5, 5), (260, 7), (-4, 300), (-4, 300)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    want = {i: 100 for i in range(101, 161)} | {i: 7 for i in range(200, 261)} | {i: -4 for i in (300, 301, 302)}
+    assert dict(map(tuple, c.components(df).collect())) == want
+    assert c.components(df.limit(0)).count() == 0
+
+
 def test_embeddings_of_deep_trees(spark):
     """A made table with thousands of links, in trees deeper than the sample reaches: recall against brute force, and exact counts."""
     rng = np.random.default_rng(11)
