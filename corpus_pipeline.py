@@ -4,6 +4,11 @@ Toxic documents go; of each group of near duplicates one document stays; documen
 hold benchmark passages go, or lose the passages where they are a small part; what is left
 is packed into sequences. Each stage's result is written as Parquet in the shared folder
 and read again as the next one's ``docs``.
+
+Null and empty texts are never toxic, copies or contaminated, and are packed as their end token
+alone; rows without an id are judged like others. Repeated rows are one document from the second
+stage on. Extra columns pass through all stages but the last, whatever their names. An empty table
+gives no rows. What a long text costs is stated by the operator of each stage.
 """
 
 from __future__ import annotations

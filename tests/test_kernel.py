@@ -141,6 +141,40 @@ def test_clusters_equal_the_greedy_rule():
             assert kernel.cluster_starts(w, family, d).tolist() == want
 
 
+def test_runs_of_equal_weight():
+    """The last resort of digests smaller than their pinned ends: each run ends where it first holds its part."""
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        weights = rng.integers(1, 9, int(rng.integers(1, 30))).astype(float)
+        buckets = int(rng.integers(1, 6))
+        means = np.arange(len(weights), dtype=float)
+        runs, held = [[]], 0.0
+        for m, w in zip(means, weights, strict=True):
+            if held >= weights.sum() / buckets and len(runs) < buckets:
+                runs.append([])
+                held = 0.0
+            runs[-1].append((m, w))
+            held += w
+        got_means, got_weights, atomic = kernel._equal_weight(means, weights, buckets)
+        assert got_weights.tolist() == [sum(w for _, w in r) for r in runs] and not atomic.any()
+        assert got_means == pytest.approx([sum(m * w for m, w in r) / sum(w for _, w in r) for r in runs])
+    for size in (1, 2):
+        d = kernel.build(rng.random(500), None, config(size, bounded=False))
+        assert len(d) <= size and d.count == 500
+
+
+def test_the_cap_is_the_largest_size_that_fits():
+    rng = np.random.default_rng(13)
+    for scale in ("quad", "k1", "k2", "k3"):
+        weights = rng.integers(1, 5, 3000).astype(float)
+        points = (np.arange(3000.0), weights, np.ones(3000, dtype=bool))
+        got = kernel._capped(points, 40, scale, 200.0)
+        assert len(got[0]) <= 40 < len(kernel.cluster_starts(weights, scale, 200.0))
+        # No larger size, of many that are tried, leaves as few.
+        fits = [d for d in np.linspace(1, 200, 4000) if len(kernel.cluster_starts(weights, scale, d)) <= 40]
+        assert len(got[0]) == len(kernel.cluster_starts(weights, scale, max(fits))) or abs(len(got[0]) - 40) <= 1
+
+
 def test_accuracy_of_the_mixture():
     """Pinned errors of a like sample (its draws are not the pinned one's, so the score has a wider tolerance): 100,000 values, size 1000, quad."""
     values = np.sort(mixture(100_000))
