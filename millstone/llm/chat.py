@@ -123,7 +123,9 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
-def formatted_turn(role: str | None, parts: list[dict[str, Any]], expansion: Expansion, loss_role: str) -> dict[str, Any]:
+def formatted_turn(
+    role: str | None, parts: list[dict[str, Any]], expansion: Expansion, loss_role: str
+) -> dict[str, Any]:
     """The segment of a turn, its loss spans (from the segment's start) and its attachments."""
     name = escaped((role or "").replace("\\", "\\\\").replace("\n", "\\n"))
     head = f"{OPEN}{name}\n"
@@ -157,7 +159,12 @@ def format_turns(
     """
     content = turns.schema[content_col].dataType
     as_json = content_col.endswith("_json")
-    given = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(content_col).alias("content"))
+    given = turns.select(
+        F.col(id_col).alias("conv_id"),
+        F.col(turn_col).cast("long").alias("turn"),
+        F.col(role_col).alias("role"),
+        F.col(content_col).alias("content"),
+    )
     plain = isinstance(content, T.StringType) and not as_json
     schema = TURN.format(id=given.schema["conv_id"].dataType.simpleString())
 
@@ -165,7 +172,9 @@ def format_turns(
         for batch in batches:
             rows = []
             for conv, turn, role, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts = [{"kind": "text", "text": content}] if plain else json.loads(content or "[]") if as_json else [p for p in content or [] if p]
+                parts = [{"kind": "text", "text": content}] if plain else json.loads(content or "[]") if as_json else [
+                    p for p in content or [] if p
+                ]
                 rows.append({"conv_id": conv, "turn": turn} | formatted_turn(role, parts, expansion, loss_role))
             yield pa.RecordBatch.from_pylist(rows, schema=_arrow(batch.schema.field(0).type))
 
@@ -175,11 +184,22 @@ def format_turns(
 def _arrow(id_type: pa.DataType, *more: pa.Field) -> pa.Schema:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     attached = pa.struct([("at", pa.int64()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())])
-    return pa.schema([("conv_id", id_type), ("turn", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(span)), ("attachments", pa.list_(attached)), ("tokens", pa.int64()), *more])
+    return pa.schema(
+        [
+            ("conv_id", id_type),
+            ("turn", pa.int64()),
+            ("formatted", pa.string()),
+            ("loss", pa.list_(span)),
+            ("attachments", pa.list_(attached)),
+            ("tokens", pa.int64()),
+            *more,
+        ]
+    )
 
 
 def assembled(turns: DataFrame) -> DataFrame:
-    """``format_turns``' rows in order within their conversation, each with ``start``, its offset in the conversation's text.
+    """``format_turns``' rows in order within their conversation, each with ``start``, its offset in the conversation's
+    text.
 
     One shuffle by conversation; the rows of each partition are sorted and streamed.
     """
@@ -194,7 +214,9 @@ def assembled(turns: DataFrame) -> DataFrame:
                     conv, at, any_yet = c, 0, True
                 starts.append(at)
                 at += len(text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64())], [*batch.schema.names, "start"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(starts, pa.int64())], [*batch.schema.names, "start"]
+            )
 
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").mapInArrow(run, schema)
 
@@ -209,7 +231,8 @@ def parsed(segment: str) -> tuple[str, str]:
 
 
 def read_back(rows: DataFrame) -> DataFrame:
-    """Per conversation, from the formatted texts: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, attached.
+    """Per conversation, from the formatted texts: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
+    formatted_chars, attached.
 
     ``rows`` come from ``assembled`` (their order within partitions is used).
     """
@@ -253,4 +276,6 @@ def read_back(rows: DataFrame) -> DataFrame:
 
 def _batch(rows: list[list[Any]], names: list[str], id_type: pa.DataType) -> pa.RecordBatch:
     types = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names
+    )

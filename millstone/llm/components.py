@@ -73,7 +73,8 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """node, root (the smallest node of its component) of every node that is not its own root. ``edges``: two long columns."""
+    """node, root (the smallest node of its component) of every node that is not its own root. ``edges``: two long
+    columns."""
     a, b = edges.columns[:2]
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").mapInArrow(_contract, "u long, v long")
     now = stored(now.distinct(), name)
@@ -85,7 +86,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            low.select("u", F.col("m").alias("v"))
+        )
         now = stored(small.distinct(), name)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before:

@@ -39,7 +39,8 @@ RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 
 
 class WindowSet:
-    """Windows of benchmark items. Per window length: the sorted distinct hashes, where each one's words are, and its items.
+    """Windows of benchmark items. Per window length: the sorted distinct hashes, where each one's words are, and its
+    items.
 
     Some 40 bytes a window: words are kept once, as the items' joined text.
     """
@@ -90,13 +91,19 @@ class WindowSet:
             for j, p, r in zip(at[whole].tolist(), place[whole].tolist(), row[whole].tolist(), strict=True):
                 own = words.joined(j, j + k)
                 if (p, own) not in known:
-                    known[p, own] = {self.ids[owner[e]] for e in range(int(first[p]), int(first[p + 1])) if self.text[begin[e] : stop[e]] == own}
+                    known[p, own] = {
+                        self.ids[owner[e]]
+                        for e in range(int(first[p]), int(first[p + 1]))
+                        if self.text[begin[e] : stop[e]] == own
+                    }
                 if known[p, own]:
                     hit[j : j + k] = True
                     items[r] |= known[p, own]
 
 
-def window_sets(benchmark: DataFrame, id_col: str, text_col: str, n: int, slice_bytes: int, at_once: int) -> Iterator[list]:
+def window_sets(
+    benchmark: DataFrame, id_col: str, text_col: str, n: int, slice_bytes: int, at_once: int
+) -> Iterator[list]:
     """Groups of at most ``at_once`` broadcasts, one per slice of the benchmark, each of bounded size."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -104,13 +111,17 @@ def window_sets(benchmark: DataFrame, id_col: str, text_col: str, n: int, slice_
     if parts > 1:
         # Read once, written by slice; each slice is read alone.
         folder = scratch(spark, "benchmark-slices")
-        items.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(parts))).write.partitionBy("slice").parquet(folder)
+        items.withColumn(
+            "slice", F.pmod(F.xxhash64("id", "text"), F.lit(parts))
+        ).write.partitionBy("slice").parquet(folder)
         sliced = spark.read.schema(items.schema).parquet(folder)
     for start in range(0, parts, at_once):
         group = []
         for i in range(start, min(start + at_once, parts)):
             some = items if parts == 1 else sliced.where(F.col("slice") == i)
-            group.append(spark.sparkContext.broadcast(WindowSet([(r[0], r[1]) for r in some.select("id", "text").collect()], n)))
+            group.append(
+                spark.sparkContext.broadcast(WindowSet([(r[0], r[1]) for r in some.select("id", "text").collect()], n))
+            )
         yield group
 
 
@@ -118,13 +129,17 @@ def window_sets(benchmark: DataFrame, id_col: str, text_col: str, n: int, slice_
 MARKS = "array<long>", "array<string>"
 
 
-def _scanned(batch: pa.RecordBatch, place: int, sets: list, marks: int | None) -> Iterator[tuple[Words, np.ndarray, list[set[str | None]]]]:
+def _scanned(
+    batch: pa.RecordBatch, place: int, sets: list, marks: int | None
+) -> Iterator[tuple[Words, np.ndarray, list[set[str | None]]]]:
     """Words, hits and items of a batch's texts; ``marks`` is the column of earlier hits, which the items follow."""
     for words in words_of(batch.column(place), ALNUM):
         hit = np.zeros(len(words.starts), dtype=bool)
         items: list[set[str | None]] = [set() for _ in words.rows]
         if marks is not None:
-            earlier, seen = (batch.column(i).slice(words.rows.start, len(words.rows)).to_pylist() for i in (marks, marks + 1))
+            earlier, seen = (
+                batch.column(i).slice(words.rows.start, len(words.rows)).to_pylist() for i in (marks, marks + 1)
+            )
             for i, spans in enumerate(earlier):
                 for a, b in zip(spans[::2], spans[1::2], strict=True):
                     hit[int(words.first[i]) + a : int(words.first[i]) + b] = True
@@ -139,8 +154,18 @@ def _spans(hit: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
 
 
-def _passed(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text_col: str, n: int, slice_bytes: int, at_once: int) -> tuple[DataFrame, list, int | None]:
-    """(documents, the last group of slices, the place of marks): all groups but the last have passed, and left their marks in two more columns."""
+def _passed(
+    docs: DataFrame,
+    text_col: str,
+    benchmark: DataFrame,
+    item_col: str,
+    item_text_col: str,
+    n: int,
+    slice_bytes: int,
+    at_once: int,
+) -> tuple[DataFrame, list, int | None]:
+    """(documents, the last group of slices, the place of marks): all groups but the last have passed, and left their
+    marks in two more columns."""
     text = docs.columns.index(text_col)
     marks: int | None = None
     width = len(docs.columns)
@@ -160,12 +185,24 @@ def _marked(docs: DataFrame, text: int, sets: list, marks: int | None, width: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, hit, items in _scanned(batch, text, sets, marks):
-                spans = [_spans(hit[a:b]).tolist() for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+                spans = [
+                    _spans(hit[a:b]).tolist()
+                    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)
+                ]
                 own = batch.slice(words.rows.start, len(words.rows)).columns[:width]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(spans, pa.list_(pa.int64())), pa.array([list(x) for x in items], pa.list_(pa.string()))], names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *own,
+                        pa.array(spans, pa.list_(pa.int64())),
+                        pa.array([list(x) for x in items], pa.list_(pa.string())),
+                    ],
+                    names,
+                )
 
     given = docs.select(*docs.columns[:width])
-    schema = given.withColumns({names[width]: F.lit(None).cast(MARKS[0]), names[width + 1]: F.lit(None).cast(MARKS[1])}).schema
+    schema = given.withColumns(
+        {names[width]: F.lit(None).cast(MARKS[0]), names[width + 1]: F.lit(None).cast(MARKS[1])}
+    ).schema
     return docs.mapInArrow(run, schema)
 
 
@@ -188,7 +225,8 @@ def judge(
     slice_bytes: int = SLICE_BYTES,
     at_once: int = AT_ONCE,
 ) -> DataFrame:
-    """One row per document: its id and ``RESULT``. Contaminated: hit words, and ``share`` times them at least all words."""
+    """One row per document: its id and ``RESULT``. Contaminated: hit words, and ``share`` times them at least all
+    words."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
     given, sets, marks = _passed(given, "text", benchmark, item_col, item_text_col, n, slice_bytes, at_once)
@@ -242,7 +280,9 @@ def clean(
             for words, hit, _ in _scanned(batch, place, sets, marks):
                 n_words, n_hit = _counts(words, hit)
                 own = batch.slice(words.rows.start, len(words.rows))
-                part = pa.RecordBatch.from_arrays(own.columns[: len(names)], schema=pa.schema([own.schema.field(i) for i in range(len(names))]))
+                part = pa.RecordBatch.from_arrays(
+                    own.columns[: len(names)], schema=pa.schema([own.schema.field(i) for i in range(len(names))])
+                )
                 cut = {}
                 for i in np.flatnonzero((n_hit > 0) & (share * n_hit < n_words)).tolist():
                     raw = column[words.rows.start + i].as_py().encode()
@@ -252,12 +292,16 @@ def clean(
                     texts = part.column(place).to_pylist()
                     for i, text in cut.items():
                         texts[i] = text
-                    part = part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
+                    part = part.set_column(
+                        place, part.schema.field(place), pa.array(texts, part.schema.field(place).type)
+                    )
                     if chars is not None:
                         counts = part.column(chars).to_pylist()
                         for i, text in cut.items():
                             counts[i] = len(text)
-                        part = part.set_column(chars, part.schema.field(chars), pa.array(counts, part.schema.field(chars).type))
+                        part = part.set_column(
+                            chars, part.schema.field(chars), pa.array(counts, part.schema.field(chars).type)
+                        )
                 kept = pa.array((n_hit == 0) | (share * n_hit < n_words))
                 yield part.filter(kept)
 

@@ -59,7 +59,8 @@ BROADCAST_LEAVES = 200_000
 
 @dataclass
 class Forest:
-    """Per tree the directions and thresholds of its fitted nodes, as a heap, and below them the nodes' centres and each level's direction.
+    """Per tree the directions and thresholds of its fitted nodes, as a heap, and below them the nodes' centres and each
+    level's direction.
 
     ``margin`` is what spills to both sides.
     """
@@ -73,12 +74,16 @@ class Forest:
     def leaves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for every leaf that a row of unit vectors reaches in any tree, by row."""
         rows, found = [], []
-        for t, (direction, threshold, centre, lower) in enumerate(zip(self.directions, self.thresholds, self.centres, self.lower, strict=True)):
+        for t, (direction, threshold, centre, lower) in enumerate(
+            zip(self.directions, self.thresholds, self.centres, self.lower, strict=True)
+        ):
             row, node = np.arange(len(unit)), np.zeros(len(unit), dtype=np.int64)
             for _ in range(len(centre).bit_length() - 1):
                 side = np.einsum("ij,ij->i", unit[row], direction[node]) - threshold[node]
                 left, right = side < self.margin, side >= -self.margin
-                row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
+                row, node = np.concatenate([row[left], row[right]]), np.concatenate(
+                    [2 * node[left] + 1, 2 * node[right] + 2]
+                )
             above = node - (len(centre) - 1)
             for along in lower:
                 side = (unit @ along)[row] - (centre @ along)[above]
@@ -92,7 +97,16 @@ class Forest:
         return row[order], leaf[order]
 
 
-def fit(unit: np.ndarray, n: int, *, least: float, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL, seed: int = 5) -> Forest:
+def fit(
+    unit: np.ndarray,
+    n: int,
+    *,
+    least: float,
+    trees: int = TREES,
+    leaf_rows: int = LEAF_ROWS,
+    spill: float = SPILL,
+    seed: int = 5,
+) -> Forest:
     """Trees for ``n`` rows of a label, split at the medians of the sample of unit vectors as far down as it reaches."""
     wide = unit.shape[1]
     depth = max(0, int(np.ceil(np.log2(max(n / leaf_rows, 1)))))
@@ -113,7 +127,9 @@ def fit(unit: np.ndarray, n: int, *, least: float, trees: int = TREES, leaf_rows
             side = unit[own] @ direction[node]
             threshold[node] = np.median(side) if len(side) else 0.0
             members[2 * node + 1], members[2 * node + 2] = own[side < threshold[node]], own[side >= threshold[node]]
-        centre = np.stack([unit[own].mean(axis=0) if len(own) else np.zeros(wide) for _, own in sorted(members.items())])
+        centre = np.stack(
+            [unit[own].mean(axis=0) if len(own) else np.zeros(wide) for _, own in sorted(members.items())]
+        )
         forest.directions.append(direction)
         forest.thresholds.append(threshold)
         forest.centres.append(centre)
@@ -144,15 +160,23 @@ def _encoded(given: DataFrame, kind: str) -> DataFrame:
             column = batch.column(2).cast(pa.list_(number))
             at = np.asarray(column.offsets, dtype=np.int64)
             size = np.diff(at)
-            usable = column.is_valid().to_numpy(zero_copy_only=False) & batch.column(1).is_valid().to_numpy(zero_copy_only=False) & (size > 0)
+            usable = column.is_valid().to_numpy(zero_copy_only=False) & batch.column(1).is_valid().to_numpy(
+                zero_copy_only=False
+            ) & (size > 0)
             flat = column.values
             present = flat.is_valid().to_numpy(zero_copy_only=False)
             # -0.0 is 0.0, so that equal vectors have equal bytes.
             values = flat.fill_null(0.0).to_numpy(zero_copy_only=False) + number.to_pandas_dtype()(0)
             usable &= (_sums(~present | ~np.isfinite(values), at) == 0) & (_sums(values != 0, at) > 0)
-            raw = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(at * values.itemsize), pa.py_buffer(np.ascontiguousarray(values))])
+            raw = pa.Array.from_buffers(
+                pa.large_binary(),
+                len(batch),
+                [None, pa.py_buffer(at * values.itemsize), pa.py_buffer(np.ascontiguousarray(values))],
+            )
             out = raw.take(pa.array(np.arange(len(batch)), mask=~usable))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out.cast(pa.binary())], ["vec_id", "label", "vector"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), out.cast(pa.binary())], ["vec_id", "label", "vector"]
+            )
 
     return given.mapInArrow(run, f"vec_id {id_kind}, label long, vector binary")
 
@@ -160,7 +184,9 @@ def _encoded(given: DataFrame, kind: str) -> DataFrame:
 def _matrices(column: pa.Array, kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, matrix) of a column of vectors' bytes, one matrix per length."""
     item = np.dtype(kind).itemsize
-    at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(
+        np.int64
+    )
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
     size = np.diff(at)
     for wide in np.unique(size).tolist():
@@ -185,7 +211,11 @@ def _indexed(classes: DataFrame, forests: dict[int, Forest], kind: str, light: b
                         row, leaf = forest.leaves(_unit(matrix[a : a + 1024]))
                     else:
                         row, leaf = np.arange(len(some)), np.zeros(len(some), dtype=np.int64)
-                    spots = [some.column(1).take(pa.array(row)), pa.array(np.full(len(row), wide, dtype=np.int64)), pa.array(leaf)]
+                    spots = [
+                        some.column(1).take(pa.array(row)),
+                        pa.array(np.full(len(row), wide, dtype=np.int64)),
+                        pa.array(leaf),
+                    ]
                     if light:
                         yield pa.RecordBatch.from_arrays(spots, ["label", "wide", "leaf"])
                         continue
@@ -195,11 +225,19 @@ def _indexed(classes: DataFrame, forests: dict[int, Forest], kind: str, light: b
                         own = pa.array(row[b : b + 4096])
                         columns = [x.slice(b, 4096) for x in spots]
                         yield pa.RecordBatch.from_arrays(
-                            [*columns, some.column(0).take(own), some.column(2).take(own), some.column(3).take(own), lists.take(own)], ["label", "wide", "leaf", "node", "weight", "vector", "leaves"]
+                            [
+                                *columns,
+                                some.column(0).take(own),
+                                some.column(2).take(own),
+                                some.column(3).take(own),
+                                lists.take(own),
+                            ], ["label", "wide", "leaf", "node", "weight", "vector", "leaves"]
                         )
 
     more = "" if light else ", node long, weight long, vector binary, leaves array<long>"
-    return classes.select("node", "label", "weight", "vector").mapInArrow(run, "label long, wide long, leaf long" + more)
+    return classes.select("node", "label", "weight", "vector").mapInArrow(
+        run, "label long, wide long, leaf long" + more
+    )
 
 
 def _earlier(lists: pa.ListArray, leaf: int) -> np.ndarray:
@@ -218,7 +256,8 @@ def _earlier(lists: pa.ListArray, leaf: int) -> np.ndarray:
 
 
 def _near(unit: np.ndarray, single: np.ndarray, i: np.ndarray, other: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of rows ``i`` and ``other`` have a cosine of at least ``least``; doubles decide wherever singles might err."""
+    """Which pairs of rows ``i`` and ``other`` have a cosine of at least ``least``; doubles decide wherever singles
+    might err."""
     found = single[i] @ single[other].T
     slack = np.float32(2e-7 * (unit.shape[1] + 16))
     near = found >= np.float32(least) + slack
@@ -229,7 +268,9 @@ def _near(unit: np.ndarray, single: np.ndarray, i: np.ndarray, other: np.ndarray
     return near
 
 
-def block_links(unit: np.ndarray, weight: np.ndarray, earlier: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def block_links(
+    unit: np.ndarray, weight: np.ndarray, earlier: np.ndarray, right: np.ndarray, least: float
+) -> tuple[np.ndarray, np.ndarray]:
     """(links, label) of a task's rows: weighted links that no earlier leaf holds, and the rows that links connect.
 
     Without right rows the left ones meet each other; else left rows meet right rows alone.
@@ -259,7 +300,8 @@ def block_links(unit: np.ndarray, weight: np.ndarray, earlier: np.ndarray, right
 
 
 def _verified(batches: Iterator[pa.RecordBatch], least: float, kind: str) -> Iterator[pa.RecordBatch]:
-    """node, links, root of the linked rows of each task, streamed from rows sorted by task (label, wide, leaf, x, y)."""
+    """node, links, root of the linked rows of each task, streamed from rows sorted by task (label, wide, leaf, x,
+    y)."""
     for key, table in runs(batches, 5):
         if len(table) < 2:
             continue
@@ -270,23 +312,48 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float, kind: str) -> Ite
         links, label = block_links(unit, weight, _earlier(column_of(table, "leaves"), leaf), right, least)
         some = np.flatnonzero(links)
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(links[some]), pa.array(names[label[some]])], ["node", "links", "root"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[some]), pa.array(links[some]), pa.array(names[label[some]])], ["node", "links", "root"]
+            )
 
 
 def forests_of(classes: DataFrame, kind: str, least: float, **how: float) -> dict[int, Forest]:
-    """A forest for each length of vector in a bounded sample of the classes; lengths not in it have one leaf, which is exact."""
-    sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("vector")).alias("bytes")).agg(F.sum("n"), F.max("n"), F.sum("bytes")).first()
+    """A forest for each length of vector in a bounded sample of the classes; lengths not in it have one leaf, which is
+    exact."""
+    sizes = classes.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("vector")).alias("bytes")
+    ).agg(F.sum("n"), F.max("n"), F.sum("bytes")).first()
     n, most, size = (x or 0 for x in sizes)
     share = min(1.0, SAMPLE_ROWS / max(n, 1), SAMPLE_BYTES / max(size, 1))
-    some = classes if share == 1 else classes.where(F.pmod(F.xxhash64("label", "vector"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = classes if share == 1 else classes.where(
+        F.pmod(F.xxhash64("label", "vector"), F.lit(1 << 30)) < int(share * (1 << 30))
+    )
     column = some.select("vector").toArrow().column(0).combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
-    return {matrix.shape[1]: fit(_unit(matrix), most, least=least, **how) for _, matrix in _matrices(column.cast(pa.binary()), kind)} if len(column) else {}
-
-
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return {
+        matrix.shape[1]: fit(_unit(matrix), most, least=least, **how)
+        for _, matrix in _matrices(column.cast(pa.binary()), kind)
+    } if len(column) else {}
+
+
+def near_duplicates(
+    vectors: DataFrame,
+    *,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    label_col: str = "label",
+    least: float = 0.98,
+    trees: int = TREES,
+    leaf_rows: int = LEAF_ROWS,
+    spill: float = SPILL,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    given = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
+    given = vectors.select(
+        F.col(id_col).alias("vec_id"),
+        F.col(label_col).cast("long").alias("label"),
+        F.col(vector_col).alias("embedding"),
+    )
     kind = "<f4" if given.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     rows = _encoded(given, kind)
     known = rows.where("vector is not null")
@@ -297,26 +364,56 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
     leaf = ["label", "wide", "leaf"]
     counts = _indexed(classes, forests, kind, light=True).groupBy(*leaf).agg(F.count(F.lit(1)).alias("rows"))
-    large = stored(counts.where(F.col("rows") > block_rows).select(*leaf, F.ceil(F.col("rows") / block_rows).cast("int").alias("salts")), "vector-leaves")
+    large = stored(
+        counts.where(F.col("rows") > block_rows).select(
+            *leaf, F.ceil(F.col("rows") / block_rows).cast("int").alias("salts")
+        ),
+        "vector-leaves",
+    )
     n_large = large.count()
     dealt = _indexed(classes, forests, kind, light=False)
     if n_large:
-        dealt = dealt.join(F.broadcast(large) if n_large <= BROADCAST_LEAVES else large, leaf, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-        dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(9)), F.col("salts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        dealt = dealt.join(F.broadcast(large) if n_large <= BROADCAST_LEAVES else large, leaf, "left").withColumn(
+            "salts", F.coalesce("salts", F.lit(1))
+        )
+        dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(9)), F.col("salts")).cast("int")).withColumn(
+            "other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+        )
     else:
         dealt = dealt.withColumn("salt", F.lit(0)).withColumn("other", F.lit(0))
     task = [*leaf, "x", "y"]
-    dealt = dealt.select(*leaf, F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"), "node", "vector", "leaves", "weight", (F.col("salt") > F.col("other")).alias("right"))
-    found = stored(dealt.repartition(*task).sortWithinPartitions(*task).mapInArrow(lambda b: _verified(b, least, kind), "node long, links long, root long"), "vector-links")
+    dealt = dealt.select(
+        *leaf,
+        F.least("salt", "other").alias("x"),
+        F.greatest("salt", "other").alias("y"),
+        "node",
+        "vector",
+        "leaves",
+        "weight",
+        (F.col("salt") > F.col("other")).alias("right"),
+    )
+    found = stored(
+        dealt.repartition(*task).sortWithinPartitions(*task).mapInArrow(
+            lambda b: _verified(b, least, kind), "node long, links long, root long"
+        ),
+        "vector-links",
+    )
 
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     reached = components(found.select("node", "root"), "vector-components")
     full = classes.select("node", "weight", "least").join(linked, "node", "left").join(reached, "node", "left")
-    full = full.select("node", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    full = full.select(
+        "node",
+        "least",
+        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        F.coalesce("root", "node").alias("root"),
+    )
     ids = stored(full.groupBy("root").agg(F.min("least").alias("component_id")), "vector-least")
     # Written, so that the joins below have a shuffle on either side and the rows of a large class can be split.
     of_class = stored(full.join(ids, "root").select("node", "n_links", "component_id"), "vector-counts")
     of_row = known.join(classes.select("label", "vector", "node"), ["label", "vector"]).select("vec_id", "node")
     out = of_row.join(of_class, "node").select("vec_id", "n_links", "component_id")
-    alone = rows.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = rows.where("vector is null").select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
+    )
     return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -102,7 +102,8 @@ def best_fit(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, cost: Cost =
 
 
 def _opened(falling: list[int], upto: list[int], place: int, permitted: list[int], price: dict[int, float]) -> int:
-    """The length to open for the piece at ``place`` of the pieces in falling order: the least cost a token of a trial filling."""
+    """The length to open for the piece at ``place`` of the pieces in falling order: the least cost a token of a trial
+    filling."""
     best, least = permitted[-1], float("inf")
     for c in permitted:
         if c < falling[place]:
@@ -127,15 +128,28 @@ def _filled(falling: list[int], upto: list[int], place: int, room: int) -> int:
     return got
 
 
-def packed(rows: DataFrame, *, id_col: str = "doc_id", length_col: str = "length", lengths: tuple[int, ...] = LENGTHS, cost: Cost = Cost(), pack_rows: int = PACK_ROWS, seed: int = 11) -> DataFrame:
+def packed(
+    rows: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    length_col: str = "length",
+    lengths: tuple[int, ...] = LENGTHS,
+    cost: Cost = Cost(),
+    pack_rows: int = PACK_ROWS,
+    seed: int = 11,
+) -> DataFrame:
     """One row per piece: doc_id, copy, start, n, pack, bin, at (in the bin), bin_used, bin_length.
 
     ``length_col`` holds a row's number of tokens; null counts as 0, negative is an error.
     """
     longest = max(lengths)
-    given = rows.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("length"))
+    given = rows.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("length")
+    )
     packs = given.count() // pack_rows + 1
-    dealt = copies_of(given).withColumn("pack", F.pmod(F.xxhash64("doc_id", "length", "copy", F.lit(seed)), F.lit(packs)))
+    dealt = copies_of(given).withColumn(
+        "pack", F.pmod(F.xxhash64("doc_id", "length", "copy", F.lit(seed)), F.lit(packs))
+    )
     kind = given.schema["doc_id"].dataType.simpleString()
 
     def flush(pack: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +200,12 @@ def packed(rows: DataFrame, *, id_col: str = "doc_id", length_col: str = "length
 
 
 def byte_lengths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, length: tokens of a byte-level model, UTF-8 bytes and one end token; null texts have the end token alone."""
-    return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1).cast("long").alias("length"))
+    """doc_id, length: tokens of a byte-level model, UTF-8 bytes and one end token; null texts have the end token
+    alone."""
+    return docs.select(
+        F.col(id_col).alias("doc_id"),
+        (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1).cast("long").alias("length"),
+    )
 
 
 #: The token after each text; the others are the bytes.
@@ -197,17 +215,32 @@ PACK_BYTES, BITMAP_BITS = 16 << 20, 1 << 27
 SEQUENCE = "pack long, bin long, bin_length long, bin_used long, tokens binary, at array<long>, start array<long>, n array<long>, copy array<long>"
 
 
-def write_sequences(docs: DataFrame, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, cost: Cost = Cost(), pack_bytes: int = PACK_BYTES, seed: int = 11) -> DataFrame:
-    """Pack all texts and write a row per bin as Parquet in ``folder`` (a new shared one by default): ``SEQUENCE``, and the pieces' ids."""
+def write_sequences(
+    docs: DataFrame,
+    folder: str | None = None,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lengths: tuple[int, ...] = LENGTHS,
+    cost: Cost = Cost(),
+    pack_bytes: int = PACK_BYTES,
+    seed: int = 11,
+) -> DataFrame:
+    """Pack all texts and write a row per bin as Parquet in ``folder`` (a new shared one by default): ``SEQUENCE``, and
+    the pieces' ids."""
     spark = docs.sparkSession
     folder = folder or scratch(spark, "sequences")
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw"))
-    texts = texts.withColumns({"h1": F.xxhash64("raw"), "h2": F.xxhash64(F.lit(1), "raw"), "bytes": F.octet_length("raw").cast("long")})
+    texts = texts.withColumns(
+        {"h1": F.xxhash64("raw"), "h2": F.xxhash64(F.lit(1), "raw"), "bytes": F.octet_length("raw").cast("long")}
+    )
     key = ["doc_id", "h1", "h2", "bytes"]
     counted = stored(texts.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "sequence-texts")
     packs = (counted.agg(F.sum(F.col("n") * (F.col("bytes") + 1))).first()[0] or 0) // pack_bytes + 1
-    bits = spark.sparkContext.broadcast(bitmap_of(counted.where("n > 1").select(F.xxhash64(*key).alias("item")), BITMAP_BITS))
+    bits = spark.sparkContext.broadcast(
+        bitmap_of(counted.where("n > 1").select(F.xxhash64(*key).alias("item")), BITMAP_BITS)
+    )
 
     @arrow_udf("boolean")
     def repeated(names: pa.Array) -> pa.Array:
@@ -216,7 +249,9 @@ def write_sequences(docs: DataFrame, folder: str | None = None, *, id_col: str =
     marked = texts.withColumn("maybe", repeated(F.xxhash64(*key)))
     single = marked.where(~F.col("maybe")).select(*key, "raw", F.lit(0).cast("long").alias("copy"))
     several = marked.where("maybe").groupBy(*key).agg(F.first("raw").alias("raw"), F.count(F.lit(1)).alias("n"))
-    dealt = single.unionByName(numbered(several, "n")).withColumn("pack", F.pmod(F.xxhash64(*key, "copy", F.lit(seed)), F.lit(packs)))
+    dealt = single.unionByName(numbered(several, "n")).withColumn(
+        "pack", F.pmod(F.xxhash64(*key, "copy", F.lit(seed)), F.lit(packs))
+    )
     schema = spark.createDataFrame([], SEQUENCE).schema.add("doc_id", T.ArrayType(texts.schema["doc_id"].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +259,9 @@ def write_sequences(docs: DataFrame, folder: str | None = None, *, id_col: str =
             yield from _sequences(pack, table, lengths, cost)
 
     rows = dealt.select("pack", "raw", "doc_id", "copy", "bytes", "h1", "h2").repartition("pack")
-    rows.sortWithinPartitions("pack", "bytes", "doc_id", "h1", "h2", "copy").mapInArrow(run, schema).write.option("compression", "zstd").parquet(folder)
+    rows.sortWithinPartitions("pack", "bytes", "doc_id", "h1", "h2", "copy").mapInArrow(run, schema).write.option(
+        "compression", "zstd"
+    ).parquet(folder)
     return spark.read.schema(schema).parquet(folder)
 
 
@@ -257,13 +294,25 @@ def _sequences(pack: int, table: pa.Table, lengths: tuple[int, ...], cost: Cost)
         lists = [pa.ListArray.from_arrays(split, pa.array(x[own], pa.int64())) for x in (at, start, n)]
         of_row = pa.array(row[own])
         lists += [pa.ListArray.from_arrays(split, column_of(table, c).take(of_row)) for c in ("copy", "doc_id")]
-        packed_tokens = pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(tokens)])
-        columns = [pa.array(np.full(len(bins), pack)), pa.array(bins), pa.array(got.length[bins], pa.int64()), pa.array(got.used[bins], pa.int64()), packed_tokens, *lists]
-        yield pa.RecordBatch.from_arrays(columns, ["pack", "bin", "bin_length", "bin_used", "tokens", "at", "start", "n", "copy", "doc_id"])
+        packed_tokens = pa.Array.from_buffers(
+            pa.binary(), len(bins), [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(tokens)]
+        )
+        columns = [
+            pa.array(np.full(len(bins), pack)),
+            pa.array(bins),
+            pa.array(got.length[bins], pa.int64()),
+            pa.array(got.used[bins], pa.int64()),
+            packed_tokens,
+            *lists,
+        ]
+        yield pa.RecordBatch.from_arrays(
+            columns, ["pack", "bin", "bin_length", "bin_used", "tokens", "at", "start", "n", "copy", "doc_id"]
+        )
 
 
 def read_pieces(sequences: DataFrame) -> DataFrame:
-    """A row per piece of written sequences: doc_id, copy, start, n, pack, bin, at, bin_used, bin_length, tokens_crc32 (unsigned, of the piece's tokens)."""
+    """A row per piece of written sequences: doc_id, copy, start, n, pack, bin, at, bin_used, bin_length, tokens_crc32
+    (unsigned, of the piece's tokens)."""
     kind = sequences.schema["doc_id"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,9 +324,20 @@ def read_pieces(sequences: DataFrame) -> DataFrame:
             tokens = batch.column(batch.schema.get_field_index("tokens"))
             values = np.frombuffer(tokens.buffers()[2] or b"", dtype=np.uint8)
             begin = np.repeat(offsets_of(tokens)[:-1], per) + np.asarray(flat["at"])
-            sums = [zlib.crc32(values[a : a + n]) for a, n in zip(begin.tolist(), np.asarray(flat["n"]).tolist(), strict=True)]
-            own = {c: batch.column(batch.schema.get_field_index(c)).take(row) for c in ("pack", "bin", "bin_used", "bin_length")}
+            sums = [
+                zlib.crc32(values[a : a + n])
+                for a, n in zip(begin.tolist(), np.asarray(flat["n"]).tolist(), strict=True)
+            ]
+            own = {
+                c: batch.column(batch.schema.get_field_index(c)).take(row)
+                for c in ("pack", "bin", "bin_used", "bin_length")
+            }
             names = ["doc_id", "copy", "start", "n", "pack", "bin", "at", "bin_used", "bin_length"]
-            yield pa.RecordBatch.from_arrays([*[{**flat, **own}[c] for c in names], pa.array(sums, pa.int64())], [*names, "tokens_crc32"])
-
-    return sequences.mapInArrow(run, f"doc_id {kind}, copy long, start long, n long, pack long, bin long, at long, bin_used long, bin_length long, tokens_crc32 long")
+            yield pa.RecordBatch.from_arrays(
+                [*[{**flat, **own}[c] for c in names], pa.array(sums, pa.int64())], [*names, "tokens_crc32"]
+            )
+
+    return sequences.mapInArrow(
+        run,
+        f"doc_id {kind}, copy long, start long, n long, pack long, bin long, at long, bin_used long, bin_length long, tokens_crc32 long",
+    )

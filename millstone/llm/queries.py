@@ -34,7 +34,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, as byte-level tokens with an end token, in sequences of 2048, 8192 and 32768; the pieces read back from these."""
+    """All documents, as byte-level tokens with an end token, in sequences of 2048, 8192 and 32768; the pieces read back
+    from these."""
     return packing.read_pieces(packing.write_sequences(table(spark, sf_dir, "documents"), lengths=packing.LENGTHS))
 
 
@@ -52,7 +53,9 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that fakes control strings, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     faked = spark.createDataFrame([(-7, 0, "user", FAKED), (-7, 1, "assistant", FAKED)], turns.schema)
-    parts = turns.unionByName(faked).withColumn("content", F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("text"))))
+    parts = turns.unionByName(faked).withColumn(
+        "content", F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("text")))
+    )
     return chat.read_back(chat.assembled(chat.format_turns(parts, content_col="content")))
 
 
@@ -79,19 +82,41 @@ URL_RULES = [
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's URL against the rules and a list of blocked URLs: those of the pages whose id is divisible by 100."""
+    """Every page's URL against the rules and a list of blocked URLs: those of the pages whose id is divisible by
+    100."""
     pages = table(spark, sf_dir, "pages")
-    listed = pages.where(F.col("page_id") % 100 == 0).select(urls.url_host(F.col("url")).alias("host"), urls.url_path(F.col("url")).alias("path")).where("host <> ''")
+    listed = pages.where(F.col("page_id") % 100 == 0).select(
+        urls.url_host(F.col("url")).alias("host"), urls.url_path(F.col("url")).alias("path")
+    ).where("host <> ''")
     return urls.judged(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), listed)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards that match the mixture of sources; counts at most one apart."""
     out = sharding.interleaved(table(spark, sf_dir, "documents"), shards=16, seed=42)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_chat": op3_chat, "op4_token_shards": op4_token_shards, "op5_url_filter": op5_url_filter, "op6_sharding": op6_sharding, "op7_jaccard_join": op7_jaccard_join, "op8_toxicity": op8_toxicity, "op9_embedding_dedup": op9_embedding_dedup, "op10_decontamination": op10_decontamination}
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_warc": op2_warc,
+    "op3_chat": op3_chat,
+    "op4_token_shards": op4_token_shards,
+    "op5_url_filter": op5_url_filter,
+    "op6_sharding": op6_sharding,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_toxicity": op8_toxicity,
+    "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_decontamination": op10_decontamination,
+}
 
 _OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -160,4 +185,11 @@ SELECT vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(reach
 FROM r LEFT JOIN n ON n.x = vec_id GROUP BY vec_id
 """
 
-ORACLES = {"op9_embedding_dedup": _OP9_SQL, "op7_jaccard_join": _OP7_SQL, "op2_warc": _OP2_SQL, "op3_chat": _OP3_SQL, "op5_url_filter": _OP5_SQL, "op10_decontamination": _OP10_SQL}
+ORACLES = {
+    "op9_embedding_dedup": _OP9_SQL,
+    "op7_jaccard_join": _OP7_SQL,
+    "op2_warc": _OP2_SQL,
+    "op3_chat": _OP3_SQL,
+    "op5_url_filter": _OP5_SQL,
+    "op10_decontamination": _OP10_SQL,
+}

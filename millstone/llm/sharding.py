@@ -36,7 +36,16 @@ def _unit(key: Column) -> Column:
     return F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))
 
 
-def interleaved(docs: DataFrame, *, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def interleaved(
+    docs: DataFrame,
+    *,
+    shards: int = 16,
+    seed: int = 42,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
     """One row per input row: doc_id, source, size, text_crc32, rank (from 0, over all), shard, slot."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -47,27 +56,50 @@ def interleaved(docs: DataFrame, *, shards: int = 16, seed: int = 42, id_col: st
     )
     rows = copies_of(rows)
     # A null source would not join with itself, so strata are told apart by a struct.
-    rows = rows.withColumn("stratum", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
+    rows = rows.withColumn(
+        "stratum", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+    )
     rows = rows.withColumn("key", F.xxhash64("doc_id", "size", "text_crc32", F.lit(seed), "copy"))
-    # Buckets of about bucket_rows rows in every source: as many in all as the rows ask for, however many sources there are.
+    # Buckets of about bucket_rows rows in every source: as many in all as the rows ask for, however many sources there
+    # are.
     totals = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("of_source"))
     total = docs.count()
     few = totals.count() <= BROADCAST_SOURCES
-    rows = rows.join(F.broadcast(totals) if few else totals, "stratum").withColumn("bucket", F.floor(_unit(F.col("key")) * F.floor(F.col("of_source") / bucket_rows + 1)))
+    rows = rows.join(F.broadcast(totals) if few else totals, "stratum").withColumn(
+        "bucket", F.floor(_unit(F.col("key")) * F.floor(F.col("of_source") / bucket_rows + 1))
+    )
 
     counts = rows.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n"))
     strata = running_sum(counts, ["stratum"], "bucket", "n").drop("n")
     # Keys are unsigned, as their buckets are.
     within = Window.partitionBy("stratum", "bucket").orderBy(F.col("key") < 0, "key", "doc_id", "size", "text_crc32")
     # Dealt by both columns, else a join by source alone would keep a source together.
-    ranked = rows.repartition("stratum", "bucket").join(strata, ["stratum", "bucket"]).withColumn("r", F.row_number().over(within) + F.col("before"))
+    ranked = rows.repartition("stratum", "bucket").join(strata, ["stratum", "bucket"]).withColumn(
+        "r", F.row_number().over(within) + F.col("before")
+    )
     ranked = ranked.withColumn("fraction", (F.col("r") - 0.5) / F.col("of_source"))
     buckets = total // bucket_rows + 1
-    ranked = stored(ranked.select("doc_id", "source", "size", "text_crc32", "key", "r", "fraction", F.floor(F.col("fraction") * buckets).alias("bucket")), "interleaved")
+    ranked = stored(
+        ranked.select(
+            "doc_id",
+            "source",
+            "size",
+            "text_crc32",
+            "key",
+            "r",
+            "fraction",
+            F.floor(F.col("fraction") * buckets).alias("bucket"),
+        ),
+        "interleaved",
+    )
 
-    cuts = running_sum(ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), [], "bucket", "n").select("bucket", "before")
+    cuts = running_sum(ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), [], "bucket", "n").select(
+        "bucket", "before"
+    )
     order = Window.partitionBy("bucket").orderBy("fraction", "key", "source", "r", "doc_id")
     placed = ranked.join(cuts, "bucket").withColumn("rank", F.row_number().over(order) + F.col("before") - 1)
     shard = F.expr(f"(rank * {shards}L) div {max(total, 1)}L")
     start = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}L) div {shards}L")
-    return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("rank") - start).select("doc_id", "source", "size", "text_crc32", "rank", "shard", "slot")
+    return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("rank") - start).select(
+        "doc_id", "source", "size", "text_crc32", "rank", "shard", "slot"
+    )

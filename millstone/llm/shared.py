@@ -30,7 +30,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose
+    nothing."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
@@ -46,8 +47,11 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def runs(batches: Iterator[pa.RecordBatch], n_keys: int, most: int | None = None) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
-    """Runs of rows with equal first ``n_keys`` columns (whole numbers or booleans without nulls) of rows in their order.
+def runs(
+    batches: Iterator[pa.RecordBatch], n_keys: int, most: int | None = None
+) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """Runs of rows with equal first ``n_keys`` columns (whole numbers or booleans without nulls) of rows in their
+    order.
 
     A run of more than ``most`` bytes comes in parts.
     """
@@ -96,7 +100,8 @@ def offsets_of(column: pa.Array):
 
 
 def running_sum(rows: DataFrame, by: list[str], order: str, n: str, *, fan: int = 1000) -> DataFrame:
-    """``rows`` with ``before``: the sum of ``n`` over rows of the same ``by`` columns and a lower ``order`` (whole numbers, one row each).
+    """``rows`` with ``before``: the sum of ``n`` over rows of the same ``by`` columns and a lower ``order`` (whole
+    numbers, one row each).
 
     Two levels: sums within ``fan`` neighbouring numbers, and along the sums of these, so the longest
     window of one task has a thousandth of the rows. The rows are few against what they count.
@@ -104,9 +109,13 @@ def running_sum(rows: DataFrame, by: list[str], order: str, n: str, *, fan: int
     cell = rows.withColumn("__cell", F.floor(F.col(order) / fan))
     along = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy(*by, "__cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cell.groupBy(*by, "__cell").agg(F.sum(n).alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(along), F.lit(0))).drop("__n")
+    cells = cell.groupBy(*by, "__cell").agg(F.sum(n).alias("__n")).withColumn(
+        "__base", F.coalesce(F.sum("__n").over(along), F.lit(0))
+    ).drop("__n")
     joined = cell.join(cells, [*by, "__cell"])
-    return joined.withColumn("before", F.col("__base") + F.coalesce(F.sum(n).over(within), F.lit(0))).drop("__cell", "__base")
+    return joined.withColumn("before", F.col("__base") + F.coalesce(F.sum(n).over(within), F.lit(0))).drop(
+        "__cell", "__base"
+    )
 
 
 def copies_of(rows: DataFrame) -> DataFrame:
@@ -115,11 +124,16 @@ def copies_of(rows: DataFrame) -> DataFrame:
 
 
 def numbered(counted: DataFrame, n: str, *, run: int = 10_000) -> DataFrame:
-    """Each row ``n`` times, ``copy`` from 0, without ``n``. Rows of very many copies are dealt to tasks by runs of these first."""
+    """Each row ``n`` times, ``copy`` from 0, without ``n``. Rows of very many copies are dealt to tasks by runs of
+    these first."""
     few = counted.where(F.col(n) <= run).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
-    runs_ = counted.where(F.col(n) > run).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{n}` - 1) div {run}L"))))
+    runs_ = counted.where(F.col(n) > run).withColumn(
+        "__run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{n}` - 1) div {run}L")))
+    )
     first = F.col("__run") * F.lit(run)
-    many = runs_.repartition("__run").withColumn("copy", F.explode(F.sequence(first, F.least(first + F.lit(run), F.col(n)) - 1)))
+    many = runs_.repartition("__run").withColumn(
+        "copy", F.explode(F.sequence(first, F.least(first + F.lit(run), F.col(n)) - 1))
+    )
     return few.drop(n).unionByName(many.drop(n, "__run"))
 
 
@@ -128,7 +142,8 @@ PART_WORDS = 1 << 12
 
 
 def bitmap_of(items: DataFrame, most: int) -> np.ndarray:
-    """The bitmap of a column of longs (named item): 16 bits an item or so, ``most`` bits at most; parts of it are made by tasks."""
+    """The bitmap of a column of longs (named item): 16 bits an item or so, ``most`` bits at most; parts of it are made
+    by tasks."""
     bits = min(most, max(64 * PART_WORDS, 1 << (16 * items.count()).bit_length()))
     wide = 64 * PART_WORDS
 
@@ -140,10 +155,15 @@ def bitmap_of(items: DataFrame, most: int) -> np.ndarray:
                 own = place[part == p]
                 words = made.setdefault(p, np.zeros(PART_WORDS, dtype=np.uint64))
                 np.bitwise_or.at(words, own >> 6, np.uint64(1) << (own & 63).astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([w.tobytes() for w in made.values()], pa.binary())], ["part", "words"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(made), pa.int64()), pa.array([w.tobytes() for w in made.values()], pa.binary())],
+            ["part", "words"],
+        )
 
     bit = F.pmod(F.col("item"), F.lit(bits))
-    dealt = items.select(F.floor(bit / wide).alias("part"), F.pmod(bit, F.lit(wide)).cast("long").alias("place")).repartition("part")
+    dealt = items.select(
+        F.floor(bit / wide).alias("part"), F.pmod(bit, F.lit(wide)).cast("long").alias("place")
+    ).repartition("part")
     got = dealt.mapInArrow(run, "part long, words binary").toArrow()
     out = np.zeros((bits // wide, PART_WORDS), dtype=np.uint64)
     for part, words in zip(got.column("part").to_pylist(), got.column("words").to_pylist(), strict=True):

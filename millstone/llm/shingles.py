@@ -137,7 +137,8 @@ def counted_run(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Tree:
-    """Levels from the leaves up. Each level: OR-combined bitmaps, size range, least excess of children kept as the largest."""
+    """Levels from the leaves up. Each level: OR-combined bitmaps, size range, least excess of children kept as the
+    largest."""
 
     order: np.ndarray
     bitmaps: list[np.ndarray]
@@ -158,7 +159,9 @@ def signatures(sets: Sets, bits: int) -> np.ndarray:
     bit = (sets.items >> np.uint64(64 - int(bits).bit_length() + 1)).astype(np.int64)
     at = np.unique(row * bits + bit)
     word = at >> 6
-    begin = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, dtype=np.int64)
+    begin = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(
+        0, dtype=np.int64
+    )
     if len(word):
         out[word[begin]] = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), begin)
     return out.reshape(n, bits // 64)
@@ -191,7 +194,9 @@ def possible(x: Tree, i: np.ndarray, y: Tree, j: np.ndarray, level: int, percent
     for a in range(0, len(at), 8192):
         some = at[a : a + 8192]
         shared = np.bitwise_count(x.bitmaps[level][i[some]] & y.bitmaps[level][j[some]]).sum(axis=1).astype(np.int64)
-        most = np.minimum(shared + np.minimum(x.excess[level][i[some]], y.excess[level][j[some]]), np.minimum(hx[some], hy[some]))
+        most = np.minimum(
+            shared + np.minimum(x.excess[level][i[some]], y.excess[level][j[some]]), np.minimum(hx[some], hy[some])
+        )
         # overlap >= percent / (100 + percent) * (sum of sizes), for the smallest sizes below both nodes
         keep[some] = (100 + percent) * most >= percent * (lx[some] + ly[some])
     return keep
@@ -246,8 +251,11 @@ class Links:
             self.mark[own] = False
 
 
-def tree_join(sets: Sets, left: np.ndarray, right: np.ndarray | None, percent: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, links) of all rows: labels are equal for rows that links connect; links are counted if there are weights.
+def tree_join(
+    sets: Sets, left: np.ndarray, right: np.ndarray | None, percent: int, weight: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, links) of all rows: labels are equal for rows that links connect; links are counted if there are
+    weights.
 
     ``right`` None: the left rows with each other.
     """
@@ -260,7 +268,10 @@ def tree_join(sets: Sets, left: np.ndarray, right: np.ndarray | None, percent: i
     x = tree_of(sets, left, bits)
     y = x if right is None else tree_of(sets, right, bits)
     level = min(x.height, y.height)
-    i, j = (g.ravel() for g in np.meshgrid(np.arange(len(x.bitmaps[level])), np.arange(len(y.bitmaps[level])), indexing="ij"))
+    i, j = (
+        g.ravel()
+        for g in np.meshgrid(np.arange(len(x.bitmaps[level])), np.arange(len(y.bitmaps[level])), indexing="ij")
+    )
     if right is None:
         i, j = i[i <= j], j[i <= j]
     todo = [(level, i, j)]
@@ -298,7 +309,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _rows(given: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of every row: doc_id, text_name, h1, h2 (its set's name), n, low (the smallest element), need, run (the counted elements, once per set that a task meets)."""
+    """Of every row: doc_id, text_name, h1, h2 (its set's name), n, low (the smallest element), need, run (the counted
+    elements, once per set that a task meets)."""
     kind = given.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "text_name", "h1", "h2", "n", "low", "need", "run"]
 
@@ -317,10 +329,23 @@ def _rows(given: DataFrame, k: int, percent: int) -> DataFrame:
                 where[fresh] = np.arange(len(fresh))
                 runs_of = sets.packed(fresh, stop[fresh]).take(pa.array(where, mask=where < 0))
                 own = [batch.column(i).slice(words.rows.start, len(words.rows)) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(h1), pa.array(h2), pa.array(sets.sizes, pa.int64()), pa.array(low), pa.array(need, pa.int32()), runs_of], names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *own,
+                        pa.array(h1),
+                        pa.array(h2),
+                        pa.array(sets.sizes, pa.int64()),
+                        pa.array(low),
+                        pa.array(need, pa.int32()),
+                        runs_of,
+                    ],
+                    names,
+                )
 
     named = given.select("doc_id", "text", F.xxhash64("text").alias("text_name"))
-    return named.mapInArrow(run, f"doc_id {kind}, text_name long, h1 long, h2 long, n long, low long, need int, run binary")
+    return named.mapInArrow(
+        run, f"doc_id {kind}, text_name long, h1 long, h2 long, n long, low long, need int, run binary"
+    )
 
 
 def _fresh(h1: np.ndarray, h2: np.ndarray, done: set[tuple[int, int]], wanted: np.ndarray) -> np.ndarray:
@@ -342,14 +367,19 @@ def _elements(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = offsets_of(batch.column(2)) // 8
-            keys = np.frombuffer(batch.column(2).buffers()[2], dtype=np.int64)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.int64)
+            keys = np.frombuffer(batch.column(2).buffers()[2], dtype=np.int64)[
+                at[0] : at[-1]
+            ] if at[-1] > at[0] else np.zeros(0, np.int64)
             row = np.repeat(np.arange(len(batch)), np.diff(at))
             if mask is not None:
                 some = in_bitmap(mask.value, keys)
                 keys, row = keys[some], row[some]
             for a in range(0, len(keys), 50_000):
                 own = pa.array(row[a : a + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000]), batch.column(0).take(own), batch.column(1).take(own)], ["key", "set", "need"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[a : a + 50_000]), batch.column(0).take(own), batch.column(1).take(own)],
+                    ["key", "set", "need"],
+                )
 
     return rows.where("run is not null").select("h1", "need", "run").mapInArrow(run, "key long, set long, need int")
 
@@ -360,7 +390,9 @@ def _groups(rows: DataFrame) -> DataFrame:
     Sets whose 64-bit names clash only make a group larger: links are told apart by classes.
     """
     # Keys of one set are of no use to anyone; the number of rows orders the rest.
-    counts = _elements(rows).groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.min("set").alias("least"), F.max("set").alias("most"))
+    counts = _elements(rows).groupBy("key").agg(
+        F.count(F.lit(1)).alias("often"), F.min("set").alias("least"), F.max("set").alias("most")
+    )
     shared = stored(counts.where("least <> most").select("key", "often"), "shingle-shared")
     found = _elements(rows, bitmap_of(shared.select(F.col("key").alias("item")), BITMAP_BITS))
     # Unsigned order: whether the key is among the counted.
@@ -370,8 +402,12 @@ def _groups(rows: DataFrame) -> DataFrame:
     place = F.row_number().over(of_set.orderBy(F.col("counted").desc(), "often", "key"))
     q = F.sum(F.col("counted").cast("int")).over(of_set)
     in_prefix = ~F.col("counted") | (F.col("place") <= F.col("need") + F.col("q"))
-    keys = stored(found.withColumn("place", place).withColumn("q", q).where(in_prefix).select("key", "set"), "shingle-keys")
-    middle = keys.groupBy("key").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least <> most").select("key", "least")
+    keys = stored(
+        found.withColumn("place", place).withColumn("q", q).where(in_prefix).select("key", "set"), "shingle-keys"
+    )
+    middle = keys.groupBy("key").agg(F.min("set").alias("least"), F.max("set").alias("most")).where(
+        "least <> most"
+    ).select("key", "least")
     return components(keys.join(middle, "key").where("set <> least").select("set", "least"), "shingle-groups")
 
 
@@ -391,17 +427,24 @@ def _member_sets(given: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
                 h1, h2 = sets.names()
                 fresh = _fresh(h1, h2, done, np.flatnonzero(sets.sizes))
                 if len(fresh):
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[fresh]), pa.array(h2[fresh]), sets.packed(fresh, sets.sizes[fresh])], ["h1", "h2", "items"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h1[fresh]), pa.array(h2[fresh]), sets.packed(fresh, sets.sizes[fresh])],
+                        ["h1", "h2", "items"],
+                    )
 
     some = given.withColumn("name", F.xxhash64("text")).where(perhaps(F.col("name"))).select("text")
-    return some.mapInArrow(run, "h1 long, h2 long, items binary").groupBy("h1", "h2").agg(F.first("items").alias("items"))
+    return some.mapInArrow(run, "h1 long, h2 long, items binary").groupBy("h1", "h2").agg(
+        F.first("items").alias("items")
+    )
 
 
 def _sets_in(column: pa.Array) -> Sets:
     """Sets from their packed elements."""
     at = offsets_of(column) // 8
     raw = column.buffers()[2]
-    items = np.frombuffer(raw, dtype=np.uint64)[at[0] : at[-1]] if raw is not None and at[-1] > at[0] else np.zeros(0, np.uint64)
+    items = np.frombuffer(raw, dtype=np.uint64)[at[0] : at[-1]] if raw is not None and at[-1] > at[0] else np.zeros(
+        0, np.uint64
+    )
     return Sets(items, at - at[0])
 
 
@@ -411,16 +454,23 @@ def _upper_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = _sets_in(column_of(table, "items"))
         bits = np.zeros(NODE_BITS // 8, dtype=np.uint8)
         at = sets.items & np.uint64(NODE_BITS - 1)
-        np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        np.bitwise_or.at(
+            bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+        )
         low, high = int(sets.sizes.min()), int(sets.sizes.max())
-        yield pa.RecordBatch.from_pylist([{"task": task, "root": root, "low": low, "high": high, "bitmap": bits.tobytes()}], schema=_UPPER)
+        yield pa.RecordBatch.from_pylist(
+            [{"task": task, "root": root, "low": low, "high": high, "bitmap": bits.tobytes()}], schema=_UPPER
+        )
 
 
-_UPPER = pa.schema([("task", pa.int64()), ("root", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("bitmap", pa.binary())])
+_UPPER = pa.schema(
+    [("task", pa.int64()), ("root", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("bitmap", pa.binary())]
+)
 
 
 def _passing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Sets that go on to another block: rows sorted by task hold a block's sets, then the upper nodes of others that they are held against."""
+    """Sets that go on to another block: rows sorted by task hold a block's sets, then the upper nodes of others that
+    they are held against."""
     own: pa.Table | None = None
     block = None
     for (task, root, node_too), table in runs(batches, 3):
@@ -428,26 +478,39 @@ def _passing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             own, block = table, task
             sets = _sets_in(column_of(own, "items"))
             places = sets.items & np.uint64(NODE_BITS - 1)
-            byte, bit = (places >> np.uint64(3)).astype(np.int64), np.uint8(1) << (places & np.uint64(7)).astype(np.uint8)
+            byte, bit = (places >> np.uint64(3)).astype(np.int64), np.uint8(1) << (places & np.uint64(7)).astype(
+                np.uint8
+            )
             n = sets.sizes
             continue
         if task != block:
             continue
-        for other, low, high, bitmap in zip(*(column_of(table, c).to_pylist() for c in ("other", "low", "high", "items")), strict=True):
+        for other, low, high, bitmap in zip(
+            *(column_of(table, c).to_pylist() for c in ("other", "low", "high", "items")), strict=True
+        ):
             inside = (np.frombuffer(bitmap, dtype=np.uint8)[byte] & bit) != 0
             most = np.add.reduceat(inside.astype(np.int64), sets.first[:-1])
             # The smallest set of the block that could link, and the overlap that it asks for.
             least = np.maximum(low, -(-n * percent // 100))
-            on = np.flatnonzero((100 * n >= percent * low) & (percent * n <= 100 * high) & ((100 + percent) * most >= percent * (n + least)))
+            on = np.flatnonzero(
+                (100 * n >= percent * low)
+                & (percent * n <= 100 * high)
+                & ((100 + percent) * most >= percent * (n + least))
+            )
             if len(on):
                 chosen = own.take(pa.array(on)).combine_chunks()
                 yield from pa.table(
-                    {"task": pa.array(np.full(len(on), other)), "root": pa.array(np.full(len(on), root)), "arrived": pa.array(np.ones(len(on), dtype=bool))} | {c: chosen.column(c) for c in ("node", "weight", "items")}
+                    {
+                        "task": pa.array(np.full(len(on), other)),
+                        "root": pa.array(np.full(len(on), root)),
+                        "arrived": pa.array(np.ones(len(on), dtype=bool)),
+                    } | {c: chosen.column(c) for c in ("node", "weight", "items")}
                 ).to_batches()
 
 
 def _joined(batches: Iterator[pa.RecordBatch], percent: int, count: bool) -> Iterator[pa.RecordBatch]:
-    """Links within each block and with sets that have come to it, from rows sorted by (task, root, arrived): u, its star's middle v, links."""
+    """Links within each block and with sets that have come to it, from rows sorted by (task, root, arrived): u, its
+    star's middle v, links."""
     own: pa.Table | None = None
     block = None
 
@@ -457,11 +520,19 @@ def _joined(batches: Iterator[pa.RecordBatch], percent: int, count: bool) -> Ite
             return
         rows = np.arange(len(both))
         weight = column_of(both, "weight").to_numpy()
-        label, links = tree_join(_sets_in(column_of(both, "items")), rows[: len(left)], None if right is None else rows[len(left) :], percent, weight if count else None)
+        label, links = tree_join(
+            _sets_in(column_of(both, "items")),
+            rows[: len(left)],
+            None if right is None else rows[len(left) :],
+            percent,
+            weight if count else None,
+        )
         other = np.flatnonzero((label != rows) | (links > 0))
         if len(other):
             names = column_of(both, "node").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(names[label[other]]), pa.array(links[other])], ["u", "v", "links"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[other]), pa.array(names[label[other]]), pa.array(links[other])], ["u", "v", "links"]
+            )
 
     for (task, root, arrived), table in runs(batches, 3, 16 * BLOCK_ELEMENTS):
         here = table.select(["node", "weight", "items"])
@@ -479,8 +550,17 @@ def _joined(batches: Iterator[pa.RecordBatch], percent: int, count: bool) -> Ite
             yield from links_of(own, None)
 
 
-def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, count: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, links): doc_id, h1, h2, n of every row; node, h1, h2, weight, least (id) of every class; and u, v, links of linked classes: v is the middle of u's star in a task.
+def jaccard_links(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int = 5,
+    percent: int = 80,
+    count: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, links): doc_id, h1, h2, n of every row; node, h1, h2, weight, least (id) of every class; and u,
+    v, links of linked classes: v is the middle of u's star in a task.
 
     ``count``: links hold how many rows of other sets u's sets link with in a task (every pair meets in
     one task). Counting compares all pairs that the trees leave, where components alone need a few.
@@ -488,12 +568,23 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     given = _texts(docs, id_col, text_col)
     rows = stored(_rows(given, k, percent), "shingle-rows")
-    classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("n").alias("n"), F.min("low").alias("low"), F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"), F.min("text_name").alias("text_name"))
+    classes = rows.where("n > 0").groupBy("h1", "h2").agg(
+        F.min("n").alias("n"),
+        F.min("low").alias("low"),
+        F.count(F.lit(1)).alias("weight"),
+        F.min("doc_id").alias("least"),
+        F.min("text_name").alias("text_name"),
+    )
     # Named in the written table, so every reader sees the same names, and no two classes share one.
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
     groups = _groups(rows)
-    roots_too = groups.select(F.col("node").alias("h1"), "root").unionByName(groups.select(F.col("root").alias("h1"), "root").distinct())
-    members = stored(classes.join(roots_too, "h1").select("node", "h1", "h2", "n", "low", "weight", "text_name", "root"), "shingle-members")
+    roots_too = groups.select(F.col("node").alias("h1"), "root").unionByName(
+        groups.select(F.col("root").alias("h1"), "root").distinct()
+    )
+    members = stored(
+        classes.join(roots_too, "h1").select("node", "h1", "h2", "n", "low", "weight", "text_name", "root"),
+        "shingle-members",
+    )
     sets = _member_sets(given, k, bitmap_of(members.select(F.col("text_name").alias("item")), BITMAP_BITS))
 
     of_group = members.groupBy("root").agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("rows"))
@@ -501,33 +592,75 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     total = of_group.agg(F.sum("elements")).first()[0] or 0
     bins = int(total // BLOCK_ELEMENTS) + spark.sparkContext.defaultParallelism
     here = ["task", "root", "arrived", "node", "weight", "items"]
-    placed = members.join(of_group.where(small).select("root"), "root").withColumn("task", F.pmod(F.xxhash64("root"), F.lit(bins))).withColumn("arrived", F.lit(False))
+    placed = members.join(of_group.where(small).select("root"), "root").withColumn(
+        "task", F.pmod(F.xxhash64("root"), F.lit(bins))
+    ).withColumn("arrived", F.lit(False))
     work = placed.join(sets, ["h1", "h2"]).select(*here)
 
     large = of_group.where(~small).select("root")
     if not large.isEmpty():
-        blocks = stored(_blocks(members.join(large, "root")).join(sets, ["h1", "h2"]).select("task", "root", "node", "weight", "items"), "shingle-blocks")
-        upper = blocks.repartition("task").sortWithinPartitions("task", "root").mapInArrow(_upper_nodes, "task long, root long, low long, high long, bitmap binary")
+        blocks = stored(
+            _blocks(members.join(large, "root")).join(sets, ["h1", "h2"]).select(
+                "task", "root", "node", "weight", "items"
+            ),
+            "shingle-blocks",
+        )
+        upper = blocks.repartition("task").sortWithinPartitions("task", "root").mapInArrow(
+            _upper_nodes, "task long, root long, low long, high long, bitmap binary"
+        )
         upper = stored(upper, "shingle-upper")
         x, y = upper.drop("bitmap").alias("x"), upper.alias("y")
-        fits = (F.col("x.root") == F.col("y.root")) & (F.col("x.task") < F.col("y.task")) & (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
+        fits = (F.col("x.root") == F.col("y.root")) & (F.col("x.task") < F.col("y.task")) & (
+            100 * F.col("x.high") >= percent * F.col("y.low")
+        ) & (100 * F.col("y.high") >= percent * F.col("x.low"))
         none = F.lit(None).cast("long")
-        against = x.join(y, fits).select("x.task", "x.root", F.lit(True).alias("node_too"), none.alias("node"), none.alias("weight"), F.col("y.bitmap").alias("items"), F.col("y.task").alias("other"), "y.low", "y.high")
-        held = blocks.select("task", "root", F.lit(False).alias("node_too"), "node", "weight", "items", none.alias("other"), none.alias("low"), none.alias("high"))
+        against = x.join(y, fits).select(
+            "x.task",
+            "x.root",
+            F.lit(True).alias("node_too"),
+            none.alias("node"),
+            none.alias("weight"),
+            F.col("y.bitmap").alias("items"),
+            F.col("y.task").alias("other"),
+            "y.low",
+            "y.high",
+        )
+        held = blocks.select(
+            "task",
+            "root",
+            F.lit(False).alias("node_too"),
+            "node",
+            "weight",
+            "items",
+            none.alias("other"),
+            none.alias("low"),
+            none.alias("high"),
+        )
         tested = held.unionByName(against).repartition("task").sortWithinPartitions("task", "root", "node_too")
-        arrived = tested.mapInArrow(lambda b: _passing(b, percent), "task long, root long, arrived boolean, node long, weight long, items binary")
+        arrived = tested.mapInArrow(
+            lambda b: _passing(b, percent),
+            "task long, root long, arrived boolean, node long, weight long, items binary",
+        )
         work = work.unionByName(blocks.withColumn("arrived", F.lit(False)).select(*here)).unionByName(arrived)
-    found = work.repartition("task").sortWithinPartitions("task", "root", "arrived").mapInArrow(lambda b: _joined(b, percent, count), "u long, v long, links long")
+    found = work.repartition("task").sortWithinPartitions("task", "root", "arrived").mapInArrow(
+        lambda b: _joined(b, percent, count), "u long, v long, links long"
+    )
     return rows, classes, stored(found, "shingle-links")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """``members`` with ``task``: blocks of a group by size level (sizes within a quarter) and smallest element, cut again where such a cell is too large."""
+    """``members`` with ``task``: blocks of a group by size level (sizes within a quarter) and smallest element, cut
+    again where such a cell is too large."""
     leveled = members.withColumn("level", F.floor(F.log(1.25, F.col("n"))).cast("int"))
 
     def cut(rows: DataFrame, by: list[str], name: str, of: Column) -> DataFrame:
         sizes = rows.groupBy(*by).agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("rows"))
-        many = sizes.select(*by, F.ceil(F.greatest(F.col("elements") / BLOCK_ELEMENTS, F.col("rows") / BLOCK_ROWS)).cast("int").alias("many"))
+        many = sizes.select(
+            *by,
+            F.ceil(
+                F.greatest(F.col("elements") / BLOCK_ELEMENTS, F.col("rows") / BLOCK_ROWS)
+            ).cast("int").alias("many"),
+        )
         return rows.join(many, by).withColumn(name, F.pmod(of, F.col("many")).cast("int")).drop("many")
 
     slotted = cut(leveled, ["root", "level"], "slot", F.xxhash64("low"))
@@ -535,7 +668,15 @@ def _blocks(members: DataFrame) -> DataFrame:
     return salted.withColumn("task", F.xxhash64("root", "level", "slot", "salt"))
 
 
-def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, count: bool = False) -> DataFrame:
+def linked_components(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int = 5,
+    percent: int = 80,
+    count: bool = False,
+) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; with ``count`` also n_links, the other rows that it links with."""
     rows, classes, links = jaccard_links(docs, id_col=id_col, text_col=text_col, k=k, percent=percent, count=count)
     found = components(links.select("u", "v"), "shingle-components")
@@ -544,7 +685,9 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     of_class = full.join(least, "root").select("node", "h1", "h2", "component_id", "weight")
     if count:
         to_others = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-        of_class = of_class.join(to_others, "node", "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("links", F.lit(0)))
+        of_class = of_class.join(to_others, "node", "left").withColumn(
+            "n_links", F.col("weight") - 1 + F.coalesce("links", F.lit(0))
+        )
     names = ["component_id", "n_links"] if count else ["component_id"]
     # Written, so that the join below has a shuffle on either side and a large class's rows can be split.
     of_class = stored(of_class.select("h1", "h2", *names), "shingle-counts")

@@ -77,7 +77,12 @@ _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = True
 FEED = "\u010a"
 #: First bytes of white space beyond ASCII, and what follows them (second byte, lowest and highest third byte).
-_WIDE = {0xC2: [(0x85, None, None), (0xA0, None, None)], 0xE1: [(0x9A, 0x80, 0x80)], 0xE2: [(0x80, 0x80, 0x8A), (0x80, 0xA8, 0xA9), (0x80, 0xAF, 0xAF), (0x81, 0x9F, 0x9F)], 0xE3: [(0x80, 0x80, 0x80)]}
+_WIDE = {
+    0xC2: [(0x85, None, None), (0xA0, None, None)],
+    0xE1: [(0x9A, 0x80, 0x80)],
+    0xE2: [(0x80, 0x80, 0x8A), (0x80, 0xA8, 0xA9), (0x80, 0xAF, 0xAF), (0x81, 0x9F, 0x9F)],
+    0xE3: [(0x80, 0x80, 0x80)],
+}
 
 
 def cut(texts: pa.Array, apart: bool = True) -> tuple[pa.Array, np.ndarray]:
@@ -137,7 +142,9 @@ class Pieces:
 
     def __init__(self) -> None:
         self.table = np.full(self.SLOTS, -1, dtype=np.int32)
-        self.keys, self.begin, self.sizes = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.keys, self.begin, self.sizes = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.int64), np.zeros(
+            1 << 18, np.int64
+        )
         self.bytes, self.used = np.zeros(1 << 21, np.uint8), 0
 
     def find(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +154,10 @@ class Pieces:
         at = at - at[0]
         sizes = np.diff(at)
         inner = np.arange(len(data)) - np.repeat(at[:-1], sizes)
-        keys = mixed(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers(int(sizes.max()))[inner], at[:-1]) + sizes.astype(np.uint64))
+        keys = mixed(
+            np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers(int(sizes.max()))[inner], at[:-1])
+            + sizes.astype(np.uint64)
+        )
         out = np.full(len(pieces), -1, dtype=np.int64)
         todo, slot = np.arange(len(pieces)), (keys >> np.uint64(42)).astype(np.int64)
         while len(todo):
@@ -165,21 +175,28 @@ class Pieces:
             n = sizes[hit]
             stop = np.cumsum(n)
             own = np.arange(int(stop[-1]) if len(stop) else 0)
-            differ = self.bytes[own + np.repeat(self.begin[out[hit]] - (stop - n), n)] != data[own + np.repeat(at[hit] - (stop - n), n)]
+            differ = self.bytes[own + np.repeat(self.begin[out[hit]] - (stop - n), n)] != data[
+                own + np.repeat(at[hit] - (stop - n), n)
+            ]
             if differ.any():
                 out[hit[np.unique(np.searchsorted(stop, np.flatnonzero(differ), side="right"))]] = -1
         return out, keys, data, at
 
     def add(self, which: np.ndarray, numbers: np.ndarray, keys: np.ndarray, data: np.ndarray, at: np.ndarray) -> None:
-        """Remember some of the pieces of ``find`` by new numbers. One whose hash is taken by another piece is not found later."""
+        """Remember some of the pieces of ``find`` by new numbers. One whose hash is taken by another piece is not found
+        later."""
         sizes = np.diff(at)[which]
         stop = np.cumsum(sizes)
         total = int(stop[-1])
         while self.used + total > len(self.bytes):
             self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
         while int(numbers[-1]) >= len(self.keys):
-            self.keys, self.begin, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.begin, self.sizes))
-        self.bytes[self.used : self.used + total] = data[np.arange(total) + np.repeat(at[which] - (stop - sizes), sizes)]
+            self.keys, self.begin, self.sizes = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.begin, self.sizes)
+            )
+        self.bytes[self.used : self.used + total] = data[
+            np.arange(total) + np.repeat(at[which] - (stop - sizes), sizes)
+        ]
         self.keys[numbers], self.begin[numbers], self.sizes[numbers] = keys[which], self.used + stop - sizes, sizes
         self.used += total
         todo, slot = np.arange(len(which)), (keys[which] >> np.uint64(42)).astype(np.int64)
@@ -201,15 +218,29 @@ class Encoder:
         said = json.loads(self.tokenizer.to_str())
         before = said.get("pre_tokenizer") or {}
         added = "".join(x["content"] for x in said.get("added_tokens") or ())
-        self.by_piece = not set(added) & set(" \n.,!;:?%&$#*") and said.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.by_piece = not set(added) & set(" \n.,!;:?%&$#*") and said.get(
+            "normalizer"
+        ) is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         # A token that no piece's encoding can hold parts the pieces of one call.
-        self.between = next((x["content"] for x in said.get("added_tokens") or () if x.get("special") and not (x.get("lstrip") or x.get("rstrip") or x.get("single_word"))), None)
+        self.between = next(
+            (
+                x["content"]
+                for x in said.get("added_tokens") or ()
+                if x.get("special") and not (x.get("lstrip") or x.get("rstrip") or x.get("single_word"))
+            ),
+            None,
+        )
         self.between_id = self.tokenizer.token_to_id(self.between) if self.between else None
         # Words of letters are one token to the splitting rule, so they need none: they are parted by line feeds alone.
         self.words, self.feed = None, None
         if self.by_piece and self.tokenizer.model.token_to_id(FEED) is not None:
             self.words, self.feed = Tokenizer(self.tokenizer.model), self.tokenizer.model.token_to_id(FEED)
-            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.words.pre_tokenizer = pre_tokenizers.Sequence(
+                [
+                    pre_tokenizers.Split("\n", "isolated"),
+                    pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+                ]
+            )
         if hasattr(self.tokenizer.model, "_resize_cache"):
             # Pieces are remembered here; the model need not remember them too.
             self.tokenizer.model._resize_cache(0)
@@ -224,7 +255,10 @@ class Encoder:
     def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after another, and how many each has."""
         if self.by_piece and self.between and not any(self.between in p for p in pieces):
-            raw = np.array(self.tokenizer.encode_batch_fast([self.between.join(pieces)], add_special_tokens=False)[0].ids, dtype=np.int32)
+            raw = np.array(
+                self.tokenizer.encode_batch_fast([self.between.join(pieces)], add_special_tokens=False)[0].ids,
+                dtype=np.int32,
+            )
             cuts = np.flatnonzero(raw == self.between_id)
             if len(cuts) == len(pieces) - 1:
                 return np.delete(raw, cuts), np.diff(np.concatenate(([-1], cuts, [len(raw)]))) - 1
@@ -233,8 +267,11 @@ class Encoder:
         return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum())), sizes
 
     def _ids_of_words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """``_ids_of`` for pieces of letters, none of which holds a line feed; None where the tokenizer treats these otherwise."""
-        raw = np.array(self.words.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, dtype=np.int32)
+        """``_ids_of`` for pieces of letters, none of which holds a line feed; None where the tokenizer treats these
+        otherwise."""
+        raw = np.array(
+            self.words.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, dtype=np.int32
+        )
         cuts = np.flatnonzero(raw == self.feed)
         if len(cuts) != len(pieces) - 1:
             return None
@@ -272,7 +309,9 @@ class Encoder:
         """Ids of all texts, each with its end id, and the number of each text's ids."""
         if not len(texts):
             return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-        if self.count > REMEMBERED or self.known.used > REMEMBERED_BYTES or int(self.begin[self.count]) > REMEMBERED_IDS:
+        if self.count > REMEMBERED or self.known.used > REMEMBERED_BYTES or int(
+            self.begin[self.count]
+        ) > REMEMBERED_IDS:
             self._forget()
         found, counts = cut(texts.fill_null(""), self.by_piece)
         coded = found.dictionary_encode()
@@ -309,11 +348,14 @@ CELLS = 1 << 20
 
 def _cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash cell of each pair of symbols."""
-    return ((a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(12)).astype(np.int64)
+    return (
+        (a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+    ).astype(np.int64)
 
 
 def _frequent(seq: np.ndarray, cell: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Pairs (as keys) that occur ``least`` times or more, the most frequent ones first; about ``4 * most`` at least, if there are."""
+    """Pairs (as keys) that occur ``least`` times or more, the most frequent ones first; about ``4 * most`` at least, if
+    there are."""
     full = np.bincount(cell, minlength=CELLS)
     # A pair occurs no more often than its hash cell; only pairs of the fullest cells are sorted and counted.
     counts = np.sort(full[full >= least])[::-1]
@@ -409,7 +451,12 @@ def packed_shard(ids: np.ndarray, sizes: np.ndarray, doc_ids: list[int | None],
     """A shard file's bytes."""
     room = 65536 - vocabulary
     width = 2 if room > 256 else 4
-    symbols, rules = repair(ids, vocabulary, rules=(1 << 8 * width) - vocabulary if width == 2 else (1 << 31) - vocabulary, least=worth(width))
+    symbols, rules = repair(
+        ids,
+        vocabulary,
+        rules=(1 << 8 * width) - vocabulary if width == 2 else (1 << 31) - vocabulary,
+        least=worth(width),
+    )
     length = np.ones(vocabulary + len(rules), dtype=np.int64)
     for i, (a, b) in enumerate(rules.tolist()):
         length[vocabulary + i] = length[a] + length[b]
@@ -462,7 +509,17 @@ class Shard:
         ids, none = take("<i8", docs), take("u1", docs)
         if at != len(raw):
             raise ValueError("a token shard of the wrong length")
-        return cls(vocabulary, made, lengths, seq, sampled, firsts, [None if z else i for i, z in zip(ids.tolist(), none.tolist(), strict=True)], tokens, step)
+        return cls(
+            vocabulary,
+            made,
+            lengths,
+            seq,
+            sampled,
+            firsts,
+            [None if z else i for i, z in zip(ids.tolist(), none.tolist(), strict=True)],
+            tokens,
+            step,
+        )
 
     def __post_init__(self) -> None:
         """Expansions of all symbols that occur in rules, each right after the other."""
@@ -511,13 +568,24 @@ class Shard:
 MANIFEST = "part int, seq int, file string, docs long, tokens long, bytes long"
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, part_rows: int = PART_ROWS) -> DataFrame:
+def write_shards(
+    docs: DataFrame,
+    tokenizer: str,
+    folder: str | None = None,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shard_tokens: int = SHARD_TOKENS,
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
     """Encode and write all rows; returns the stored manifest with ``start``, the ids of all shards before each."""
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = max(spark.sparkContext.defaultParallelism, given.count() // part_rows + 1)
-    dealt = given.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = given.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
+        F.col("doc_id").asc_nulls_first(), "text"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
@@ -536,9 +604,18 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, *,
             name = f"{uuid.uuid4().hex}.rptk"
             with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
                 out.write(raw)
-            row = {"part": part, "seq": seq, "file": f"{folder}/{name}", "docs": len(n), "tokens": size, "bytes": len(raw)}
+            row = {
+                "part": part, "seq": seq, "file": f"{folder}/{name}", "docs": len(n), "tokens": size, "bytes": len(raw)
+            }
             held, sizes, names, size, seq = [], [], [], 0, seq + 1
-            kinds = [("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]
+            kinds = [
+                ("part", pa.int32()),
+                ("seq", pa.int32()),
+                ("file", pa.string()),
+                ("docs", pa.int64()),
+                ("tokens", pa.int64()),
+                ("bytes", pa.int64()),
+            ]
             return pa.RecordBatch.from_pylist([row], schema=pa.schema(kinds))
 
         for batch in batches:
@@ -562,14 +639,20 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, *,
             yield shard()
 
     manifest = stored(dealt.mapInArrow(run, MANIFEST), "token-manifest")
-    bases = running_sum(manifest.groupBy("part").agg(F.sum("tokens").alias("of_part")), [], "part", "of_part").select("part", F.col("before").alias("base"))
+    bases = running_sum(manifest.groupBy("part").agg(F.sum("tokens").alias("of_part")), [], "part", "of_part").select(
+        "part", F.col("before").alias("base")
+    )
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.join(bases, "part").withColumn("start", F.col("base") + F.coalesce(F.sum("tokens").over(within), F.lit(0))).drop("base")
+    return manifest.join(bases, "part").withColumn(
+        "start", F.col("base") + F.coalesce(F.sum("tokens").over(within), F.lit(0))
+    ).drop("base")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    kinds = pa.schema(
+        [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -581,9 +664,19 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 ids = shard.expanded(0, len(shard.symbols)).astype("<u4")
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 starts, sizes = start + at[:-1], np.diff(at)
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], schema=kinds)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(shard.doc_ids, pa.int64()),
+                        pa.array(starts, pa.int64()),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(sums, pa.int64()),
+                    ],
+                    schema=kinds,
+                )
 
     # A row is a shard, so the rows are spread by number: each task decodes a few, however small the table is.
     shards = manifest.count()
     tasks = min(shards, 4 * manifest.sparkSession.sparkContext.defaultParallelism + shards // 64)
-    return manifest.select("file", "start").repartition(max(tasks, 1), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "start").repartition(max(tasks, 1), "file").mapInArrow(
+        run, "doc_id long, start long, n_tokens long, ids_crc32 long"
+    )

@@ -56,7 +56,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the given words, word by word, and each word's first place among them (one more than words)."""
+    """Buckets of all n-grams of the given words, word by word, and each word's first place among them (one more than
+    words)."""
     lens = ends - starts + 2
     at = np.concatenate(([0], np.cumsum(lens)))
     text = np.empty(at[-1], dtype=np.uint64)
@@ -86,7 +87,8 @@ def grams_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 @dataclass
 class Model:
-    """``weight``: the logit that each n-gram row adds to the mean. ``scale``, ``shift``: calibration. ``floor``: logit without words."""
+    """``weight``: the logit that each n-gram row adds to the mean. ``scale``, ``shift``: calibration. ``floor``: logit
+    without words."""
 
     weight: np.ndarray
     scale: float
@@ -122,7 +124,15 @@ def _averaged(logits: np.ndarray, first: np.ndarray, floor: float) -> tuple[np.n
     return out, part
 
 
-def fit(texts: list[str | None] | pa.Array, labels: list[int], *, seed: int = 7, dim: int = DIM, word_epochs: int = 10, doc_rounds: int = 30) -> Model:
+def fit(
+    texts: list[str | None] | pa.Array,
+    labels: list[int],
+    *,
+    seed: int = 7,
+    dim: int = DIM,
+    word_epochs: int = 10,
+    doc_rounds: int = 30,
+) -> Model:
     """A model of the sample; deterministic for the same rows in the same order."""
     y = np.asarray(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -157,7 +167,9 @@ def fit(texts: list[str | None] | pa.Array, labels: list[int], *, seed: int = 7,
     for _ in range(word_epochs):
         order = rng.permutation(n)
         for a in range(0, n, 4096):
-            net.step(order[a : a + 4096], lambda logits, words: (1 / (1 + np.exp(-logits)) - target[words]) * weight[words])
+            net.step(
+                order[a : a + 4096], lambda logits, words: (1 / (1 + np.exp(-logits)) - target[words]) * weight[words]
+            )
 
     first = np.concatenate(([0], np.cumsum(size)))
     share = y.mean()
@@ -178,7 +190,9 @@ def fit(texts: list[str | None] | pa.Array, labels: list[int], *, seed: int = 7,
     return Model(net.rows @ net.out + net.bias, scale, shift, floor)
 
 
-def _all_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+def _all_grams(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 16_384
+) -> tuple[np.ndarray, np.ndarray]:
     """``grams_of``, some words at a time."""
     buckets, sizes = [], []
     for a in range(0, len(starts), step):
@@ -212,14 +226,19 @@ class _Net:
             out[a : a + 65_536] = np.add.reduceat(per_row[self.bucket[at[0] : at[-1]]], at[:-1] - at[0]) / np.diff(at)
         return out + self.bias
 
-    def step(self, words: np.ndarray, errors: np.ndarray | Callable[[np.ndarray, np.ndarray], np.ndarray], rate: float = 0.3) -> None:
-        """One step of embeddings and softmax down the errors of some words' logits (given, or made of the logits and words), in batches of bounded memory."""
+    def step(
+        self, words: np.ndarray, errors: np.ndarray | Callable[[np.ndarray, np.ndarray], np.ndarray], rate: float = 0.3
+    ) -> None:
+        """One step of embeddings and softmax down the errors of some words' logits (given, or made of the logits and
+        words), in batches of bounded memory."""
         to_out, to_rows, total = np.zeros(len(self.out)), np.zeros(BUCKETS), 0.0
         for a in range(0, len(words), 16_384):
             some = words[a : a + 16_384]
             bucket, begin, sizes = self._of(some)
             vectors = np.add.reduceat(self.rows[bucket], begin, axis=0) / sizes[:, None]
-            own = (errors(vectors @ self.out + self.bias, some) if callable(errors) else errors[a : a + 16_384]) / len(words)
+            own = (
+                errors(vectors @ self.out + self.bias, some) if callable(errors) else errors[a : a + 16_384]
+            ) / len(words)
             to_out += vectors.T @ own
             to_rows += np.bincount(bucket, weights=np.repeat(own / sizes, sizes), minlength=BUCKETS)
             total += float(own.sum())
@@ -251,9 +270,21 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, seed: int = 7) -> Model:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    max_docs: int = MAX_DOCS,
+    max_bytes: int = MAX_BYTES,
+    seed: int = 7,
+) -> Model:
     """Fit on a bounded sample of the labelled rows outside the held-out fold."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(
+        F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc_id"))
+    )
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     n = known.count()
     spread = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20))
@@ -262,25 +293,48 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # The sample's ids are bounded by max_docs, so they go to the documents.
     # Repeated rows of an id count once, by their largest text.
-    chosen = stored(given.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")), "toxicity-sample")
+    chosen = stored(
+        given.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")),
+        "toxicity-sample",
+    )
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > max_bytes:
-        chosen = chosen.where(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 20)) < int(max_bytes / size * (1 << 20)))
-    rows = chosen.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").repartition(1).sortWithinPartitions("doc_id", "text", "y")
+        chosen = chosen.where(
+            F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 20)) < int(max_bytes / size * (1 << 20))
+        )
+    rows = chosen.select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), "y"
+    ).repartition(1).sortWithinPartitions("doc_id", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if held:
             table = pa.Table.from_batches(held)
             texts = table.column("text").cast(pa.large_string()).combine_chunks()
-            made = fit(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, table.column("y").to_pylist(), seed=seed)
-            yield pa.RecordBatch.from_arrays([pa.array([made.weight.astype("<f4").tobytes()]), pa.array([made.scale]), pa.array([made.shift]), pa.array([made.floor])], ["weight", "scale", "shift", "floor"])
+            made = fit(
+                texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts,
+                table.column("y").to_pylist(),
+                seed=seed,
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([made.weight.astype("<f4").tobytes()]),
+                    pa.array([made.scale]),
+                    pa.array([made.shift]),
+                    pa.array([made.floor]),
+                ],
+                ["weight", "scale", "shift", "floor"],
+            )
 
     found = rows.mapInArrow(run, "weight binary, scale double, shift double, floor double").first()
-    return fit([], []) if found is None else Model(np.frombuffer(found.weight, dtype="<f4"), found.scale, found.shift, found.floor)
+    return fit([], []) if found is None else Model(
+        np.frombuffer(found.weight, dtype="<f4"), found.scale, found.shift, found.floor
+    )
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+def score(
+    docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3
+) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -289,11 +343,20 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for words in words_of(batch.column(1), ALNUM):
                 found = shared.value.scores(words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.rows.start, len(words.rows)), pa.array(found), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(words.rows.start, len(words.rows)),
+                        pa.array(found),
+                        pa.array((found >= threshold).astype(np.int32)),
+                    ],
+                    ["doc_id", "score", "predicted"],
+                )
 
     kind = given.schema["doc_id"].dataType.simpleString()
     out = given.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+    return out.select(
+        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted"
+    )
 
 
 def clean(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -304,6 +367,8 @@ def clean(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in words_of(batch.column(place), ALNUM):
-                yield batch.slice(words.rows.start, len(words.rows)).filter(pa.array(shared.value.scores(words) < threshold))
+                yield batch.slice(words.rows.start, len(words.rows)).filter(
+                    pa.array(shared.value.scores(words) < threshold)
+                )
 
     return docs.mapInArrow(run, docs.schema)

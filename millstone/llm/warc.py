@@ -13,7 +13,8 @@ all other rows where they are: payloads are shuffled only for rows that it lets
 be joined with their group's largest id; Spark splits a hot digest's rows in that join.
 
 ``read_records`` takes any selection of index rows, deals them by file and range of offsets to as
-many tasks as the selected bytes ask for, sorts them, merges neighbouring ranges with gaps up to ``gap`` bytes into reads of ``most``
+many tasks as the selected bytes ask for, sorts them, merges neighbouring ranges with gaps up to ``gap`` bytes into
+reads of ``most``
 bytes, and parses and verifies the records.
 
 A null payload is empty; a null URL leaves out the target; null page ids are kept, and
@@ -58,10 +59,23 @@ def _uri(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: quote(m[0]), url)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, date: str = DATE) -> bytes:
+def record(
+    page_id: int | None,
+    url: str | None,
+    payload: bytes,
+    digest: str,
+    size: int,
+    refers_to: int | None,
+    date: str = DATE,
+) -> bytes:
     """One WARC/1.1 record, not compressed."""
     base32 = base64.b32encode(bytes.fromhex(digest)).decode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    head = [
+        "WARC/1.1",
+        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Date: {date}",
+    ]
     if url is not None:
         head.append(f"WARC-Target-URI: {_uri(url)}")
     head.append(f"WARC-Payload-Digest: sha1:{base32}")
@@ -71,7 +85,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
         block = HTTP + payload
         head.append("Content-Type: application/http; msgtype=response")
     else:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: <urn:page:{refers_to}>",
+        ]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n"
 
@@ -106,14 +123,28 @@ def parse(raw: bytes) -> dict:
     }
 
 
-def labelled(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000) -> DataFrame:
+def labelled(
+    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000
+) -> DataFrame:
     """page_id, url, payload, digest, payload_bytes, refers_to (null: a response)."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.select("page_id", "url", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
-    copies = rows.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "kept")
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")
+    )
+    rows = rows.select(
+        "page_id",
+        "url",
+        F.sha1("payload").alias("digest"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        "payload",
+    )
+    copies = rows.where(F.col("payload_bytes") >= least).groupBy("digest").agg(
+        F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1").select("digest", "kept")
     copies = stored(copies, "warc-copies")
-    bits = pages.sparkSession.sparkContext.broadcast(bitmap_of(copies.select(F.xxhash64("digest").alias("item")), BITMAP_BITS))
+    bits = pages.sparkSession.sparkContext.broadcast(
+        bitmap_of(copies.select(F.xxhash64("digest").alias("item")), BITMAP_BITS)
+    )
 
     @arrow_udf("boolean")
     def repeated(names: pa.Array) -> pa.Array:
@@ -123,7 +154,9 @@ def labelled(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     refers = F.when(F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
     names = ["page_id", "url", "digest", "payload_bytes"]
     single = rows.where(~F.col("maybe")).select(*names, F.lit(None).cast("long").alias("refers_to"), "payload")
-    joined = rows.where("maybe").join(copies, "digest", "left").select(*names, refers.alias("refers_to"), F.when(refers.isNull(), F.col("payload")).alias("payload"))
+    joined = rows.where("maybe").join(copies, "digest", "left").select(
+        *names, refers.alias("refers_to"), F.when(refers.isNull(), F.col("payload")).alias("payload")
+    )
     return single.unionByName(joined)
 
 
@@ -139,7 +172,9 @@ def write_archives(rows: DataFrame, folder: str | None = None, *, file_bytes: in
         try:
             for batch in batches:
                 types, files, offsets, lengths = [], [], [], []
-                for page, url, digest, size, refers, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for page, url, digest, size, refers, payload in zip(
+                    *(c.to_pylist() for c in batch.columns), strict=True
+                ):
                     if out is None or at >= file_bytes:
                         if out is not None:
                             out.close()
@@ -156,8 +191,28 @@ def write_archives(rows: DataFrame, folder: str | None = None, *, file_bytes: in
                     at += len(member)
                 c = batch.columns
                 yield pa.RecordBatch.from_arrays(
-                    [c[0], c[1], c[2], c[3], pa.array(types, pa.string()), c[4], pa.array([f"{folder}/{f}" for f in files], pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
-                    ["page_id", "url", "digest", "payload_bytes", "record_type", "refers_to", "file", "offset", "length"],
+                    [
+                        c[0],
+                        c[1],
+                        c[2],
+                        c[3],
+                        pa.array(types, pa.string()),
+                        c[4],
+                        pa.array([f"{folder}/{f}" for f in files], pa.string()),
+                        pa.array(offsets, pa.int64()),
+                        pa.array(lengths, pa.int64()),
+                    ],
+                    [
+                        "page_id",
+                        "url",
+                        "digest",
+                        "payload_bytes",
+                        "record_type",
+                        "refers_to",
+                        "file",
+                        "offset",
+                        "length",
+                    ],
                 )
         finally:
             if out is not None:
@@ -170,8 +225,20 @@ def read_records(index: DataFrame, *, gap: int = 64 << 10, most: int = 4 << 20,
     """The records of the selected index rows (``RECORD``); a revisit's payload is null."""
     given = index.select("file", "offset", "length")
     tasks = (index.agg(F.sum("length")).first()[0] or 0) // deal + 1
-    given = given.repartition(int(tasks), "file", F.floor(F.col("offset") / deal)).sortWithinPartitions("file", "offset")
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+    given = given.repartition(int(tasks), "file", F.floor(F.col("offset") / deal)).sortWithinPartitions(
+        "file", "offset"
+    )
+    schema = pa.schema(
+        [
+            ("page_id", pa.int64()),
+            ("url", pa.string()),
+            ("record_type", pa.string()),
+            ("refers_to", pa.int64()),
+            ("payload_bytes", pa.int64()),
+            ("payload_digest", pa.string()),
+            ("payload", pa.binary()),
+        ]
+    )
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
         """File, start, end and records of each read."""
@@ -198,7 +265,9 @@ def read_records(index: DataFrame, *, gap: int = 64 << 10, most: int = 4 << 20,
                     fs, path = filesystem(file)
                     opened, stream = file, fs.open_input_file(path)
                 raw = stream.read_at(end - start, start)
-                yield pa.RecordBatch.from_pylist([parse(zlib.decompress(raw[at - start : at - start + n], 31)) for at, n in records], schema=schema)
+                yield pa.RecordBatch.from_pylist(
+                    [parse(zlib.decompress(raw[at - start : at - start + n], 31)) for at, n in records], schema=schema
+                )
         finally:
             if stream is not None:
                 stream.close()

@@ -49,11 +49,16 @@ def test_decisions_equal_brute_force(spark):
     ids = [r.doc_id for r in clean]
     component = plain_components(ids, plain_sets([r.text for r in clean]))
     single = corpus_pipeline.one_of_each(spark, rest, SMALL).collect()
-    assert sorted(r.doc_id for r in single) == sorted({min(c, i) for i, c in zip(ids, component, strict=True) if c == i})
+    assert sorted(r.doc_id for r in single) == sorted(
+        {min(c, i) for i, c in zip(ids, component, strict=True) if c == i}
+    )
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     hits = {r.doc_id: plain_hits(r.text, items) for r in single}
-    kept = {r.doc_id: r for r in corpus_pipeline.benchmark_out(spark, spark.createDataFrame(single, docs.schema), SMALL).collect()}
+    kept = {
+        r.doc_id: r
+        for r in corpus_pipeline.benchmark_out(spark, spark.createDataFrame(single, docs.schema), SMALL).collect()
+    }
     assert set(kept) == {i for i, h in hits.items() if not h[-1]}
     for i, r in kept.items():
         n_words, n_hit = hits[i][:2]
@@ -62,7 +67,9 @@ def test_decisions_equal_brute_force(spark):
 
 def test_repeated_rows_are_one_document(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    odd = spark.createDataFrame([(None, "a text without an id", "en", "s", 20)] * 2 + [(9999, None, None, None, None)] * 2, docs.schema)
+    odd = spark.createDataFrame(
+        [(None, "a text without an id", "en", "s", 20)] * 2 + [(9999, None, None, None, None)] * 2, docs.schema
+    )
     once = corpus_pipeline.one_of_each(spark, docs, SMALL)
     twice = corpus_pipeline.one_of_each(spark, docs.unionAll(docs).unionAll(odd), SMALL)
     assert sorted(map(repr, twice.collect())) == sorted(map(repr, once.unionAll(odd.distinct()).collect()))
@@ -71,11 +78,26 @@ def test_repeated_rows_are_one_document(spark):
 def test_texts_that_share_an_id_are_judged_one_by_one(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(200)) for x in "abcd")
-    rows = [(5, a), (5, b), (3, a), (7, c), (7, c + " more"), (None, d), (None, d + " more"), (None, b + " more"), (8, None), (8, ""), (None, None), (None, "")]
+    rows = [
+        (5, a),
+        (5, b),
+        (3, a),
+        (7, c),
+        (7, c + " more"),
+        (None, d),
+        (None, d + " more"),
+        (None, b + " more"),
+        (8, None),
+        (8, ""),
+        (None, None),
+        (None, ""),
+    ]
     given = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, given.repartition(3), SMALL).collect()]
     assert {(3, a), (5, b), (8, None), (8, ""), (None, None), (None, "")} < set(kept)
-    assert sorted((str(i), (t or "")[:1]) for i, t in kept) == sorted([("3", "a"), ("5", "b"), ("7", "c"), ("None", "d"), ("8", ""), ("8", ""), ("None", ""), ("None", "")])
+    assert sorted((str(i), (t or "")[:1]) for i, t in kept) == sorted(
+        [("3", "a"), ("5", "b"), ("7", "c"), ("None", "d"), ("8", ""), ("8", ""), ("None", ""), ("None", "")]
+    )
 
 
 def test_empty_documents(spark):

@@ -1,4 +1,5 @@
-"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, by operator, against brute force."""
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, by operator, against brute
+force."""
 
 from __future__ import annotations
 
@@ -26,8 +27,12 @@ def odd(spark):
     """Null ids, texts and sources, empty texts, copies, ties, a very long text and repeated rows."""
     base = " ".join(f"tok{i}" for i in range(60))
     rows = [
-        (1, base, "a"), (2, base, "a"), (2, base, "a"), (3, base + " more", "b"), (4, None, "a"), (5, "", None), (6, "   \n\t", "a"),
-        (7, "one two", "c"), (8, "One  TWO", "c"), (9, LONG, "a"), (10, LONG + " tail", "a"), (None, "null id text here now please", "b"), (11, "É é ß 你好 \u00a0 x", "b"), (12, "!<|endoftext|>!", "b"),
+        (1, base, "a"), (2, base, "a"), (2, base, "a"), (3, base + " more", "b"), (4, None, "a"), (5, "", None), (
+            6, "   \n\t", "a"
+        ),
+        (7, "one two", "c"), (8, "One  TWO", "c"), (9, LONG, "a"), (10, LONG + " tail", "a"), (
+            None, "null id text here now please", "b"
+        ), (11, "É é ß 你好 \u00a0 x", "b"), (12, "!<|endoftext|>!", "b"),
     ]
     return docs_of(spark, rows)
 
@@ -64,7 +69,9 @@ def test_best_fit_places_every_piece_once_within_its_bin():
 def test_best_fit_chooses_the_tightest_open_bin_and_downsizes():
     # 60 opens a bin that 40 fills; 50 the next one, which 30 and 9 go to.
     got = packing.best_fit(np.array([60, 50, 30, 40, 9]), (32, 100), packing.Cost(overhead=0, width=10**9))
-    assert got.bin.tolist() == [0, 1, 1, 0, 1] and got.used.tolist() == [100, 89] and got.at.tolist() == [0, 0, 50, 60, 80]
+    assert got.bin.tolist() == [0, 1, 1, 0, 1] and got.used.tolist() == [100, 89] and got.at.tolist() == [
+        0, 0, 50, 60, 80
+    ]
     alone = packing.best_fit(np.array([10]), (16, 64))
     assert alone.length.tolist() == [16]
 
@@ -110,7 +117,9 @@ def test_three_lengths_cost_less_than_two(spark):
     cost = packing.Cost()
 
     def total(lengths):
-        got = packing.packed(packing.byte_lengths(docs), lengths=lengths).select("pack", "bin", "bin_length").distinct().collect()
+        got = packing.packed(packing.byte_lengths(docs), lengths=lengths).select(
+            "pack", "bin", "bin_length"
+        ).distinct().collect()
         return sum(cost.of(r.bin_length) for r in got), {r.bin_length for r in got}
 
     whole, used = total(packing.LENGTHS)
@@ -174,17 +183,48 @@ def test_packed_keeps_every_token(spark, odd, none):
 
 def test_warc_round_trip(spark):
     big, other = "x" * 1500, "é" * 700
-    pages = [(1, "http://a/ b\r\n", big), (2, None, big), (3, "u", None), (4, "u", ""), (5, "u", other), (9, "v", big), (6, "u", "small"), (7, "u", "small"), (None, "n", big), (8, "w", "a\r\n\r\nb" * 400), (9, "v", big)]
+    pages = [
+        (1, "http://a/ b\r\n", big),
+        (2, None, big),
+        (3, "u", None),
+        (4, "u", ""),
+        (5, "u", other),
+        (9, "v", big),
+        (6, "u", "small"),
+        (7, "u", "small"),
+        (None, "n", big),
+        (8, "w", "a\r\n\r\nb" * 400),
+        (9, "v", big),
+    ]
     df = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, digest string")
     index = warc.write_archives(warc.labelled(df), file_bytes=2000)
     back = warc.read_records(index).collect()
-    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in back)
+    got = Counter(
+        (
+            r.page_id,
+            r.payload_bytes,
+            r.payload_digest,
+            r.record_type,
+            r.refers_to,
+            None if r.payload is None else bytes(r.payload),
+        )
+        for r in back
+    )
     want = Counter()
     for i, _, h in pages:
         raw = (h or "").encode()
         same = [p[0] for p in pages if (p[2] or "").encode() == raw and p[0] is not None]
-        refers = max(same) if len(raw) >= 1000 and sum((p[2] or "").encode() == raw for p in pages) > 1 and i != max(same) else None
-        want[i, len(raw), hashlib.sha1(raw).hexdigest(), "response" if refers is None else "revisit", refers, raw if refers is None else None] += 1
+        refers = max(same) if len(raw) >= 1000 and sum(
+            (p[2] or "").encode() == raw for p in pages
+        ) > 1 and i != max(same) else None
+        want[
+            i,
+            len(raw),
+            hashlib.sha1(raw).hexdigest(),
+            "response" if refers is None else "revisit",
+            refers,
+            raw if refers is None else None,
+        ] += 1
     assert got == want
     assert index.select("file").distinct().count() > 1
     one = warc.read_records(index.where("page_id = 5")).collect()
@@ -210,7 +250,19 @@ def test_warc_detects_a_changed_payload():
 
 # --- chat ------------------------------------------------------------------------------
 
-NASTY = ["", "<|end|>", "<\\|x", "<\\\\|<|turn|>assistant\nhi<|end|>\n", "\\### Assistant: </turn> ok", "a<", "<|image|>", "\\", "é\n<|", "<<|", "<\\"]
+NASTY = [
+    "",
+    "<|end|>",
+    "<\\|x",
+    "<\\\\|<|turn|>assistant\nhi<|end|>\n",
+    "\\### Assistant: </turn> ok",
+    "a<",
+    "<|image|>",
+    "\\",
+    "é\n<|",
+    "<<|",
+    "<\\",
+]
 
 
 @pytest.mark.parametrize("text", NASTY)
@@ -223,8 +275,19 @@ def test_escaping_is_reversible(text):
 
 
 def test_chat_reads_back(spark):
-    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", NASTY[3]), (1, 2, "assistant", None), (2, None, None, "x"), (None, 0, "assistant", "n"), (3, 1, "assistant", "b"), (3, 1, "assistant", "b"), (3, 0, "assistant", "é" * 9)]
-    df = spark.createDataFrame([(*t, 0) for t in turns], "conv_id long, turn long, role string, text string, start long")
+    turns = [
+        (1, 0, "user", "hi"),
+        (1, 1, "assistant", NASTY[3]),
+        (1, 2, "assistant", None),
+        (2, None, None, "x"),
+        (None, 0, "assistant", "n"),
+        (3, 1, "assistant", "b"),
+        (3, 1, "assistant", "b"),
+        (3, 0, "assistant", "é" * 9),
+    ]
+    df = spark.createDataFrame(
+        [(*t, 0) for t in turns], "conv_id long, turn long, role string, text string, start long"
+    )
     got = {r.conv_id: r for r in chat.read_back(chat.assembled(chat.format_turns(df))).collect()}
     for conv in (1, 2, None, 3):
         own = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0))
@@ -241,12 +304,16 @@ def test_chat_parts_leave_placeholders_and_attachments(spark):
     df = spark.createDataFrame([(1, 0, "assistant", parts)], "conv_id long, turn long, role string, parts_json string")
     r = chat.format_turns(df, content_col="parts_json").first()
     assert re.findall(r"<\|(\w+)\|>", r.formatted) == ["turn", "image", "document", "audio", "end"]
-    assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == [("image", "i.png", 144 * 3), ("document", "d.pdf", 768), ("audio", "a.wav", 50)]
+    assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == [
+        ("image", "i.png", 144 * 3), ("document", "d.pdf", 768), ("audio", "a.wav", 50)
+    ]
     assert all(r.formatted[a.at :].startswith(f"<|{a.kind}|>") for a in r.attachments)
     assert [chat.unescaped(r.formatted[s.start : s.end]) for s in r.loss] == ["see <|image|> ", "in", "end"]
     assert r.tokens == 144 * 3 + 768 + 50
     with pytest.raises(Exception, match="unknown content part"):
-        chat.format_turns(spark.createDataFrame([(1, 0, "a", '[{"kind":"video"}]')], df.schema), content_col="parts_json").collect()
+        chat.format_turns(
+            spark.createDataFrame([(1, 0, "a", '[{"kind":"video"}]')], df.schema), content_col="parts_json"
+        ).collect()
 
 
 # --- tokens ----------------------------------------------------------------------------
@@ -257,7 +324,10 @@ def test_tokens_equal_the_library(spark, odd, none):
 
     plain = Tokenizer.from_file(tokenizer_path())
     # Equal ids follow each other by text.
-    rows = sorted(((r.doc_id, r.text or "", r.text is not None) for r in odd.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = sorted(
+        ((r.doc_id, r.text or "", r.text is not None) for r in odd.select("doc_id", "text").collect()),
+        key=lambda r: (r[0] is not None, r[0] or 0, r[1]),
+    )
     manifest = tokens.write_shards(odd, tokenizer_path(), shard_tokens=40_000)
     assert manifest.count() > 1
     got = sorted(map(tuple, tokens.read_shards(manifest).collect()), key=lambda r: r[1])
@@ -308,7 +378,9 @@ def test_repair_runs_until_no_pair_is_frequent():
     ids = np.concatenate([[*rng.integers(1, 1000, 7), *passage, 0] for _ in range(2000)])
     seq, rules = tokens.repair(ids, 1000, rules=64_536, least=tokens.worth(2))
     inner = (seq[:-1] != 0) & (seq[1:] != 0)
-    assert np.unique(seq[:-1][inner].astype(np.int64) << 32 | seq[1:][inner], return_counts=True)[1].max() < tokens.worth(2)
+    assert np.unique(
+        seq[:-1][inner].astype(np.int64) << 32 | seq[1:][inner], return_counts=True
+    )[1].max() < tokens.worth(2)
     assert len(rules) < 64_536 and len(seq) < 25 * 2000
     # Nonterminals that are fewer than the frequent pairs are all used.
     assert len(tokens.repair(ids, 1000, rules=400, least=8)[1]) == 400
@@ -322,7 +394,9 @@ def test_repair_runs_until_no_pair_is_frequent():
 def judged_plainly(url, listed):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
-    fits = [(len(h + p), h + p, v) for h, p, v in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [
+        (len(h + p), h + p, v) for h, p, v in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)
+    ]
     if fits:
         _, rule, verdict = max(fits)
     else:
@@ -331,12 +405,39 @@ def judged_plainly(url, listed):
 
 
 def test_urls_match_plain_rules(spark):
-    made = [None, "", "no scheme", "http://", "http:///x", "HTTP://EXAMPLE.ORG/es/1", "x://a.b.example.org/en/12?q#f", "x://org", "x://org/", "x://borg/", "x://com/de/", "x://a.com/fr", "x://a.com/fr/x", "x://example.org/en/2", "x://blocked.net/p?q=1", "x://blocked.net/p#z", "x://blocked.net/pp", "x://a..org/y", "x://u@h:80/p://q"]
+    made = [
+        None,
+        "",
+        "no scheme",
+        "http://",
+        "http:///x",
+        "HTTP://EXAMPLE.ORG/es/1",
+        "x://a.b.example.org/en/12?q#f",
+        "x://org",
+        "x://org/",
+        "x://borg/",
+        "x://com/de/",
+        "x://a.com/fr",
+        "x://a.com/fr/x",
+        "x://example.org/en/2",
+        "x://blocked.net/p?q=1",
+        "x://blocked.net/p#z",
+        "x://blocked.net/pp",
+        "x://a..org/y",
+        "x://u@h:80/p://q",
+    ]
     urls_ = made * 3
-    pages = spark.createDataFrame([(i, u, "k", "h") for i, u in enumerate(urls_)] + [(0, None, "k", "h")], "page_id long, url string, rule string, host string")
+    pages = spark.createDataFrame(
+        [(i, u, "k", "h") for i, u in enumerate(urls_)] + [(0, None, "k", "h")],
+        "page_id long, url string, rule string, host string",
+    )
     listed = {("blocked.net", "/p")}
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    got = rows_of(urls.judged(pages, rules, spark.createDataFrame(list(listed), "host string, path string")).select("page_id", "host", "path", "rule", "verdict"))
+    got = rows_of(
+        urls.judged(pages, rules, spark.createDataFrame(list(listed), "host string, path string")).select(
+            "page_id", "host", "path", "rule", "verdict"
+        )
+    )
     want = sorted([(i, *judged_plainly(u, listed)) for i, u in [*enumerate(urls_), (0, None)]], key=repr)
     assert got == want
     assert urls.judged(pages.limit(0), rules).count() == 0
@@ -344,13 +445,18 @@ def test_urls_match_plain_rules(spark):
 
 
 def test_a_saturated_filter_and_many_rules_change_nothing(spark, monkeypatch):
-    pages = spark.createDataFrame([(i, f"http://h{i % 50}.{('net', 'com', 'org')[i % 3]}/{'de/' if i % 5 else ''}{i % 300}") for i in range(600)], "page_id long, url string")
+    pages = spark.createDataFrame(
+        [(i, f"http://h{i % 50}.{('net', 'com', 'org')[i % 3]}/{'de/' if i % 5 else ''}{i % 300}") for i in range(600)],
+        "page_id long, url string",
+    )
     listed = spark.createDataFrame([(f"h{i % 50}.net", f"/{i}") for i in range(0, 300, 7)], "host string, path string")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     want = rows_of(urls.judged(pages, rules, listed))
     assert want == rows_of(urls.judged(pages, rules, listed, max_blocks=1))
     monkeypatch.setattr(urls, "LITERAL_RULES", 0)
-    assert want == rows_of(urls.judged(pages.unionAll(pages), rules, listed).distinct()) and urls.judged(pages.unionAll(pages), rules, listed).count() == 1200
+    assert want == rows_of(urls.judged(pages.unionAll(pages), rules, listed).distinct()) and urls.judged(
+        pages.unionAll(pages), rules, listed
+    ).count() == 1200
 
 
 def test_filter_has_few_false_hits():
@@ -382,7 +488,9 @@ def test_shards_are_even_and_match_the_mixture(spark, odd, none):
     again = sharding.interleaved(docs.repartition(7), shards=16, bucket_rows=64).toPandas()
     assert out.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
     small = sharding.interleaved(odd, shards=16).collect()
-    want = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in odd.collect())
+    want = Counter(
+        (r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in odd.collect()
+    )
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in small) == want
     assert sharding.interleaved(none).count() == 0
 
@@ -394,7 +502,17 @@ def test_sharding_ranks_as_a_plain_sort(spark):
     out = sharding.interleaved(docs, shards=5, bucket_rows=30).toPandas()
     from pyspark.sql import functions as F
 
-    keyed = docs.select("doc_id", "source", F.xxhash64("doc_id", (F.octet_length("text") + 1).cast("long"), F.crc32(F.col("text").cast("binary")), F.lit(42), F.lit(0).cast("long")).alias("key")).toPandas()
+    keyed = docs.select(
+        "doc_id",
+        "source",
+        F.xxhash64(
+            "doc_id",
+            (F.octet_length("text") + 1).cast("long"),
+            F.crc32(F.col("text").cast("binary")),
+            F.lit(42),
+            F.lit(0).cast("long"),
+        ).alias("key"),
+    ).toPandas()
     keyed["key"] = keyed["key"].astype("int64").to_numpy().view("uint64")
     keyed["r"] = keyed.sort_values("key").groupby("source").cumcount() + 1
     keyed["f"] = (keyed["r"] - 0.5) / keyed.groupby("source")["r"].transform("max")
@@ -437,9 +555,14 @@ def jaccard_of(spark, texts, ids=None):
     ids = list(range(len(texts))) if ids is None else ids
     docs = docs_of(spark, [(i, t, "s") for i, t in zip(ids, texts, strict=True)])
     sets = plain_sets(texts)
-    links = [sum(bool(a and b) and i != j and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    links = [
+        sum(bool(a and b) and i != j and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets))
+        for i, a in enumerate(sets)
+    ]
     want = [(d, len(s), c, n) for d, s, c, n in zip(ids, sets, plain_components(ids, sets), links, strict=True)]
-    assert rows_of(shingles.linked_components(docs, count=True).select("doc_id", "n_shingles", "component_id", "n_links")) == sorted(want, key=repr)
+    assert rows_of(
+        shingles.linked_components(docs, count=True).select("doc_id", "n_shingles", "component_id", "n_links")
+    ) == sorted(want, key=repr)
     assert rows_of(shingles.linked_components(docs)) == sorted([w[:3] for w in want], key=repr)
 
 
@@ -457,7 +580,9 @@ def near_copies(rng, n_base, copies, words):
 
 def test_jaccard_equals_brute_force(spark, odd):
     rng = np.random.default_rng(2)
-    texts = near_copies(rng, 6, 12, 60) + near_copies(rng, 4, 5, 7) + near_copies(rng, 2, 4, 600) + ["a b c d", "A b\tc  d", "a b c", "", None, " "]
+    texts = near_copies(rng, 6, 12, 60) + near_copies(rng, 4, 5, 7) + near_copies(rng, 2, 4, 600) + [
+        "a b c d", "A b\tc  d", "a b c", "", None, " "
+    ]
     jaccard_of(spark, texts)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     jaccard_of(spark, [t for _, t in rows], [i for i, _ in rows])
@@ -484,7 +609,16 @@ def test_upper_nodes_keep_strangers_apart(monkeypatch):
     def block(task, sets):
         packed = [np.sort(x).tobytes() for x in sets]
         n = len(sets)
-        return pa.RecordBatch.from_arrays([pa.array([task] * n), pa.array([1] * n), pa.array(range(100 * task, 100 * task + n)), pa.array([1] * n), pa.array(packed, pa.binary())], ["task", "root", "node", "weight", "items"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([task] * n),
+                pa.array([1] * n),
+                pa.array(range(100 * task, 100 * task + n)),
+                pa.array([1] * n),
+                pa.array(packed, pa.binary()),
+            ],
+            ["task", "root", "node", "weight", "items"],
+        )
 
     def items(n):
         return rng.integers(0, 2**64, n, dtype=np.uint64)
@@ -495,8 +629,32 @@ def test_upper_nodes_keep_strangers_apart(monkeypatch):
     (node,) = shingles._upper_nodes(iter([block(2, y)]))
     own, far = block(1, x), node.to_pylist()[0]
     none = pa.array([None], pa.int64())
-    held = pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([False] * 40), own.column(2), own.column(3), own.column(4), *[pa.nulls(40, pa.int64())] * 3], ["task", "root", "node_too", "node", "weight", "items", "other", "low", "high"])
-    against = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([True]), none, none, pa.array([far["bitmap"]]), pa.array([2]), pa.array([far["low"]]), pa.array([far["high"]])], held.schema.names)
+    held = pa.RecordBatch.from_arrays(
+        [
+            own.column(0),
+            own.column(1),
+            pa.array([False] * 40),
+            own.column(2),
+            own.column(3),
+            own.column(4),
+            *[pa.nulls(40, pa.int64())] * 3,
+        ],
+        ["task", "root", "node_too", "node", "weight", "items", "other", "low", "high"],
+    )
+    against = pa.RecordBatch.from_arrays(
+        [
+            pa.array([1]),
+            pa.array([1]),
+            pa.array([True]),
+            none,
+            none,
+            pa.array([far["bitmap"]]),
+            pa.array([2]),
+            pa.array([far["low"]]),
+            pa.array([far["high"]]),
+        ],
+        held.schema.names,
+    )
     passed = [r for b in shingles._passing(iter([held, against]), 80) for r in b.to_pylist()]
     assert [(r["task"], r["node"]) for r in passed] == [(2, 105)]
 
@@ -528,7 +686,9 @@ def test_tree_join_at_the_threshold():
 def test_toxicity_learns_inflections_and_keeps_clean_texts():
     rng = np.random.default_rng(6)
     stems, ends = ["grubbol", "snarvex"], ["a", "en", "iso", "uld", "ort", "emi", "ax", "ogg"]
-    clean = [f"{a}{b}{c}" for a in ("ba", "to", "ri", "mel") for b in ("nu", "sha", "lo", "ven") for c in ("", "ra", "ti")]
+    clean = [
+        f"{a}{b}{c}" for a in ("ba", "to", "ri", "mel") for b in ("nu", "sha", "lo", "ven") for c in ("", "ra", "ti")
+    ]
     texts, labels = [], []
     for i in range(1500):
         words = [clean[j] for j in rng.integers(0, len(clean), int(rng.integers(5, 400)))]
@@ -551,8 +711,14 @@ def test_toxicity_learns_inflections_and_keeps_clean_texts():
 
 
 def test_toxicity_never_reads_held_out_labels(spark, odd, none):
-    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 13)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
-    flipped = labels.selectExpr("doc_id", "quality", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 THEN 1 - toxic ELSE toxic END AS toxic")
+    labels = spark.createDataFrame(
+        [(i, 1, i % 2) for i in range(1, 13)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int"
+    )
+    flipped = labels.selectExpr(
+        "doc_id",
+        "quality",
+        "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 THEN 1 - toxic ELSE toxic END AS toxic",
+    )
     a, b = (rows_of(toxicity.score(odd, toxicity.train(odd, x))) for x in (labels, flipped))
     assert a == b and len(a) == odd.count()
     assert all(0 <= s <= 1 and p == (s >= 0.3) for _, _, s, p in a)
@@ -567,7 +733,12 @@ def test_toxicity_never_reads_held_out_labels(spark, odd, none):
 
 def plain_links(rows, least):
     ids = [r[0] for r in rows]
-    ok = [r[1] is not None and r[2] is not None and len(r[1]) > 0 and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1]) for r in rows]
+    ok = [
+        r[1] is not None and r[2] is not None and len(r[1]) > 0 and all(
+            x is not None and np.isfinite(x) for x in r[1]
+        ) and any(r[1])
+        for r in rows
+    ]
     n, sets = [0] * len(rows), {i: i for i in range(len(rows))}
 
     def find(x):
@@ -596,9 +767,17 @@ def test_embeddings_equal_brute_force(spark):
         base = rng.normal(size=16)
         label = int(rng.integers(0, 3))
         for _ in range(int(rng.integers(1, 9))):
-            rows.append((len(rows), [float(np.float32(x)) for x in base + rng.normal(size=16) * rng.choice([0, 0.03, 0.2])], label))
+            rows.append(
+                (
+                    len(rows),
+                    [float(np.float32(x)) for x in base + rng.normal(size=16) * rng.choice([0, 0.03, 0.2])],
+                    label,
+                )
+            )
     bad = [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] * 16]
-    rows += [(1000 + i, v, 1) for i, v in enumerate(bad)] + [(2000, rows[0][1], None), (2001, rows[0][1], rows[0][2]), (2002, [1.0, 2.0], 1), (2003, [2.0, 4.0], 1)]
+    rows += [(1000 + i, v, 1) for i, v in enumerate(bad)] + [
+        (2000, rows[0][1], None), (2001, rows[0][1], rows[0][2]), (2002, [1.0, 2.0], 1), (2003, [2.0, 4.0], 1)
+    ]
     df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, label int, node int")
     want = plain_links(rows, 0.98)
     assert sorted(map(tuple, embeddings.near_duplicates(df).collect())) == want
@@ -637,7 +816,9 @@ def test_components_of_chains_stars_and_cycles(spark, monkeypatch, one_task):
     from millstone.llm import components as c
 
     monkeypatch.setattr(c, "ONE_TASK", one_task)
-    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(300, 301), (301, 302), (302, 300), (5, 5), (260, 7), (-4, 300), (-4, 300)]
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [
+        (300, 301), (301, 302), (302, 300), (5, 5), (260, 7), (-4, 300), (-4, 300)
+    ]
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
     want = {i: 100 for i in range(101, 161)} | {i: 7 for i in range(200, 261)} | {i: -4 for i in (300, 301, 302)}
     assert dict(map(tuple, c.components(df).collect())) == want
@@ -645,19 +826,27 @@ def test_components_of_chains_stars_and_cycles(spark, monkeypatch, one_task):
 
 
 def test_embeddings_of_deep_trees(spark):
-    """A made table with thousands of links, in trees deeper than the sample reaches: recall against brute force, and exact counts."""
+    """A made table with thousands of links, in trees deeper than the sample reaches: recall against brute force, and
+    exact counts."""
     rng = np.random.default_rng(11)
     base = rng.normal(size=(700, 32))
-    rows = [(base[i % 700] + rng.normal(size=32) * rng.choice([0.0, 0.02, 0.1, 0.15])).astype(np.float32) for i in range(2800)]
+    rows = [
+        (base[i % 700] + rng.normal(size=32) * rng.choice([0.0, 0.02, 0.1, 0.15])).astype(np.float32)
+        for i in range(2800)
+    ]
     unit = np.stack(rows).astype(np.float64)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.98
     links = int(near.sum() - len(rows)) // 2
-    df = spark.createDataFrame([(i, [float(x) for x in r], 1) for i, r in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    df = spark.createDataFrame(
+        [(i, [float(x) for x in r], 1) for i, r in enumerate(rows)], "vec_id long, embedding array<float>, label int"
+    )
     got = {r.vec_id: r for r in embeddings.near_duplicates(df, leaf_rows=8).collect()}
     assert links > 2000 and sum(r.n_links for r in got.values()) / 2 / links > 0.9
     assert all(r.n_links <= near[i].sum() - 1 for i, r in got.items())
-    exact = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, leaf_rows=256, spill=2.0, block_rows=300).collect()}
+    exact = {
+        r.vec_id: r.n_links for r in embeddings.near_duplicates(df, leaf_rows=256, spill=2.0, block_rows=300).collect()
+    }
     assert exact == {i: int(near[i].sum()) - 1 for i in range(len(rows))}
 
 
@@ -676,14 +865,30 @@ def plain_hits(text, items, n=13):
             if tuple(w[i : i + k]) in own:
                 hit.update(range(i, i + k))
                 seen.add(str(item))
-    return len(w), len(hit), len(seen), hashlib.sha256(",".join(sorted(seen)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
+    return len(w), len(hit), len(seen), hashlib.sha256(
+        ",".join(sorted(seen)).encode()
+    ).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
 def test_decontamination_equals_brute_force(spark, odd, none):
     item = " ".join(f"q{i}" for i in range(20))
     items = [(1, item), (2, "Tiny, item!"), (3, None), (4, ""), (10, item + " more"), (5, "é 你好"), (6, "solo")]
-    texts = ["x " * 300 + item + " y" * 300, item[:-4], "a tiny  ITEM b", "solo solo", "tiny-item", "pre q0 q1 q2 " + item.upper(), "né 你好", None, "", "É é 你好 end", "solo " + "z " * 30]
-    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s")]).withColumnRenamed("source", "n_hit")
+    texts = [
+        "x " * 300 + item + " y" * 300,
+        item[:-4],
+        "a tiny  ITEM b",
+        "solo solo",
+        "tiny-item",
+        "pre q0 q1 q2 " + item.upper(),
+        "né 你好",
+        None,
+        "",
+        "É é 你好 end",
+        "solo " + "z " * 30,
+    ]
+    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s")]).withColumnRenamed(
+        "source", "n_hit"
+    )
     bench = spark.createDataFrame([(*x, "e") for x in items], "item_id long, text string, doc_id string")
     want = sorted([(i, *plain_hits(t, items)) for i, t in [*enumerate(texts), (0, texts[0])]], key=repr)
     assert rows_of(decontam.judge(docs, bench)) == want
@@ -707,7 +912,16 @@ def test_benchmark_items_without_an_id(spark):
     from millstone.llm.queries import ORACLES
 
     known, other, third = (" ".join(f"{c}{i}" for i in range(20)) for c in "abc")
-    docs = docs_of(spark, [(1, known, "s"), (2, other, "s"), (3, f"{known} {other} {third}", "s"), (4, "x " * 900 + other, "s"), (5, "clean", "s")])
+    docs = docs_of(
+        spark,
+        [
+            (1, known, "s"),
+            (2, other, "s"),
+            (3, f"{known} {other} {third}", "s"),
+            (4, "x " * 900 + other, "s"),
+            (5, "clean", "s"),
+        ],
+    )
     bench = spark.createDataFrame([(1, known), (None, other), (None, third), (2, None)], "item_id long, text string")
     con = duckdb.connect()
     con.register("documents", docs.toArrow())
@@ -716,6 +930,8 @@ def test_benchmark_items_without_an_id(spark):
     columns = [c[0] for c in want.description]
     want = sorted(want.fetchall())
     for slice_bytes in (8 << 20, 40):
-        assert sorted(map(tuple, decontam.judge(docs, bench, slice_bytes=slice_bytes).select(*columns).collect())) == want
+        assert sorted(
+            map(tuple, decontam.judge(docs, bench, slice_bytes=slice_bytes).select(*columns).collect())
+        ) == want
     assert [dict(zip(columns, r, strict=True))["n_items"] for r in want] == [1, 1, 2, 1, 0]
     assert {r.doc_id: r.text.split() for r in decontam.clean(docs, bench).collect()} == {4: ["x"] * 900, 5: ["clean"]}
