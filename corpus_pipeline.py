@@ -37,9 +37,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fields = {"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "text": F.xxhash64("text")}
     dealt = [f"{key}{name}" for name in fields]
     given = docs.select("*", *[x.alias(name) for x, name in zip(fields.values(), dealt, strict=True)])
-    keyed = given.select(F.struct(*[F.col(name).alias(field) for name, field in zip(dealt, fields, strict=True)]).alias("doc_id"), "text")
+    keyed = given.select(
+        F.struct(*[F.col(name).alias(field) for name, field in zip(dealt, fields, strict=True)]).alias("doc_id"),
+        "text",
+    )
     found = shingles.linked_components(keyed, k=5, percent=80)
-    others = found.where("doc_id <> component_id").select(*[F.col(f"doc_id.{field}").alias(name) for name, field in zip(dealt, fields, strict=True)]).distinct()
+    others = found.where("doc_id <> component_id").select(
+        *[F.col(f"doc_id.{field}").alias(name) for name, field in zip(dealt, fields, strict=True)]
+    ).distinct()
     # The join has dealt rows by key already.
     same = Window.partitionBy(*dealt).orderBy("text")
     kept = given.join(others, dealt, "left_anti")
@@ -56,7 +61,12 @@ def into_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(packing.byte_lengths(docs))
 
 
-STAGES = [("toxicity", toxic_out), ("near_duplicates", one_of_each), ("decontamination", benchmark_out), ("packing", into_bins)]
+STAGES = [
+    ("toxicity", toxic_out),
+    ("near_duplicates", one_of_each),
+    ("decontamination", benchmark_out),
+    ("packing", into_bins),
+]
 
 #: Training and packing can't be stated in SQL; tests hold run() against brute force.
 ORACLE_SQL = None

@@ -57,7 +57,9 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--output", default="csv", choices=("csv", "text"))
         p.add_argument("--no-header", action="store_true")
         if name == "quantile":
-            p.add_argument("--p", action="append", required=True, help="shares from 0 to 1, with commas; may be given again")
+            p.add_argument(
+                "--p", action="append", required=True, help="shares from 0 to 1, with commas; may be given again"
+            )
         if name == "cdf":
             p.add_argument("--x", action="append", help="values, with commas; may be given again")
             probes = p.add_mutually_exclusive_group()
@@ -109,20 +111,31 @@ def _load(path: str) -> kernel.Parts:
 
 def _digest(args: argparse.Namespace, values: DataFrame | None) -> Digest:
     """From a digest file, the values, or both; then all digests to merge."""
-    settings = {"scale": args.scale, "singleton_policy": args.singleton_policy, "pin_per_side": args.pin_per_side, "delta": args.delta}
+    settings = {
+        "scale": args.scale,
+        "singleton_policy": args.singleton_policy,
+        "pin_per_side": args.pin_per_side,
+        "delta": args.delta,
+    }
     out = Digest(_load(args.from_digest)) if args.from_digest else None
     if values is not None:
         if values.where(F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))).limit(1).count():
             raise InvalidTrainingData("values must be finite")
         precision = args.precision
         if out is not None:
-            settings, precision, size = {"scale": out.config.scale, "singleton_policy": out.config.policy, "pin_per_side": out.config.pin_per_side or None}, out.inner_kind(), out.config.max_size
+            settings, precision, size = {
+                "scale": out.config.scale,
+                "singleton_policy": out.config.policy,
+                "pin_per_side": out.config.pin_per_side or None,
+            }, out.inner_kind(), out.config.max_size
         else:
             size = args.max_size
             precision = infer_precision(values) if precision == "auto" else precision
         cfg = config(size, precision=precision, **settings)
         trained = Digest.collected(digest_by(values, [], "value", max_size=size, precision=precision, **settings))[0]
-        trained = Digest(kernel.Parts(*[getattr(trained.parts, n) for n in ("means", "weights", "atomic", "sum", "min", "max")], cfg))
+        trained = Digest(
+            kernel.Parts(*[getattr(trained.parts, n) for n in ("means", "weights", "atomic", "sum", "min", "max")], cfg)
+        )
         out = trained if out is None else out.merge(trained)
     elif out is None and not args.merge_digest:
         raise SystemExit("give --stdin, --input, --from-digest or --merge-digest")

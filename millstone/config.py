@@ -53,7 +53,9 @@ class DigestConfig:
 
     def differences(self, other: DigestConfig) -> list[str]:
         names = ("precision", "max_size", "scale", "policy", "pin_per_side", "delta")
-        return [f"{n} {getattr(self, n)} and {getattr(other, n)}" for n in names if getattr(self, n) != getattr(other, n)]
+        return [
+            f"{n} {getattr(self, n)} and {getattr(other, n)}" for n in names if getattr(self, n) != getattr(other, n)
+        ]
 
 
 def _one_of(value: object, known: tuple[str, ...], what: str) -> str:

@@ -47,7 +47,9 @@ class Digest:
         cents = x["centroids"] or []
         cfg = DigestConfig(x["max_size"], x["scale"], x["policy"], x["pin_per_side"] or 0, x["delta"], precision)
         m, w, a = (np.array([c[i] for c in cents]) for i in range(3))
-        return cls(kernel.Parts(m.astype(np.float64), w.astype(np.float64), a.astype(bool), x["sum"], x["min"], x["max"], cfg))
+        return cls(
+            kernel.Parts(m.astype(np.float64), w.astype(np.float64), a.astype(bool), x["sum"], x["min"], x["max"], cfg)
+        )
 
     @classmethod
     def collected(cls, df: DataFrame, digest: str = "digest") -> list[Digest]:
@@ -155,7 +157,13 @@ class Digest:
         return cls(wire.decode(raw, precision))
 
     def to_dict(self) -> dict[str, Any]:
-        return {"schema_version": 2, "means": self.means, "weights": self.weights, "wire": base64.b64encode(self.to_bytes()).decode(), "delta": self.config.delta}
+        return {
+            "schema_version": 2,
+            "means": self.means,
+            "weights": self.weights,
+            "wire": base64.b64encode(self.to_bytes()).decode(),
+            "delta": self.config.delta,
+        }
 
     @classmethod
     def from_dict(cls, said: dict[str, Any]) -> Digest:

@@ -18,7 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from millstone import kernel, schema, wire
-from millstone.config import DecodeError, DigestConfig, IncompatibleMerge, InvalidProbe, InvalidTrainingData, bounds, config, factor, probability
+from millstone.config import (
+    DecodeError,
+    DigestConfig,
+    IncompatibleMerge,
+    InvalidProbe,
+    InvalidTrainingData,
+    bounds,
+    config,
+    factor,
+    probability,
+)
 
 
 def _col(x: Column | str) -> Column:
@@ -61,7 +71,9 @@ def tdigest(values: Column | str, max_size: int | None = None, **settings: objec
     return _plain_udf(config(max_size, **settings))(_col(values).cast("double"))
 
 
-def tdigest_weighted(values: Column | str, weights: Column | str, max_size: int | None = None, **settings: object) -> Column:
+def tdigest_weighted(
+    values: Column | str, weights: Column | str, max_size: int | None = None, **settings: object
+) -> Column:
     """Aggregate: the digest of a column with a weight in another, each finite and positive."""
     return _build_udf(config(max_size, **settings))(_col(values).cast("double"), _col(weights).cast("double"))
 
@@ -70,7 +82,9 @@ def tdigest_weighted(values: Column | str, weights: Column | str, max_size: int
 def _merge_udf(precision: str, strict: bool) -> Callable:
     @arrow_udf(schema.ddl(precision))
     def merge(digests: pa.Array) -> pa.Scalar:
-        return _one(kernel.merge(list(schema.read(digests)) or [kernel.empty(DigestConfig(precision=precision))], strict=strict))
+        return _one(
+            kernel.merge(list(schema.read(digests)) or [kernel.empty(DigestConfig(precision=precision))], strict=strict)
+        )
 
     return merge
 
@@ -103,7 +117,10 @@ def _quantiles_udf(qs: tuple[float, ...]) -> Callable:
 
     @arrow_udf("array<double>")
     def of(digests: pa.Array) -> pa.Array:
-        return pa.array([kernel.quantiles(d, probes).tolist() if len(d) else None for d in schema.read(digests)], pa.list_(pa.float64()))
+        return pa.array(
+            [kernel.quantiles(d, probes).tolist() if len(d) else None for d in schema.read(digests)],
+            pa.list_(pa.float64()),
+        )
 
     return of
 
@@ -113,7 +130,10 @@ def _quantile_at_udf() -> Callable:
     @arrow_udf("double")
     def of(digests: pa.Array, q: pa.Array) -> pa.Array:
         probes = [probability(x) for x in q.to_pylist()]
-        return pa.array([kernel.quantile(d, x) if len(d) else None for d, x in zip(schema.read(digests), probes, strict=True)], pa.float64())
+        return pa.array(
+            [kernel.quantile(d, x) if len(d) else None for d, x in zip(schema.read(digests), probes, strict=True)],
+            pa.float64(),
+        )
 
     return of
 
@@ -125,7 +145,8 @@ def _as(value: Column, precision: str, array: bool = False) -> Column:
 
 
 def quantile(digest: Column | str, q: float | list[float] | Column, *, precision: str = "f64") -> Column:
-    """The value at a share from 0 to 1, a float with the precision f32; a list gives an array. Null for an empty digest."""
+    """The value at a share from 0 to 1, a float with the precision f32; a list gives an array. Null for an empty
+    digest."""
     if isinstance(q, Column):
         return _as(_quantile_at_udf()(_col(digest), q.cast("double")), precision)
     if isinstance(q, (list, tuple, np.ndarray)):
@@ -168,7 +189,9 @@ def _cdf_udf() -> Callable:
         if x.null_count:
             raise InvalidProbe("a probe of a cdf must not be null")
         probes = np.asarray(x)
-        return pa.array([float(kernel.cdf(d, probes[i : i + 1])[0]) for i, d in enumerate(schema.read(digests))], pa.float64())
+        return pa.array(
+            [float(kernel.cdf(d, probes[i : i + 1])[0]) for i, d in enumerate(schema.read(digests))], pa.float64()
+        )
 
     return of
 
@@ -193,11 +216,15 @@ def cdf(digest: Column | str, x: float | list[float] | Column, *, array: bool =
     NaN for an empty digest or a NaN probe; null probes are errors.
     """
     if isinstance(x, Column):
-        return _cdfs_udf()(_col(digest), x.cast("array<double>")) if array else _cdf_udf()(_col(digest), x.cast("double"))
+        return _cdfs_udf()(_col(digest), x.cast("array<double>")) if array else _cdf_udf()(
+            _col(digest), x.cast("double")
+        )
     if isinstance(x, (list, tuple, np.ndarray)):
         if any(p is None for p in x):
             raise InvalidProbe("a probe of a cdf must not be null")
-        return _cdfs_udf()(_col(digest), F.array(*[F.lit(float(p)) for p in x]) if len(x) else F.array().cast("array<double>"))
+        return _cdfs_udf()(
+            _col(digest), F.array(*[F.lit(float(p)) for p in x]) if len(x) else F.array().cast("array<double>")
+        )
     if x is None:
         raise InvalidProbe("a probe of a cdf must not be null")
     return _cdf_udf()(_col(digest), F.lit(float(x)))
@@ -222,7 +249,9 @@ def _add_udf(precision: str, weighted: bool) -> Callable:
     def changed(digests: pa.Array, values: pa.Array, weights: pa.Array | None) -> pa.Array:
         v = _lists(values, "values")
         w = [None] * len(v) if weights is None else _lists(weights, "weights")
-        return schema.write([kernel.add(d, a, b) for d, a, b in zip(schema.read(digests), v, w, strict=True)], precision)
+        return schema.write(
+            [kernel.add(d, a, b) for d, a, b in zip(schema.read(digests), v, w, strict=True)], precision
+        )
 
     if weighted:
 
@@ -244,7 +273,13 @@ def add_values(digest: Column | str, values: Column | float | list[float], *, pr
     return _add_udf(precision, False)(_col(digest), _argument(values))
 
 
-def add_weighted_values(digest: Column | str, values: Column | float | list[float], weights: Column | float | list[float], *, precision: str = "f64") -> Column:
+def add_weighted_values(
+    digest: Column | str,
+    values: Column | float | list[float],
+    weights: Column | float | list[float],
+    *,
+    precision: str = "f64",
+) -> Column:
     """The digest with weighted values added; both numbers, or both lists of equal length."""
     return _add_udf(precision, True)(_col(digest), _argument(values), _argument(weights))
 
@@ -279,14 +314,24 @@ def tdigest_of_array(values: Column | str, max_size: int | None = None, **settin
 def _from_centroids_udf(cfg: DigestConfig) -> Callable:
     @arrow_udf(schema.ddl(cfg.precision))
     def of(means: pa.Array, weights: pa.Array) -> pa.Array:
-        return schema.write([kernel.from_centroids(m, w, cfg) for m, w in zip(_lists(means, "means"), _lists(weights, "weights"), strict=True)], cfg.precision)
+        return schema.write(
+            [
+                kernel.from_centroids(m, w, cfg)
+                for m, w in zip(_lists(means, "means"), _lists(weights, "weights"), strict=True)
+            ],
+            cfg.precision,
+        )
 
     return of
 
 
-def from_centroids(means: Column | str, weights: Column | str, max_size: int | None = None, **settings: object) -> Column:
+def from_centroids(
+    means: Column | str, weights: Column | str, max_size: int | None = None, **settings: object
+) -> Column:
     """A digest of each row's arrays of means and weights."""
-    return _from_centroids_udf(config(max_size, **settings))(_col(means).cast("array<double>"), _col(weights).cast("array<double>"))
+    return _from_centroids_udf(config(max_size, **settings))(
+        _col(means).cast("array<double>"), _col(weights).cast("array<double>")
+    )
 
 
 # --- built-in only ---------------------------------------------------------------------
@@ -301,12 +346,20 @@ def scale_weights(digest: Column | str, f: float, *, precision: str = "f64") ->
 def scale_values(digest: Column | str, f: float, *, precision: str = "f64") -> Column:
     """Means, sum, minimum and maximum times a finite positive factor."""
     d, by = _col(digest), F.lit(factor(f))
-    return _rebuilt(d, precision, mean=lambda c: c["mean"] * by, sum=d["sum"] * by, min=d["min"] * by, max=d["max"] * by)
+    return _rebuilt(
+        d, precision, mean=lambda c: c["mean"] * by, sum=d["sum"] * by, min=d["min"] * by, max=d["max"] * by
+    )
 
 
-def _rebuilt(d: Column, precision: str, *, mean: Callable | None = None, weight: Callable | None = None, **fields: Column) -> Column:
+def _rebuilt(
+    d: Column, precision: str, *, mean: Callable | None = None, weight: Callable | None = None, **fields: Column
+) -> Column:
     def centroid(c: Column) -> Column:
-        return F.struct((mean(c) if mean else c["mean"]).alias("mean"), (weight(c) if weight else c["weight"]).alias("weight"), c["atomic"].alias("atomic"))
+        return F.struct(
+            (mean(c) if mean else c["mean"]).alias("mean"),
+            (weight(c) if weight else c["weight"]).alias("weight"),
+            c["atomic"].alias("atomic"),
+        )
 
     columns = {n: d[n] for n in schema.FIELDS} | {"centroids": F.transform(d["centroids"], centroid)} | fields
     return F.when(d.isNotNull(), F.struct(*[columns[n].alias(n) for n in schema.FIELDS])).cast(schema.ddl(precision))
@@ -324,7 +377,10 @@ def cast_precision(digest: Column | str, precision: str) -> Column:
     made = d.cast(schema.ddl(precision))
     if precision == "f64":
         return made
-    return F.when(F.exists(d["centroids"], lambda c: F.abs(c["mean"]) > F32_MAX), F.raise_error(F.lit("a value does not fit f32")).cast(schema.ddl(precision))).otherwise(made)
+    return F.when(
+        F.exists(d["centroids"], lambda c: F.abs(c["mean"]) > F32_MAX),
+        F.raise_error(F.lit("a value does not fit f32")).cast(schema.ddl(precision)),
+    ).otherwise(made)
 
 
 def digest_mean(digest: Column | str) -> Column:
@@ -408,7 +464,10 @@ def wire_precision(blob: Column | str) -> Column:
 
 def infer_column_precision(df: DataFrame, column: str, *, strict: bool = True) -> str:
     """The one precision of all of a column's blobs; f64 where there are none, or, not strict, where they differ."""
-    kinds = sorted(r[0] for r in df.where(F.col(column).isNotNull()).select(wire_precision(column).alias("p")).distinct().collect())
+    kinds = sorted(
+        r[0]
+        for r in df.where(F.col(column).isNotNull()).select(wire_precision(column).alias("p")).distinct().collect()
+    )
     if len(kinds) > 1 and strict:
         raise IncompatibleMerge(f"column {column} holds digests of f32 and f64")
     return kinds[0] if len(kinds) == 1 else "f64"
@@ -453,7 +512,10 @@ def _trimmed_at_udf() -> Callable:
     @arrow_udf("double")
     def of(digests: pa.Array, lower: pa.Array, upper: pa.Array) -> pa.Array:
         ends = [bounds(a, b) for a, b in zip(lower.to_pylist(), upper.to_pylist(), strict=True)]
-        return pa.array([kernel.trimmed_mean(d, *e) if len(d) else None for d, e in zip(schema.read(digests), ends, strict=True)], pa.float64())
+        return pa.array(
+            [kernel.trimmed_mean(d, *e) if len(d) else None for d, e in zip(schema.read(digests), ends, strict=True)],
+            pa.float64(),
+        )
 
     return of
 

@@ -85,7 +85,9 @@ def cluster_starts(weights: np.ndarray, family: str, d: float, slack: float = ST
     return np.array(starts, dtype=np.int64)
 
 
-def _clustered(means: np.ndarray, weights: np.ndarray, atomic: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _clustered(
+    means: np.ndarray, weights: np.ndarray, atomic: np.ndarray, starts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.diff(np.append(starts, len(means)))
     total = np.add.reduceat(weights, starts)
     alone = sizes == 1
@@ -107,7 +109,9 @@ def _equal_weight(means: np.ndarray, weights: np.ndarray, buckets: int) -> tuple
     return _clustered(means, weights, np.zeros(len(means), dtype=bool), cuts)
 
 
-def _capped(points: tuple[np.ndarray, np.ndarray, np.ndarray], most: int, family: str, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _capped(
+    points: tuple[np.ndarray, np.ndarray, np.ndarray], most: int, family: str, d: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """At most ``most`` clusters, by the largest size of the scale that gives so few.
 
     The size is kept in a bracket whose lower end fits and whose upper end does not. A size of nearly
@@ -128,7 +132,9 @@ def _capped(points: tuple[np.ndarray, np.ndarray, np.ndarray], most: int, family
     return _clustered(*points, starts)
 
 
-def _coalesced(means: np.ndarray, weights: np.ndarray, atomic: np.ndarray, *, ordered: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _coalesced(
+    means: np.ndarray, weights: np.ndarray, atomic: np.ndarray, *, ordered: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted by mean, equal means summed; a run is atomic if all of it is."""
     if not ordered:
         order = np.argsort(means)
@@ -155,7 +161,16 @@ def _edges(atomic: np.ndarray, cfg: DigestConfig) -> tuple[int, int, int]:
     return 0, 0, cfg.max_size
 
 
-def compress(means: np.ndarray, weights: np.ndarray, atomic: np.ndarray, cfg: DigestConfig, *, low: float, high: float, ordered: bool = False) -> Parts:
+def compress(
+    means: np.ndarray,
+    weights: np.ndarray,
+    atomic: np.ndarray,
+    cfg: DigestConfig,
+    *,
+    low: float,
+    high: float,
+    ordered: bool = False,
+) -> Parts:
     """A digest of weighted points in any order; ``low`` and ``high`` are the values' true range."""
     if not len(means):
         return empty(cfg)
@@ -187,7 +202,14 @@ def _stored(d: Parts) -> Parts:
     if not np.isfinite(means).all():
         raise InvalidTrainingData("a value does not fit f32")
     means, weights, atomic = _coalesced(means, d.weights, d.atomic)
-    return replace(d, means=means, weights=weights.astype(np.float32).astype(np.float64), atomic=atomic, min=float(np.float32(d.min)), max=float(np.float32(d.max)))
+    return replace(
+        d,
+        means=means,
+        weights=weights.astype(np.float32).astype(np.float64),
+        atomic=atomic,
+        min=float(np.float32(d.min)),
+        max=float(np.float32(d.max)),
+    )
 
 
 # --- build and change ------------------------------------------------------------------
@@ -218,10 +240,26 @@ def build(values: np.ndarray, weights: np.ndarray | None = None, cfg: DigestConf
         return empty(cfg)
     if alike:
         values = np.sort(values)
-    return compress(values, weights, np.ones(len(values), dtype=bool), cfg, low=float(values.min()), high=float(values.max()), ordered=alike)
-
-
-def from_centroids(means: np.ndarray, weights: np.ndarray, cfg: DigestConfig, *, atomic: np.ndarray | None = None, low: float | None = None, high: float | None = None) -> Parts:
+    return compress(
+        values,
+        weights,
+        np.ones(len(values), dtype=bool),
+        cfg,
+        low=float(values.min()),
+        high=float(values.max()),
+        ordered=alike,
+    )
+
+
+def from_centroids(
+    means: np.ndarray,
+    weights: np.ndarray,
+    cfg: DigestConfig,
+    *,
+    atomic: np.ndarray | None = None,
+    low: float | None = None,
+    high: float | None = None,
+) -> Parts:
     """A digest of given centroids; they are compressed only where they are more than its size."""
     means, weights = _points(means, weights, cfg)
     if not len(means):
@@ -252,7 +290,11 @@ def merge(digests: list[Parts], *, strict: bool = True, copies: list[int] | None
     if strict:
         for d, _ in full[1:]:
             if found := cfg.differences(d.config):
-                raise IncompatibleMerge("digests differ in " + "; ".join(found) + ("; cast_precision makes precisions equal" if "precision" in found[0] else ""))
+                raise IncompatibleMerge(
+                    "digests differ in "
+                    + "; ".join(found)
+                    + ("; cast_precision makes precisions equal" if "precision" in found[0] else "")
+                )
     if len(full) == 1 and full[0][1] == 1:
         return full[0][0]
     means, atomic = np.concatenate([d.means for d, _ in full]), np.concatenate([d.atomic for d, _ in full])
@@ -269,7 +311,14 @@ def add(d: Parts, values: np.ndarray, weights: np.ndarray | None = None) -> Part
     low, high = float(values.min()), float(values.max())
     if len(d):
         low, high = min(low, d.min), max(high, d.max)
-    out = compress(np.concatenate([d.means, values]), np.concatenate([d.weights, weights]), np.concatenate([d.atomic, np.ones(len(values), dtype=bool)]), d.config, low=low, high=high)
+    out = compress(
+        np.concatenate([d.means, values]),
+        np.concatenate([d.weights, weights]),
+        np.concatenate([d.atomic, np.ones(len(values), dtype=bool)]),
+        d.config,
+        low=low,
+        high=high,
+    )
     return replace(out, sum=(d.sum if len(d) else 0.0) + float((values * weights).sum()))
 
 
@@ -333,7 +382,9 @@ def quantiles(d: Parts, probes: np.ndarray) -> np.ndarray:
         ((w[left] == 1) & (to_left < 0.5), m[left]),
         ((w[right] == 1) & (to_right < 0.5), m[right]),
     ]
-    out[known] = np.clip(np.select([r for r, _ in rules], [np.broadcast_to(v, at.shape) for _, v in rules], got), d.min, d.max)
+    out[known] = np.clip(
+        np.select([r for r, _ in rules], [np.broadcast_to(v, at.shape) for _, v in rules], got), d.min, d.max
+    )
     return out
 
 
@@ -383,7 +434,9 @@ def cdf(d: Parts, probes: np.ndarray) -> np.ndarray:
     at_l, at_r = np.where(d.atomic[left], half_l, 0.0), np.where(d.atomic[right], half_r, 0.0)
     low_gap, high_gap = m[0] - d.min, d.max - m[-1]
     with np.errstate(divide="ignore", invalid="ignore"):
-        between = (before[left] + half_l + at_l + (half_l + half_r - at_l - at_r) * (v - m[left]) / (m[right] - m[left])) / total
+        between = (
+            before[left] + half_l + at_l + (half_l + half_r - at_l - at_r) * (v - m[left]) / (m[right] - m[left])
+        ) / total
         low = (1 + (v - d.min) / low_gap * (w[0] / 2 - 1)) / total
         high = 1 - (1 + (d.max - v) / high_gap * (w[-1] / 2 - 1)) / total
     rules = [

@@ -60,7 +60,9 @@ def _one_row(made: DataFrame, alias: str, cfg: DigestConfig) -> DataFrame:
     schema = made.select(alias).schema
     none = kernel.empty(cfg)
     row = ([], none.sum, none.min, none.max, 0.0, cfg.max_size, cfg.scale, cfg.policy, cfg.pin_per_side, cfg.delta)
-    return made.unionAll(made.sparkSession.createDataFrame([(row,)], schema)).agg(_merge_udf(cfg.precision, True)(F.col(alias)).alias(alias))
+    return made.unionAll(made.sparkSession.createDataFrame([(row,)], schema)).agg(
+        _merge_udf(cfg.precision, True)(F.col(alias)).alias(alias)
+    )
 
 
 MODES = ("auto", "histogram", "partial", "hashed")
@@ -87,7 +89,17 @@ def digest_by(
     if mode not in MODES:
         raise ValueError(f"a mode is one of {', '.join(MODES)}; got {mode!r}")
     if not keys:
-        one = digest_by(df.withColumn("__all", F.lit(0)), ["__all"], value, weight, alias=alias, mode=mode, shards=shards, max_size=max_size, **settings)
+        one = digest_by(
+            df.withColumn("__all", F.lit(0)),
+            ["__all"],
+            value,
+            weight,
+            alias=alias,
+            mode=mode,
+            shards=shards,
+            max_size=max_size,
+            **settings,
+        )
         return _one_row(one.select(alias), alias, cfg)
     if mode == "auto":
         mode = "partial" if shards is not None and shards > 1 else "histogram"
@@ -113,8 +125,11 @@ def _codes(column: pa.Array) -> np.ndarray:
     return column.dictionary_encode(null_encoding="encode").indices.to_numpy()
 
 
-def _fans(batches: Iterator[pa.RecordBatch], keys: list[str], precision: str, strict: bool, last: bool) -> Iterator[pa.RecordBatch]:
-    """keys, __digest, __copies of rows in order of keys and digests: groups of more than ``FAN`` different digests shrink; the last pass leaves one each.
+def _fans(
+    batches: Iterator[pa.RecordBatch], keys: list[str], precision: str, strict: bool, last: bool
+) -> Iterator[pa.RecordBatch]:
+    """keys, __digest, __copies of rows in order of keys and digests: groups of more than ``FAN`` different digests
+    shrink; the last pass leaves one each.
 
     Null digests are left out; a group of nothing else has one empty digest.
     """
@@ -134,7 +149,10 @@ def _fans(batches: Iterator[pa.RecordBatch], keys: list[str], precision: str, st
 
     def out() -> pa.RecordBatch:
         columns = [pa.array([x[0][i].as_py() for x in done], done[0][0][i].type) for i in range(n)]
-        made = pa.RecordBatch.from_arrays([*columns, schema.write([x[1] for x in done], precision), pa.array([x[2] for x in done], pa.int64())], [*keys, "__digest", "__copies"])
+        made = pa.RecordBatch.from_arrays(
+            [*columns, schema.write([x[1] for x in done], precision), pa.array([x[2] for x in done], pa.int64())],
+            [*keys, "__digest", "__copies"],
+        )
         done.clear()
         return made
 
@@ -188,12 +206,18 @@ def _merged(made: DataFrame, keys: list[str], precision: str, alias: str, strict
     to = f"{kinds}, __digest {schema.ddl(precision)}, __copies long"
     content = F.xxhash64("__digest").alias("__content")
     # Null digests may go anywhere: any number of them is one.
-    salt = F.when(F.col("__digest").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.pmod(F.xxhash64("__digest", F.lit(1)), F.lit(SALTS)))
+    salt = F.when(F.col("__digest").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(
+        F.pmod(F.xxhash64("__digest", F.lit(1)), F.lit(SALTS))
+    )
     dealt = made.select(*keys, "__digest", F.lit(1).cast("long").alias("__copies"), content, salt.alias("__salt"))
     order = [*keys, "__content", "__copies"]
-    few = dealt.repartition(*keys, "__salt").sortWithinPartitions(*keys, "__salt", "__content").drop("__salt").mapInArrow(lambda b: _fans(b, keys, precision, strict, False), to)
+    few = dealt.repartition(*keys, "__salt").sortWithinPartitions(*keys, "__salt", "__content").drop(
+        "__salt"
+    ).mapInArrow(lambda b: _fans(b, keys, precision, strict, False), to)
     ready = few.withColumn("__content", F.xxhash64("__digest")).repartition(*keys).sortWithinPartitions(*order)
-    return ready.mapInArrow(lambda b: _fans(b, keys, precision, strict, True), to).select(*keys, F.col("__digest").alias(alias))
+    return ready.mapInArrow(lambda b: _fans(b, keys, precision, strict, True), to).select(
+        *keys, F.col("__digest").alias(alias)
+    )
 
 
 #: Values of a group that wait for the next compression; centroids that a task keeps before it hands its digests on.
@@ -212,7 +236,10 @@ def _partial(rows: DataFrame, keys: list[str], cfg: DigestConfig) -> DataFrame:
         def settle(key: tuple) -> None:
             if parts := waiting.pop(key, None):
                 names, digest = held[key]
-                held[key] = (names, kernel.add(digest, np.concatenate([v for v, _ in parts]), np.concatenate([w for _, w in parts])))
+                held[key] = (
+                    names,
+                    kernel.add(digest, np.concatenate([v for v, _ in parts]), np.concatenate([w for _, w in parts])),
+                )
 
         def out() -> Iterator[pa.RecordBatch]:
             for key in list(waiting):
@@ -221,7 +248,9 @@ def _partial(rows: DataFrame, keys: list[str], cfg: DigestConfig) -> DataFrame:
             for a in range(0, len(done), 512):
                 some = done[a : a + 512]
                 columns = [pa.array([names[i] for names, _ in some], t) for i, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays([*columns, schema.write([d for _, d in some], cfg.precision)], [*keys, "__digest"])
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, schema.write([d for _, d in some], cfg.precision)], [*keys, "__digest"]
+                )
             held.clear()
 
         size = 0
@@ -257,7 +286,9 @@ def _partial(rows: DataFrame, keys: list[str], cfg: DigestConfig) -> DataFrame:
     return rows.mapInArrow(run, f"{kinds}, __digest {schema.ddl(cfg.precision)}")
 
 
-def merge_by(df: DataFrame, keys: Sequence[str], digest: str = "digest", *, alias: str = "digest", strict: bool = True) -> DataFrame:
+def merge_by(
+    df: DataFrame, keys: Sequence[str], digest: str = "digest", *, alias: str = "digest", strict: bool = True
+) -> DataFrame:
     """One row per group: its digests merged. Null digests count as empty."""
     precision = precision_of(df.schema[digest].dataType)
     if precision is None:
@@ -268,7 +299,15 @@ def merge_by(df: DataFrame, keys: Sequence[str], digest: str = "digest", *, alia
     return _merged(df.select(*keys, F.col(digest).alias("__digest")), list(keys), precision, alias, strict)
 
 
-def rollup_by(df: DataFrame, keys: Sequence[str], value: Column | str, *, cube: bool = False, alias: str = "digest", **settings: object) -> DataFrame:
+def rollup_by(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: Column | str,
+    *,
+    cube: bool = False,
+    alias: str = "digest",
+    **settings: object,
+) -> DataFrame:
     """Digests of all grouping sets of a rollup (or cube): built once at the finest grain, then merged.
 
     ``level`` is the grouping id.
@@ -276,18 +315,30 @@ def rollup_by(df: DataFrame, keys: Sequence[str], value: Column | str, *, cube:
     keys = list(keys)
     finest = digest_by(df, keys, value, alias="__digest", **settings)
     precision = precision_of(finest.schema["__digest"].dataType) or "f64"
-    sets = [list(c) for n in range(len(keys), -1, -1) for c in combinations(keys, n)] if cube else [keys[:n] for n in range(len(keys), -1, -1)]
+    sets = [list(c) for n in range(len(keys), -1, -1) for c in combinations(keys, n)] if cube else [
+        keys[:n] for n in range(len(keys), -1, -1)
+    ]
     kind = {k: finest.schema[k].dataType for k in keys}
     rows = []
     for some in sets:
         level = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in some)
-        rows.append(F.struct(*[(F.col(k) if k in some else F.lit(None).cast(kind[k])).alias(k) for k in keys], F.lit(level).alias("level")))
-    spread = finest.select(F.explode(F.array(*rows)).alias("__set"), "__digest").select(*[F.col("__set")[k].alias(k) for k in [*keys, "level"]], "__digest")
+        rows.append(
+            F.struct(
+                *[(F.col(k) if k in some else F.lit(None).cast(kind[k])).alias(k) for k in keys],
+                F.lit(level).alias("level"),
+            )
+        )
+    spread = finest.select(F.explode(F.array(*rows)).alias("__set"), "__digest").select(
+        *[F.col("__set")[k].alias(k) for k in [*keys, "level"]], "__digest"
+    )
     return _merged(spread, [*keys, "level"], precision, alias)
 
 
-def with_digest(df: DataFrame, keys: Sequence[str], value: Column | str, *, alias: str = "digest", **settings: object) -> DataFrame:
-    """Every row with its group's digest, as an aggregate over a window would give it, but by a join: no group meets in one task."""
+def with_digest(
+    df: DataFrame, keys: Sequence[str], value: Column | str, *, alias: str = "digest", **settings: object
+) -> DataFrame:
+    """Every row with its group's digest, as an aggregate over a window would give it, but by a join: no group meets in
+    one task."""
     keys = list(keys)
     made = digest_by(df, keys, value, alias="__digest", **settings)
     other = made.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__digest").alias(alias))

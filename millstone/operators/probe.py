@@ -18,12 +18,17 @@ from millstone.schema import precision_of
 
 
 def quantiles_by(digests: DataFrame, probes: Sequence[float], digest: str = "digest") -> DataFrame:
-    """A row per group and probe: all other columns, ``q`` and ``value`` (float of f32 digests); the digest is read once per group."""
+    """A row per group and probe: all other columns, ``q`` and ``value`` (float of f32 digests); the digest is read once
+    per group."""
     qs = [probability(q) for q in probes]
     precision = precision_of(digests.schema[digest].dataType) or "f64"
-    pairs = F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("q"), M.quantile(digest, qs, precision=precision).alias("value"))
+    pairs = F.arrays_zip(
+        F.array(*[F.lit(q) for q in qs]).alias("q"), M.quantile(digest, qs, precision=precision).alias("value")
+    )
     others = [c for c in digests.columns if c != digest]
-    return digests.select(*others, F.explode(pairs).alias("__p")).select(*others, F.col("__p.q").alias("q"), F.col("__p.value").alias("value"))
+    return digests.select(*others, F.explode(pairs).alias("__p")).select(
+        *others, F.col("__p.q").alias("q"), F.col("__p.value").alias("value")
+    )
 
 
 def cdf_by(digests: DataFrame, probes: Sequence[float], digest: str = "digest") -> DataFrame:
@@ -31,10 +36,14 @@ def cdf_by(digests: DataFrame, probes: Sequence[float], digest: str = "digest")
     xs = F.array(*[F.lit(float(x)) for x in probes])
     pairs = F.arrays_zip(xs.alias("x"), M.cdf(digest, list(probes)).alias("share"))
     others = [c for c in digests.columns if c != digest]
-    return digests.select(*others, F.explode(pairs).alias("__p")).select(*others, F.col("__p.x").alias("x"), F.col("__p.share").alias("share"))
+    return digests.select(*others, F.explode(pairs).alias("__p")).select(
+        *others, F.col("__p.x").alias("x"), F.col("__p.share").alias("share")
+    )
 
 
-def cdf_column(values: DataFrame, column: str, digests: DataFrame, digest: str = "digest", *, alias: str | None = None) -> DataFrame:
+def cdf_column(
+    values: DataFrame, column: str, digests: DataFrame, digest: str = "digest", *, alias: str | None = None
+) -> DataFrame:
     """``values`` with ``<column>_cdf``: the share of each value by the one non-empty digest of ``digests``.
 
     That digest is read when the plan is made (one digest is bounded by its size, two are an error) and goes
@@ -52,6 +61,8 @@ def cdf_column(values: DataFrame, column: str, digests: DataFrame, digest: str =
     def share(x: pa.Array) -> pa.Array:
         if x.null_count:
             raise InvalidProbe("a probe of a cdf must not be null")
-        return pa.array(kernel.cdf(parts, np.asarray(x.cast(pa.float64()))), pa.float32() if kind == "float" else pa.float64())
+        return pa.array(
+            kernel.cdf(parts, np.asarray(x.cast(pa.float64()))), pa.float32() if kind == "float" else pa.float64()
+        )
 
     return values.withColumn(alias or f"{column}_cdf", share(F.col(column)))

@@ -29,7 +29,16 @@ QUANTILE = """CASE WHEN g.k = 1 THEN g.lo WHEN i < 1 THEN g.lo WHEN i > g.n - 1
      / ((p.c2 - p.c) - (CASE WHEN p.w = 1 THEN 0.5 ELSE 0 END) - (CASE WHEN p.w2 = 1 THEN 0.5 ELSE 0 END)) END"""
 
 
-def quantiles(table: str, keys: Sequence[str], value: str, probes: Sequence[float], *, weight: str = "1.0", with_: str = "", times: float = 1) -> str:
+def quantiles(
+    table: str,
+    keys: Sequence[str],
+    value: str,
+    probes: Sequence[float],
+    *,
+    weight: str = "1.0",
+    with_: str = "",
+    times: float = 1,
+) -> str:
     """keys, q, value: a row per group and probe."""
     names = "".join(f"g.{k}, " for k in keys)
     listed = ", ".join(f"(CAST({q} AS DOUBLE))" for q in probes)
@@ -52,7 +61,9 @@ FROM f g LEFT JOIN p ON {_on(keys, "g", "p")} AND p.c <= g.i AND (p.c2 IS NULL O
 LEFT JOIN x ON {_on(keys, "g", "x")} LEFT JOIN y ON {_on(keys, "g", "y")}"""
 
 
-def cdfs(table: str, keys: Sequence[str], value: str, probes: Sequence[float], *, weight: str = "1.0", with_: str = "") -> str:
+def cdfs(
+    table: str, keys: Sequence[str], value: str, probes: Sequence[float], *, weight: str = "1.0", with_: str = ""
+) -> str:
     """keys, x, share."""
     names = "".join(f"{k}, " for k in keys)
     listed = ", ".join(f"(CAST({x} AS DOUBLE))" for x in probes)
@@ -84,7 +95,8 @@ def _scaled(scale: str, share: str) -> str:
 
 
 def _chain(name: str, lists: str, size: str) -> str:
-    """CTE: the start (from 1) of each cluster of ``lists`` (k, gb, ga: k of a scale of size 1 before and after each point; n), for a size that is a column of it."""
+    """CTE: the start (from 1) of each cluster of ``lists`` (k, gb, ga: k of a scale of size 1 before and after each
+    point; n), for a size that is a column of it."""
     step = f"greatest(len(list_filter(f.ga, lambda x: x * {size} <= f.gb[c.pos] * {size} + 1 + 1e-12)) + 1, c.pos + 1)"
     return f"""{name} AS (WITH RECURSIVE c(k, pos) AS (SELECT k, CAST(1 AS BIGINT) FROM {lists} UNION ALL
   SELECT k, nxt FROM (SELECT c.k, CAST({step} AS BIGINT) AS nxt, f.n FROM c JOIN {lists} f ON c.k = f.k) WHERE nxt <= n) SELECT * FROM c)"""
@@ -104,12 +116,17 @@ def _grouped(name: str, points_: str, starts: str) -> str:
 
 
 def blended(source: str, size: int, scale: str = "k2", policy: str = "use", pin: int = 0, name: str = "d") -> str:
-    """CTEs up to ``name`` (k, m, w, a): the centroids of each group of ``source``, a CTE or table of distinct points (k, m, w, a).
+    """CTEs up to ``name`` (k, m, w, a): the centroids of each group of ``source``, a CTE or table of distinct points
+    (k, m, w, a).
 
     The rules of the kernel: outer points are pinned; the others are clustered greedily, by a scale of the
     digest's size; where that leaves too many, by the largest size that does not, which is searched for by halving.
     """
-    left, right = {"use": ("least(n, 1)", "CASE WHEN n > 1 THEN 1 ELSE 0 END"), "off": ("0", "0"), "edges": (f"least(n, {pin})", f"CASE WHEN n > 2 * {pin} THEN {pin} ELSE greatest(n - {pin}, 0) END")}[policy]
+    left, right = {
+        "use": ("least(n, 1)", "CASE WHEN n > 1 THEN 1 ELSE 0 END"),
+        "off": ("0", "0"),
+        "edges": (f"least(n, {pin})", f"CASE WHEN n > 2 * {pin} THEN {pin} ELSE greatest(n - {pin}, 0) END"),
+    }[policy]
     most = f"greatest({size} - ({left}) - ({right}), 1)" if policy == "use" else f"{size}"
     kept = f"n <= {size}" if policy == "off" else "false"
     x = f"{name}_"
@@ -135,12 +152,14 @@ def blended(source: str, size: int, scale: str = "k2", policy: str = "use", pin:
 
 
 def clusters(key: str, centroids: str = "d") -> str:
-    """key, mean, weight, atomic of centroids. Means are moved a little before they are rounded, as many lie halfway between two decimals."""
+    """key, mean, weight, atomic of centroids. Means are moved a little before they are rounded, as many lie halfway
+    between two decimals."""
     return f"SELECT k AS {key}, round(m + 0.000000123, 6) AS mean, w AS weight, a AS atomic FROM {centroids}"
 
 
 def delta_clusters(source: str, delta: float, name: str = "d") -> str:
-    """CTEs up to ``name``: the centroids of delta mode: greedy clusters by the scale k2norm over all points, without slack, pins or a cap."""
+    """CTEs up to ``name``: the centroids of delta mode: greedy clusters by the scale k2norm over all points, without
+    slack, pins or a cap."""
     x = f"{name}_"
     size = f"({delta} / (4 * ln(f.n / {delta}) + 24) * 4 * ln(2))"
     return f"""{x}i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY m) AS i FROM {source}),
@@ -150,7 +169,8 @@ def delta_clusters(source: str, delta: float, name: str = "d") -> str:
 
 
 def _neighbours(centroids: str) -> str:
-    """CTEs: t (centroids with running weight, centre and the next one), z (a row per group; lo and hi from the source)."""
+    """CTEs: t (centroids with running weight, centre and the next one), z (a row per group; lo and hi from the
+    source)."""
     return f"""t AS (SELECT k, m, w, a, e, e - w / 2 AS c, lead(m) OVER o AS m2, lead(w) OVER o AS w2, lead(a) OVER o AS a2, lead(e - w / 2) OVER o AS c2 FROM (SELECT *, sum(w) OVER (PARTITION BY k ORDER BY m ROWS UNBOUNDED PRECEDING) AS e FROM {centroids}) WINDOW o AS (PARTITION BY k ORDER BY m)),
 z AS (SELECT t.k, count(*) AS many, max(e) AS n, arg_min(m, m) AS m0, arg_min(w, m) AS w0, arg_min(a, m) AS a0, min(c) AS c0, arg_max(m, m) AS m9, arg_max(w, m) AS w9, arg_max(a, m) AS a9, max(c) AS c9, any_value(lo) AS lo, any_value(hi) AS hi
   FROM t JOIN (SELECT k, min(m) AS lo, max(m) AS hi FROM src GROUP BY k) s ON s.k = t.k GROUP BY t.k)"""

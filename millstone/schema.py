@@ -30,7 +30,18 @@ def precision_of(kind: T.DataType) -> str | None:
 def arrow_type(precision: str) -> pa.DataType:
     f = pa.float32() if precision == "f32" else pa.float64()
     centroid = pa.struct([("mean", f), ("weight", f), ("atomic", pa.bool_())])
-    kinds = [pa.list_(centroid), pa.float64(), f, f, pa.float64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.float64()]
+    kinds = [
+        pa.list_(centroid),
+        pa.float64(),
+        f,
+        f,
+        pa.float64(),
+        pa.int32(),
+        pa.string(),
+        pa.string(),
+        pa.int32(),
+        pa.float64(),
+    ]
     return pa.struct(list(zip(FIELDS, kinds, strict=True)))
 
 
@@ -55,16 +66,37 @@ def read(column: pa.Array | pa.ChunkedArray) -> Iterator[Parts]:
             yield empty(DigestConfig(precision=precision))
             continue
         a, b = int(offsets[i]), int(offsets[i + 1])
-        cfg = DigestConfig(plain["max_size"][i], plain["scale"][i], plain["policy"][i], plain["pin_per_side"][i] or 0, plain["delta"][i], precision)
+        cfg = DigestConfig(
+            plain["max_size"][i],
+            plain["scale"][i],
+            plain["policy"][i],
+            plain["pin_per_side"][i] or 0,
+            plain["delta"][i],
+            precision,
+        )
         low, high = plain["min"][i], plain["max"][i]
-        yield Parts(means[a:b], weights[a:b], atomic[a:b], plain["sum"][i] or 0.0, np.nan if low is None else low, np.nan if high is None else high, cfg)
+        yield Parts(
+            means[a:b],
+            weights[a:b],
+            atomic[a:b],
+            plain["sum"][i] or 0.0,
+            np.nan if low is None else low,
+            np.nan if high is None else high,
+            cfg,
+        )
 
 
 def write(digests: list[Parts], precision: str) -> pa.StructArray:
     """A struct column of digests, all of one precision."""
     f = pa.float32() if precision == "f32" else pa.float64()
-    flat = [np.concatenate([getattr(d, n) for d in digests]) if digests else np.zeros(0) for n in ("means", "weights", "atomic")]
-    centroid = pa.StructArray.from_arrays([pa.array(flat[0], f), pa.array(flat[1], f), pa.array(flat[2].astype(bool))], ["mean", "weight", "atomic"])
+    flat = [
+        np.concatenate([getattr(d, n) for d in digests])
+        if digests else np.zeros(0)
+        for n in ("means", "weights", "atomic")
+    ]
+    centroid = pa.StructArray.from_arrays(
+        [pa.array(flat[0], f), pa.array(flat[1], f), pa.array(flat[2].astype(bool))], ["mean", "weight", "atomic"]
+    )
     offsets = np.concatenate(([0], np.cumsum([len(d) for d in digests]))).astype(np.int32)
     c = [d.config for d in digests]
     columns = [

@@ -18,7 +18,9 @@ def read_digest_files(spark: SparkSession, path: str, precision: str = "f64") ->
     return spark.read.format("binaryFile").load(path).select("path", M.from_bytes("content", precision).alias("digest"))
 
 
-def write_digest_files(digests: DataFrame, folder: str, digest: str = "digest", *, version: int | None = None) -> DataFrame:
+def write_digest_files(
+    digests: DataFrame, folder: str, digest: str = "digest", *, version: int | None = None
+) -> DataFrame:
     """One ``.tdig`` file per row; returns the other columns and each row's ``file``.
 
     The frame that is returned writes when it is computed; names are new each time, so a task that

@@ -33,7 +33,10 @@ def detect_format(path: str) -> str:
 def _strict(text: Column, what: str) -> Column:
     """A number's text as a double; anything else is an error, null stays."""
     number = text.try_cast("double")
-    return F.when(text.isNotNull() & number.isNull(), F.raise_error(F.concat(F.lit(f"{what}: not a number: "), text)).cast("double")).otherwise(number)
+    return F.when(
+        text.isNotNull() & number.isNull(),
+        F.raise_error(F.concat(F.lit(f"{what}: not a number: "), text)).cast("double"),
+    ).otherwise(number)
 
 
 def read_values(spark: SparkSession, path: str, fmt: str | None = None, column: str | int | None = None) -> DataFrame:
@@ -51,7 +54,9 @@ def read_values(spark: SparkSession, path: str, fmt: str | None = None, column:
     raise ValueError(f"a format is text, csv, json or ndjson; got {fmt!r}")
 
 
-def values_of_text(spark: SparkSession, text: str, fmt: str | None = None, column: str | int | None = None) -> DataFrame:
+def values_of_text(
+    spark: SparkSession, text: str, fmt: str | None = None, column: str | int | None = None
+) -> DataFrame:
     """The numbers of a text that the driver holds (standard input), in any of the formats; text by default."""
     fmt = "text" if fmt in (None, "auto") else fmt
     if fmt == "csv":
@@ -80,7 +85,8 @@ def _tokens(lines: DataFrame) -> DataFrame:
 
 
 def _place(first: Sequence[str | None], column: str | int) -> tuple[int, bool]:
-    """A column's place, and whether the first row is a header: always for a name, for a place if its cell is no number."""
+    """A column's place, and whether the first row is a header: always for a name, for a place if its cell is no
+    number."""
     if isinstance(column, int) or str(column).isdigit():
         place = int(column)
         if place >= len(first):
@@ -108,7 +114,11 @@ def _csv(spark: SparkSession, path: str, column: str | int) -> DataFrame:
 
 def _items(texts: DataFrame, column: str | int | None) -> DataFrame:
     """Items of whole JSON texts: a list, or an object whose field holds a list or a number."""
-    inner = texts if column is None else texts.select(F.when(F.col("item").startswith("{"), F.get_json_object("item", f"$.{column}")).otherwise(F.col("item")).alias("item"))
+    inner = texts if column is None else texts.select(
+        F.when(F.col("item").startswith("{"), F.get_json_object("item", f"$.{column}")).otherwise(
+            F.col("item")
+        ).alias("item")
+    )
     listed = F.when(F.col("item").startswith("["), F.from_json("item", "array<string>")).otherwise(F.array("item"))
     return _field(inner.select(F.explode(listed).alias("item")), column)
 

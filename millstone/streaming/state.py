@@ -21,7 +21,9 @@ from millstone import kernel, wire
 from millstone.config import InvalidTrainingData, config
 
 
-def running_digests(stream: DataFrame, keys: Sequence[str], value: str, *, max_size: int | None = None, **settings: object) -> DataFrame:
+def running_digests(
+    stream: DataFrame, keys: Sequence[str], value: str, *, max_size: int | None = None, **settings: object
+) -> DataFrame:
     """After each batch, a row per key that had events: the keys, ``n`` and the digest's ``blob`` (update mode).
 
     Nulls and non-finite values stop the stream.
@@ -44,11 +46,16 @@ def running_digests(stream: DataFrame, keys: Sequence[str], value: str, *, max_s
         state.update((blob,))
         yield pd.DataFrame({k: [v] for k, v in zip(keys, key, strict=True)} | {"n": [digest.count], "blob": [blob]})
 
-    return given.groupBy(*keys).applyInPandasWithState(follow, f"{names}, n double, blob binary", "blob binary", "update", GroupStateTimeout.NoTimeout)
+    return given.groupBy(*keys).applyInPandasWithState(
+        follow, f"{names}, n double, blob binary", "blob binary", "update", GroupStateTimeout.NoTimeout
+    )
 
 
-def windowed_points(stream: DataFrame, ts: str, duration: str, keys: Sequence[str], value: str, *, delay: str, slide: str | None = None) -> DataFrame:
-    """A streaming histogram: window, keys, value, n; in append mode a window's rows come once, when the watermark has passed it.
+def windowed_points(
+    stream: DataFrame, ts: str, duration: str, keys: Sequence[str], value: str, *, delay: str, slide: str | None = None
+) -> DataFrame:
+    """A streaming histogram: window, keys, value, n; in append mode a window's rows come once, when the watermark has
+    passed it.
 
     ``digest_by(batch, ["window", *keys], "value", "n")`` in ``foreachBatch`` makes the digests.
     Events later than ``delay`` are dropped, as everywhere in Structured Streaming.
@@ -57,4 +64,6 @@ def windowed_points(stream: DataFrame, ts: str, duration: str, keys: Sequence[st
         # Event time must be a point in time: one without a zone is read as UTC, in any session.
         stream = stream.withColumn(ts, F.from_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone()))
     window = F.window(ts, duration, slide) if slide else F.window(ts, duration)
-    return stream.withWatermark(ts, delay).groupBy(window.alias("window"), *keys, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return stream.withWatermark(ts, delay).groupBy(
+        window.alias("window"), *keys, F.col(value).cast("double").alias("value")
+    ).agg(F.count(F.lit(1)).alias("n"))

@@ -72,7 +72,10 @@ def test_shards_keep_weight_and_accuracy(spark, mode):
 def test_partial_digests_of_odd_keys(spark, monkeypatch):
     from millstone.operators import build
 
-    rows = spark.createDataFrame([(i % 7 if i % 5 else None, [i % 2], float(i % 11), 1.0 + i % 3) for i in range(5000)], "g int, a array<int>, x double, w double")
+    rows = spark.createDataFrame(
+        [(i % 7 if i % 5 else None, [i % 2], float(i % 11), 1.0 + i % 3) for i in range(5000)],
+        "g int, a array<int>, x double, w double",
+    )
     want = sorted(map(repr, digest_by(rows, ["g", "a"], "x", "w", mode="histogram").collect()))
     assert sorted(map(repr, digest_by(rows, ["g", "a"], "x", "w", mode="partial", shards=3).collect())) == want
     monkeypatch.setattr(build, "HELD", 100)
@@ -88,7 +91,12 @@ def test_partial_digests_of_odd_keys(spark, monkeypatch):
 @pytest.mark.parametrize("mode", ["auto", "hashed"])
 def test_number_of_partitions_does_not_change_digest(spark, mode):
     values = np.random.default_rng(8).random(6000).tolist()
-    made = {digest_by(numbers(spark, values).repartition(n), [], "x", scale="k1", max_size=100, mode=mode).select(M.to_bytes("digest").alias("b")).first().b for n in (2, 7, 50)}
+    made = {
+        digest_by(numbers(spark, values).repartition(n), [], "x", scale="k1", max_size=100, mode=mode).select(
+            M.to_bytes("digest").alias("b")
+        ).first().b
+        for n in (2, 7, 50)
+    }
     assert len(made) == 1
     if mode == "auto":
         assert made == {Digest.from_array(values, scale="k1", max_size=100).to_bytes()}
@@ -115,7 +123,9 @@ def test_planning_runs_no_job(spark):
 
 def test_merging_blended_digests_is_one_pass(spark):
     """Up to a fan of digests merge at once, however they are dealt; more of them in the same way each time."""
-    rows = spark.createDataFrame([(i % 3, i % 40, float((i * 7919) % 10007)) for i in range(12_000)], "g int, h int, x double")
+    rows = spark.createDataFrame(
+        [(i % 3, i % 40, float((i * 7919) % 10007)) for i in range(12_000)], "g int, h int, x double"
+    )
     parts = digest_by(rows, ["g", "h"], "x", max_size=20).cache()
     want = {g: Digest.merge_all(Digest.collected(parts.where(F.col("g") == g))).parts for g in range(3)}
     for n in (1, 7, 50):
@@ -134,7 +144,9 @@ def test_null_and_equal_digests(spark):
     none = many.where("digest is null").select(F.lit(1).alias("g"), "digest")
     assert merge_by(none, ["g"]).first().digest["count"] == 0
     # A group's nulls are dealt to all salts, so none of the tasks has them all.
-    plan = build._merged(none.withColumnRenamed("digest", "__digest"), ["g"], "f64", "digest")._jdf.queryExecution().optimizedPlan().toString()
+    plan = build._merged(
+        none.withColumnRenamed("digest", "__digest"), ["g"], "f64", "digest"
+    )._jdf.queryExecution().optimizedPlan().toString()
     assert "monotonically_increasing_id() % 32" in plan or "pmod(monotonically_increasing_id(), 32)" in plan
 
 
@@ -156,14 +168,27 @@ def test_bad_weights_stop_the_query(spark):
 def test_empty_input(spark):
     none = numbers(spark, []).withColumn("g", F.lit(1))
     assert digest_by(none, ["g"], "x").count() == 0
-    row = digest_by(none, [], "x", max_size=50).select("digest", M.quantile("digest", 0.5).alias("q"), M.cdf("digest", 1.0).alias("c"), M.median("digest").alias("m"), M.tdigest_summary("digest").alias("s")).first()
+    row = digest_by(none, [], "x", max_size=50).select(
+        "digest",
+        M.quantile("digest", 0.5).alias("q"),
+        M.cdf("digest", 1.0).alias("c"),
+        M.median("digest").alias("m"),
+        M.tdigest_summary("digest").alias("s"),
+    ).first()
     assert row.digest["max_size"] == 50 and row.q is None and row.m is None and row.s is None and math.isnan(row.c)
 
 
 def test_null_digests_are_empty(spark):
-    d = digest_by(spark.createDataFrame([("A", 0.0), ("A", 1.0), ("A", 2.0)], "g string, x double"), ["g"], "x", max_size=10)
+    d = digest_by(
+        spark.createDataFrame([("A", 0.0), ("A", 1.0), ("A", 2.0)], "g string, x double"), ["g"], "x", max_size=10
+    )
     joined = spark.createDataFrame([("A",), ("B",)], "g string").join(d, "g", "left")
-    got = {r.g: r for r in merge_by(joined, ["g"]).select("g", M.quantile("digest", 0.5).alias("q"), M.cdf("digest", [-math.inf, 1.0, math.inf]).alias("c")).collect()}
+    got = {
+        r.g: r
+        for r in merge_by(joined, ["g"]).select(
+            "g", M.quantile("digest", 0.5).alias("q"), M.cdf("digest", [-math.inf, 1.0, math.inf]).alias("c")
+        ).collect()
+    }
     assert got["A"].q == 1.0 and got["A"].c == [0.0, 0.5, 1.0]
     assert got["B"].q is None and all(math.isnan(x) for x in got["B"].c)
 
@@ -171,7 +196,12 @@ def test_null_digests_are_empty(spark):
 def test_groups_with_a_filter(spark):
     rows = spark.createDataFrame([(0, -3.0), (0, -2.0), (1, 15.0), (1, 25.0), (1, 35.0)], "id int, x double")
     kept = rows.select("id").distinct().join(digest_by(rows.where("x > 0"), ["id"], "x", max_size=64), "id", "left")
-    got = {r.id: r for r in merge_by(kept, ["id"]).select("id", M.quantile("digest", 0.5).alias("q"), M.cdf("digest", 25.0).alias("c")).collect()}
+    got = {
+        r.id: r
+        for r in merge_by(kept, ["id"]).select(
+            "id", M.quantile("digest", 0.5).alias("q"), M.cdf("digest", 25.0).alias("c")
+        ).collect()
+    }
     assert got[0].q is None and math.isnan(got[0].c) and (got[1].q, got[1].c) == (25.0, 0.5)
 
 
@@ -197,7 +227,12 @@ def test_literal_arguments_are_checked_when_planned():
 def test_column_probes(spark):
     d = digest_by(numbers(spark, [0.0, 1.0, 2.0, 3.0]), [], "x")
     rows = d.crossJoin(spark.createDataFrame([(0.5, 2.0, [1.0, 2.0])], "q double, x double, xs array<double>"))
-    r = rows.select(M.quantile("digest", F.col("q")).alias("q"), M.cdf("digest", F.col("x")).alias("c"), M.cdf("digest", F.col("xs"), array=True).alias("cs"), M.trimmed_mean("digest", 0.0, 1.0).alias("t")).first()
+    r = rows.select(
+        M.quantile("digest", F.col("q")).alias("q"),
+        M.cdf("digest", F.col("x")).alias("c"),
+        M.cdf("digest", F.col("xs"), array=True).alias("cs"),
+        M.trimmed_mean("digest", 0.0, 1.0).alias("t"),
+    ).first()
     assert (r.q, r.c, r.cs, r.t) == (1.5, 0.625, [0.375, 0.625], 1.5)
     with pytest.raises(Exception, match="null"):
         d.select(M.cdf("digest", F.lit(None).cast("double"))).collect()
@@ -240,12 +275,19 @@ def test_rows_with_their_digest(spark):
 def test_f32_columns(spark):
     d = digest_by(numbers(spark, [0.1, 0.2, 0.2]), [], "x", precision="f32")
     assert d.schema["digest"].dataType["min"].dataType.simpleString() == "float"
-    r = d.select(M.quantile("digest", 0.0).alias("q"), M.wire_precision(M.to_bytes("digest")).alias("p"), M.from_bytes(M.to_bytes("digest"), "f32").alias("b"), F.col("digest")).first()
+    r = d.select(
+        M.quantile("digest", 0.0).alias("q"),
+        M.wire_precision(M.to_bytes("digest")).alias("p"),
+        M.from_bytes(M.to_bytes("digest"), "f32").alias("b"),
+        F.col("digest"),
+    ).first()
     assert r.q == float(np.float32(0.1)) and r.p == "f32" and r.b == r.digest
     with pytest.raises(Exception, match="f32"):
         d.select(M.from_bytes(M.to_bytes("digest"), "f64")).collect()
     merged = merge_by(d.unionAll(d), [])
-    assert merged.schema["digest"].dataType["min"].dataType.simpleString() == "float" and merged.first().digest["count"] == 6
+    assert merged.schema[
+        "digest"
+    ].dataType["min"].dataType.simpleString() == "float" and merged.first().digest["count"] == 6
 
 
 def test_scaling_and_casting_keep_the_type(spark):
@@ -261,14 +303,18 @@ def test_scaling_and_casting_keep_the_type(spark):
 
 def test_sql_functions(spark):
     names = M.register(spark, 64)
-    assert {"tdigest", "merge_tdigests", "tdigest_quantile", "tdigest_cdf", "tdigest_trimmed_mean", "tdigest_scale_values"} <= set(names)
+    assert {
+        "tdigest", "merge_tdigests", "tdigest_quantile", "tdigest_cdf", "tdigest_trimmed_mean", "tdigest_scale_values"
+    } <= set(names)
     numbers(spark, [0.0, 1.0, 2.0, 3.0]).createOrReplaceTempView("millstone_x")
     r = spark.sql(
         "WITH d AS (SELECT tdigest(x) AS d FROM millstone_x), m AS (SELECT merge_tdigests(d) AS d FROM (SELECT d FROM d UNION ALL SELECT d FROM d))"
         " SELECT tdigest_quantile(m.d, 0.5D) AS q, tdigest_cdf(m.d, 2D) AS c, tdigest_median(d.d) AS md, tdigest_trimmed_mean(d.d, 0D, 1D) AS t, d.d.max_size AS k, tdigest_wire_precision(tdigest_to_bytes(d.d)) AS p,"
         " tdigest_scale_values(d.d, 2D).max AS s, tdigest_quantile(tdigest_add_values(d.d, array(9D)), 1D) AS a, tdigest_cdf_array(d.d, array(0D, 9D)) AS cs, tdigest_to_f32(d.d).max AS f FROM d, m"
     ).first()
-    assert (r.q, r.c, r.md, r.t, r.k, r.p, r.s, r.a, r.cs, r.f) == (1.5, 0.625, 1.5, 1.5, 64, "f64", 6.0, 9.0, [0.125, 1.0], 3.0)
+    assert (r.q, r.c, r.md, r.t, r.k, r.p, r.s, r.a, r.cs, r.f) == (
+        1.5, 0.625, 1.5, 1.5, 64, "f64", 6.0, 9.0, [0.125, 1.0], 3.0
+    )
 
 
 def test_blob_columns(spark):
@@ -288,13 +334,20 @@ def test_blob_columns(spark):
 
 
 def test_digests_in_parquet(spark, tmp_path):
-    digest_by(spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 9.0)], "g int, x double"), ["g"], "x").write.parquet(str(tmp_path / "d"))
+    digest_by(spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 9.0)], "g int, x double"), ["g"], "x").write.parquet(
+        str(tmp_path / "d")
+    )
     back = spark.read.parquet(str(tmp_path / "d"))
     assert sorted((r.g, r.value) for r in quantiles_by(back, [1.0]).collect()) == [(1, 2.0), (2, 9.0)]
 
 
 def test_plan_is_a_histogram_with_pruned_columns(spark):
-    d = digest_by(spark.read.parquet(f"{SMALL}/lineitem.parquet").where("l_discount > 0.05"), ["l_returnflag"], "l_quantity", shards=1)
+    d = digest_by(
+        spark.read.parquet(f"{SMALL}/lineitem.parquet").where("l_discount > 0.05"),
+        ["l_returnflag"],
+        "l_quantity",
+        shards=1,
+    )
     plan = d._jdf.queryExecution().toString()
     assert "partial_sum" in plan and "PushedFilters: [IsNotNull(l_discount), GreaterThan(l_discount,0.05)]" in plan
     assert "l_comment" not in plan.split("Physical Plan")[1] and "l_extendedprice" not in plan.split("ReadSchema")[1]
@@ -328,14 +381,21 @@ def test_readers(spark, tmp_path, name, text, column, want):
 
 
 def test_reader_errors(spark, tmp_path):
-    for name, text, column in (("a.csv", "x\n1\nbad\n", "x"), ("a.json", '[1, "z"]', None), ("b.json", '[{"v":1},{"w":2}]', "v"), ("a.ndjson", "null\n", None)):
+    for name, text, column in (
+        ("a.csv", "x\n1\nbad\n", "x"),
+        ("a.json", '[1, "z"]', None),
+        ("b.json", '[{"v":1},{"w":2}]', "v"),
+        ("a.ndjson", "null\n", None),
+    ):
         with pytest.raises(Exception, match="not a number|without a number"):
             read_values(spark, written(tmp_path / name, text), column=column).collect()
     with pytest.raises(ValueError, match="no column"):
         read_values(spark, written(tmp_path / "q.csv", "x\n1\n"), column="y")
     with pytest.raises(ValueError, match="format"):
         read_values(spark, str(tmp_path), "xml")
-    assert [detect_format(p) for p in ("a.CSV", "b.json", "c.ndjson", "d.jsonl", "e.txt", "f")] == ["csv", "json", "ndjson", "ndjson", "text", "text"]
+    assert [detect_format(p) for p in ("a.CSV", "b.json", "c.ndjson", "d.jsonl", "e.txt", "f")] == [
+        "csv", "json", "ndjson", "ndjson", "text", "text"
+    ]
 
 
 def test_precision_of_values(spark):
@@ -355,11 +415,29 @@ def test_cli(spark, tmp_path):
     saved = str(tmp_path / "d.tdig")
     with pytest.raises(SystemExit):
         cli(["build", "--input", values, "--column", "x"], spark)
-    assert "n=4" in cli(["build", "--input", values, "--column", "x", "--to-digest", saved, "--max-size", "64", "--precision", "f64"], spark)
+    assert "n=4" in cli(
+        ["build", "--input", values, "--column", "x", "--to-digest", saved, "--max-size", "64", "--precision", "f64"],
+        spark,
+    )
     assert cli(["quantile", "--from-digest", saved, "--p", "0.5"], spark) == "p,value\n0.5,1.5"
     assert cli(["cdf", "--input", values, "--column", "x", "--x", "2.0", "--no-header"], spark) == "2.0,0.625"
     assert cli(["median", "--input", values, "--column", "0", "--output", "text"], spark) == "1.5"
-    more = cli(["quantile", "--from-digest", saved, "--input", values, "--column", "x", "--merge-digest", saved, "--p", "1.0,0.0"], spark)
+    more = cli(
+        [
+            "quantile",
+            "--from-digest",
+            saved,
+            "--input",
+            values,
+            "--column",
+            "x",
+            "--merge-digest",
+            saved,
+            "--p",
+            "1.0,0.0",
+        ],
+        spark,
+    )
     assert more == "p,value\n1.0,3.0\n0.0,0.0"
     with pytest.raises(InvalidProbe):
         cli(["quantile", "--from-digest", saved, "--p", "1.5"], spark)
@@ -374,19 +452,37 @@ def test_cli_standard_input_and_probes(spark, tmp_path, monkeypatch):
 
     typed("0 1 2 3")
     assert cli(["median", "--stdin", "--no-header", "--output", "csv"], spark) == "1.5"
-    train, probes = written(tmp_path / "t.csv", "x,y\n0,10\n1,11\n2,12\n3,13\n"), written(tmp_path / "p.json", "[0,2,3]")
+    train, probes = written(tmp_path / "t.csv", "x,y\n0,10\n1,11\n2,12\n3,13\n"), written(
+        tmp_path / "p.json", "[0,2,3]"
+    )
     told = ["cdf", "--input", train, "--input-format", "csv", "--input-column", "x", "--no-header"]
     want = ["0.0,0.125", "2.0,0.625", "3.0,0.875"]
     assert cli([*told, "--probes-input", probes, "--probes-format", "json"], spark).splitlines() == want
     typed("p\n0\n2\n3\n")
     assert cli([*told, "--probes-stdin", "--probes-format", "csv", "--probes-column", "p"], spark).splitlines() == want
     typed('{"v": 0}\n{"v": "2"}\n\n{"v": 3}')
-    assert cli([*told, "--probes-stdin", "--probes-format", "ndjson", "--probes-column", "v"], spark).splitlines() == want
+    assert cli(
+        [*told, "--probes-stdin", "--probes-format", "ndjson", "--probes-column", "v"], spark
+    ).splitlines() == want
     assert sorted(cli(told, spark).splitlines()) == sorted([*want, "1.0,0.375"])
     assert cli([*told, "--x", "0", "--x", "2,3"], spark).splitlines() == want
     saved = str(tmp_path / "s.tdig")
     typed("[0.5, 0.25]")
-    cli(["build", "--stdin", "--input-format", "json", "--precision", "auto", "--wire-version", "v2", "--to-digest", saved], spark)
+    cli(
+        [
+            "build",
+            "--stdin",
+            "--input-format",
+            "json",
+            "--precision",
+            "auto",
+            "--wire-version",
+            "v2",
+            "--to-digest",
+            saved,
+        ],
+        spark,
+    )
     assert Digest.from_bytes(open(saved, "rb").read()).inner_kind() == "f32"
     typed("")
     with pytest.raises(SystemExit):
@@ -399,7 +495,9 @@ def test_bytes_of_one_precision_in_any_version(spark):
     back = two.select("g", M.from_bytes("b", "auto", of=two).alias("digest"))
     assert back.schema["digest"].dataType["min"].dataType.simpleString() == "float"
     assert sorted(r.digest["max"] for r in back.collect()) == [1.0, 1.0, 9.0, 9.0]
-    both = two.unionAll(digest_by(numbers(spark, [1.0]), [], "x").select(F.lit(0).alias("g"), M.to_bytes("digest").alias("b")))
+    both = two.unionAll(
+        digest_by(numbers(spark, [1.0]), [], "x").select(F.lit(0).alias("g"), M.to_bytes("digest").alias("b"))
+    )
     with pytest.raises(Exception, match="f32 and f64"):
         M.from_bytes("b", "auto", of=both)
     with pytest.raises(ValueError, match="of="):
@@ -421,7 +519,9 @@ def test_one_digest_against_a_column(spark):
     d = digest_by(numbers(spark, [0.0, 1.0, 2.0, 3.0]), [], "x")
     x = spark.createDataFrame([(2.0,), (0.0,), (99.0,)], "v double")
     assert [r.v_cdf for r in cdf_column(x, "v", d).collect()] == [0.625, 0.125, 1.0]
-    assert cdf_column(x.select(F.col("v").cast("float").alias("v")), "v", d).schema["v_cdf"].dataType.simpleString() == "float"
+    assert cdf_column(
+        x.select(F.col("v").cast("float").alias("v")), "v", d
+    ).schema["v_cdf"].dataType.simpleString() == "float"
     with pytest.raises(ValueError, match="one digest"):
         cdf_column(x, "v", d.unionAll(d))
     assert all(math.isnan(r.v_cdf) for r in cdf_column(x, "v", digest_by(numbers(spark, []), [], "x")).collect())
@@ -441,10 +541,16 @@ def test_sliding_frames(spark):
 def test_running_digests_follow_batches(spark, tmp_path):
     schema, into = "g string, x double", str(tmp_path / "in")
     for i in range(3):
-        spark.createDataFrame([("a", float(i)), ("b", 1.0)][: 2 - i % 2], schema).coalesce(1).write.mode("append").parquet(into)
+        spark.createDataFrame([("a", float(i)), ("b", 1.0)][: 2 - i % 2], schema).coalesce(1).write.mode(
+            "append"
+        ).parquet(into)
     seen: list = []
-    stream = running_digests(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(into), ["g"], "x", max_size=50)
-    stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda b, _: seen.extend(b.collect())).start().awaitTermination()
+    stream = running_digests(
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(into), ["g"], "x", max_size=50
+    )
+    stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(
+        availableNow=True
+    ).foreachBatch(lambda b, _: seen.extend(b.collect())).start().awaitTermination()
     last = {}
     for r in seen:
         last[r.g] = max(last.get(r.g, (0, None)), (r.n, bytes(r.blob)))

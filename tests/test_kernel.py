@@ -12,7 +12,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millstone import Digest, DigestError, IncompatibleMerge, InvalidProbe, InvalidScale, InvalidTrainingData, kernel, wire
+from millstone import (
+    Digest, DigestError, IncompatibleMerge, InvalidProbe, InvalidScale, InvalidTrainingData, kernel, wire
+)
 from millstone.config import DecodeError, config
 
 MIXTURE_SEED = 4242
@@ -176,7 +178,8 @@ def test_the_cap_is_the_largest_size_that_fits():
 
 
 def test_accuracy_of_the_mixture():
-    """Pinned errors of a like sample (its draws are not the pinned one's, so the score has a wider tolerance): 100,000 values, size 1000, quad."""
+    """Pinned errors of a like sample (its draws are not the pinned one's, so the score has a wider tolerance): 100,000
+    values, size 1000, quad."""
     values = np.sort(mixture(100_000))
     d = Digest.from_array(values, max_size=1000, scale="quad")
     grid = np.linspace(values[0], values[-1], 1001)
@@ -205,7 +208,9 @@ def test_merge():
         m.merge(m)
 
 
-@pytest.mark.parametrize("other", [{"max_size": 50}, {"scale": "k1"}, {"singleton_policy": "off"}, {"precision": "f32"}])
+@pytest.mark.parametrize(
+    "other", [{"max_size": 50}, {"scale": "k1"}, {"singleton_policy": "off"}, {"precision": "f32"}]
+)
 def test_merge_refuses_other_settings(other):
     with pytest.raises(IncompatibleMerge, match="cast_precision" if "precision" in other else "differ"):
         Digest.from_array([1, 2]).merge(Digest.from_array([1, 2], **other))
@@ -220,7 +225,10 @@ def test_kinds_survive_merging():
 
 def test_empty():
     d = Digest.from_array([])
-    assert all(math.isnan(x) for x in (d.quantile(0.5), d.median(), d.cdf(1.0), d.cdf(math.inf), d.trimmed_mean(0.1, 0.9), d.min, d.max))
+    assert all(
+        math.isnan(x)
+        for x in (d.quantile(0.5), d.median(), d.cdf(1.0), d.cdf(math.inf), d.trimmed_mean(0.1, 0.9), d.min, d.max)
+    )
     assert d.mean() == 0 and d.summary() is None and d.count == 0
 
 
@@ -256,8 +264,12 @@ def test_training_weights_and_overflow():
 @pytest.mark.parametrize(
     "bad",
     [
-        {"max_size": 9}, {"max_size": 20_001}, {"scale": "k9"}, {"singleton_policy": "edges"}, {"pin_per_side": 2}, {"singleton_policy": "edges", "pin_per_side": 0}, {"singleton_policy": "edges", "pin_per_side": 6, "max_size": 10},
-        {"delta": 10, "max_size": 50}, {"delta": 10, "scale": "k2"}, {"delta": 10, "singleton_policy": "use"}, {"delta": -1}, {"delta": math.nan}, {"precision": "f16"},
+        {"max_size": 9}, {"max_size": 20_001}, {"scale": "k9"}, {"singleton_policy": "edges"}, {"pin_per_side": 2}, {
+            "singleton_policy": "edges", "pin_per_side": 0
+        }, {"singleton_policy": "edges", "pin_per_side": 6, "max_size": 10},
+        {"delta": 10, "max_size": 50}, {"delta": 10, "scale": "k2"}, {"delta": 10, "singleton_policy": "use"}, {
+            "delta": -1
+        }, {"delta": math.nan}, {"precision": "f16"},
     ],
 )
 def test_settings_are_checked(bad):
@@ -273,7 +285,14 @@ def test_settings_are_checked(bad):
 @pytest.mark.parametrize("precision", ["f32", "f64"])
 @pytest.mark.parametrize("version", [1, 2, 3])
 def test_wire_round_trip(version, precision):
-    d = Digest.from_array([-3, -1, 0, 0.25, 10, 11], max_size=128, scale="k3", singleton_policy="edges", pin_per_side=2, precision=precision)
+    d = Digest.from_array(
+        [-3, -1, 0, 0.25, 10, 11],
+        max_size=128,
+        scale="k3",
+        singleton_policy="edges",
+        pin_per_side=2,
+        precision=precision,
+    )
     if version > 1:
         d.add_weighted([1.5, 2.5], [2, 3.5])
     back = Digest.from_bytes(d.to_bytes(version))
