@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millstone.llm.shared import scratch, stored
+from millstone.llm.shared import scratch, stored, trimmed
 from millstone.llm.words import ALNUM, Words, windows, words_of
 
 #: Bytes of benchmark text in one broadcast set (windows take some eight times that), and sets that a worker holds.
@@ -203,7 +203,7 @@ def _marked(docs: DataFrame, text: int, sets: list, marks: int | None, width: in
     schema = given.withColumns(
         {names[width]: F.lit(None).cast(MARKS[0]), names[width + 1]: F.lit(None).cast(MARKS[1])}
     ).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def _counts(words: Words, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +248,7 @@ def judge(
                     ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
 
-    return given.mapInArrow(run, f"doc_id {kind}, {RESULT}")
+    return given.mapInArrow(trimmed(run), f"doc_id {kind}, {RESULT}")
 
 
 def clean(
@@ -305,7 +305,7 @@ def clean(
                 kept = pa.array((n_hit == 0) | (share * n_hit < n_words))
                 yield part.filter(kept)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def _without(raw: bytes, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray) -> str:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Hand what this process has freed back to the machine: workers outlive their tasks, and wait beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        # Another C library: it keeps its own counsel.
+        pass
+
+
+def trimmed(of_batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A task's function that ends with ``trim``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from of_batches(batches)
+        trim()
+
+    return run
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The store of ``uri`` and the path in it; a bare path is local, as for Spark without a default store."""
     if "://" not in uri and not uri.startswith("file:"):

@@ -45,10 +45,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from millstone.llm.components import components
-from millstone.llm.shared import bitmap_of, column_of, in_bitmap, offsets_of, runs, stored
+from millstone.llm.shared import bitmap_of, column_of, in_bitmap, offsets_of, runs, stored, trimmed
 from millstone.llm.words import NOT_SPACE, Words, mixed, windows, words_of
 
 #: Bits of the bitmap of classes to be read again, at most (16 MiB); fewer classes have a smaller one.
@@ -344,7 +343,7 @@ def _rows(given: DataFrame, k: int, percent: int) -> DataFrame:
 
     named = given.select("doc_id", "text", F.xxhash64("text").alias("text_name"))
     return named.mapInArrow(
-        run, f"doc_id {kind}, text_name long, h1 long, h2 long, n long, low long, need int, run binary"
+        trimmed(run), f"doc_id {kind}, text_name long, h1 long, h2 long, n long, low long, need int, run binary"
     )
 
 
@@ -381,7 +380,9 @@ def _elements(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
                     ["key", "set", "need"],
                 )
 
-    return rows.where("run is not null").select("h1", "need", "run").mapInArrow(run, "key long, set long, need int")
+    return rows.where("run is not null").select("h1", "need", "run").mapInArrow(
+        trimmed(run), "key long, set long, need int"
+    )
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -415,25 +416,24 @@ def _member_sets(given: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
     """h1, h2, items (packed) of the sets of the texts in a bitmap of names, once per task that meets one."""
     mask = given.sparkSession.sparkContext.broadcast(wanted)
 
-    @arrow_udf("boolean")
-    def perhaps(names: pa.Array) -> pa.Array:
-        return pa.array(in_bitmap(mask.value, np.asarray(names)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
         for batch in batches:
-            for words in words_of(batch.column(0), NOT_SPACE):
-                sets = sets_of(words, k)
-                h1, h2 = sets.names()
-                fresh = _fresh(h1, h2, done, np.flatnonzero(sets.sizes))
-                if len(fresh):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h1[fresh]), pa.array(h2[fresh]), sets.packed(fresh, sets.sizes[fresh])],
-                        ["h1", "h2", "items"],
-                    )
-
-    some = given.withColumn("name", F.xxhash64("text")).where(perhaps(F.col("name"))).select("text")
-    return some.mapInArrow(run, "h1 long, h2 long, items binary").groupBy("h1", "h2").agg(
+            # Tested where the words are cut, as a worker of its own for the test would stay beside this one.
+            some = np.flatnonzero(in_bitmap(mask.value, batch.column(1).to_numpy()))
+            for a in range(0, len(some), 256):
+                for words in words_of(batch.column(0).take(pa.array(some[a : a + 256])), NOT_SPACE):
+                    sets = sets_of(words, k)
+                    h1, h2 = sets.names()
+                    fresh = _fresh(h1, h2, done, np.flatnonzero(sets.sizes))
+                    if len(fresh):
+                        packed = sets.packed(fresh, sets.sizes[fresh])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(h1[fresh]), pa.array(h2[fresh]), packed], ["h1", "h2", "items"]
+                        )
+
+    named = given.select("text", F.xxhash64("text").alias("name"))
+    return named.mapInArrow(trimmed(run), "h1 long, h2 long, items binary").groupBy("h1", "h2").agg(
         F.first("items").alias("items")
     )
 
@@ -643,7 +643,7 @@ def jaccard_links(
         )
         work = work.unionByName(blocks.withColumn("arrived", F.lit(False)).select(*here)).unionByName(arrived)
     found = work.repartition("task").sortWithinPartitions("task", "root", "arrived").mapInArrow(
-        lambda b: _joined(b, percent, count), "u long, v long, links long"
+        trimmed(lambda b: _joined(b, percent, count)), "u long, v long, links long"
     )
     return rows, classes, stored(found, "shingle-links")
 

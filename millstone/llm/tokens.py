@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millstone.llm.shared import filesystem, offsets_of, running_sum, scratch, slices, stored
+from millstone.llm.shared import filesystem, offsets_of, running_sum, scratch, slices, stored, trimmed
 from millstone.llm.words import mixed, powers
 
 MAGIC, VERSION, STEP = b"RPTK", 2, 256
@@ -638,7 +638,7 @@ def write_shards(
         if names:
             yield shard()
 
-    manifest = stored(dealt.mapInArrow(run, MANIFEST), "token-manifest")
+    manifest = stored(dealt.mapInArrow(trimmed(run), MANIFEST), "token-manifest")
     bases = running_sum(manifest.groupBy("part").agg(F.sum("tokens").alias("of_part")), [], "part", "of_part").select(
         "part", F.col("before").alias("base")
     )
@@ -678,5 +678,5 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     shards = manifest.count()
     tasks = min(shards, 4 * manifest.sparkSession.sparkContext.defaultParallelism + shards // 64)
     return manifest.select("file", "start").repartition(max(tasks, 1), "file").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long"
+        trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )

@@ -31,7 +31,7 @@ arrays of about 60 bytes per byte of the longest text, or of 2 MiB of shorter on
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millstone.llm.shared import stored
+from millstone.llm.shared import stored, trimmed
 from millstone.llm.words import ALNUM, Words, mixed, words_of
 
 BUCKETS = 1 << 18
@@ -124,33 +124,41 @@ def _averaged(logits: np.ndarray, first: np.ndarray, floor: float) -> tuple[np.n
     return out, part
 
 
-def fit(
-    texts: list[str | None] | pa.Array,
-    labels: list[int],
+def fit(texts: list[str | None], labels: list[int], *, seed: int = 7, **how: int) -> Model:
+    """A model of the sample; deterministic for the same rows in the same order."""
+    return fit_parts([(pa.array(texts, pa.large_string()), labels)], seed=seed, **how)
+
+
+def fit_parts(
+    parts: Iterable[tuple[pa.Array, list[int]]],
     *,
     seed: int = 7,
     dim: int = DIM,
     word_epochs: int = 10,
     doc_rounds: int = 30,
 ) -> Model:
-    """A model of the sample; deterministic for the same rows in the same order."""
-    y = np.asarray(labels, dtype=np.float64)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0, -40.0 if not len(y) or y[0] == 0 else 40.0, 0.0)
+    """``fit`` of texts and labels that come in parts; no part is held longer than it takes to read its words."""
     rng = np.random.default_rng(seed)
     ids: dict[int, int] = {}
     pieces: list[bytes] = []
     doc_words: list[np.ndarray] = []
-    for words in words_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), ALNUM):
-        hashes, first, again = np.unique(words.hashes, return_index=True, return_inverse=True)
-        number = np.empty(len(hashes), dtype=np.int32)
-        for i, (h, f) in enumerate(zip(hashes.tolist(), first.tolist(), strict=True)):
-            if h not in ids:
-                ids[h] = len(pieces)
-                pieces.append(words.data[words.starts[f] : words.ends[f]].tobytes())
-            number[i] = ids[h]
-        whole = number[again]
-        doc_words += [np.unique(whole[words.first[i] : words.first[i + 1]]) for i in range(len(words.rows))]
+    labels: list[int] = []
+    for texts, own_labels in parts:
+        labels += own_labels
+        for words in words_of(texts, ALNUM):
+            hashes, first, again = np.unique(words.hashes, return_index=True, return_inverse=True)
+            number = np.empty(len(hashes), dtype=np.int32)
+            for i, (h, f) in enumerate(zip(hashes.tolist(), first.tolist(), strict=True)):
+                if h not in ids:
+                    ids[h] = len(pieces)
+                    pieces.append(words.data[words.starts[f] : words.ends[f]].tobytes())
+                number[i] = ids[h]
+            whole = number[again]
+            doc_words += [np.unique(whole[words.first[i] : words.first[i + 1]]) for i in range(len(words.rows))]
+    ids.clear()
+    y = np.asarray(labels, dtype=np.float64)
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0, -40.0 if not len(y) or y[0] == 0 else 40.0, 0.0)
     if not pieces:
         return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0, float(np.log(y.mean() / (1 - y.mean()))), 0.0)
     data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
@@ -307,26 +315,12 @@ def train(
     ).repartition(1).sortWithinPartitions("doc_id", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if held:
-            table = pa.Table.from_batches(held)
-            texts = table.column("text").cast(pa.large_string()).combine_chunks()
-            made = fit(
-                texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts,
-                table.column("y").to_pylist(),
-                seed=seed,
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([made.weight.astype("<f4").tobytes()]),
-                    pa.array([made.scale]),
-                    pa.array([made.shift]),
-                    pa.array([made.floor]),
-                ],
-                ["weight", "scale", "shift", "floor"],
-            )
+        made = fit_parts(((b.column(1), b.column(2).to_pylist()) for b in batches), seed=seed)
+        numbers = [pa.array([x]) for x in (made.scale, made.shift, made.floor)]
+        weight = pa.array([made.weight.astype("<f4").tobytes()])
+        yield pa.RecordBatch.from_arrays([weight, *numbers], ["weight", "scale", "shift", "floor"])
 
-    found = rows.mapInArrow(run, "weight binary, scale double, shift double, floor double").first()
+    found = rows.mapInArrow(trimmed(run), "weight binary, scale double, shift double, floor double").first()
     return fit([], []) if found is None else Model(
         np.frombuffer(found.weight, dtype="<f4"), found.scale, found.shift, found.floor
     )
@@ -353,7 +347,7 @@ def score(
                 )
 
     kind = given.schema["doc_id"].dataType.simpleString()
-    out = given.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    out = given.mapInArrow(trimmed(run), f"doc_id {kind}, score double, predicted int")
     return out.select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted"
     )
@@ -371,4 +365,4 @@ def clean(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: f
                     pa.array(shared.value.scores(words) < threshold)
                 )
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

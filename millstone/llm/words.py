@@ -16,7 +16,7 @@ import pyarrow as pa
 from millstone.llm.shared import offsets_of, slices
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -71,7 +71,8 @@ class Words:
 
 def words_of(column: pa.Array, admitted: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[Words]:
     """Words of every row of a string column, a bounded number of bytes at a time. A null row has none."""
-    if len(column) and column.null_count:
+    if column.null_count and np.diff(offsets_of(column))[column.is_null().to_numpy(zero_copy_only=False)].any():
+        # Nulls are as good as empty unless there are bytes below them.
         column = column.fill_null("")
     for a, b in slices(column, most):
         yield _words(column, a, b, admitted)
