@@ -194,6 +194,117 @@ def compress(
     return _stored(Parts(*out, total, low, high, cfg))
 
 
+#: Points of a group that are compressed in one piece; a stream of more is clustered by parts of this size.
+PART = 1 << 18
+
+
+class Stream:
+    """A digest of distinct values that come in rising order, a batch at a time, by the rules of ``compress``.
+
+    Shares of the weight need its total, which is told beforehand, as are the number of points and the
+    weight of the last one. Up to ``PART`` points are held; of more, only the clusters so far. With the
+    edges policy all are held, as its pinned ends take from the total what only the end tells.
+    """
+
+    def __init__(self, cfg: DigestConfig, n: int, total: float, last: float) -> None:
+        self.cfg, self.n = cfg, n
+        self.whole = n <= PART or (cfg.policy == "edges" and cfg.delta is None)
+        self.pins = 1 if cfg.policy == "use" and cfg.delta is None else 0
+        self.inner_total = total - (last if self.pins else 0.0)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size, self.seen, self.sum, self.low, self.high = 0, 0, 0.0, np.nan, np.nan
+        self.ends: list[tuple[float, float]] = []
+        self.made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        #: Of the inner points so far: their weight; and the open cluster: its k, points, weight, sum, and first value.
+        self.before = 0.0
+        self.open: tuple[float, int, float, float, float] | None = None
+
+    def feed(self, values: np.ndarray, weights: np.ndarray) -> None:
+        self.held.append((values, weights))
+        self.size += len(values)
+        while not self.whole and self.size >= PART:
+            self._cluster(PART)
+
+    def _cluster(self, many: int) -> None:
+        """Take ``many`` held points, so that a part begins at the same point however they came."""
+        m, w = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [(m[many:], w[many:])], self.size - many
+        m, w = m[:many], w[:many]
+        if not self.seen:
+            self.low = float(m[0])
+        self.seen, self.high, self.sum = self.seen + many, float(m[-1]), self.sum + float((m * w).sum())
+        if self.pins and not self.ends:
+            self.ends.append((float(m[0]), float(w[0])))
+            self.inner_total -= float(w[0])
+            m, w = m[1:], w[1:]
+        if self.pins and self.seen == self.n:
+            self.ends.append((float(m[-1]), float(w[-1])))
+            m, w = m[:-1], w[:-1]
+        if not len(m):
+            return
+        upto = np.cumsum(np.concatenate(([self.before], w)))
+        self.before = float(upto[-1])
+        size, slack = (self.cfg.delta, 0.0) if self.cfg.delta is not None else (float(self.cfg.max_size), STEP_SLACK)
+        points = self.n - 2 * self.pins
+        k = scale_of(np.minimum(upto / self.inner_total, 1.0), self.cfg.scale, size, points)
+        ends_of = scale_of(np.array([0.0, 1.0]), self.cfg.scale, size, points)
+        falling = ends_of[1] < ends_of[0]
+        starts, at = [], 0
+        if self.open is not None:
+            at = len(m) if falling else int(np.searchsorted(k[1:], self.open[0] + 1 + slack, side="right"))
+            self.open = self._with(self.open, m[:at], w[:at])
+            if at == len(m):
+                return
+            self._close()
+        while at < len(m):
+            starts.append(at)
+            at = len(m) if falling else max(int(np.searchsorted(k[1:], k[at] + 1 + slack, side="right")), at + 1)
+        whole, last = starts[:-1], starts[-1]
+        if whole:
+            cut = slice(whole[0], last)
+            self.made.append(
+                _clustered(m[cut], w[cut], np.ones(last - whole[0], dtype=bool), np.array(whole) - whole[0])
+            )
+        self.open = self._with((float(k[last]), 0, 0.0, 0.0, float(m[last])), m[last:], w[last:])
+
+    @staticmethod
+    def _with(now: tuple[float, int, float, float, float], m: np.ndarray, w: np.ndarray) -> tuple:
+        return now[0], now[1] + len(m), now[2] + float(w.sum()), now[3] + float((m * w).sum()), now[4]
+
+    def _close(self) -> None:
+        _, n, weight, total, first = self.open
+        self.made.append((np.array([first if n == 1 else total / weight]), np.array([weight]), np.array([n == 1])))
+        self.open = None
+
+    def close(self) -> Parts:
+        """The digest, after the last values."""
+        if self.whole:
+            m, w = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (
+                np.zeros(0), np.zeros(0)
+            )
+            if not len(m):
+                return empty(self.cfg)
+            return compress(
+                m, w, np.ones(len(m), dtype=bool), self.cfg, low=float(m[0]), high=float(m[-1]), ordered=True
+            )
+        if self.size:
+            self._cluster(self.size)
+        if self.open is not None:
+            self._close()
+        inner = tuple(np.concatenate(x) for x in zip(*self.made, strict=True))
+        if self.cfg.delta is None:
+            inner = _capped(inner, max(self.cfg.max_size - 2 * self.pins, 1), self.cfg.scale, float(self.cfg.max_size))
+        out = inner
+        if self.pins:
+            (first, first_weight), (last, last_weight) = self.ends
+            out = (
+                np.concatenate([[first], inner[0], [last]]),
+                np.concatenate([[first_weight], inner[1], [last_weight]]),
+                np.concatenate([[True], inner[2], [True]]),
+            )
+        return _stored(Parts(*out, self.sum, self.low, self.high, self.cfg))
+
+
 def _stored(d: Parts) -> Parts:
     """Rounded to the digest's precision; centroids that meet by rounding are one."""
     if d.config.precision == "f64" or not len(d):

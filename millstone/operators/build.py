@@ -3,7 +3,9 @@
 ``histogram`` (the default, at every size): equal values are summed before anything is lost, so
 ``groupBy(keys, value).count()``, with its map-side combine, spilling and generated code, gives
 the kernel exactly what sorting all rows would. The digest is the same for any partitioning of
-the input. A group's distinct values must fit one task.
+the input. A group's distinct values are sorted by Spark, which spills, and streamed through one task
+that holds a batch and the clusters so far, so their number is not bounded by memory; a row that
+goes before them tells their number and weight.
 
 ``hashed``: values are dealt to a fixed number of shards by a hash, each shard is a histogram,
 and shard digests are merged. Rows are shuffled twice; a task holds a shard of a group; the
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from millstone import kernel, schema
 from millstone.config import DigestConfig, config
-from millstone.functions.columns import _build_udf, _merge_udf
+from millstone.functions.columns import _merge_udf
 from millstone.schema import precision_of
 
 #: Digests merged at once; tasks that a group's digests are dealt to; hash shards of a group by default.
@@ -109,12 +111,11 @@ def digest_by(
     rows = df.select(*keys, x.alias("__value"), w.alias("__weight"))
     if mode == "partial":
         return _merged(_partial(rows, keys, cfg), keys, cfg.precision, alias)
-    build = _build_udf(cfg)
     points = rows.groupBy(*keys, "__value").agg(F.sum("__weight").alias("__weight"))
     if mode == "histogram":
-        return points.groupBy(*keys).agg(build(F.col("__value"), F.col("__weight")).alias(alias))
+        return _streamed(points, keys, cfg, alias)
     points = points.withColumn("__shard", F.pmod(F.xxhash64("__value"), F.lit(shards or HASH_SHARDS)))
-    made = points.groupBy(*keys, "__shard").agg(build(F.col("__value"), F.col("__weight")).alias("__digest"))
+    made = _streamed(points, [*keys, "__shard"], cfg, "__digest")
     return _merged(made.drop("__shard"), keys, cfg.precision, alias)
 
 
@@ -125,6 +126,58 @@ def _codes(column: pa.Array) -> np.ndarray:
     return column.dictionary_encode(null_encoding="encode").indices.to_numpy()
 
 
+def _streamed(points: DataFrame, keys: list[str], cfg: DigestConfig, alias: str) -> DataFrame:
+    """One row per group: its digest, of distinct values with their weights."""
+    n = len(keys)
+    totals = [F.sum("__weight"), F.count(F.lit(1)).cast("double"), F.max_by("__weight", "__value")]
+    head = points.groupBy(*keys).agg(*[x.alias(y) for x, y in zip(totals, ("__weight", "__n", "__last"), strict=True)])
+    none = F.lit(None).cast("double")
+    rows = points.select(*keys, "__value", "__weight", none.alias("__n"), none.alias("__last")).unionByName(
+        head.withColumn("__value", none)
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[list[pa.Scalar], kernel.Parts]] = []
+        now: tuple | None = None
+        names: list[pa.Scalar] = []
+        stream: kernel.Stream | None = None
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([x[i].as_py() for x, _ in done], done[0][0][i].type) for i in range(n)]
+            made = pa.RecordBatch.from_arrays(
+                [*columns, schema.write([d for _, d in done], cfg.precision)], [*keys, alias]
+            )
+            done.clear()
+            return made
+
+        for batch in batches:
+            values, weights = (batch.column(n + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            # A group begins with the row that has no value.
+            heads = np.flatnonzero(batch.column(n).is_null().to_numpy(zero_copy_only=False))
+            cut = np.unique(np.concatenate(([0], heads, [len(batch)])))
+            begins = set(heads.tolist())
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if a in begins:
+                    if stream is not None:
+                        done.append((names, stream.close()))
+                        if len(done) >= 512:
+                            yield out()
+                    names = [batch.column(i)[a] for i in range(n)]
+                    told = [batch.column(n + i)[a].as_py() for i in (1, 2, 3)]
+                    stream = kernel.Stream(cfg, int(told[1]), told[0], told[2])
+                    a += 1
+                if b > a and stream is not None:
+                    stream.feed(values[a:b], weights[a:b])
+        if stream is not None:
+            done.append((names, stream.close()))
+        if done:
+            yield out()
+
+    kinds = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("__value").asc_nulls_first())
+    return dealt.mapInArrow(run, f"{kinds}, `{alias}` {schema.ddl(cfg.precision)}")
+
+
 def _fans(
     batches: Iterator[pa.RecordBatch], keys: list[str], precision: str, strict: bool, last: bool
 ) -> Iterator[pa.RecordBatch]:

@@ -106,6 +106,22 @@ def test_zeros_of_either_sign_are_one_value(spark):
     assert Digest.collected(digest_by(numbers(spark, [0.0, -0.0, 1.0]), [], "x"))[0].weights == [2, 1]
 
 
+def test_groups_larger_than_a_part_are_streamed(spark):
+    """Half a million distinct values in one group, beside small ones and a null key, from any number of partitions."""
+    values = np.random.default_rng(21).lognormal(size=500_000)
+    rows = spark.createDataFrame([(float(v),) for v in values[:1000]], "x double")
+    many = spark.range(500_000).select((F.rand(5) * 1000 + F.col("id") / 1e6).alias("x"), F.lit("big").alias("g"))
+    small = rows.select("x", F.when(F.col("x") > 1, F.lit("small")).alias("g"))
+    both = many.unionByName(small).cache()
+    made = [digest_by(both.repartition(n), ["g"], "x", max_size=100).collect() for n in (2, 7)]
+    assert sorted(map(repr, made[0])) == sorted(map(repr, made[1]))
+    got = {r.g: Digest.from_row(r.digest, "f64") for r in made[0]}
+    for g, d in got.items():
+        own = [r.x for r in both.where(F.col("g").eqNullSafe(F.lit(g))).collect()]
+        want = Digest.from_array(own, max_size=100)
+        assert d.weights == want.weights and d.means == pytest.approx(want.means, rel=1e-12)
+
+
 def test_planning_runs_no_job(spark):
     from millstone.operators import rollup_by
 

@@ -177,6 +177,39 @@ def test_the_cap_is_the_largest_size_that_fits():
         assert len(got[0]) == len(kernel.cluster_starts(weights, scale, max(fits))) or abs(len(got[0]) - 40) <= 1
 
 
+@pytest.mark.parametrize(
+    "how",
+    [
+        {"scale": "quad"},
+        {"scale": "k1"},
+        {"scale": "k2"},
+        {"scale": "k3"},
+        {"singleton_policy": "off"},
+        {"singleton_policy": "edges", "pin_per_side": 3},
+        {"delta": 50.0},
+    ],
+)
+def test_streams_equal_whole_compression(monkeypatch, how):
+    """Values in rising order, in batches of any size, in parts smaller than the group."""
+    monkeypatch.setattr(kernel, "PART", 700)
+    rng = np.random.default_rng(14)
+    for _ in range(12):
+        values = np.unique(rng.normal(size=int(rng.integers(2, 5000))))
+        weights = rng.integers(1, 5, len(values)).astype(float)
+        cfg = config(None if "delta" in how else int(rng.choice([10, 50, 200])), **how)
+        low, high = values[0], values[-1]
+        want = kernel.compress(values, weights, np.ones(len(values), dtype=bool), cfg, low=low, high=high, ordered=True)
+        stream, at = kernel.Stream(cfg, len(values), weights.sum(), weights[-1]), 0
+        while at < len(values):
+            n = int(rng.integers(1, 1500))
+            stream.feed(values[at : at + n], weights[at : at + n])
+            at += n
+        got = stream.close()
+        assert got.weights.tolist() == want.weights.tolist() and got.atomic.tolist() == want.atomic.tolist()
+        assert got.means == pytest.approx(want.means, rel=1e-12) and (got.min, got.max) == (low, high)
+        assert got.sum == pytest.approx(want.sum)
+
+
 def test_accuracy_of_the_mixture():
     """Pinned errors of a like sample (its draws are not the pinned one's, so the score has a wider tolerance): 100,000
     values, size 1000, quad."""
