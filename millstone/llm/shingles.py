@@ -311,7 +311,7 @@ def _rows(given: DataFrame, k: int, percent: int) -> DataFrame:
     """Of every row: doc_id, text_name, h1, h2 (its set's name), n, low (the smallest element), need, run (the counted
     elements, once per set that a task meets)."""
     kind = given.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_name", "h1", "h2", "n", "low", "need", "run"]
+    names = ["doc_id", "text_name", "h1", "h2", "n", "low", "need", "fresh", "run"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
@@ -336,6 +336,7 @@ def _rows(given: DataFrame, k: int, percent: int) -> DataFrame:
                         pa.array(sets.sizes, pa.int64()),
                         pa.array(low),
                         pa.array(need, pa.int32()),
+                        pa.array(where >= 0),
                         runs_of,
                     ],
                     names,
@@ -343,7 +344,7 @@ def _rows(given: DataFrame, k: int, percent: int) -> DataFrame:
 
     named = given.select("doc_id", "text", F.xxhash64("text").alias("text_name"))
     return named.mapInArrow(
-        trimmed(run), f"doc_id {kind}, text_name long, h1 long, h2 long, n long, low long, need int, run binary"
+        trimmed(run), f"doc_id {kind}, text_name long, h1 long, h2 long, n long, low long, need int, fresh boolean, run binary"
     )
 
 
@@ -359,19 +360,20 @@ def _fresh(h1: np.ndarray, h2: np.ndarray, done: set[tuple[int, int]], wanted: n
     return np.array(out, dtype=np.int64)
 
 
-def _elements(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """key, set (h1), need of the counted elements; only of those in a bitmap, if there is one."""
-    mask = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
+def _elements(rows: DataFrame, chosen: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
+    """key, set (h1), need of the counted elements of the rows in one bitmap; only of those in another, if there is one."""
+    masks = rows.sparkSession.sparkContext.broadcast((chosen, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        of_rows, of_keys = masks.value
+        for given in batches:
+            batch = given.filter(pa.array(in_bitmap(of_rows, given.column(3).to_numpy())))
             at = offsets_of(batch.column(2)) // 8
-            keys = np.frombuffer(batch.column(2).buffers()[2], dtype=np.int64)[
-                at[0] : at[-1]
-            ] if at[-1] > at[0] else np.zeros(0, np.int64)
+            flat = batch.column(2).buffers()[2]
+            keys = np.frombuffer(flat, dtype=np.int64)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.int64)
             row = np.repeat(np.arange(len(batch)), np.diff(at))
-            if mask is not None:
-                some = in_bitmap(mask.value, keys)
+            if of_keys is not None:
+                some = in_bitmap(of_keys, keys)
                 keys, row = keys[some], row[some]
             for a in range(0, len(keys), 50_000):
                 own = pa.array(row[a : a + 50_000])
@@ -380,22 +382,21 @@ def _elements(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
                     ["key", "set", "need"],
                 )
 
-    return rows.where("run is not null").select("h1", "need", "run").mapInArrow(
-        trimmed(run), "key long, set long, need int"
-    )
+    given = rows.where("fresh").select("h1", "need", "run", "row")
+    return given.mapInArrow(trimmed(run), "key long, set long, need int")
 
 
-def _groups(rows: DataFrame) -> DataFrame:
+def _groups(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """node, root: groups of sets (by h1) that share prefix elements, wherever a group has two.
 
     Sets whose 64-bit names clash only make a group larger: links are told apart by classes.
     """
-    # Keys of one set are of no use to anyone; the number of rows orders the rest.
-    counts = _elements(rows).groupBy("key").agg(
-        F.count(F.lit(1)).alias("often"), F.min("set").alias("least"), F.max("set").alias("most")
-    )
-    shared = stored(counts.where("least <> most").select("key", "often"), "shingle-shared")
-    found = _elements(rows, bitmap_of(shared.select(F.col("key").alias("item")), BITMAP_BITS))
+    # Of equal sets one row is enough. A bitmap names it; where that says little, copies are counted as well.
+    chosen = bitmap_of(classes.select(F.col("row").alias("item")), BITMAP_BITS)
+    # Keys of one row are of no use to anyone; the number of rows orders the rest.
+    counts = _elements(rows, chosen).groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    shared = stored(counts.where("often > 1"), "shingle-shared")
+    found = _elements(rows, chosen, bitmap_of(shared.select(F.col("key").alias("item")), BITMAP_BITS))
     # Unsigned order: whether the key is among the counted.
     counted = F.when(F.col("key") >= 0, F.col("key") < COUNTED).otherwise(F.lit(False))
     found = found.join(shared, "key").distinct().withColumn("counted", counted)
@@ -567,17 +568,19 @@ def jaccard_links(
     """
     spark = docs.sparkSession
     given = _texts(docs, id_col, text_col)
-    rows = stored(_rows(given, k, percent), "shingle-rows")
+    named = _rows(given, k, percent).withColumn("row", F.xxhash64(F.monotonically_increasing_id()))
+    rows = stored(named, "shingle-rows")
     classes = rows.where("n > 0").groupBy("h1", "h2").agg(
         F.min("n").alias("n"),
         F.min("low").alias("low"),
         F.count(F.lit(1)).alias("weight"),
         F.min("doc_id").alias("least"),
         F.min("text_name").alias("text_name"),
+        F.min(F.when(F.col("fresh"), F.col("row"))).alias("row"),
     )
     # Named in the written table, so every reader sees the same names, and no two classes share one.
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
-    groups = _groups(rows)
+    groups = _groups(rows, classes)
     roots_too = groups.select(F.col("node").alias("h1"), "root").unionByName(
         groups.select(F.col("root").alias("h1"), "root").distinct()
     )
@@ -591,22 +594,30 @@ def jaccard_links(
     small = (F.col("elements") <= BLOCK_ELEMENTS) & (F.col("rows") <= BLOCK_ROWS)
     total = of_group.agg(F.sum("elements")).first()[0] or 0
     bins = int(total // BLOCK_ELEMENTS) + spark.sparkContext.defaultParallelism
-    here = ["task", "root", "arrived", "node", "weight", "items"]
+    light = ["h1", "h2", "task", "root", "large", "node", "weight"]
     placed = members.join(of_group.where(small).select("root"), "root").withColumn(
         "task", F.pmod(F.xxhash64("root"), F.lit(bins))
-    ).withColumn("arrived", F.lit(False))
-    work = placed.join(sets, ["h1", "h2"]).select(*here)
-
+    )
+    assigned = placed.withColumn("large", F.lit(False)).select(*light)
     large = of_group.where(~small).select("root")
-    if not large.isEmpty():
-        blocks = stored(
-            _blocks(members.join(large, "root")).join(sets, ["h1", "h2"]).select(
-                "task", "root", "node", "weight", "items"
-            ),
-            "shingle-blocks",
+    any_large = not large.isEmpty()
+    if any_large:
+        assigned = assigned.unionByName(
+            _blocks(members.join(large, "root")).withColumn("large", F.lit(True)).select(*light)
         )
-        upper = blocks.repartition("task").sortWithinPartitions("task", "root").mapInArrow(
-            _upper_nodes, "task long, root long, low long, high long, bitmap binary"
+    # Sets are read and joined once, for groups of either kind.
+    held_sets = assigned.join(sets, ["h1", "h2"]).select("task", "root", "large", "node", "weight", "items")
+    here = ["task", "root", "arrived", "node", "weight", "items"]
+    if any_large:
+        held_sets = stored(held_sets, "shingle-blocks")
+    work = held_sets.withColumn("arrived", F.lit(False)).select(*here)
+    if any_large:
+        blocks = held_sets.where("large").drop("large")
+        upper = (
+            blocks.repartition("task")
+            .sortWithinPartitions("task", "root")
+            .select("task", "root", "node", "weight", "items")
+            .mapInArrow(_upper_nodes, "task long, root long, low long, high long, bitmap binary")
         )
         upper = stored(upper, "shingle-upper")
         x, y = upper.drop("bitmap").alias("x"), upper.alias("y")
@@ -641,7 +652,7 @@ def jaccard_links(
             lambda b: _passing(b, percent),
             "task long, root long, arrived boolean, node long, weight long, items binary",
         )
-        work = work.unionByName(blocks.withColumn("arrived", F.lit(False)).select(*here)).unionByName(arrived)
+        work = work.unionByName(arrived)
     found = work.repartition("task").sortWithinPartitions("task", "root", "arrived").mapInArrow(
         trimmed(lambda b: _joined(b, percent, count)), "u long, v long, links long"
     )
