@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millstone.llm.shared import filesystem, offsets_of, running_sum, scratch, slices, stored, trimmed
+from millstone.llm.shared import filesystem, offsets_of, running_sum, scratch, slices, stored
 from millstone.llm.words import mixed, powers
 
 MAGIC, VERSION, STEP = b"RPTK", 2, 256
@@ -60,8 +60,8 @@ SHARD_TOKENS = 1 << 21
 #: Rows of a sorted partition, in expectation; a task cuts it into shards by ids.
 PART_ROWS = 4000
 #: Bytes of text encoded at once.
-ENCODED_BYTES = 1 << 20
-#: A round makes a third of the rules that are left, within these bounds.
+ENCODED_BYTES = 2 << 20
+#: A round makes half of the rules that are left, within these bounds.
 ROUND_RULES = 1000, 8192
 #: Pieces, bytes of pieces and ids that a process remembers; beyond, it starts afresh.
 REMEMBERED, REMEMBERED_BYTES, REMEMBERED_IDS = 1_500_000, 32 << 20, 8 << 20
@@ -434,7 +434,7 @@ def repair(ids: np.ndarray, first: int, *, rules: int, least: int) -> tuple[np.n
     made: list[tuple[int, int]] = []
     while len(made) < rules and len(seq) > 1:
         left = rules - len(made)
-        most = min(left, max(ROUND_RULES[0], min(ROUND_RULES[1], -(-left // 3))))
+        most = min(left, max(ROUND_RULES[0], min(ROUND_RULES[1], -(-left // 2))))
         cell = _cells(seq[:-1], seq[1:])
         pairs = _apart(_frequent(seq, cell, least, most), most)
         if not pairs:
@@ -638,7 +638,7 @@ def write_shards(
         if names:
             yield shard()
 
-    manifest = stored(dealt.mapInArrow(trimmed(run), MANIFEST), "token-manifest")
+    manifest = stored(dealt.mapInArrow(run, MANIFEST), "token-manifest")
     bases = running_sum(manifest.groupBy("part").agg(F.sum("tokens").alias("of_part")), [], "part", "of_part").select(
         "part", F.col("before").alias("base")
     )
@@ -678,5 +678,5 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     shards = manifest.count()
     tasks = min(shards, 4 * manifest.sparkSession.sparkContext.defaultParallelism + shards // 64)
     return manifest.select("file", "start").repartition(max(tasks, 1), "file").mapInArrow(
-        trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long"
+        run, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
