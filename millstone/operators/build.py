@@ -2,10 +2,12 @@
 
 ``histogram`` (the default, at every size): equal values are summed before anything is lost, so
 ``groupBy(keys, value).count()``, with its map-side combine, spilling and generated code, gives
-the kernel exactly what sorting all rows would. The digest is the same for any partitioning of
-the input. A group's distinct values are sorted by Spark, which spills, and streamed through one task
-that holds a batch and the clusters so far, so their number is not bounded by memory; a row that
-goes before them tells their number and weight.
+the kernel exactly what sorting all rows would, one call per group. The digest is the same for any
+partitioning of the input. A group's distinct values must fit one task (some 100 million).
+
+``streamed``: the same digest, for groups of any size: a group's distinct values are sorted by
+Spark, which spills, and streamed through one task that holds a batch and the clusters so far; a row
+that goes before them tells their number and weight. It takes about twice as long for small groups.
 
 ``hashed``: values are dealt to a fixed number of shards by a hash, each shard is a histogram,
 and shard digests are merged. Rows are shuffled twice; a task holds a shard of a group; the
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from millstone import kernel, schema
 from millstone.config import DigestConfig, config
-from millstone.functions.columns import _merge_udf
+from millstone.functions.columns import _build_udf, _merge_udf
 from millstone.schema import precision_of
 
 #: Digests merged at once; tasks that a group's digests are dealt to; hash shards of a group by default.
@@ -67,7 +69,7 @@ def _one_row(made: DataFrame, alias: str, cfg: DigestConfig) -> DataFrame:
     )
 
 
-MODES = ("auto", "histogram", "partial", "hashed")
+MODES = ("auto", "histogram", "streamed", "partial", "hashed")
 
 
 def digest_by(
@@ -112,10 +114,13 @@ def digest_by(
     if mode == "partial":
         return _merged(_partial(rows, keys, cfg), keys, cfg.precision, alias)
     points = rows.groupBy(*keys, "__value").agg(F.sum("__weight").alias("__weight"))
-    if mode == "histogram":
+    if mode == "streamed":
         return _streamed(points, keys, cfg, alias)
+    build = _build_udf(cfg)
+    if mode == "histogram":
+        return points.groupBy(*keys).agg(build(F.col("__value"), F.col("__weight")).alias(alias))
     points = points.withColumn("__shard", F.pmod(F.xxhash64("__value"), F.lit(shards or HASH_SHARDS)))
-    made = _streamed(points, [*keys, "__shard"], cfg, "__digest")
+    made = points.groupBy(*keys, "__shard").agg(build(F.col("__value"), F.col("__weight")).alias("__digest"))
     return _merged(made.drop("__shard"), keys, cfg.precision, alias)
 
 

@@ -248,6 +248,12 @@ _blended_query("blended_weighted", _points(weight="l_quantity") + sql.blended("s
 _F32 = "f AS (SELECT k, CAST(CAST(m AS FLOAT) AS DOUBLE) AS m, w, a FROM d)\n" + sql.clusters("l_returnflag", "f")
 
 
+@query(_points() + sql.blended("src", SIZE) + "\n" + sql.clusters("l_returnflag"))
+def blended_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of values that are streamed through the kernel is that of all at once."""
+    return _clusters(_prices(spark, sf_dir, mode="streamed"))
+
+
 @query(_points("CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE)") + sql.blended("src", SIZE) + ",\n" + _F32)
 def blended_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clusters(_prices(spark, sf_dir, precision="f32"))
