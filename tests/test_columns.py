@@ -102,6 +102,28 @@ def test_number_of_partitions_does_not_change_digest(spark, mode):
         assert made == {Digest.from_array(values, scale="k1", max_size=100).to_bytes()}
 
 
+def test_the_last_k1_cluster_is_blended_as_any_other(spark, tmp_path):
+    """350,000 different prices leave three points to the last cluster before the pinned one; the rule, point by point."""
+    n, size = 350_000, 1000
+    spark.range(n).select(
+        F.lit("A").alias("l_returnflag"), (F.col("id") / 100).alias("l_extendedprice")
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def k(q):
+        return size / (2 * math.pi) * math.asin(2 * min(max(q, 1e-15), 1 - 1e-15) - 1)
+
+    inner, clusters, start = n - 2, [], 0
+    for i in range(1, inner + 1):
+        if i == inner or k((i + 1) / inner) - k(start / inner) > 1 + 1e-12:
+            clusters.append((start + 1, i + 1))
+            start = i
+    want = [(0, 1), *clusters, (n - 1, n)]
+    assert clusters[-1] == (n - 4, n - 1)
+    got = sorted(QUERIES["k1_centroids"](spark, str(tmp_path)).collect(), key=lambda r: r["mean"])
+    assert [r["weight"] for r in got] == [b - a for a, b in want]
+    assert [r["mean"] for r in got] == pytest.approx([(a + b - 1) / 200 for a, b in want], abs=2e-4)
+
+
 def test_zeros_of_either_sign_are_one_value(spark):
     assert Digest.collected(digest_by(numbers(spark, [0.0, -0.0, 1.0]), [], "x"))[0].weights == [2, 1]
 
